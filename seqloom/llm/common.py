@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,7 +39,12 @@ def settled(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    del df
+    # shuffle files of the jobs so far go when nothing refers to them any more
+    gc.collect()
+    sc._jvm.System.gc()
+    return out
 
 
 def partitions(spark: SparkSession) -> int:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import bitplane_tokens, bpe_count, decontaminate, progressive_jpeg, quality_ftrl, sentencepiece_codec
+from seqloom.llm import bitplane_tokens, bpe_count, bwt_repeats, decontaminate, progressive_jpeg, quality_ftrl, sentencepiece_codec, window_dedup
 from seqloom.llm.common import documents, shared_dir, table
 
 
@@ -42,11 +42,19 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_count.count_tokens(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
 
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_progressive_jpeg, op4_bitplane_tokens, op5_quality_ftrl, op6_token_counts, op9_decontaminate)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_progressive_jpeg, op4_bitplane_tokens, op5_quality_ftrl, op6_token_counts, op8_suffix_array, op9_decontaminate, op10_substring_dedup)}
 
 OP9_SQL = r"""
 WITH w AS (
@@ -69,4 +77,18 @@ SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN i USING (doc_id)
 """
 
-ORACLES = {"op9_decontaminate": OP9_SQL}
+OP10_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+win AS (SELECT doc_id, i AS pos, array_to_string(words[i:i + 49], ' ') AS win FROM w, range(1, len(words) - 48) r(i)),
+least_id AS (SELECT win, min(doc_id) AS first FROM win GROUP BY win HAVING count(*) > 1),
+gone AS (
+  SELECT DISTINCT win.doc_id, p FROM win JOIN least_id ON win.win = least_id.win AND least_id.first < win.doc_id, range(win.pos, win.pos + 50) r(p)),
+kept AS (
+  SELECT w.doc_id, count(*) AS n_kept, string_agg(words[i], ' ' ORDER BY i) AS kept
+  FROM w, range(1, len(words) + 1) r(i) LEFT JOIN gone ON gone.doc_id = w.doc_id AND gone.p = i WHERE gone.p IS NULL GROUP BY w.doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES = {"op10_substring_dedup": OP10_SQL, "op9_decontaminate": OP9_SQL}
