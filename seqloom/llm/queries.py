@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import bitplane_tokens, bpe_count, bwt_repeats, decontaminate, progressive_jpeg, quality_ftrl, sentencepiece_codec, window_dedup
+from seqloom.llm import bitplane_tokens, bpe_count, bwt_repeats, decontaminate, order_minhash, progressive_jpeg, quality_ftrl, sentencepiece_codec, window_dedup
 from seqloom.llm.common import documents, shared_dir, table
 
 
@@ -22,6 +22,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_documents(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progressive_jpeg.store_texts(documents(spark, sf_dir))
 
@@ -54,7 +58,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_progressive_jpeg, op4_bitplane_tokens, op5_quality_ftrl, op6_token_counts, op8_suffix_array, op9_decontaminate, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_order_minhash, op3_progressive_jpeg, op4_bitplane_tokens, op5_quality_ftrl, op6_token_counts, op8_suffix_array, op9_decontaminate, op10_substring_dedup)}
 
 OP9_SQL = r"""
 WITH w AS (
