@@ -19,6 +19,7 @@ as it needs in one chunk.
 from __future__ import annotations
 
 import functools
+import os
 import re
 import zlib
 
@@ -29,10 +30,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import WHITE, Memo, partitions, text_or_empty
+from seqloom.llm.common import WHITE, partitions, text_or_empty
 
 BLOCK = 16_384
 CHUNK_IDS = 262_144
+TOGETHER = 200  # texts that are encoded together
 PLANES = 4
 CHUNK_SCHEMA = "shard int, chunk int, start long, n_ids long, doc_ids array<{kind}>, doc_sizes array<long>, plane_sizes array<int>, payload binary"
 #: A piece of text that the tokenizer's pattern never joins to its neighbours: white space, then other characters.
@@ -47,16 +49,25 @@ class Encoder:
     """
 
     def __init__(self, path: str, remembered: int = 600_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core already
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.ids = Memo(self._ids, remembered)
+        self.remembered, self.ids = remembered, {}
 
-    def _ids(self, piece: str) -> bytes:
-        return np.array(self.library.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+    def learn(self, pieces: set[str]) -> None:
+        new = [*(pieces - self.ids.keys())]
+        if len(self.ids) + len(new) > self.remembered:
+            self.ids.clear()
+            new = [*pieces]
+        for piece, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
+            self.ids[piece] = np.array(found.ids, "<u4").tobytes()
 
-    def __call__(self, text: str) -> bytes:
-        return b"".join(map(self.ids.__getitem__, PIECE.findall(text)))
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; pieces that are new to it go to the library together."""
+        pieces = [PIECE.findall(x) for x in texts]
+        self.learn(set().union(*pieces))
+        return [b"".join(map(self.ids.__getitem__, p)) for p in pieces]
 
 
 @functools.cache
@@ -105,14 +116,14 @@ def encode_chunks(docs: DataFrame, tokenizer: str, *, end_id: int = 0, shards: i
 
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = encode(text) + end
-                ids.append(own)
-                doc_ids.append(doc_id)
-                sizes.append(len(own) // 4)
-                held += len(own) // 4
-                if held >= CHUNK_IDS:
-                    yield flush()
+            for few in (batch.slice(i, TOGETHER) for i in range(0, batch.num_rows, TOGETHER)):
+                for doc_id, own in zip(few.column(0).to_pylist(), encode(few.column(1).to_pylist())):
+                    ids.append(own + end)
+                    doc_ids.append(doc_id)
+                    sizes.append(len(own) // 4 + 1)
+                    held += sizes[-1]
+                    if held >= CHUNK_IDS:
+                        yield flush()
         if doc_ids:
             yield flush()
 
