@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import bitplane_tokens, bpe_count, bwt_repeats, decontaminate, order_minhash, progressive_jpeg, quality_ftrl, sentencepiece_codec, window_dedup
+from seqloom.llm import bitplane_tokens, bpe_count, bwt_repeats, decontaminate, order_minhash, preference_chat, progressive_jpeg, quality_ftrl, sentencepiece_codec, window_dedup
 from seqloom.llm.common import documents, shared_dir, table
 
 
@@ -46,6 +46,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_count.count_tokens(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
 
+def op7_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference_chat.format_pairs(preference_chat.swapped_endings(table(spark, sf_dir, "conversations")))
+
+
 def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt_repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
 
@@ -58,7 +62,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_order_minhash, op3_progressive_jpeg, op4_bitplane_tokens, op5_quality_ftrl, op6_token_counts, op8_suffix_array, op9_decontaminate, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_order_minhash, op3_progressive_jpeg, op4_bitplane_tokens, op5_quality_ftrl, op6_token_counts, op7_preference_chat, op8_suffix_array, op9_decontaminate, op10_substring_dedup)}
 
 OP9_SQL = r"""
 WITH w AS (
@@ -95,4 +99,29 @@ SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coales
 FROM w LEFT JOIN kept USING (doc_id)
 """
 
-ORACLES = {"op10_substring_dedup": OP10_SQL, "op9_decontaminate": OP9_SQL}
+OP7_SQL = r"""
+WITH last AS (
+  SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id),
+sides AS (
+  SELECT conv_id AS pair_id, 'chosen' AS side, turn, role, text FROM conversations
+  UNION ALL
+  SELECT c.conv_id, 'rejected', c.turn, c.role, c.text FROM conversations c JOIN last ON last.conv_id = c.conv_id AND last.turn > c.turn
+  UNION ALL
+  SELECT l.conv_id, 'rejected', l.turn, n.role, n.text FROM last l JOIN last n ON n.conv_id = l.conv_id + 1),
+places AS (
+  SELECT pair_id, turn, max(role) FILTER (side = 'chosen') AS cr, max(text) FILTER (side = 'chosen') AS ct,
+         max(role) FILTER (side = 'rejected') AS rr, max(text) FILTER (side = 'rejected') AS rt
+  FROM sides GROUP BY pair_id, turn),
+split AS (SELECT pair_id, min(turn) FILTER (NOT coalesce(cr = rr AND ct = rt, false)) AS at FROM places GROUP BY pair_id),
+parts AS (
+  SELECT p.pair_id, p.turn, 'prompt' AS part, cr AS role, ct AS text FROM places p JOIN split s USING (pair_id) WHERE s.at IS NULL OR p.turn < s.at
+  UNION ALL
+  SELECT p.pair_id, p.turn, 'chosen', cr, ct FROM places p JOIN split s USING (pair_id) WHERE p.turn >= s.at AND cr IS NOT NULL
+  UNION ALL
+  SELECT p.pair_id, p.turn, 'rejected', rr, rt FROM places p JOIN split s USING (pair_id) WHERE p.turn >= s.at AND rr IS NOT NULL)
+SELECT pair_id, part, turn, CAST(0 AS BIGINT) AS rank, role, '<|im_start|>' || role || chr(10) AS header, text || '<|im_end|>' || chr(10) AS body,
+       CAST(part <> 'prompt' AND role = 'assistant' AS INTEGER) AS mask
+FROM parts
+"""
+
+ORACLES = {"op7_preference_chat": OP7_SQL, "op10_substring_dedup": OP10_SQL, "op9_decontaminate": OP9_SQL}
