@@ -34,16 +34,19 @@ def shared_dir(spark: SparkSession) -> str:
     return conf
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df computed once and written to the shared folder, so that a lost executor loses none of it."""
+def settled(df: DataFrame, free: bool = True) -> DataFrame:
+    """df computed once and written to the shared folder, so that a lost executor loses none of it.
+
+    With `free`, shuffle files of the jobs so far are removed if nothing refers to them any more.
+    """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     out = df.checkpoint(eager=True)
     del df
-    # shuffle files of the jobs so far go when nothing refers to them any more
-    gc.collect()
-    sc._jvm.System.gc()
+    if free:
+        gc.collect()
+        sc._jvm.System.gc()
     return out
 
 
