@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.superkmers import ANYWHERE, HOT, Kind, covered_units, mixed, repeated_spans, with_spans
+from seqloom.llm.superkmers import ANYWHERE, HOT, Kind, covered_units, few_rows, mixed, repeated_spans, span_arrays, with_spans
 
 LENGTH = 200
 MINIMISER = 40
@@ -32,14 +32,21 @@ BYTE_HASH = mixed(np.arange(1, 257, dtype=np.uint64))
 
 
 def suffix_order(text: np.ndarray, start: int = START) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes of text in order of their first 2 * start bytes, and the rank of each by its first `start`."""
+    """Suffixes of text in order of their first 2 * start bytes, and the rank of each by its first `start`.
+
+    Suffixes that agree in all of those stand in any order: no boundary is asked for between them.
+    """
     n = len(text)
-    padded = np.concatenate([text.astype(np.uint64), np.zeros(8, np.uint64)])
+    names = np.zeros(258, np.uint64)
+    present = np.unique(text)
+    names[present] = np.arange(1, len(present) + 1)
+    bits = len(present).bit_length()
+    depth, at_start = min(63 // bits, start), None
+    padded = np.concatenate([names[text], np.zeros(depth, np.uint64)])
     key = np.zeros(n, np.uint64)
-    depth, at_start = min(7, start), None
-    for i in range(depth):  # values up to 256 take 9 bits
-        key = (key << np.uint64(9)) | padded[i : i + n]
-    order = np.argsort(key, kind="stable")
+    for i in range(depth):
+        key = (key << np.uint64(bits)) | padded[i : i + n]
+    order = np.argsort(key)
     while True:
         sorted_key = key[order]
         rank = np.empty(n, np.int64)
@@ -50,10 +57,9 @@ def suffix_order(text: np.ndarray, start: int = START) -> tuple[np.ndarray, np.n
             return order, rank if at_start is None else at_start
         # up to `start` exactly once, so that its ranks can be kept
         step = depth if depth >= start or 2 * depth <= start else start - depth
-        ahead = np.zeros(n, np.int64)
-        ahead[: n - step] = rank[step:] + 1
-        key = rank * (n + 1) + ahead
-        order = np.argsort(key, kind="stable")
+        key = rank * (n + 1)
+        key[: n - step] += rank[step:] + 1
+        order = np.argsort(key)
         depth += step
 
 
@@ -138,25 +144,27 @@ def pack(text: str, spans: list[tuple[int, int]]) -> list[bytes]:
 BYTES = Kind(LENGTH, MINIMISER, units, pack, lambda b: BYTE_HASH[np.frombuffer(b, np.uint8)], compare)
 
 
-def remove_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", hot: int = HOT) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of each row."""
+def remove_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", hot: int = HOT, keep: bool = False) -> DataFrame:
+    """id, n_bytes, n_removed, n_spans and kept_sha256 of each row; with `keep` also the remaining bytes."""
     spans = repeated_spans(docs, BYTES, ANYWHERE, id_column=id_column, text_column=text_column, hot=hot)
     joined = with_spans(docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")), spans, "id", "text")
+    names, types = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"], [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+    width = 4 + keep
 
     def run(batches):
-        names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-        for batch in batches:
+        for batch in few_rows(batches):
             rows = []
-            for text, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                data = np.frombuffer(text.encode(), np.uint8)
-                gone = covered_units(len(data), own)
-                kept = data[~gone].tobytes()
-                runs = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(len(gone) > 0 and gone[0])
-                rows.append((len(data), len(data) - len(kept), runs, hashlib.sha256(kept).hexdigest(), kept))
-            columns = [list(c) for c in zip(*rows)] or [[]] * 5
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], names)
+            for text, own in zip(batch.column(1).to_pylist(), span_arrays(batch.column(2))):
+                raw, removed, runs = text.encode(), 0, 0
+                kept = raw
+                if own:
+                    gone = covered_units(len(raw), own)
+                    kept, removed = np.frombuffer(raw, np.uint8)[~gone].tobytes(), int(np.count_nonzero(gone))
+                    runs = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(gone[0])
+                rows.append((len(raw), removed, runs, hashlib.sha256(kept).hexdigest(), kept))
+            columns = [pa.array([r[c] for r in rows], types[c]) for c in range(width)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", *names[:width]])
 
     id_type = joined.schema["id"].dataType.simpleString()
-    out = joined.select("id", "text", "_spans").mapInArrow(run, f"id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = joined.select("id", "text", "_spans").mapInArrow(run, f"id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep)
     return out.withColumnRenamed("id", id_column)

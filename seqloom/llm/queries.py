@@ -51,7 +51,7 @@ def op7_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bwt_repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+    return bwt_repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return window_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+    return window_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_order_minhash, op3_progressive_jpeg, op4_bitplane_tokens, op5_quality_ftrl, op6_token_counts, op7_preference_chat, op8_suffix_array, op9_decontaminate, op10_substring_dedup)}

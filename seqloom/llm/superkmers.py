@@ -33,7 +33,7 @@ from seqloom.llm.common import settled, text_or_empty
 #: Units that are looked at together; longer texts are cut into such pieces, which overlap by a window.
 PIECE = 1 << 20
 HOT = 1024
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 ODD, EVEN_ODDS, FINAL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BASE = 0x5851F42D4C957F2D
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
@@ -267,10 +267,19 @@ def with_spans(docs: DataFrame, spans: DataFrame, id_column: str = "doc_id", tex
     return docs.join(found, own == F.col("_row"), "left").drop("_row")
 
 
-def covered_units(n: int, spans) -> np.ndarray:
-    """Flags of the n units inside spans (a list of start, end)."""
-    edges = np.zeros(n + 1, np.int64)
-    if spans:
-        np.add.at(edges, [s["start"] for s in spans], 1)
-        np.add.at(edges, [s["end"] for s in spans], -1)
+def few_rows(batches, rows: int = 500):
+    """Batches in parts of some rows, so that little is in memory beside them."""
+    return (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
+
+
+def span_arrays(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray] | None]:
+    """Starts and ends of each row's spans, None for a row without."""
+    offsets = column.offsets.to_numpy()
+    start, end = (column.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+    return [(start[a:b], end[a:b]) if b > a else None for a, b in zip(offsets[:-1], offsets[1:])]
+
+
+def covered_units(n: int, spans: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Flags of the n units inside spans."""
+    edges = np.bincount(spans[0], minlength=n + 1) - np.bincount(spans[1], minlength=n + 1)
     return np.cumsum(edges[:-1]) > 0

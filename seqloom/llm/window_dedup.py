@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.superkmers import BASE, HOT, SMALLER, Kind, covered_units, mixed, powers, repeated_spans, with_spans
+from seqloom.llm.superkmers import BASE, HOT, SMALLER, Kind, covered_units, few_rows, mixed, powers, repeated_spans, span_arrays, with_spans
 
 LENGTH = 50
 MINIMISER = 8
@@ -88,28 +88,30 @@ def spans_of(docs: DataFrame, id_column: str, text_column: str, hot: int) -> Dat
     return repeated_spans(docs, WORDS, SMALLER, id_column=id_column, text_column=text_column, hot=hot)
 
 
-def remove_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", hot: int = HOT) -> DataFrame:
-    """id, n_words, n_removed, kept_sha256 and kept (the remaining words, joined by a space) of each row."""
+def remove_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", hot: int = HOT, keep: bool = False) -> DataFrame:
+    """id, n_words, n_removed and kept_sha256 of each row; with `keep` also the remaining words, joined by a space."""
     spans = spans_of(docs, id_column, text_column, hot)
     joined = with_spans(docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")), spans, "id", "text")
 
+    names, types = ["n_words", "n_removed", "kept_sha256", "kept"], [pa.int64(), pa.int64(), pa.string(), pa.string()]
+    width = 3 + keep
+
     def run(batches):
-        for batch in batches:
+        for batch in few_rows(batches):
             rows = []
-            for text, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for text, own in zip(batch.column(1).to_pylist(), span_arrays(batch.column(2))):
                 words = text.encode().split()
                 kept = words
                 if own:
                     gone = covered_units(len(words), own).tolist()
                     kept = [w for w, g in zip(words, gone) if not g]
                 data = b" ".join(kept)
-                rows.append((len(words), len(words) - len(kept), hashlib.sha256(data).hexdigest(), data.decode()))
-            columns = [list(c) for c in zip(*rows)] or [[]] * 4
-            types = [pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], ["id", "n_words", "n_removed", "kept_sha256", "kept"])
+                rows.append((len(words), len(words) - len(kept), hashlib.sha256(data).hexdigest(), data))
+            columns = [pa.array([r[c].decode() for r in rows] if c == 3 else [r[c] for r in rows], types[c]) for c in range(width)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", *names[:width]])
 
     id_type = joined.schema["id"].dataType.simpleString()
-    out = joined.select("id", "text", "_spans").mapInArrow(run, f"id {id_type}, n_words long, n_removed long, kept_sha256 string, kept string")
+    out = joined.select("id", "text", "_spans").mapInArrow(run, f"id {id_type}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep)
     return out.withColumnRenamed("id", id_column)
 
 
@@ -119,9 +121,9 @@ def without_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     place, spans = docs.columns.index(text_column), len(docs.columns)
 
     def run(batches):
-        for batch in batches:
+        for batch in few_rows(batches):
             texts = batch.column(place).to_pylist()
-            for i, own in enumerate(batch.column(spans).to_pylist()):
+            for i, own in enumerate(span_arrays(batch.column(spans))):
                 if own:
                     words = texts[i].encode().split()
                     gone = covered_units(len(words), own).tolist()
