@@ -22,6 +22,7 @@ import functools
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -37,18 +38,23 @@ CHUNK_IDS = 262_144
 TOGETHER = 200  # texts that are encoded together
 PLANES = 4
 CHUNK_SCHEMA = "shard int, chunk int, start long, n_ids long, doc_ids array<{kind}>, doc_sizes array<long>, plane_sizes array<int>, payload binary"
-#: A piece of text that the tokenizer's pattern never joins to its neighbours: white space, then other characters.
-PIECE = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+#: Punctuation that may be cut off a word's end, fixed; not apostrophes and not what special strings are made of.
+MARKS = r"!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~"
+#: Characters that are letters or digits beyond doubt.
+SAFE = "A-Za-z0-9À-ÖØ-öø-ÿ"
+#: A piece of text that the tokenizer's pattern never joins to its neighbours: white space, then visible characters,
+#: without the marks at its end where a letter or digit stands before them; such marks are a piece of their own.
+PIECE = re.compile(f"[{WHITE}]*[^{WHITE}{MARKS}]+(?:[{MARKS}]+[^{WHITE}{MARKS}]+)*(?:(?<![{SAFE}])[{MARKS}]+)?|[{MARKS}]+(?=[{WHITE}]|\\Z)|[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 
 
 class Encoder:
     """Texts to ids by the tokenizers library; the ids of pieces that were met before are remembered.
 
-    The tokenizer's pattern always cuts between a visible character and white space after it, so the
-    ids of a text are those of its pieces (white space, then visible characters) one after another.
+    The tokenizer's pattern always cuts between a visible character and white space after it, and between a letter
+    or digit and marks after it, so the ids of a text are those of its pieces one after another.
     """
 
-    def __init__(self, path: str, remembered: int = 600_000):
+    def __init__(self, path: str, remembered: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core already
         from tokenizers import Tokenizer
 
@@ -56,12 +62,14 @@ class Encoder:
         self.remembered, self.ids = remembered, {}
 
     def learn(self, pieces: set[str]) -> None:
-        new = [*(pieces - self.ids.keys())]
+        """Asks the library for pieces that are new."""
+        new = pieces - self.ids.keys()
         if len(self.ids) + len(new) > self.remembered:
             self.ids.clear()
-            new = [*pieces]
+            new = pieces
+        new = [*new]
         for piece, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            self.ids[piece] = np.array(found.ids, "<u4").tobytes()
+            self.ids[piece] = array("I", found.ids).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; pieces that are new to it go to the library together."""
