@@ -135,10 +135,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_column: str = "quality", id
         model, held = Ftrl(bits), []
         for batch in batches:
             for label, at, of in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-                held.append((label, np.append(at.values.to_numpy(zero_copy_only=False).astype(np.int64), 1 << bits), np.append(of.values.to_numpy(zero_copy_only=False).astype(np.float64), 1.0)))
+                held.append((label, np.append(at.values.to_numpy(zero_copy_only=False), np.int32(1 << bits)), np.append(of.values.to_numpy(zero_copy_only=False), np.float32(1))))
         for _ in range(epochs):
             for label, at, of in held:
-                model.update(at, of, label)
+                model.update(at, of.astype(np.float64), label)
         w = model.weights()
         used = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array([used.astype(np.int32)], pa.list_(pa.int32())), pa.array([w[used].astype(np.float32)], pa.list_(pa.float32()))], ["places", "weights"])

@@ -79,7 +79,7 @@ class Automaton:
 class SentencePieceCodec:
     """ids of texts and texts of ids for one .model file; `remembered` bounds the words whose ids are kept."""
 
-    def __init__(self, path: str, remembered: int = 500_000):
+    def __init__(self, path: str, remembered: int = 300_000):
         from sentencepiece import SentencePieceProcessor
         from sentencepiece.sentencepiece_model_pb2 import ModelProto
 
@@ -107,7 +107,7 @@ class SentencePieceCodec:
         if any(SPACE in p[1:] and p.strip(SPACE) for p in plain) or any("\n" in p for p in plain):
             raise ValueError("a piece holds a space within or a line end: texts of this model can't be walked word by word")
         self.words = re.compile(f"{SPACE}*[^{SPACE}\n]+|\n|{SPACE}+")
-        self.compatible = Memo(self._compatible, 2_000_000)
+        self.compatible = Memo(self._compatible, 400_000)
         self.split = Memo(self._split, 100_000)
         self.turn = Memo(self._turn, 100_000)
         self.runs = Memo(self._run, 10_000)
