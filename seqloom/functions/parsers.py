@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,10 +80,8 @@ def parser(name: str) -> Parser:
 
 def python_parser(name: str, parse_line: Callable[[str], tuple | None]) -> Parser:
     """A parser made of a Python function from a line to (ms, entity, text, anomalous) or None, run on Arrow batches."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf("timestamp_unix_ms long, entity_id string, untemplated_message_text string, anomalous long, ok boolean")
+    @F.pandas_udf("timestamp_unix_ms long, entity_id string, untemplated_message_text string, anomalous long, ok boolean")
     def run(values: pd.Series) -> pd.DataFrame:
         rows = [(*found, True) if (found := parse_line(v)) is not None else (None, None, None, None, False) for v in values]
         out = pd.DataFrame(rows, columns=["timestamp_unix_ms", "entity_id", "untemplated_message_text", "anomalous", "ok"])
