@@ -31,11 +31,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from seqloom.llm.bpe_count import byte_alphabet
 from seqloom.llm.common import WHITE, partitions, text_or_empty
 
 BLOCK = 16_384
 CHUNK_IDS = 262_144
-TOGETHER = 200  # texts that are encoded together
 PLANES = 4
 CHUNK_SCHEMA = "shard int, chunk int, start long, n_ids long, doc_ids array<{kind}>, doc_sizes array<long>, plane_sizes array<int>, payload binary"
 #: Punctuation that may be cut off a word's end, fixed; not apostrophes and not what special strings are made of.
@@ -54,28 +54,36 @@ class Encoder:
     or digit and marks after it, so the ids of a text are those of its pieces one after another.
     """
 
-    def __init__(self, path: str, remembered: int = 900_000):
+    def __init__(self, path: str, remembered: int = 1_300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core already
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
+        self.letters = dict(enumerate(byte_alphabet()))
         self.remembered, self.ids = remembered, {}
 
-    def learn(self, pieces: set[str]) -> None:
-        """Asks the library for pieces that are new."""
-        new = pieces - self.ids.keys()
-        if len(self.ids) + len(new) > self.remembered:
+    def learn(self, piece: str) -> bytes:
+        """The library's ids of a piece. A word of letters, with a space before it or not, is one unit of its pattern and goes to its model straight."""
+        if len(self.ids) >= self.remembered:
             self.ids.clear()
-            new = pieces
-        new = [*new]
-        for piece, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            self.ids[piece] = array("I", found.ids).tobytes()
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; pieces that are new to it go to the library together."""
-        pieces = [PIECE.findall(x) for x in texts]
-        self.learn(set().union(*pieces))
-        return [b"".join(map(self.ids.__getitem__, p)) for p in pieces]
+        if piece.isalpha() or (piece[0] == " " and piece[1:].isalpha()):
+            found = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+        else:
+            found = self.library.encode(piece, add_special_tokens=False).ids
+        ids = self.ids[piece] = array("I", found).tobytes()
+        return ids
+
+    def __call__(self, text: str) -> bytes:
+        pieces = PIECE.findall(text)
+        found = [*map(self.ids.get, pieces)]
+        at = -1
+        while True:
+            try:
+                at = found.index(None, at + 1)
+            except ValueError:
+                return b"".join(found)
+            found[at] = self.ids.get(pieces[at]) or self.learn(pieces[at])
 
 
 @functools.cache
@@ -124,14 +132,13 @@ def encode_chunks(docs: DataFrame, tokenizer: str, *, end_id: int = 0, shards: i
 
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for few in (batch.slice(i, TOGETHER) for i in range(0, batch.num_rows, TOGETHER)):
-                for doc_id, own in zip(few.column(0).to_pylist(), encode(few.column(1).to_pylist())):
-                    ids.append(own + end)
-                    doc_ids.append(doc_id)
-                    sizes.append(len(own) // 4 + 1)
-                    held += sizes[-1]
-                    if held >= CHUNK_IDS:
-                        yield flush()
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids.append(encode(text) + end)
+                doc_ids.append(doc_id)
+                sizes.append(len(ids[-1]) // 4)
+                held += sizes[-1]
+                if held >= CHUNK_IDS:
+                    yield flush()
         if doc_ids:
             yield flush()
 
