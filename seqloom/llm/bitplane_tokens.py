@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqloom.llm.bpe_count import byte_alphabet
-from seqloom.llm.common import WHITE, partitions, text_or_empty
+from seqloom.llm.common import WHITE, in_batches, partitions, text_or_empty
 
 BLOCK = 16_384
 CHUNK_IDS = 262_144
@@ -142,7 +142,7 @@ def encode_chunks(docs: DataFrame, tokenizer: str, *, end_id: int = 0, shards: i
         if doc_ids:
             yield flush()
 
-    return rows.mapInArrow(run, CHUNK_SCHEMA.format(kind=kind))
+    return rows.transform(in_batches, run, CHUNK_SCHEMA.format(kind=kind))
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, path: str, **options) -> None:
@@ -177,7 +177,7 @@ def read_documents(spark: SparkSession, path: str, *, id_column: str = "doc_id")
                     ["id", "shard", "start", "n_tokens", "ids_crc32"],
                 )
 
-    rows = chunks.mapInArrow(run, f"id {kind}, shard int, start long, n_tokens long, ids_crc32 long")
+    rows = chunks.transform(in_batches, run, f"id {kind}, shard int, start long, n_tokens long, ids_crc32 long")
     shards = chunks.groupBy("shard").agg(F.sum("n_ids").alias("held"))
     before = F.coalesce(F.sum("held").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # one row per written shard, so it can be sent to every task

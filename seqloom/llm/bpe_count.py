@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import WHITE, Memo, text_or_empty
+from seqloom.llm.common import WHITE, Memo, in_batches, text_or_empty
 
 NOT_SPACE = re.compile(f"[^{WHITE}]+")
 ODD_SPACE = re.compile(r"[\x1c-\x1f]")
@@ -119,5 +119,5 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, id_column: str = "doc_id",
     kind = docs.schema[id_column].dataType.simpleString()
     text = text_or_empty(text_column)
     rows = docs.select(F.col(id_column).alias("id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
-    out = rows.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long")
+    out = rows.transform(in_batches, run, f"id {kind}, n_bytes long, n_tokens long")
     return out.select(F.col("id").alias(id_column), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

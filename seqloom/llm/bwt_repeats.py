@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.llm.common import in_batches
 from seqloom.llm.superkmers import ANYWHERE, HOT, Kind, covered_units, few_rows, mixed, repeated_spans, span_arrays, with_spans
 
 LENGTH = 200
@@ -166,5 +167,5 @@ def remove_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: s
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", *names[:width]])
 
     id_type = joined.schema["id"].dataType.simpleString()
-    out = joined.select("id", "text", "_spans").mapInArrow(run, f"id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep)
+    out = joined.select("id", "text", "_spans").transform(in_batches, run, f"id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep)
     return out.withColumnRenamed("id", id_column)

@@ -50,6 +50,12 @@ def settled(df: DataFrame, free: bool = True) -> DataFrame:
     return out
 
 
+def in_batches(df: DataFrame, run, schema, rows: int = 1000) -> DataFrame:
+    """df.mapInArrow(run, schema) on batches of `rows` rows at most. Texts are long: the default of 10,000 rows a batch is held several times over, in the JVM and in Python."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    return df.mapInArrow(run, schema)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

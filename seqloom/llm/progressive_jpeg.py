@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import text_or_empty
+from seqloom.llm.common import in_batches, text_or_empty
 
 UNIT = 192
 WIDE = 1024  # blocks in a row of a stored payload at most
@@ -500,9 +500,9 @@ def store_texts(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("id"), text_or_empty(text_column).alias("text"))
     if keep_media:
-        return rows.mapInArrow(run_media, f"id {kind}, media binary").withColumnRenamed("id", id_column)
+        return rows.transform(in_batches, run_media, f"id {kind}, media binary").withColumnRenamed("id", id_column)
     schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_column)
+    return rows.transform(in_batches, run, schema).withColumnRenamed("id", id_column)
 
 
 def rgb_tensors(media: DataFrame, *, id_column: str = "doc_id", media_column: str = "media") -> DataFrame:
@@ -520,4 +520,4 @@ def rgb_tensors(media: DataFrame, *, id_column: str = "doc_id", media_column: st
                 yield pa.RecordBatch.from_arrays([pa.array([doc_id.as_py()], doc_id.type), *(pa.array([x], pa.int32()) for x in shape), pa.array([None if t is None else t.tobytes()], pa.binary())], ["id", "height", "width", "channels", "rgb"])
 
     kind = media.schema[id_column].dataType.simpleString()
-    return media.select(F.col(id_column).alias("id"), F.col(media_column).alias("media")).mapInArrow(run, f"id {kind}, height int, width int, channels int, rgb binary").withColumnRenamed("id", id_column)
+    return media.select(F.col(id_column).alias("id"), F.col(media_column).alias("media")).transform(in_batches, run, f"id {kind}, height int, width int, channels int, rgb binary").withColumnRenamed("id", id_column)

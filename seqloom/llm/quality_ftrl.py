@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import text_or_empty
+from seqloom.llm.common import in_batches, text_or_empty
 
 BITS = 18
 MAX_ROWS = 12_000
@@ -129,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_column: str = "quality", id
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(places, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], ["id", "label", "places", "of"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    sparse = rows.select("id", "text", "label").mapInArrow(vectors, f"id {kind}, label int, places array<int>, of array<float>")
+    sparse = rows.select("id", "text", "label").transform(in_batches, vectors, f"id {kind}, label int, places array<int>, of array<float>")
 
     def train(batches):
         model, held = Ftrl(bits), []
@@ -143,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_column: str = "quality", id
         used = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array([used.astype(np.int32)], pa.list_(pa.int32())), pa.array([w[used].astype(np.float32)], pa.list_(pa.float32()))], ["places", "weights"])
 
-    learnt = sparse.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id", "label").mapInArrow(train, "places array<int>, weights array<float>").collect()
+    learnt = sparse.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id", "label").transform(in_batches, train, "places array<int>, weights array<float>").collect()
     weights = np.zeros((1 << bits) + 1, np.float32)
     for row in learnt:
         weights[np.array(row["places"], np.int64)] = row["weights"]
@@ -167,7 +167,7 @@ def score(docs: DataFrame, model: Model, *, id_column: str = "doc_id", text_colu
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(parts), pa.float64())], ["id", "score"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    out = docs.select(F.col(id_column).alias("id"), text_or_empty(text_column).alias("text")).mapInArrow(run, f"id {kind}, score double")
+    out = docs.select(F.col(id_column).alias("id"), text_or_empty(text_column).alias("text")).transform(in_batches, run, f"id {kind}, score double")
     return out.select(F.col("id").alias(id_column), F.coalesce(held_out("id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -181,4 +181,4 @@ def keep_good(docs: DataFrame, model: Model, *, text_column: str = "text", thres
                 texts = [(x or "").encode() for x in batch.column(place).to_pylist()]
                 yield batch.filter(pa.array(sent.value.scores(texts) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(in_batches, run, docs.schema)

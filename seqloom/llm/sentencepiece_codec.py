@@ -23,40 +23,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import Memo, text_or_empty
+from seqloom.llm.common import Memo, in_batches, text_or_empty
 
 SPACE = "▁"
 BPE = 2
 NEVER = float("-inf")
+#: What a character in no piece costs in a model of scores.
+UNKNOWN = -1e6
 
 
 class Automaton:
     """Aho-Corasick over pieces; `step` is the goto function with failures followed on demand."""
 
     def __init__(self, pieces: dict[str, int]):
-        self.goto: dict[tuple[int, str], int] = {}
+        self.goto: list[dict[str, int]] = [{}]
         self.fail, self.piece, size = [0], [-1], [0]
         for text, piece in pieces.items():
             node = 0
             for c in text:
-                if (child := self.goto.get((node, c))) is None:
-                    child = self.goto[node, c] = len(self.fail)
+                if (child := self.goto[node].get(c)) is None:
+                    child = self.goto[node][c] = len(self.fail)
+                    self.goto.append({})
                     self.fail.append(0)
                     self.piece.append(-1)
                     size.append(size[node] + 1)
                 node = child
             self.piece[node] = piece
-        below: dict[int, list[tuple[str, int]]] = {}
-        for (node, c), child in self.goto.items():
-            below.setdefault(node, []).append((c, child))
         #: Nearest node along the failure links at which a piece ends; 0: none.
         self.output = [0] * len(self.fail)
-        queue = deque(child for _, child in below.get(0, ()))
+        queue = deque(self.goto[0].values())
         while queue:
             node = queue.popleft()
             f = self.fail[node]
             self.output[node] = f if self.piece[f] >= 0 else self.output[f]
-            for c, child in below.get(node, ()):
+            for c, child in self.goto[node].items():
                 self.fail[child] = self.step(f, c)
                 queue.append(child)
         #: Of each node: (piece, length) of all that end there, longest first.
@@ -69,7 +69,7 @@ class Automaton:
             self.ends.append(tuple(found))
 
     def step(self, node: int, c: str) -> int:
-        while (child := self.goto.get((node, c))) is None:
+        while (child := self.goto[node].get(c)) is None:
             if not node:
                 return 0
             node = self.fail[node]
@@ -79,7 +79,7 @@ class Automaton:
 class SentencePieceCodec:
     """ids of texts and texts of ids for one .model file; `remembered` bounds the words whose ids are kept."""
 
-    def __init__(self, path: str, remembered: int = 300_000):
+    def __init__(self, path: str, remembered: int = 700_000):
         from sentencepiece import SentencePieceProcessor
         from sentencepiece.sentencepiece_model_pb2 import ModelProto
 
@@ -106,8 +106,11 @@ class SentencePieceCodec:
                 self.decoded[i] = " ⁇ ".encode()
         if any(SPACE in p[1:] and p.strip(SPACE) for p in plain) or any("\n" in p for p in plain):
             raise ValueError("a piece holds a space within or a line end: texts of this model can't be walked word by word")
+        #: Neighbours within some piece; between any other two characters no piece can lie, so a word may be cut there.
+        self.joined = {p[i : i + 2] for p in plain for i in range(len(p) - 1)}
+        self.parts = Memo(self.viterbi, remembered // 4)
         self.words = re.compile(f"{SPACE}*[^{SPACE}\n]+|\n|{SPACE}+")
-        self.compatible = Memo(self._compatible, 400_000)
+        self.compatible = Memo(self._compatible, 600_000)
         self.split = Memo(self._split, 100_000)
         self.turn = Memo(self._turn, 100_000)
         self.runs = Memo(self._run, 10_000)
@@ -148,31 +151,46 @@ class SentencePieceCodec:
 
     def viterbi(self, text: str) -> list[int]:
         """The piece ids of text (a word with its spaces as ▁)."""
-        automaton, score, ends = self.automaton, self.score, self.automaton.ends
-        n, node = len(text), 0
-        best, last, size = [0.0] + [NEVER] * n, [-1] * (n + 1), [0] * (n + 1)
-        goto, compatible, bpe = automaton.goto, self.compatible, self.bpe
-        for i, c in enumerate(text, 1):
-            node = goto[node, c] if (node, c) in goto else automaton.step(node, c)
-            for piece, length in ends[node]:
-                at = i - length
-                if best[at] == NEVER:
-                    continue
-                if bpe:
-                    if last[at] < 0 or compatible[last[at], piece]:
-                        best[i], last[i], size[i] = 0.0, piece, length
-                        break
-                elif best[at] + score[piece] > best[i]:
-                    best[i], last[i], size[i] = best[at] + score[piece], piece, length
-            if best[i] == NEVER:  # in no piece: its bytes, which nothing is merged with
-                best[i], last[i], size[i] = best[i - 1] - 1e6 * (not bpe), -1, 1
-        path, i = [], n
+        last, size = self.best_bpe(text) if self.bpe else self.best_unigram(text)
+        path, i = [], len(text)
         while i:
             at = i - size[i]
             path.append((last[i], text[at:i]))
             i = at
         return [x for piece, own in reversed(path) for x in ((piece,) if piece >= 0 else self.fallback(own))]
 
+    def best_bpe(self, text: str) -> tuple[list[int], list[int]]:
+        """Of each position the last piece of its path and that piece's length; -1: nothing before, or a character in no piece."""
+        goto, step, ends, compatible = self.automaton.goto, self.automaton.step, self.automaton.ends, self.compatible
+        last, size, node = [-1], [0], 0
+        for i, c in enumerate(text, 1):
+            node = goto[node].get(c) or step(node, c)
+            for piece, length in ends[node]:
+                before = last[i - length]
+                if before < 0 or compatible[before, piece]:
+                    last.append(piece)
+                    size.append(length)
+                    break
+            else:
+                last.append(-1)
+                size.append(1)
+        return last, size
+
+    def best_unigram(self, text: str) -> tuple[list[int], list[int]]:
+        """The same for a model of scores: the path of the highest sum."""
+        goto, step, ends, score = self.automaton.goto, self.automaton.step, self.automaton.ends, self.score
+        best, last, size, node = [0.0], [-1], [0], 0
+        for i, c in enumerate(text, 1):
+            node = goto[node].get(c) or step(node, c)
+            top, own, length = best[i - 1] + UNKNOWN, -1, 1
+            for piece, n in ends[node]:
+                if (s := best[i - n] + score[piece]) > top:
+                    top, own, length = s, piece, n
+            best.append(top)
+            last.append(own)
+            size.append(length)
+        return last, size
+
     def fallback(self, text: str) -> list[int]:
         return [self.byte[b] for b in text.encode()] if self.byte else [self.unknown]
 
@@ -188,11 +206,25 @@ class SentencePieceCodec:
                 return [self.pieces[s] for s in symbols]
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
 
+    def cut(self, word: str) -> list[str]:
+        """A word's parts that no piece crosses."""
+        joined, parts, at = self.joined, [], 0
+        for i in range(1, len(word)):
+            if word[i - 1 : i + 1] not in joined:
+                parts.append(word[at:i])
+                at = i
+        parts.append(word[at:])
+        return parts
+
     def word_ids(self, word: str) -> list[int]:
         spaces = len(word) - len(word.lstrip(SPACE))
-        if spaces == len(word) or not self.bpe or spaces < 2:
-            return self.runs[spaces] if spaces == len(word) and self.bpe else self.viterbi(word)
-        own = self.viterbi(word[spaces - 1 :])
+        if self.bpe and spaces == len(word):
+            return self.runs[spaces]
+        extra = spaces - 1 if self.bpe and spaces > 1 else 0
+        parts = self.cut(word[extra:])
+        own = self.viterbi(parts[0]) if len(parts) == 1 else [x for part in parts for x in self.parts[part]]
+        if not extra:
+            return own
         alone = own[0] == self.pieces[SPACE]
         return [*self.runs[spaces - (not alone)], *own[alone:]]
 
@@ -228,7 +260,7 @@ def encode_documents(docs: DataFrame, model: str, *, id_column: str = "doc_id",
 
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("id"), text_or_empty(text_column).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, ids array<int>, n_ids long, round_trip boolean").withColumnRenamed("id", id_column)
+    return rows.transform(in_batches, run, f"id {kind}, ids array<int>, n_ids long, round_trip boolean").withColumnRenamed("id", id_column)
 
 
 def decode_documents(encoded: DataFrame, model: str, *, id_column: str = "doc_id", ids_column: str = "ids") -> DataFrame:
@@ -241,4 +273,4 @@ def decode_documents(encoded: DataFrame, model: str, *, id_column: str = "doc_id
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])
 
     kind = encoded.schema[id_column].dataType.simpleString()
-    return encoded.select(F.col(id_column).alias("id"), F.col(ids_column).alias("ids")).mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_column)
+    return encoded.select(F.col(id_column).alias("id"), F.col(ids_column).alias("ids")).transform(in_batches, run, f"id {kind}, text string").withColumnRenamed("id", id_column)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import settled, text_or_empty
+from seqloom.llm.common import in_batches, settled, text_or_empty
 
 #: Units that are looked at together; longer texts are cut into such pieces, which overlap by a window.
 PIECE = 1 << 20
@@ -142,7 +142,7 @@ def super_kmer_rows(keyed: DataFrame, kind: Kind) -> DataFrame:
                     parts, owner = [], []
 
     id_type = keyed.schema["id"].dataType.simpleString()
-    return keyed.select("id", "row", "text").mapInArrow(run, f"a long, s long, id {id_type}, row long, at int, n int")
+    return keyed.select("id", "row", "text").transform(in_batches, run, f"a long, s long, id {id_type}, row long, at int, n int")
 
 
 def runs_of(flags: np.ndarray) -> list[dict]:
@@ -172,7 +172,7 @@ def packed_strings(kinds: DataFrame, keyed: DataFrame, kind: Kind) -> DataFrame:
                 columns = [pa.array([r[c] for r in rows], w_type.field(c).type) for c in ("a", "s", "first", "hot")]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(strings, pa.binary())], ["a", "s", "first", "hot", "string"])
 
-    return joined.mapInArrow(run, f"a long, s long, first {id_type}, hot boolean, string binary")
+    return joined.transform(in_batches, run, f"a long, s long, first {id_type}, hot boolean, string binary")
 
 
 def compared(strings: DataFrame, kind: Kind, repeats: str) -> DataFrame:
@@ -205,7 +205,7 @@ def compared(strings: DataFrame, kind: Kind, repeats: str) -> DataFrame:
             yield block(held)
 
     rows = strings.where(~F.col("hot")).select("a", "s", "first", "string").repartition("a").sortWithinPartitions("a", "s")
-    return rows.mapInArrow(run, f"a long, s long, runs {RUNS_SQL}")
+    return rows.transform(in_batches, run, f"a long, s long, runs {RUNS_SQL}")
 
 
 def counted(strings: DataFrame, kind: Kind, repeats: str) -> DataFrame:
@@ -221,7 +221,7 @@ def counted(strings: DataFrame, kind: Kind, repeats: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(same), pa.array(w), batch.column(1).take(same), batch.column(2).take(same), pa.array(np.arange(n, dtype=np.int32))], ["a", "w", "s", "first", "j"])
 
     first_type = strings.schema["first"].dataType.simpleString()
-    windows = strings.where("hot").select("a", "s", "first", "string").mapInArrow(run, f"a long, w long, s long, first {first_type}, j int")
+    windows = strings.where("hot").select("a", "s", "first", "string").transform(in_batches, run, f"a long, w long, s long, first {first_type}, j int")
     totals = settled(windows.groupBy("a", "w").agg(F.count("*").alias("c"), F.min("first").alias("least")).where("c > 1"))
     found = windows.join(totals, ["a", "w"])
     if repeats == SMALLER:

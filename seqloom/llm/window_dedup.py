@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.llm.common import in_batches
 from seqloom.llm.superkmers import BASE, HOT, SMALLER, Kind, covered_units, few_rows, mixed, powers, repeated_spans, span_arrays, with_spans
 
 LENGTH = 50
@@ -111,7 +112,7 @@ def remove_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: s
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", *names[:width]])
 
     id_type = joined.schema["id"].dataType.simpleString()
-    out = joined.select("id", "text", "_spans").mapInArrow(run, f"id {id_type}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep)
+    out = joined.select("id", "text", "_spans").transform(in_batches, run, f"id {id_type}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep)
     return out.withColumnRenamed("id", id_column)
 
 
@@ -132,4 +133,4 @@ def without_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column:
             columns[place] = pa.array(texts, batch.schema.field(place).type)
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(batch.schema)[:spans]))
 
-    return joined.select(*docs.columns, "_spans").mapInArrow(run, docs.schema)
+    return joined.select(*docs.columns, "_spans").transform(in_batches, run, docs.schema)
