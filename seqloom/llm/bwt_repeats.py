@@ -148,7 +148,7 @@ BYTES = Kind(LENGTH, MINIMISER, units, pack, lambda b: BYTE_HASH[np.frombuffer(b
 def remove_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", hot: int = HOT, keep: bool = False) -> DataFrame:
     """id, n_bytes, n_removed, n_spans and kept_sha256 of each row; with `keep` also the remaining bytes."""
     spans = repeated_spans(docs, BYTES, ANYWHERE, id_column=id_column, text_column=text_column, hot=hot)
-    joined = with_spans(docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")), spans, "id", "text")
+    joined, _ = with_spans(docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")), spans, "id", "text")
     names, types = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"], [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
     width = 4 + keep
 

@@ -16,10 +16,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.llm.common import fresh
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Characters between words.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same in texts whose letters A-Z are still there.
+RAW_BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 BROADCAST_WINDOWS = 500_000
 
 
@@ -103,15 +107,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_column: str = "do
 def remove_hits(docs: DataFrame, benchmark: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", drop_documents: bool = False, **options) -> DataFrame:
     """docs without the words of hits and what separates them from the next word, or without documents that have hits."""
     found = per_document(hits(docs, benchmark, id_column=id_column, text_column=text_column, **options))
-    found = found.select(F.col("id").alias("_hit_id"), F.col("row").alias("_hit_row"), F.col("spans").alias("_spans"))
-    on = F.col(id_column).eqNullSafe(F.col("_hit_id")) & (F.xxhash64(F.col(id_column), text_column) == F.col("_hit_row"))
+    hit_id, hit_row, spans = (fresh(docs, n) for n in ("_hit_id", "_hit_row", "_spans"))
+    found = found.select(F.col("id").alias(hit_id), F.col("row").alias(hit_row), F.col("spans").alias(spans))
+    on = F.col(id_column).eqNullSafe(F.col(hit_id)) & (F.xxhash64(F.col(id_column), text_column) == F.col(hit_row))
     if drop_documents:
         return docs.join(found, on, "left_anti")
-    parts = F.regexp_extract_all(text_column, F.lit(f"(?:{WORD}){BETWEEN[:-1]}*"), F.lit(0))
+    # each word with what separates it from the next
+    parts = F.regexp_extract_all(text_column, F.lit(f"{RAW_WORD}+{RAW_BETWEEN}*"), F.lit(0))
     inside = F.filter(
-        F.transform(parts, lambda p, i: F.when(~F.exists("_spans", lambda s: (s["at"] <= i) & (i < s["at"] + s["width"])), p)),
+        F.transform(parts, lambda p, i: F.when(~F.exists(spans, lambda s: (s["at"] <= i) & (i < s["at"] + s["width"])), p)),
         lambda p: p.isNotNull(),
     )
-    kept = F.concat(F.regexp_extract(text_column, f"^{BETWEEN}", 0), F.array_join(inside, ""))
-    text = F.when(F.col("_spans").isNull(), F.col(text_column)).otherwise(kept)
+    kept = F.concat(F.regexp_extract(text_column, f"^{RAW_BETWEEN}*", 0), F.array_join(inside, ""))
+    text = F.when(F.col(spans).isNull(), F.col(text_column)).otherwise(kept)
     return docs.join(found, on, "left").withColumn(text_column, text).select(*docs.columns)

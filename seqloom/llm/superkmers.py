@@ -25,10 +25,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import in_batches, settled, text_or_empty
+from seqloom.llm.common import fresh, in_batches, settled, text_or_empty
 
 #: Units that are looked at together; longer texts are cut into such pieces, which overlap by a window.
 PIECE = 1 << 20
@@ -260,11 +260,12 @@ def repeated_spans(docs: DataFrame, kind: Kind, repeats: str, *, id_column: str
     return spans.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
-def with_spans(docs: DataFrame, spans: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, Column]:
-    """docs with the spans of their texts in a column _spans."""
+def with_spans(docs: DataFrame, spans: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, str]:
+    """docs with the spans of their texts in a further column, and that column's name."""
+    row, column = fresh(docs, "_row"), fresh(docs, "_spans")
     own = F.xxhash64(F.col(id_column), text_or_empty(text_column))
-    found = spans.select(F.col("row").alias("_row"), F.col("spans").alias("_spans"))
-    return docs.join(found, own == F.col("_row"), "left").drop("_row")
+    found = spans.select(F.col("row").alias(row), F.col("spans").alias(column))
+    return docs.join(found, own == F.col(row), "left").drop(row), column
 
 
 def few_rows(batches, rows: int = 500):

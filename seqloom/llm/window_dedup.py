@@ -92,7 +92,7 @@ def spans_of(docs: DataFrame, id_column: str, text_column: str, hot: int) -> Dat
 def remove_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", hot: int = HOT, keep: bool = False) -> DataFrame:
     """id, n_words, n_removed and kept_sha256 of each row; with `keep` also the remaining words, joined by a space."""
     spans = spans_of(docs, id_column, text_column, hot)
-    joined = with_spans(docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")), spans, "id", "text")
+    joined, _ = with_spans(docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")), spans, "id", "text")
 
     names, types = ["n_words", "n_removed", "kept_sha256", "kept"], [pa.int64(), pa.int64(), pa.string(), pa.string()]
     width = 3 + keep
@@ -118,7 +118,7 @@ def remove_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: s
 
 def without_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", hot: int = HOT) -> DataFrame:
     """docs with repeated words gone from their texts; a text that loses none stays as it is, all other columns too."""
-    joined = with_spans(docs, spans_of(docs, id_column, text_column, hot), id_column, text_column)
+    joined, column = with_spans(docs, spans_of(docs, id_column, text_column, hot), id_column, text_column)
     place, spans = docs.columns.index(text_column), len(docs.columns)
 
     def run(batches):
@@ -133,4 +133,4 @@ def without_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column:
             columns[place] = pa.array(texts, batch.schema.field(place).type)
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(batch.schema)[:spans]))
 
-    return joined.select(*docs.columns, "_spans").transform(in_batches, run, docs.schema)
+    return joined.select(*docs.columns, column).transform(in_batches, run, docs.schema)
