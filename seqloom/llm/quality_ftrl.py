@@ -1,7 +1,7 @@
 """Quality classifier: logistic regression on hashed word n-grams, learnt by follow-the-regularised-leader.
 
 A token is a run of letters and digits (any byte beyond ASCII counts as one) or a run of other visible
-characters, in the case it has. Single tokens and pairs of neighbours are hashed into 2**bits places;
+characters, in the case it has. Single tokens and pairs of neighbours are hashed into 2**bits places, and a token that repeats the one before it counts at one more place;
 a document is the sparse vector of their counts divided by the square root of their number. Training
 takes a bounded sample of the labelled rows (`max_rows`, those of the smallest hashes of their ids), makes
 their vectors where they are read, and updates per-coordinate FTRL-proximal weights in the order of
@@ -29,6 +29,7 @@ MAX_ROWS = 12_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
 BASE = np.uint64(0x100000001B3)
+AGAIN = np.uint64(0xD6E8FEB86659FD93)
 
 
 def byte_classes() -> np.ndarray:
@@ -65,8 +66,10 @@ def hashed(texts: list[bytes], bits: int = BITS) -> tuple[np.ndarray, np.ndarray
     owner = np.repeat(np.arange(len(texts)), n)
     keep = ~last[:-1]
     shift = np.uint64(64 - bits)
-    places = np.concatenate([tokens >> shift, pairs[keep] >> shift]).astype(np.int64)
-    owners = np.concatenate([owner, owner[:-1][keep]])
+    # a pair of equal tokens is also the pair that all repetitions share
+    again = keep & (tokens[:-1] == tokens[1:])
+    places = np.concatenate([tokens >> shift, pairs[keep] >> shift, np.full(np.count_nonzero(again), AGAIN >> shift, np.uint64)]).astype(np.int64)
+    owners = np.concatenate([owner, owner[:-1][keep], owner[:-1][again]])
     order = np.argsort(owners, kind="stable")
     return places[order], np.bincount(owners, minlength=len(texts))
 
@@ -89,7 +92,7 @@ class Model:
 class Ftrl:
     """Per-coordinate follow-the-regularised-leader (proximal) for logistic loss; the last coordinate is the bias."""
 
-    def __init__(self, bits: int, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 1.0):
+    def __init__(self, bits: int, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.3):
         self.z, self.n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
 
@@ -110,7 +113,7 @@ def held_out(id_column: str = "doc_id") -> Column:
     return F.crc32(F.col(id_column).cast("string")) % 3 == 1
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, label_column: str = "quality", id_column: str = "doc_id", text_column: str = "text", bits: int = BITS, max_rows: int = MAX_ROWS, epochs: int = 3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, label_column: str = "quality", id_column: str = "doc_id", text_column: str = "text", bits: int = BITS, max_rows: int = MAX_ROWS, epochs: int = 2) -> Model:
     """Learns from the labelled rows that aren't held out, max_rows of them at most."""
     known = labels.select(F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("label"))
     known = known.where(F.col("label").isNotNull() & F.col("id").isNotNull() & ~held_out("id"))
