@@ -79,7 +79,7 @@ class Automaton:
 class SentencePieceCodec:
     """ids of texts and texts of ids for one .model file; `remembered` bounds the words whose ids are kept."""
 
-    def __init__(self, path: str, remembered: int = 700_000):
+    def __init__(self, path: str, remembered: int = 500_000):
         from sentencepiece import SentencePieceProcessor
         from sentencepiece.sentencepiece_model_pb2 import ModelProto
 
@@ -109,12 +109,15 @@ class SentencePieceCodec:
         #: Neighbours within some piece; between any other two characters no piece can lie, so a word may be cut there.
         self.joined = {p[i : i + 2] for p in plain for i in range(len(p) - 1)}
         self.parts = Memo(self.viterbi, remembered // 4)
-        self.words = re.compile(f"{SPACE}*[^{SPACE}\n]+|\n|{SPACE}+")
-        self.compatible = Memo(self._compatible, 600_000)
+        # words are kept with plain spaces: strings of Latin letters alone take half the memory
+        self.words = re.compile(" *[^ \n]+|\n| +")
+        self.size = len(self.text)
+        #: Whether pieces a and b can stand side by side, under a * size + b.
+        self.compatible = Memo(lambda pair: self._compatible(divmod(pair, self.size)), 400_000)
         self.split = Memo(self._split, 100_000)
         self.turn = Memo(self._turn, 100_000)
         self.runs = Memo(self._run, 10_000)
-        self.ids = Memo(lambda w: np.array(self.word_ids(w), "<i4").tobytes(), remembered)
+        self.ids = Memo(lambda w: np.array(self.word_ids(w.replace(" ", SPACE)), "<i4").tobytes(), remembered)
 
     def _split(self, piece: int) -> tuple[int, int] | None:
         """The two parts whose merge makes a piece; None for a single character."""
@@ -161,13 +164,13 @@ class SentencePieceCodec:
 
     def best_bpe(self, text: str) -> tuple[list[int], list[int]]:
         """Of each position the last piece of its path and that piece's length; -1: nothing before, or a character in no piece."""
-        goto, step, ends, compatible = self.automaton.goto, self.automaton.step, self.automaton.ends, self.compatible
+        goto, step, ends, compatible, pieces = self.automaton.goto, self.automaton.step, self.automaton.ends, self.compatible, self.size
         last, size, node = [-1], [0], 0
         for i, c in enumerate(text, 1):
             node = goto[node].get(c) or step(node, c)
             for piece, length in ends[node]:
                 before = last[i - length]
-                if before < 0 or compatible[before, piece]:
+                if before < 0 or compatible[before * pieces + piece]:
                     last.append(piece)
                     size.append(length)
                     break
@@ -231,7 +234,7 @@ class SentencePieceCodec:
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, "<i4")
-        whole = SPACE * self.dummy + text.replace(" ", SPACE)
+        whole = " " * self.dummy + text.replace(SPACE, " ")
         return np.frombuffer(b"".join(map(self.ids.__getitem__, self.words.findall(whole))), "<i4")
 
     def decode(self, ids: np.ndarray) -> str:
