@@ -115,7 +115,7 @@ class EntitySequences(SequenceBuilder):
     def build(self) -> Sequences:
         order = self.chronology()
         members = self.labelled().where("entity_id IS NOT NULL").join(order.select("entity_id", "window_id"), "entity_id")
-        members = members.withColumn("pos", F.row_number().over(Window.partitionBy("window_id").orderBy("line_order")) - 1)
+        members = members.withColumn("pos", (F.row_number().over(Window.partitionBy("window_id").orderBy("line_order")) - 1).cast("long"))
         entities = self.summarised(members).join(order.select("entity_id", "window_id"), "window_id").join(self.group_labels.select("entity_id", F.col("label").alias("group_label")), "entity_id", "left")
         counts = split_counts(order.count(), self.train_fraction, self.test_fraction)
         if not self.train_on_normal_entities_only:
@@ -148,7 +148,7 @@ class FixedWindows(SequenceBuilder):
         high = F.least(F.floor(F.col("_rn") / F.lit(e)).cast("long"), F.lit(last).cast("long"))
         # sequence() counts down where its end is smaller
         windows = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
-        members = numbered.withColumn("window_id", F.explode(windows)).withColumn("pos", (F.col("_rn") - F.col("window_id") * e).cast("int")).drop("_rn")
+        members = numbered.withColumn("window_id", F.explode(windows)).withColumn("pos", (F.col("_rn") - F.col("window_id") * e)).drop("_rn")
         total = last + 1 if self.exact_split else counted_fixed_windows(n, w, self.step)
         counts = split_counts(total, self.train_fraction, self.test_fraction)
         return Sequences(members, self.by_position(self.summarised(members), counts), counts)
@@ -181,7 +181,7 @@ class TimeWindows(SequenceBuilder):
         # a window's number: its place among those that have rows
         windows = ordinals(members.select("_k").distinct(), F.col("_k"), [F.col("_k")], "window_id")
         members = members.join(windows, "_k").drop("_k")
-        members = members.withColumn("pos", F.row_number().over(Window.partitionBy("window_id").orderBy("timestamp_unix_ms", "line_order")) - 1)
+        members = members.withColumn("pos", (F.row_number().over(Window.partitionBy("window_id").orderBy("timestamp_unix_ms", "line_order")) - 1).cast("long"))
         total = windows.count() if self.exact_split else counted_time_windows(first, last, span, self.step)
         counts = split_counts(total, self.train_fraction, self.test_fraction)
         return Sequences(members, self.by_position(self.summarised(members), counts), counts)
