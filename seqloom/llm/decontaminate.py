@@ -60,10 +60,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, id_column: s
     found = None
     for own, n in sorted(sizes.items()):
         side = known.where(F.col("width") == own).withColumn("h", hashed).select("window", "items", F.xxhash64(*(F.get("h", F.lit(k)) for k in range(own))).alias("key"))
-        side = F.broadcast(side) if n <= broadcast_windows else side
         rows = base.select("id", "row", "words", F.posexplode(window_hashes(F.col("hashes"), own)).alias("at", "key"))
-        # verified where the hash matches; as an equality this would become a second join key, made for each window
         mine = F.slice("words", F.col("at") + 1, own)
+        if n <= broadcast_windows:
+            side = F.broadcast(side)
+        else:  # what is shuffled is the window, not the text
+            rows, mine = rows.select("id", "row", "at", "key", mine.alias("mine")), F.col("mine")
+        # verified where the hash matches; as an equality this would become a second join key, made for each window
         rows = rows.join(side, "key").where((mine <= F.col("window")) & (mine >= F.col("window")))
         rows = rows.select("id", "row", "at", F.lit(own).alias("width"), "items")
         found = rows if found is None else found.unionByName(rows)
