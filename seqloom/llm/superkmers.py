@@ -32,7 +32,7 @@ from seqloom.llm.common import fresh, in_batches, settled, text_or_empty
 
 #: Units that are looked at together; longer texts are cut into such pieces, which overlap by a window.
 PIECE = 1 << 20
-HOT = 256
+HOT = 1024
 BLOCK_BYTES = 1 << 20
 ODD, EVEN_ODDS, FINAL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BASE = 0x5851F42D4C957F2D
@@ -233,6 +233,8 @@ def counted(strings: DataFrame, kind: Kind, repeats: str) -> DataFrame:
 def repeated_spans(docs: DataFrame, kind: Kind, repeats: str, *, id_column: str = "doc_id", text_column: str = "text", hot: int = HOT) -> DataFrame:
     """row and spans (struct start, end in units; unsorted, overlapping) of each text that has a repeated window."""
     keyed = keyed_rows(docs, id_column, text_column)
+    if repeats == SMALLER:  # a null id is no smaller one, and none is smaller than it
+        keyed = keyed.where("id IS NOT NULL")
     rows = super_kmer_rows(keyed, kind)
     anchors = rows.groupBy("a").agg(F.count("*").alias("total"), F.min("s").alias("low"), F.max("s").alias("high"), F.min("id").alias("smallest"))
     anchors = settled(anchors.where("total > 1").select("a", F.col("low").eqNullSafe(F.col("high")).alias("alike"), "smallest"))
