@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -13,3 +18,17 @@ def session(app: str = "seqloom", master: str | None = None, **settings: str) ->
     for name, value in settings.items():
         builder = builder.config(name.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per application, unless they find it by themselves."""
+    root, app = Path(__file__).resolve().parents[1], spark.sparkContext.applicationId
+    found = [Path.cwd(), *map(Path, filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep)))]
+    if app in _SHIPPED or root in [p.resolve() for p in found]:
+        return
+    _SHIPPED.add(app)
+    archive = shutil.make_archive(f"{tempfile.mkdtemp()}/seqloom", "zip", root, "seqloom")
+    spark.sparkContext.addPyFile(archive)
+
+
+_SHIPPED: set[str] = set()
