@@ -33,7 +33,7 @@ from seqloom.llm.common import fresh, in_batches, settled, text_or_empty
 #: Units that are looked at together; longer texts are cut into such pieces, which overlap by a window.
 PIECE = 1 << 20
 HOT = 1024
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 ODD, EVEN_ODDS, FINAL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BASE = 0x5851F42D4C957F2D
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
