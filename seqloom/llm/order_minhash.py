@@ -8,10 +8,11 @@ edits; the alignment follows furthest-reaching points on a band of diagonals tha
 
 Equal texts (words alike but for case and white space; told apart by 64-bit hashes) are one node from the start,
 so groups of copies cost nothing later. In a bucket each node is compared with the bucket's smallest
-node (its leader) only, and those that aren't of the leader's class then with a second leader; pairs that other
-buckets have linked already are left out. Two similar texts share about a
-third of their buckets, so a leader that is similar to neither stands between them in all of those buckets
-only if all lie in a passage that unlike texts share. Classes are the connected components of the links.
+node (its leader) first, the smallest leader of a node before its others; pairs that are of one class by then are left
+out. What is left are buckets of three nodes or more that still hold more than one class, as around a passage that unlike texts share. There every
+pair of different classes is settled: two texts that can be aligned have a fixed number of word pairs in common,
+so each pair of texts that have none of their rarest word pairs in common is out, and all others are aligned. Classes
+are the connected components of the links.
 
 Defined results: texts without words are one class; texts of fewer than five words have one shingle; rows
 of one id and one text are in one class; the class id is the smallest doc_id in it, null only where all are
@@ -24,7 +25,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.llm.common import fresh, in_batches, settled, text_or_empty
@@ -220,6 +221,61 @@ def verified(pairs: DataFrame, pool: DataFrame, similarity: float) -> DataFrame:
     return both.transform(in_batches, run, "node long, leader long")
 
 
+def grams(words: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of (run of `width` words, number of its occurrence)."""
+    if len(words) < width:
+        return np.empty(0, np.int64)
+    out = mixed(words.astype(np.uint64) + ODD)
+    for k in range(1, width):
+        out = mixed(out[:-1] * ODD + words[k:].astype(np.uint64))
+    return labelled(out).view(np.int64)
+
+
+def common_grams(words: int, similarity: float, width: int) -> int:
+    """How many runs a text has at least in common with any that isn't shorter and can be aligned with it: an edit breaks `width` of them."""
+    return max(1, int(np.ceil(words - (width - 1) - width * (1 - similarity) * words - 1e-6)))
+
+
+def open_pairs(labels: DataFrame, member: DataFrame, pool: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (node, leader) that share a bucket (bucket, node), are of different classes (node, label) and may be alignable; no alignable one is missing.
+
+    Only buckets of three nodes or more count. If two texts must have c runs of words in common, then in any order of runs
+    they share one outside the last c - 1 of each. The order is by frequency, so runs of shared passages come last.
+    """
+    width = 2 if similarity >= 0.75 else 1
+    own = labels.select("node", "label")
+    inside = settled(member.select("bucket", "node").join(own, "node"), free=False)
+    mixed_up = inside.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).where("n > 2 AND a <> b")
+    inside = inside.join(mixed_up.select("bucket"), "bucket")
+    nodes = settled(inside.groupBy("node").agg(F.first("label").alias("label"), F.collect_set("bucket").alias("buckets")), free=False)
+
+    def run(batches):
+        for batch in (b.slice(i, 200) for b in batches for i in range(0, b.num_rows, 200)):
+            words = [np.frombuffer(w, "<u4") for w in batch.column(2).to_pylist()]
+            found = [grams(w, width) for w in words]
+            times = np.array([len(g) for g in found], np.int64)
+            repeat = lambda values, kind: pa.array(np.repeat(np.array(values, np.int64), times), kind)
+            columns = [repeat(batch.column(0).to_numpy(), pa.int64()), repeat(batch.column(1).to_numpy(), pa.int64()), repeat([len(w) for w in words], pa.int64()), repeat([common_grams(len(w), similarity, width) for w in words], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate([np.empty(0, np.int64), *found]), pa.int64())], ["node", "label", "words", "need", "gram"])
+
+    rows = nodes.select("node", "label").join(pool, "node").select("node", "label", "words")
+    rows = settled(rows.transform(in_batches, run, "node long, label long, words long, need long, gram long"), free=False)
+    # runs that one class alone has lead to no pair; they count as the rarest
+    often = rows.groupBy("gram").agg(F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("gram", "n")
+    order = Window.partitionBy("node").orderBy(F.col("n").desc(), "gram")
+    rare = rows.join(often, "gram").withColumn("place", F.row_number().over(order)).where("place >= need").select("gram", "node", "label", "words")
+    rare = settled(rare, free=False)
+    # by the other classes of a run, so that the pairs within a large class are never made
+    others = rare.select("gram", F.col("label").alias("other")).distinct()
+    sought = rare.join(others, "gram").where("label < other")
+    mates = rare.select("gram", F.col("label").alias("other"), F.col("node").alias("mate"), F.col("words").alias("size"))
+    fits = F.abs(F.col("words") - F.col("size")) <= F.floor(F.lit(1 - similarity) * F.greatest("words", "size") + 1e-9)
+    pairs = sought.join(mates, ["gram", "other"]).where(fits).select("node", "mate").distinct()
+    left = pairs.join(nodes.select("node", F.col("buckets").alias("a")), "node")
+    both = left.join(nodes.select(F.col("node").alias("mate"), F.col("buckets").alias("b")), "mate").where(F.arrays_overlap("a", "b"))
+    return both.select(F.greatest("node", "mate").alias("node"), F.least("node", "mate").alias("leader"))
+
+
 def rooted(links: DataFrame) -> DataFrame:
     """node and root of links (node, leader) in which each node has one leader, smaller than itself: leaders of leaders until none is left."""
     tree = links.select("node", F.col("leader").alias("root"))
@@ -272,18 +328,27 @@ def classes(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "t
         both = pairs.join(mine, "node", "left").join(lead, "leader", "left")
         return both.where(F.coalesce("own", F.col("node")) != F.coalesce("lead", F.col("leader"))).drop("own", "lead")
 
-    # in each bucket those that aren't of its leader's class get a second leader
-    rest = settled(apart(member.where("node <> leader")), free=False)
-    second = settled(rest.groupBy("bucket").agg(F.min("node").alias("second"), F.count("*").alias("n")).where("n > 1").select("bucket", "second"), free=False)
-    more = rest.join(second, "bucket").where("node <> second").select("node", F.col("second").alias("leader"))
+    # all other leaders of those that aren't of their class
     tried = candidates.groupBy("node").agg(F.min("leader").alias("leader"))
-    pairs = apart(rest.select("node", "leader").unionByName(more).distinct()).join(tried, ["node", "leader"], "left_anti")
-    found = settled(verified(settled(pairs, free=False), pool, similarity))
+    pairs = settled(apart(candidates).join(tried, ["node", "leader"], "left_anti"), free=False)
+    found = settled(verified(pairs, pool, similarity))
+
+    def between(links: DataFrame) -> DataFrame:
+        """The classes u and v that links (node, leader) join."""
+        both = links.join(mine, "node", "left").join(lead, "leader", "left")
+        return both.select(F.coalesce("own", F.col("node")).alias("u"), F.coalesce("lead", F.col("leader")).alias("v")).where("u <> v")
+
+    # buckets that still hold several classes: all of their other pairs. Classes needn't be joined in full for that
+    up = settled(between(found).groupBy(F.greatest("u", "v").alias("node")).agg(F.min(F.least("u", "v")).alias("leader")), free=False)
+    above = rooted(up).select(F.col("node").alias("root"), F.col("root").alias("label"))
+    labels = texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", F.col("node"))).join(above, "root", "left")
+    labels = settled(labels.select("node", "id", "root", F.coalesce("label", F.col("root")).alias("label")), free=False)
+    last = open_pairs(labels, member, pool, similarity).join(tried.unionByName(pairs.select("node", "leader")), ["node", "leader"], "left_anti")
+    more = settled(verified(settled(last, free=False), pool, similarity))
     # classes that these links join
-    ends = found.join(mine, "node", "left").join(lead, "leader", "left").select(F.coalesce("own", F.col("node")).alias("u"), F.coalesce("lead", F.col("leader")).alias("v"))
-    joined = components(ends).select(F.col("node").alias("root"), F.col("label"))
-    labels = texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", F.col("node"))).join(joined, "root", "left")
-    labels = settled(labels.select("node", "id", F.coalesce("label", F.col("root")).alias("label")), free=False)
+    joined = components(between(found.unionByName(more))).select(F.col("node").alias("root"), F.col("label").alias("least"))
+    labels = labels.select("node", "id", "root").join(joined, "root", "left")
+    labels = settled(labels.select("node", "id", F.coalesce("least", F.col("root")).alias("label")), free=False)
     smallest = settled(labels.groupBy("label").agg(F.min("id").alias("class_id"), F.count("*").alias("texts")), free=False)
     return settled(labels.join(smallest, "label").select("node", "class_id", "texts"))
 

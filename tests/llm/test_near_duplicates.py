@@ -102,6 +102,39 @@ def test_classes_against_all_pairs(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted(set(expected.values()), key=repr)
 
 
+def test_families_that_share_a_passage(spark):
+    # copies have nothing but the passage's shingles in common, so each of their buckets holds all families
+    rng = random.Random(3)
+    prose = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
+    passage, rows = prose(30), []
+    for family in range(9):
+        base = prose(10)
+        for k in range(3):
+            base[0], base[5] = f"a{family}x{k}", f"b{family}x{k}"
+            rows.append((len(rows), " ".join(passage + base)))
+    expected = brute(rows)
+    assert len(set(expected.values())) == 9
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(docs).collect()} == expected
+
+
+def test_open_pairs_miss_no_alignable_pair(spark):
+    rng = random.Random(5)
+    texts = []
+    for _ in range(40):
+        base = [rng.randrange(12) for _ in range(rng.randint(1, 30))]
+        texts += [[x if rng.random() > 0.12 else rng.randrange(12) for x in base] for _ in range(4)]
+    texts = [np.array(x, "<u4") for x in {tuple(x) for x in texts}]
+    n = range(len(texts))
+    labels = spark.createDataFrame([(i, i) for i in n], "node long, label long")
+    member = spark.createDataFrame([(i % 2, i) for i in n], "bucket long, node long")
+    pool = spark.createDataFrame([(i, bytearray(texts[i].tobytes())) for i in n], "node long, words binary")
+    for similarity in (0.8, 0.6):
+        found = {tuple(r) for r in order_minhash.open_pairs(labels, member, pool, similarity).collect()}
+        wanted = {(i, j) for i in n for j in range(i) if (i - j) % 2 == 0 and order_minhash.similar(texts[i].astype(np.int64), texts[j].astype(np.int64), similarity)}
+        assert wanted and wanted <= found and all((i - j) % 2 == 0 for i, j in found)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert order_minhash.near_duplicates(docs).isEmpty() and order_minhash.one_of_each(docs).isEmpty()
