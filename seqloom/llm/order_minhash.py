@@ -16,7 +16,7 @@ are the connected components of the links.
 
 Defined results: texts without words are one class; texts of fewer than five words have one shingle; rows
 of one id and one text are in one class; the class id is the smallest doc_id in it, null only where all are
-null; texts of any length are sketched in pieces and compared whole; other columns don't matter.
+null, so it doesn't tell classes apart, but their labels (smallest nodes) do; texts of any length are sketched in pieces and compared whole; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -307,7 +307,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", similarity: float = SIMILARITY, sketches: int = SKETCHES, size: int = SIZE) -> DataFrame:
-    """node, class_id (smallest id of its class) and texts (different texts in the class) of each different text."""
+    """node, class_id (smallest id of its class), label (smallest node of its class), first (the node of that id that stands for the class) and texts (different texts in the class) of each different text."""
     rows = docs.select(F.col(id_column).alias("id"), text_or_empty(text_column).alias("text"))
     seen = settled(sketched(rows, sketches, size))
     texts = settled(seen.groupBy("node").agg(F.min("id").alias("id")))
@@ -349,22 +349,23 @@ def classes(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "t
     joined = components(between(found.unionByName(more))).select(F.col("node").alias("root"), F.col("label").alias("least"))
     labels = labels.select("node", "id", "root").join(joined, "root", "left")
     labels = settled(labels.select("node", "id", F.coalesce("least", F.col("root")).alias("label")), free=False)
-    smallest = settled(labels.groupBy("label").agg(F.min("id").alias("class_id"), F.count("*").alias("texts")), free=False)
-    return settled(labels.join(smallest, "label").select("node", "class_id", "texts"))
+    smallest = settled(labels.groupBy("label").agg(F.min("id").alias("class_id"), F.min(F.struct(F.col("id").isNull(), "id", "node"))["node"].alias("first"), F.count("*").alias("texts")), free=False)
+    return settled(labels.join(smallest, "label").select("node", "class_id", "label", "first", "texts"))
 
 
 def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """id, class_id, texts (different texts in its class) and kept (whether it is the class's first) of each row."""
+    """id, class_id, label (its class's own, as several classes may have one class_id), texts (different texts in its class) and kept (whether it is the class's first) of each row."""
     known = classes(docs, id_column=id_column, text_column=text_column, **options)
     own = nodes(docs.select(F.col(id_column).alias("id"), text_or_empty(text_column).alias("text")))
     out = own.join(known, "node")
-    return out.select(F.col("id").alias(id_column), "class_id", "texts", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+    kept = F.col("id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("first"))
+    return out.select(F.col("id").alias(id_column), "class_id", "label", "texts", kept.alias("kept"))
 
 
 def one_of_each(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """docs with one row of each class: that of the smallest id."""
+    """docs with one row of each class: that of the smallest id and, among different texts of that id, of the smallest node."""
     node, group = fresh(docs, "_node"), fresh(docs, "_class")
-    known = classes(docs, id_column=id_column, text_column=text_column, **options).select(F.col("node").alias(node), F.col("class_id").alias(group))
+    known = classes(docs, id_column=id_column, text_column=text_column, **options).where("node = first").select(F.col("node").alias(node), F.col("class_id").alias(group))
     place, width = docs.columns.index(text_column), len(docs.columns)
 
     def run(batches):
@@ -375,4 +376,4 @@ def one_of_each(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{node}` long"
     kept = docs.transform(in_batches, run, schema).join(known, node).where(F.col(id_column).eqNullSafe(F.col(group)))
     # rows of one id and one text are one document
-    return kept.dropDuplicates([group]).select(*docs.columns)
+    return kept.dropDuplicates([node]).select(*docs.columns)

@@ -135,6 +135,17 @@ def test_open_pairs_miss_no_alignable_pair(spark):
         assert wanted and wanted <= found and all((i - j) % 2 == 0 for i, j in found)
 
 
+def test_classes_of_one_id(spark):
+    words = lambda k: " ".join(f"t{k}w{i}" for i in range(12))
+    # unlike texts without ids, copies of one of them, and one id with two unlike texts and two similar ones
+    rows = [(None, words(1)), (None, words(2)), (None, words(3)), (None, words(3)), (None, words(3) + " more"), (7, words(4)), (7, words(5)), (7, words(5) + " more"), (8, words(4))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r["doc_id"], r["text"].removesuffix(" more")) for r in order_minhash.one_of_each(docs).collect()]
+    assert sorted(kept, key=repr) == sorted([(None, words(1)), (None, words(2)), (None, words(3)), (7, words(4)), (7, words(5))], key=repr)
+    out = order_minhash.near_duplicates(docs)
+    assert out.select("label").distinct().count() == 5 and out.where("kept").select("label").distinct().count() == 5
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert order_minhash.near_duplicates(docs).isEmpty() and order_minhash.one_of_each(docs).isEmpty()
