@@ -2,11 +2,13 @@
 
 `KeyModel` learns from normal training sequences how often each template follows each history of `history`
 templates and, for histories that training hasn't seen in full, each shorter ending down to `shortest`. An event is
-anomalous if its template isn't among the `top` that follow. Both fitting and scoring are joins and aggregations;
+anomalous if its template isn't among the `top` that follow; with `strict`, also if its history holds a template that
+training hasn't seen. Both fitting and scoring are joins and aggregations;
 sequences of any length are cut into (history, next) rows by window functions.
 
 Parameter models follow each template's numeric parameters and time gaps: the residual to the mean of the last
-`history` values, against a Gaussian bound learnt from the tail of the training series.
+`history` values, against a Gaussian bound learnt from the tail of the training series. `predict_jointly` asks them where the
+key model found nothing.
 """
 
 from __future__ import annotations
@@ -43,6 +45,7 @@ class KeyModel:
     history: int = 10
     top: int = 9
     shortest: int = 1
+    strict: bool = False
 
     def fit(self, members: DataFrame, sequences: DataFrame) -> FittedKeyModel:
         pairs = history_pairs(normal_training(members, sequences), self.history)
@@ -76,6 +79,10 @@ class FittedKeyModel:
         place = F.array_position("c.candidates", F.col("target"))
         p = F.when(F.col("c").isNotNull(), F.when(place > 0, F.get(F.col("c.shares"), (place - 1).cast("int"))).otherwise(0.0))
         bad = F.coalesce(place, F.lit(0)) == 0
+        if self.config.strict:
+            seen = pairs.select("window_id", "pos", F.explode("history").alias("template"))
+            unseen = seen.join(self.vocabulary, "template", "left_anti").select("window_id", "pos").distinct().withColumn("unseen", F.lit(True))
+            best = best.join(unseen, ["window_id", "pos"], "left").withColumn("c", F.when(F.col("unseen").isNull(), F.col("c")))
         return best.select("window_id", "pos", "target", "history", F.coalesce(F.col("c.candidates"), F.array().cast("array<string>")).alias("candidates"), p.alias("p"), bad.alias("anomalous"))
 
     def predict(self, members: DataFrame, sequences: DataFrame) -> DataFrame:
@@ -158,3 +165,15 @@ class FittedParameterModel:
     def events(self, members: DataFrame) -> DataFrame:
         series = self.config.series(parameter_values(members), self.scale)
         return series.join(self.bounds, "template").select("window_id", "pos", "template", "residual", (F.col("residual") - F.col("upper")).alias("margin"), (F.col("residual") > F.col("upper")).alias("anomalous"))
+
+
+def predict_jointly(keys: FittedKeyModel, parameters: FittedParameterModel, members: DataFrame, sequences: DataFrame) -> DataFrame:
+    """Anomalous if any event's key is, or its parameters where its key passed; the score is the largest of 1 - p of anomalous keys and margins above the bound, else 0."""
+    events = keys.events(members).select("window_id", "pos", F.col("anomalous").alias("key"), "p")
+    strays = parameters.events(members).select("window_id", "pos", F.col("anomalous").alias("stray"), "margin")
+    both = events.join(strays, ["window_id", "pos"], "left")
+    stray = ~F.col("key") & F.coalesce("stray", F.lit(False))
+    signal = F.when(F.col("key"), 1 - F.coalesce("p", F.lit(0.0))).when(stray, F.col("margin")).otherwise(0.0)
+    found = both.groupBy("window_id").agg(F.max((F.col("key") | stray).cast("int")).alias("predicted_label"), F.max(signal).alias("score"))
+    out = sequences.join(found, "window_id", "left")
+    return out.withColumns({"predicted_label": F.coalesce("predicted_label", F.lit(0)), "score": F.round(F.coalesce("score", F.lit(0.0)), 8)})

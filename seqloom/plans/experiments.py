@@ -25,7 +25,7 @@ from seqloom.operators.bayes import BERNOULLI, COMPLEMENT, MULTINOMIAL, NaiveBay
 from seqloom.operators.contexts import ContextModel
 from seqloom.operators.frequency import TemplateFrequency
 from seqloom.operators.metrics import label_histograms, run_metrics
-from seqloom.operators.next_event import KeyModel
+from seqloom.operators.next_event import KeyModel, ParameterModel, predict_jointly
 from seqloom.operators.representations import phrase_counts
 from seqloom.operators.sequences import Sequences, SequenceBuilder, nested, split_summary, validate_fractions
 from seqloom.operators.templates import template_parser
@@ -157,7 +157,9 @@ def frequency_model(built: Sequences, m: dict) -> DataFrame:
 
 
 def key_model(built: Sequences, m: dict) -> DataFrame:
-    return KeyModel(m.get("history_size", 10), m.get("top_g", 9)).fit(built.members, built.sequences).predict(built.members, built.sequences)
+    keys = KeyModel(m.get("history_size", 10), m.get("top_g", 9), strict=True).fit(built.members, built.sequences)
+    parameters = ParameterModel(m.get("history_size", 10)).fit(built.members, built.sequences)
+    return predict_jointly(keys, parameters, built.members, built.sequences)
 
 
 def context_model(built: Sequences, m: dict) -> DataFrame:

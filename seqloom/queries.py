@@ -12,7 +12,7 @@ from seqloom.operators.bayes import BERNOULLI, COMPLEMENT, MULTINOMIAL, NaiveBay
 from seqloom.operators.contexts import ContextModel, contexts, reason
 from seqloom.operators.frequency import TemplateFrequency
 from seqloom.operators.metrics import decision_summary, label_histograms, next_event_metrics, run_metrics
-from seqloom.operators.next_event import KeyModel, ParameterModel, gaussian_bounds, history_pairs, normal_training, normalisation, parameter_schema, parameter_values
+from seqloom.operators.next_event import KeyModel, ParameterModel, gaussian_bounds, history_pairs, normal_training, normalisation, parameter_schema, parameter_values, predict_jointly
 from seqloom.operators.representations import phrase_counts, sequential, template_counts
 from seqloom.operators.sequences import EntitySequences, FixedWindows, SequenceBuilder, TimeWindows, nested, previous_time_gap, split_summary
 from seqloom.operators.templates import DrainParser, IdentityParser
@@ -551,7 +551,9 @@ def drain_templates(spark, sf_dir):
 @query()
 def next_event_predictions(spark, sf_dir):
     built = timed(spark, sf_dir, 24 * HOUR, None).build()
-    return KeyModel(history=4, top=3).fit(built.members, built.sequences.withColumn("label", F.lit(0))).predict(built.members, built.sequences)
+    training = built.sequences.withColumn("label", F.lit(0))
+    keys = KeyModel(history=4, top=3, strict=True).fit(built.members, training)
+    return predict_jointly(keys, ParameterModel().fit(built.members, training), built.members, built.sequences)
 
 
 @query()

@@ -9,7 +9,7 @@ from seqloom.operators.bayes import NaiveBayes
 from seqloom.operators.contexts import NO_EVENT, ContextModel, contexts, reason
 from seqloom.operators.frequency import TemplateFrequency, nearest_rank
 from seqloom.operators.metrics import decision_summary, next_event_metrics, run_metrics
-from seqloom.operators.next_event import KeyModel, ParameterModel, history_pairs, masked_mse, parameter_schema, parameter_values, tail_size
+from seqloom.operators.next_event import KeyModel, ParameterModel, history_pairs, masked_mse, parameter_schema, parameter_values, predict_jointly, tail_size
 from seqloom.operators.representations import labelled_examples, phrase_counts, sequential, template_counts
 
 MEMBERS = "window_id long, pos int, template string, params array<string>, timestamp_unix_ms long, anomalous long"
@@ -91,6 +91,26 @@ def test_key_model(spark):
     assert out[2]["predicted_label"] == 0 and out[0]["predicted_label"] == 0
 
 
+def test_unknown_histories(spark):
+    members, sequences = built(spark, [(list("ABCABC"), 0, "train"), (list("QBCABC"), 0, "test"), (list("ABCA"), 0, "test")])
+    model = KeyModel(2, 1, strict=True).fit(members, sequences)
+    events = {r["pos"]: (r["anomalous"], r["p"], r["candidates"]) for r in model.events(members).where("window_id = 1").collect()}
+    assert events[2] == (True, None, []) and not any(events[k][0] for k in (3, 4, 5))
+    out = {r["window_id"]: (r["predicted_label"], r["score"]) for r in model.predict(members, sequences).collect()}
+    assert out == {0: (0, 0.0), 1: (1, 1.0), 2: (0, 0.0)}
+
+
+def test_keys_and_parameters(spark):
+    # window 1 strays at an event whose key passed, window 2 at one whose key is anomalous (before an unknown template)
+    value = lambda w, p: "50" if (w, p) in ((1, 8), (2, 8)) else "1"
+    members = spark.createDataFrame([(w, p, "Q" if (w, p) == (2, 7) else "T", [value(w, p)], p * 10, None) for w in range(4) for p in range(9)], MEMBERS)
+    sequences = spark.createDataFrame([(0, 0, "train"), (1, 0, "test"), (2, 0, "test"), (3, 0, "test")], "window_id long, label int, split_label string")
+    keys, parameters = KeyModel(2, 1, strict=True).fit(members, sequences), ParameterModel().fit(members, sequences)
+    out = {r["window_id"]: (r["predicted_label"], r["score"]) for r in predict_jointly(keys, parameters, members, sequences).collect()}
+    margin = parameters.events(members).where("window_id = 1 AND pos = 8").first()["margin"]
+    assert margin > 1 and out == {0: (0, 0.0), 1: (1, pytest.approx(margin)), 2: (1, 1.0), 3: (0, 0.0)}
+
+
 def test_parameters(spark):
     rows = [(0, 0, "T", ["3.5", "nan-text", "7"], 0, None), (0, 1, "T", ["4.0", "5.0", "text"], 100, None)]
     values = parameter_values(spark.createDataFrame(rows, MEMBERS))
