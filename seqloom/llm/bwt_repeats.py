@@ -6,8 +6,8 @@ come out in increasing order, each boundary of value l between two rows making o
 between the rows that their left neighbours lead to. The search stops at the window's length; rows with
 no boundary between them by then start with the same window.
 
-Boundaries of values below START are read from the sort itself, whose prefix doubling has ranked all
-suffixes by that many bytes on its way, and rows that are alone by then take no further part.
+A block's suffixes are sorted by the window's bytes alone: those that agree in all of them may stand in any
+order, as no boundary is asked for between them.
 
 Defined results: a null or empty text, or one of fewer bytes than the window, keeps all bytes; equal texts
 (exact copies, also under one doc_id) lose all bytes if long enough, first ones included; texts of any
@@ -28,99 +28,78 @@ from seqloom.llm.superkmers import ANYWHERE, HOT, Kind, covered_units, few_rows,
 
 LENGTH = 200
 MINIMISER = 40
-START = 128
 BYTE_HASH = mixed(np.arange(1, 257, dtype=np.uint64))
 
 
-def suffix_order(text: np.ndarray, start: int = START) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes of text in order of their first 2 * start bytes, and the rank of each by its first `start`.
-
-    Suffixes that agree in all of those stand in any order: no boundary is asked for between them.
-    """
+def suffix_order(text: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Suffixes of text in order of their first `length` bytes."""
     n = len(text)
     names = np.zeros(258, np.uint64)
     present = np.unique(text)
     names[present] = np.arange(1, len(present) + 1)
     bits = len(present).bit_length()
-    depth, at_start = min(63 // bits, start), None
+    depth = min(63 // bits, length)
     padded = np.concatenate([names[text], np.zeros(depth, np.uint64)])
     key = np.zeros(n, np.uint64)
     for i in range(depth):
         key = (key << np.uint64(bits)) | padded[i : i + n]
     order = np.argsort(key)
-    while True:
+    while depth < length:
         sorted_key = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate([[0], sorted_key[1:] != sorted_key[:-1]]))
-        if depth >= start and at_start is None:
-            at_start = rank
-        if depth >= 2 * start or rank[order[-1]] == n - 1:
-            return order, rank if at_start is None else at_start
-        # up to `start` exactly once, so that its ranks can be kept
-        step = depth if depth >= start or 2 * depth <= start else start - depth
+        if rank[order[-1]] == n - 1:
+            break
+        step = min(depth, length - depth)
         key = rank * (n + 1)
         key[: n - step] += rank[step:] + 1
         order = np.argsort(key)
         depth += step
+    return order
 
 
-def repeated_starts(text: np.ndarray, valid: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Class of each start among `valid` whose first `length` bytes also stand at another valid start, else -1."""
+def boundaries(bwt: np.ndarray, length: int) -> np.ndarray:
+    """Flags of the rows whose common prefix with the row before is shorter than `length`.
+
+    A boundary of value l, extended backwards, makes one of value l + 1 between the two neighbouring rows of each
+    byte that stand on both sides of it; each row gets its value once, in the round of that value.
+    """
+    n = len(bwt)
+    source = np.argsort(bwt, kind="stable").astype(np.int32)  # the row that each row comes from by one byte to the left
+    byte = bwt[source]
+    found = np.ones(n, bool)
+    found[1:] = byte[1:] != byte[:-1]
+    fresh = found.copy()
+    row = np.flatnonzero(~found).astype(np.int32)
+    above, below = source[row - 1], source[row]
+    for _ in range(1, length):
+        upto = np.cumsum(fresh, dtype=np.int32)
+        cut = upto[below] > upto[above]
+        made = row[cut]
+        if not len(made):
+            break
+        found[made] = True
+        fresh = np.zeros(n, bool)
+        fresh[made] = True
+        row, above, below = row[~cut], above[~cut], below[~cut]
+    return found
+
+
+def repeated_starts(text: np.ndarray, valid: np.ndarray, times: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Class of each start among `valid` whose first `length` bytes occur more than once, else -1. times: how often each start counts."""
     n = len(text)
-    start = min(START, length)
-    order, rank = suffix_order(text, start)
-    bwt = text[order - 1]
-    # row of the suffix one byte longer to the left: equal left bytes keep their rows' order
-    left = np.empty(n, np.int64)
-    left[np.argsort(bwt, kind="stable")] = np.arange(n)
-    by_rank = rank[order]
-    boundary = np.ones(n, bool)
-    boundary[1:] = by_rank[1:] != by_rank[:-1]
-    # rows that share their first `start` bytes with a neighbour; the others are intervals of one row
-    alive = np.flatnonzero(~boundary | np.append(~boundary[1:], False))
-    if not len(alive):
-        return np.full(n, -1, np.int64)
-    small = np.full(n, -1, np.int64)
-    small[alive] = np.arange(len(alive))
-    edge = boundary[alive]
-    source = alive
-    target = small[left[source]]
-    # the row before with the same left byte in the same interval leads to the target's row before
-    interval = np.cumsum(edge)
-    pairs = np.lexsort((np.arange(len(alive)), bwt[source], interval))
-    same = (interval[pairs][1:] == interval[pairs][:-1]) & (bwt[source][pairs][1:] == bwt[source][pairs][:-1])
-    later, earlier = pairs[1:][same], pairs[:-1][same]
-    keep = (target[later] >= 0) & (target[earlier] == target[later] - 1)
-    later, earlier, onto = later[keep], earlier[keep], target[later][keep]
-    # targets whose pair isn't of one interval have a boundary one value above the start
-    value = np.zeros(len(alive), bool)
-    value[:] = edge
-    reached = np.zeros(len(alive), bool)
-    reached[onto] = True
-    fresh = ~value & ~reached
-    open_pairs = np.flatnonzero(~value[onto])
-    for _ in range(start, length):
-        # expand: boundaries of this value make those of the next
-        value |= fresh
-        count = np.cumsum(value)
-        p = open_pairs
-        cut = count[later[p]] > count[earlier[p]]
-        fresh = np.zeros(len(alive), bool)
-        fresh[onto[p[cut]]] = True
-        open_pairs = p[~cut]
-    # value now holds the boundaries of common prefixes below `length`
-    group = np.cumsum(value)
-    starts = order[alive]
-    ok = valid[starts]
-    size = np.bincount(group[ok], minlength=group[-1] + 1)
+    order = suffix_order(text, length)
+    group = np.cumsum(boundaries(text[order - 1], length)) - 1
+    ok = valid[order]
+    size = np.bincount(group[ok], weights=times[order[ok]], minlength=group[-1] + 1)
     out = np.full(n, -1, np.int64)
     again = ok & (size[group] > 1)
-    out[starts[again]] = group[again]
+    out[order[again]] = group[again]
     return out
 
 
-def compare(strings: list[bytes], first: np.ndarray, repeats: str, length: int = LENGTH) -> list[np.ndarray]:
-    """For each string the windows that also start elsewhere in the block."""
+def compare(strings: list[bytes], times: np.ndarray, first: np.ndarray, repeats: str, length: int = LENGTH) -> list[np.ndarray]:
+    """For each string the windows that also start elsewhere."""
     sizes = np.array([len(s) for s in strings])
     # bytes from 1, and the end mark 0 that the transform needs
     text = np.append(np.frombuffer(b"".join(strings), np.uint8).astype(np.uint16) + np.uint16(1), np.uint16(0))
@@ -129,20 +108,11 @@ def compare(strings: list[bytes], first: np.ndarray, repeats: str, length: int =
     valid[-1] = False
     for b, n in zip(begins, sizes):
         valid[max(b, b + n - length + 1) : b + n] = False
-    found = repeated_starts(text, valid, length) >= 0
+    found = repeated_starts(text, valid, np.append(np.repeat(times, sizes), 0), length) >= 0
     return [found[b : b + max(n - length + 1, 0)] for b, n in zip(begins, sizes)]
 
 
-def units(text: str) -> np.ndarray:
-    return BYTE_HASH[np.frombuffer(text.encode(), np.uint8)]
-
-
-def pack(text: str, spans: list[tuple[int, int]]) -> list[bytes]:
-    data = text.encode()
-    return [data[a:b] for a, b in spans]
-
-
-BYTES = Kind(LENGTH, MINIMISER, units, pack, lambda b: BYTE_HASH[np.frombuffer(b, np.uint8)], compare)
+BYTES = Kind(LENGTH, MINIMISER, lambda data: data, lambda data: BYTE_HASH[np.frombuffer(data, np.uint8)], lambda data: None, compare)
 
 
 def remove_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", hot: int = HOT, keep: bool = False) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm.common import in_batches
-from seqloom.llm.superkmers import BASE, HOT, SMALLER, Kind, covered_units, few_rows, mixed, powers, repeated_spans, span_arrays, with_spans
+from seqloom.llm.superkmers import HOT, ODD, SMALLER, Kind, covered_units, few_rows, mixed, repeated_spans, span_arrays, with_spans
 
 LENGTH = 50
 MINIMISER = 8
@@ -40,13 +40,28 @@ def word_hashes(data: bytes) -> np.ndarray:
     last = np.flatnonzero(word & ~np.append(word[1:], False))
     lengths = last - first + 1
     offsets = np.cumsum(lengths) - lengths
-    power = powers(BASE, int(lengths.max()))
-    return mixed(np.add.reduceat(own * power[np.arange(len(own)) - np.repeat(offsets, lengths)], offsets))
+    return mixed(np.add.reduceat(own * keys(int(lengths.max()))[np.arange(len(own)) - np.repeat(offsets, lengths)], offsets))
 
 
-def pack(text: str, spans: list[tuple[int, int]]) -> list[bytes]:
-    words = text.encode().split()  # bytes.split() cuts at the six white characters alone
-    return [b" ".join(words[a:b]) for a, b in spans]
+def keys(n: int) -> np.ndarray:
+    """A random factor for each place in a word. Powers of one base would make words of 1,024 letters collide that are built for it."""
+    if len(_KEYS[0]) < n:
+        _KEYS[0] = mixed(np.arange(1, 2 * n + 1, dtype=np.uint64) * ODD) | np.uint64(1)
+    return _KEYS[0]
+
+
+_KEYS = [np.empty(0, np.uint64)]
+
+
+def normal(data: bytes) -> bytes:
+    return b" ".join(data.split())  # bytes.split() cuts at the six white characters alone
+
+
+def begins(data: bytes) -> np.ndarray:
+    """Where each word of normal bytes begins, and one past the end."""
+    if not data:
+        return np.zeros(1, np.int64)
+    return np.concatenate([[0], np.flatnonzero(np.frombuffer(data, np.uint8) == 32) + 1, [len(data) + 1]])
 
 
 def window_numbers(codes: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -60,7 +75,7 @@ def window_numbers(codes: np.ndarray, length: int = LENGTH) -> np.ndarray:
     return numbers
 
 
-def compare(strings: list[bytes], first: np.ndarray, repeats: str, length: int = LENGTH) -> list[np.ndarray]:
+def compare(strings: list[bytes], times: np.ndarray, first: np.ndarray, repeats: str, length: int = LENGTH) -> list[np.ndarray]:
     """For each string the windows that also stand in one of a smaller first id."""
     words = [s.split(b" ") for s in strings]
     sizes = np.array([len(w) for w in words])
@@ -82,7 +97,7 @@ def compare(strings: list[bytes], first: np.ndarray, repeats: str, length: int =
     return np.split(flags, list(accumulate(windows))[:-1])
 
 
-WORDS = Kind(LENGTH, MINIMISER, lambda text: word_hashes(text.encode()), pack, word_hashes, compare)
+WORDS = Kind(LENGTH, MINIMISER, normal, word_hashes, begins, compare)
 
 
 def spans_of(docs: DataFrame, id_column: str, text_column: str, hot: int) -> DataFrame:
@@ -116,8 +131,15 @@ def remove_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: s
     return out.withColumnRenamed("id", id_column)
 
 
+def kept_bytes(data: bytes, gone: np.ndarray) -> bytes:
+    """data without the flagged words and the white space after each of them."""
+    word = ~BLANK[np.frombuffer(data, np.uint8)]
+    number = np.cumsum(word & ~np.concatenate([[False], word[:-1]])) - 1  # the word that a byte stands in or after
+    return np.frombuffer(data, np.uint8)[(number < 0) | ~gone[number]].tobytes()
+
+
 def without_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", hot: int = HOT) -> DataFrame:
-    """docs with repeated words gone from their texts; a text that loses none stays as it is, all other columns too."""
+    """docs with repeated words gone from their texts, the white space of the others as it was; a text that loses none stays as it is, all other columns too."""
     joined, column = with_spans(docs, spans_of(docs, id_column, text_column, hot), id_column, text_column)
     place, spans = docs.columns.index(text_column), len(docs.columns)
 
@@ -126,9 +148,8 @@ def without_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column:
             texts = batch.column(place).to_pylist()
             for i, own in enumerate(span_arrays(batch.column(spans))):
                 if own:
-                    words = texts[i].encode().split()
-                    gone = covered_units(len(words), own).tolist()
-                    texts[i] = b" ".join(w for w, g in zip(words, gone) if not g).decode()
+                    data = texts[i].encode()
+                    texts[i] = kept_bytes(data, covered_units(len(data.split()), own)).decode()
             columns = batch.columns[:spans]
             columns[place] = pa.array(texts, batch.schema.field(place).type)
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(batch.schema)[:spans]))

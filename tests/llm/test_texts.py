@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -272,7 +273,7 @@ def test_equal_windows_have_equal_minimisers():
     rng = np.random.default_rng(5)
     units = rng.integers(1, 2**62, 4000).astype(np.uint64)
     units[3000:3300] = units[100:400]
-    a, s, first, n = super_kmers(units, 50, 8)
+    a, first, n = super_kmers(units, 50, 8)
     assert first[0] == 0 and (first[1:] == first[:-1] + n[:-1]).all() and n.sum() == len(units) - 49
     at = np.repeat(a, n)
     for i in range(0, 250):
@@ -291,11 +292,11 @@ def test_compare_against_all_windows():
             if x and rng.random() < 0.5:
                 x[rng.randrange(len(x))] = 120
             strings.append(bytes(x))
-        count = defaultdict(int)
-        for s in strings:
+        count, times = defaultdict(int), np.array([rng.choice([1, 1, 1, 2]) for _ in strings])
+        for s, k in zip(strings, times):
             for i in range(len(s) - length + 1):
-                count[s[i : i + length]] += 1
-        got = bwt_repeats.compare(strings, None, "anywhere", length)
+                count[s[i : i + length]] += k
+        got = bwt_repeats.compare(strings, times, None, "anywhere", length)
         assert [list(g) for g in got] == [[count[s[i : i + length]] > 1 for i in range(len(s) - length + 1)] for s in strings]
 
 
@@ -355,7 +356,7 @@ def ordered(rows):
     return sorted(rows, key=repr)
 
 
-@pytest.mark.parametrize("hot", [1024, 3])
+@pytest.mark.parametrize("hot", [1 << 18, 4000, 1])
 def test_repeats_against_brute_force(spark, hot):
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit(1)).withColumn("_spans", F.lit(2)).repartition(7)
@@ -370,21 +371,63 @@ def test_repeats_small_tables(spark):
     assert window_dedup.remove_repeats(docs, keep=True).first()["n_removed"] == 0
 
 
-def test_texts_without_repeats_stay_as_they_are(spark):
-    rows = [(d, t, "x") for d, t in corpus()]
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_words_built_to_collide_are_told_apart(spark, n):
+    """Any sum of powers of an odd base modulo 2 ** 64 is alike for such a word and its complement."""
+    side = " ".join(f"w{i}" for i in range(60))
+    left, right = side[: side.index(" w30")], side[side.index("w30") :]
+    one, other = thue_morse(n), thue_morse(n, "b", "a")
+    assert len(set(window_dedup.word_hashes(f"{one} {other}".encode()).tolist())) == 2
+    for first, second in ((one, other), (other, one)):
+        rows = [(1, f"{left} {first} {right}"), (2, f"{left} {second} {right}"), (3, f"{left} {second} {right}")]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        assert ordered(map(tuple, window_dedup.remove_repeats(docs).collect())) == ordered(brute_words(rows))
+        assert {r["doc_id"]: r["n_removed"] for r in window_dedup.remove_repeats(docs).collect()} == {1: 0, 2: 0, 3: 61}
+        assert ordered(map(tuple, bwt_repeats.remove_repeats(docs).collect())) == ordered(brute_bytes(rows))
+
+
+def test_many_equal_rows(spark):
+    """One id and text 300 times, among texts that have parts of it."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(200)]
+    rows = [(7, " ".join(base))] * 300 + [(i, " ".join([*base[i : i + 90], word()])) for i in range(3, 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert ordered(map(tuple, bwt_repeats.remove_repeats(docs).collect())) == ordered(brute_bytes(rows))
+    assert ordered(map(tuple, window_dedup.remove_repeats(docs).collect())) == ordered(brute_words(rows))
+
+
+def brute_cut(text, gone):
+    """text without the flagged words and the white space after each."""
+    parts = re.findall(r"[^ \t-\r]+[ \t-\r]*", text)
+    return text[: len(text) - len("".join(parts))] + "".join(x for x, g in zip(parts, gone) if not g)
+
+
+def test_texts_without_repeats_keep_their_white_space(spark):
+    rows = [(d, t, "x") for d, t in corpus() if d != 308]
+    rows += [(400, " \n" + rows[0][1].replace(" ", "\t\n")), (401, rows[1][1] + "\r\n")]
+    rows = [(*r, "x")[:3] for r in rows]
     docs = spark.createDataFrame(rows, "doc_id long, text string, _spans string")
     out = window_dedup.without_repeats(docs)
     assert out.columns == docs.columns
-    removed = defaultdict(list)
-    for d, _, n, _ in brute_words([(d, t) for d, t, _ in rows]):
-        removed[d].append(n)
-    before = dict(docs.select("doc_id", "text").collect())
-    for d, text, mark in out.collect():
-        assert mark == "x"
-        if not any(removed[d]):
-            assert text == before[d]
-        else:
-            assert len(text.split()) < len(before[d].split())
+    first = {}
+    for d, t, _ in rows:
+        w = (t or "").encode().split()
+        for i in range(len(w) - 49):
+            if d is not None:
+                first[tuple(w[i : i + 50])] = min(first.get(tuple(w[i : i + 50]), d), d)
+    expected = []
+    for d, t, mark in rows:
+        w, gone = (t or "").encode().split(), set()
+        for i in range(len(w) - 49):
+            if d is not None and first[tuple(w[i : i + 50])] < d:
+                gone |= set(range(i, i + 50))
+        expected.append((d, brute_cut(t, [i in gone for i in range(len(w))]) if gone else t, mark))
+    assert ordered(map(tuple, out.collect())) == ordered(expected)
 
 
 def test_long_texts_are_cut_into_pieces(monkeypatch, spark):
@@ -397,7 +440,7 @@ def test_long_texts_are_cut_into_pieces(monkeypatch, spark):
         for _, t in rows:
             units, at, own = window_dedup.word_hashes(t.encode()), 0, []
             while at == 0 or at + 50 <= len(units):
-                _, _, first, n = super_kmers(units[at : at + piece], 50, 8)
+                _, first, n = super_kmers(units[at : at + piece], 50, 8)
                 own += [i for f, k in zip(first + at, n) for i in range(f, f + k)]
                 at += piece - 50 + 1
             starts.append(own == list(range(len(units) - 49)))
