@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from seqloom.operators.labels import is_anomalous
 from seqloom.schemas import TRAIN
+from seqloom.storage import kept
 
 MULTINOMIAL, BERNOULLI, COMPLEMENT = "multinomial", "bernoulli", "complement"
 
@@ -33,48 +34,52 @@ class NaiveBayes:
         one = F.lit(1) if self.form == BERNOULLI else F.col("cnt")
         rows = features.join(train, "window_id")
         own = lambda c: F.sum(F.when(F.col("label") == c, one).otherwise(0))
-        counts = rows.groupBy("feature").agg(own(0).alias("c0"), own(1).alias("c1"))
-        totals = counts.agg(F.sum("c0").alias("t0"), F.sum("c1").alias("t1"), F.count("*").alias("v")).withColumns({"n0": F.lit(sizes[0]), "n1": F.lit(sizes[1])})
-        return NaiveBayesModel(self, counts, totals)
+        counts = kept(rows.groupBy("feature").agg(own(0).alias("c0"), own(1).alias("c1")))
+        sums = counts.agg(F.sum("c0").alias("t0"), F.sum("c1").alias("t1"), F.count("*").alias("v")).first()
+        return NaiveBayesModel(self, counts, {"t0": sums["t0"] or 0, "t1": sums["t1"] or 0, "v": sums["v"], "n0": sizes[0], "n1": sizes[1]})
 
 
 @dataclass(frozen=True)
 class NaiveBayesModel:
     config: NaiveBayes
     counts: DataFrame
-    totals: DataFrame
+    #: t0, t1: phrases of each class; v: different phrases; n0, n1: sequences of each class.
+    totals: dict[str, int]
+
+    def total(self, name: str) -> Column:
+        return F.lit(self.totals[name])
 
     def log_odds(self) -> Column:
         """ln P(phrase | anomalous) and ln P(phrase | normal) as a struct."""
         a = self.config.smoothing
         c0, c1 = F.coalesce("c0", F.lit(0)), F.coalesce("c1", F.lit(0))
         if self.config.form == BERNOULLI:
-            p0, p1 = (c0 + a) / (F.col("n0") + 2 * a), (c1 + a) / (F.col("n1") + 2 * a)
+            p0, p1 = (c0 + a) / (self.total("n0") + 2 * a), (c1 + a) / (self.total("n1") + 2 * a)
             return F.struct(F.log(p0).alias("l0"), F.log(p1).alias("l1"))
-        size = F.greatest(F.col("v"), F.lit(1))
-        l0, l1 = F.log((c0 + a) / (F.col("t0") + a * size)), F.log((c1 + a) / (F.col("t1") + a * size))
+        size = max(self.totals["v"], 1)
+        l0, l1 = F.log((c0 + a) / F.lit(self.totals["t0"] + a * size)), F.log((c1 + a) / F.lit(self.totals["t1"] + a * size))
         # the complement form weighs a class by how badly the other one explains the phrase
         return F.struct((-l1).alias("l0"), (-l0).alias("l1")) if self.config.form == COMPLEMENT else F.struct(l0.alias("l0"), l1.alias("l1"))
 
     def weighted(self, features: DataFrame) -> DataFrame:
-        return features.join(self.counts, "feature", "left").join(F.broadcast(self.totals)).withColumn("l", self.log_odds())
+        return features.join(self.counts, "feature", "left").withColumn("l", self.log_odds())
 
     def predict(self, features: DataFrame, sequences: DataFrame) -> DataFrame:
         """sequences with score (posterior of anomalous) and predicted_label."""
-        prior0 = F.log(F.col("n0") / (F.col("n0") + F.col("n1")))
-        prior1 = F.log(F.col("n1") / (F.col("n0") + F.col("n1")))
+        prior0 = F.log(self.total("n0") / (self.total("n0") + self.total("n1")))
+        prior1 = F.log(self.total("n1") / (self.total("n0") + self.total("n1")))
         if self.config.form == BERNOULLI:
             a = self.config.smoothing
-            absent = lambda c, n: F.log(1 - (F.col(c) + a) / (F.col(n) + 2 * a))
-            base = self.counts.join(F.broadcast(self.totals)).agg(F.sum(absent("c0", "n0")).alias("b0"), F.sum(absent("c1", "n1")).alias("b1"))
+            absent = lambda c, n: F.log(1 - (F.col(c) + a) / (self.total(n) + 2 * a))
+            base = self.counts.agg(F.sum(absent("c0", "n0")).alias("b0"), F.sum(absent("c1", "n1")).alias("b1"))
             # only phrases of the vocabulary count; those that are there replace their absence
-            rows = features.join(self.counts, "feature").join(F.broadcast(self.totals)).withColumn("l", self.log_odds())
+            rows = features.join(self.counts, "feature").withColumn("l", self.log_odds())
             sums = rows.groupBy("window_id").agg(F.sum(F.col("l.l0") - absent("c0", "n0")).alias("s0"), F.sum(F.col("l.l1") - absent("c1", "n1")).alias("s1"))
-            joined = sequences.join(sums, "window_id", "left").join(F.broadcast(self.totals)).join(F.broadcast(base))
+            joined = sequences.join(sums, "window_id", "left").join(F.broadcast(base))
             s0, s1 = F.coalesce("s0", F.lit(0.0)) + F.col("b0") + prior0, F.coalesce("s1", F.lit(0.0)) + F.col("b1") + prior1
         else:
             sums = self.weighted(features).groupBy("window_id").agg(F.sum(F.col("cnt") * F.col("l.l0")).alias("s0"), F.sum(F.col("cnt") * F.col("l.l1")).alias("s1"))
-            joined = sequences.join(sums, "window_id", "left").join(F.broadcast(self.totals))
+            joined = sequences.join(sums, "window_id", "left")
             s0, s1 = F.coalesce("s0", F.lit(0.0)), F.coalesce("s1", F.lit(0.0))
             if self.config.form == MULTINOMIAL:
                 s0, s1 = s0 + prior0, s1 + prior1
@@ -95,7 +100,7 @@ class NaiveBayesModel:
 
     def global_phrases(self, label: int) -> DataFrame:
         """The top phrases of a class."""
-        rows = self.counts.join(F.broadcast(self.totals)).withColumn("l", self.log_odds())
+        rows = self.counts.withColumn("l", self.log_odds())
         lean = F.round((F.col("l.l1") - F.col("l.l0")) * (1 if label else -1), 10)
         tokens = F.length("feature") - F.length(F.replace("feature", F.lit(" "), F.lit(""))) + 1
         rows = rows.withColumn("lean", lean).withColumn("tokens", tokens)

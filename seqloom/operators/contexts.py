@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from seqloom.operators.labels import is_anomalous
 from seqloom.operators.sequences import previous_time_gap
 from seqloom.schemas import TRAIN
+from seqloom.storage import kept
 
 NO_EVENT = "<no event>"
 NOT_CONFIDENT, UNKNOWN_EVENT, FAR_CONTEXT = -1.0, -2.0, -3.0
@@ -64,7 +65,7 @@ class ContextModel:
     def fit(self, members: DataFrame, sequences: DataFrame) -> FittedContextModel:
         train = contexts(members, sequences, self.size, self.timeout_ms).where(F.col("split_label") == TRAIN)
         groups = train.groupBy("template", bag(F.col("context")).alias("bag")).agg(F.count("*").alias("n"), F.max("truth").cast("double").alias("worst"))
-        return FittedContextModel(self, groups)
+        return FittedContextModel(self, kept(groups))
 
 
 @dataclass(frozen=True)

@@ -8,25 +8,31 @@ sequences (of all training sequences where none is normal). Above it is anomalou
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.operators.labels import is_anomalous
-from seqloom.operators.ordinals import running_sum
+from seqloom.operators.ordinals import in_ranges
 from seqloom.schemas import TRAIN
+from seqloom.storage import kept
 
 
 def nearest_rank(values: DataFrame, column: str, q: float) -> float | None:
     """The ceil(q * n)-th smallest value; null ones don't count. Equal values are counted together first."""
     counts = values.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("c"))
-    total = counts.agg(F.sum("c").alias("n")).first()["n"]
-    if not total:
-        return None
-    before = running_sum(counts, F.col(column), [F.col(column)], F.col("c"), "before")
+    ranges = in_ranges(counts, [F.col(column)])
+    # one row per partition
+    sizes = sorted((r["_part"], r["n"]) for r in ranges.groupBy("_part").agg(F.sum("c").alias("n")).collect())
+    total = sum(n for _, n in sizes)
     rank = min(total, max(1, math.ceil(q * total)))
-    return before.where(F.col("before") + F.col("c") >= rank).agg(F.min(column).alias("v")).first()["v"]
+    for part, n in sizes:
+        if rank <= n:
+            before = Window.orderBy(column)
+            return ranges.where(F.col("_part") == part).withColumn("upto", F.sum("c").over(before)).where(F.col("upto") >= rank).agg(F.min(column).alias("v")).first()["v"]
+        rank -= n
+    return None
 
 
 @dataclass(frozen=True)
@@ -37,30 +43,30 @@ class TemplateFrequency:
 
     def fit(self, members: DataFrame, sequences: DataFrame) -> TemplateFrequencyModel:
         train = members.join(sequences.where(F.col("split_label") == TRAIN).select("window_id"), "window_id")
-        counts = train.groupBy("template").agg(F.count("*").alias("cnt"))
-        totals = counts.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("total"), F.count("*").alias("vocabulary"))
-        model = TemplateFrequencyModel(counts, totals, self.smoothing, self.threshold)
+        counts = kept(train.groupBy("template").agg(F.count("*").alias("cnt")))
+        sums = counts.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("total"), F.count("*").alias("vocabulary")).first()
+        model = TemplateFrequencyModel(counts, sums["total"], sums["vocabulary"], self.smoothing, self.threshold)
         if self.threshold is None:
-            scores = model.scores(members, sequences.where(F.col("split_label") == TRAIN))
+            scores = kept(model.scores(members, sequences.where(F.col("split_label") == TRAIN)).select("label", "score"))
             normal = scores.where(~is_anomalous(F.col("label")))
             value = nearest_rank(normal, "score", self.quantile)
             value = nearest_rank(scores, "score", self.quantile) if value is None else value
-            model = TemplateFrequencyModel(counts, totals, self.smoothing, value if value is not None else 0.0)
+            model = replace(model, threshold=value if value is not None else 0.0)
         return model
 
 
 @dataclass(frozen=True)
 class TemplateFrequencyModel:
     counts: DataFrame
-    totals: DataFrame
+    total: int
+    vocabulary: int
     smoothing: float
     threshold: float | None
 
     def scores(self, members: DataFrame, sequences: DataFrame) -> DataFrame:
-        own = members.groupBy("window_id", "template").agg(F.count("*").alias("n"))
-        # one row of totals
-        rows = own.join(self.counts, "template", "left").join(F.broadcast(self.totals))
-        surprise = -F.log((F.coalesce("cnt", F.lit(0)) + self.smoothing) / (F.col("total") + self.smoothing * F.col("vocabulary")))
+        own = members.join(sequences.select("window_id"), "window_id", "left_semi").groupBy("window_id", "template").agg(F.count("*").alias("n"))
+        rows = own.join(self.counts, "template", "left")
+        surprise = -F.log((F.coalesce("cnt", F.lit(0)) + self.smoothing) / F.lit(self.total + self.smoothing * self.vocabulary))
         scored = rows.groupBy("window_id").agg((F.sum(surprise * F.col("n")) / F.sum("n")).alias("score"))
         # rounded so that the order of addition decides no comparison with the threshold
         return sequences.join(scored, "window_id", "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 10))

@@ -24,6 +24,7 @@ from seqloom.functions.text import numeric
 from seqloom.operators.labels import is_anomalous
 from seqloom.operators.sequences import previous_time_gap
 from seqloom.schemas import TRAIN
+from seqloom.storage import kept
 
 FLOOR = 1e-8
 
@@ -54,7 +55,7 @@ class KeyModel:
         order = Window.partitionBy("ending").orderBy(F.col("n").desc(), "target")
         ranked = counts.withColumn("rank", F.row_number().over(order)).withColumn("all", F.sum("n").over(Window.partitionBy("ending")))
         known = normal_training(members, sequences).select("template").distinct()
-        return FittedKeyModel(self, ranked.where(F.col("rank") <= self.top), known)
+        return FittedKeyModel(self, kept(ranked.where(F.col("rank") <= self.top)), kept(known))
 
 
 @dataclass(frozen=True)
@@ -148,12 +149,12 @@ class ParameterModel:
 
     def fit(self, members: DataFrame, sequences: DataFrame) -> FittedParameterModel:
         values = parameter_values(normal_training(members, sequences))
-        scale = normalisation(values, parameter_schema(values))
+        scale = kept(normalisation(values, parameter_schema(values)))
         series = self.series(values, scale)
         per = Window.partitionBy("window_id", "template")
         numbered = series.withColumn("n", F.count("*").over(per)).withColumn("i", F.row_number().over(per.orderBy("pos"))).where("n >= 2")
         tail = F.least(F.greatest(F.ceil(F.col("n") * F.lit(float(self.validation))), F.lit(1)), F.col("n") - 1)
-        return FittedParameterModel(self, scale, gaussian_bounds(numbered.where(F.col("i") > F.col("n") - tail), self.confidence))
+        return FittedParameterModel(self, scale, kept(gaussian_bounds(numbered.where(F.col("i") > F.col("n") - tail), self.confidence)))
 
 
 @dataclass(frozen=True)

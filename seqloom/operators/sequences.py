@@ -1,7 +1,8 @@
 """Sequences of log rows: by entity, in windows of a fixed number of rows, and in windows of time.
 
 Builders give two frames. `members` has one row per event of each sequence (window_id, pos and the row's
-columns); `sequences` has one row per sequence with its label and split. Arrays are made only at the edge
+columns); `sequences` has one row per sequence with its label and split. Both are written once when they are built, so what
+is learnt from them doesn't build them again. Arrays are made only at the edge
 (`nested`), so one entity with a third of all rows stays many rows.
 
 Splits are by position: the last ceil(test * n) sequences are test, the first ceil(train * n) of the others
@@ -18,8 +19,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.operators.labels import is_anomalous
-from seqloom.operators.ordinals import ordinals, running_sum
+from seqloom.operators.ordinals import CHUNK, nth_position, ordinals, positions_within
 from seqloom.schemas import IGNORED, TEST, TRAIN
+from seqloom.storage import kept
 
 
 @dataclass(frozen=True)
@@ -79,6 +81,7 @@ class SequenceBuilder:
     train_fraction: float = 0.2
     test_fraction: float = 0.8
     exact_split: bool = False
+    chunk: int = CHUNK
 
     def with_split_fractions(self, train: float, test: float) -> SequenceBuilder:
         validate_fractions(train, test)
@@ -93,9 +96,9 @@ class SequenceBuilder:
         return sequences.withColumn("split_label", split)
 
     def summarised(self, members: DataFrame) -> DataFrame:
-        """A row per sequence: label (any anomalous row or group), events and first and last line."""
+        """A row per sequence: label (any anomalous row or group), events, first and last line, and the largest group label."""
         flag = is_anomalous(F.col("anomalous")) | is_anomalous(F.col("group_label"))
-        return members.groupBy("window_id").agg(F.max(flag.cast("int")).alias("label"), F.count("*").alias("event_count"), F.min("line_order").alias("first_line"), F.max("line_order").alias("last_line"))
+        return members.groupBy("window_id").agg(F.max(flag.cast("int")).alias("label"), F.count("*").alias("event_count"), F.min("line_order").alias("first_line"), F.max("line_order").alias("last_line"), F.max("group_label").alias("group_label"))
 
 
 @dataclass(frozen=True)
@@ -109,22 +112,24 @@ class EntitySequences(SequenceBuilder):
         known = self.rows.where("entity_id IS NOT NULL")
         first = known.groupBy("entity_id").agg(F.min(F.struct("line_order", "timestamp_unix_ms")).alias("first"))
         keys = first.select("entity_id", F.col("first.timestamp_unix_ms").alias("first_ts"), F.col("first.line_order").alias("first_line"))
-        lead = F.coalesce(F.col("first_ts").cast("double"), F.lit(float("inf")))
-        return ordinals(keys, lead, [F.col("first_ts").asc_nulls_last(), F.col("first_line"), F.col("entity_id")], "window_id")
+        return ordinals(keys, [F.col("first_ts").asc_nulls_last(), F.col("first_line"), F.col("entity_id")], "window_id")
 
     def build(self) -> Sequences:
-        order = self.chronology()
-        members = self.labelled().where("entity_id IS NOT NULL").join(order.select("entity_id", "window_id"), "entity_id")
-        members = members.withColumn("pos", (F.row_number().over(Window.partitionBy("window_id").orderBy("line_order")) - 1).cast("long"))
-        entities = self.summarised(members).join(order.select("entity_id", "window_id"), "window_id").join(self.group_labels.select("entity_id", F.col("label").alias("group_label")), "entity_id", "left")
-        counts = split_counts(order.count(), self.train_fraction, self.test_fraction)
+        order = self.chronology().select("entity_id", "window_id")
+        events = kept(self.labelled().join(order, "entity_id"))
+        entities = kept(self.summarised(events))
+        size = entities.agg(F.count("*").alias("n"), (F.max("last_line") - F.min("first_line") + 1).alias("lines")).first()
+        counts = split_counts(size["n"], self.train_fraction, self.test_fraction)
+        members = positions_within(events, "window_id", "line_order", size["lines"] or 0, self.chunk)
         if not self.train_on_normal_entities_only:
             return Sequences(members, self.by_position(entities, counts).drop("group_label"), counts)
         pool = F.col("window_id") < counts.total - counts.test
         may = pool & ~is_anomalous(F.col("group_label"))
-        taken = running_sum(entities, F.col("window_id"), [F.col("window_id")], (may & (F.col("label") == 0)).cast("long"), "_taken")
-        split = F.when(~pool, TEST).when(may & (F.col("_taken") < counts.train), TRAIN).otherwise(IGNORED)
-        return Sequences(members, taken.withColumn("split_label", split).drop("_taken", "group_label"), counts)
+        # training ends with the sequence that is the last one of the normal ones that it may have
+        last = nth_position(entities.where(may & (F.col("label") == 0)), "window_id", counts.train - 1, counts.total) if counts.train else -1
+        within = F.lit(True) if last is None else F.col("window_id") <= last
+        split = F.when(~pool, TEST).when(may & within, TRAIN).otherwise(IGNORED)
+        return Sequences(members, entities.withColumn("split_label", split).drop("group_label"), counts)
 
 
 @dataclass(frozen=True)
@@ -143,7 +148,7 @@ class FixedWindows(SequenceBuilder):
         e = min(self.step or w, w)
         full = 0 if n < w else (n - w) // e + 1
         last = full if full * e < n else full - 1
-        numbered = ordinals(self.labelled(), F.col("line_order"), [F.col("line_order")], "_rn")
+        numbered = ordinals(self.labelled(), [F.col("line_order")], "_rn")
         low = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("_rn") - (w - 1)) / F.lit(e)).cast("long"))
         high = F.least(F.floor(F.col("_rn") / F.lit(e)).cast("long"), F.lit(last).cast("long"))
         # sequence() counts down where its end is smaller
@@ -151,7 +156,7 @@ class FixedWindows(SequenceBuilder):
         members = numbered.withColumn("window_id", F.explode(windows)).withColumn("pos", (F.col("_rn") - F.col("window_id") * e)).drop("_rn")
         total = last + 1 if self.exact_split else counted_fixed_windows(n, w, self.step)
         counts = split_counts(total, self.train_fraction, self.test_fraction)
-        return Sequences(members, self.by_position(self.summarised(members), counts), counts)
+        return Sequences(members, self.by_position(kept(self.summarised(members)), counts).drop("group_label"), counts)
 
 
 @dataclass(frozen=True)
@@ -169,22 +174,26 @@ class TimeWindows(SequenceBuilder):
             raise ValueError("time span and step must be positive")
 
     def build(self) -> Sequences:
-        timed = self.labelled().where("timestamp_unix_ms IS NOT NULL")
         bounds = self.rows.agg(F.min("timestamp_unix_ms").alias("a"), F.max("timestamp_unix_ms").alias("b")).first()
         first, last, span, step = bounds["a"], bounds["b"], self.span, self.step or self.span
         if first is None:
             raise ValueError("no row has a timestamp")
+        # in time order each window is a run of rows: a row's place in it is its position less that of the window's first row
+        timed = ordinals(self.labelled().where("timestamp_unix_ms IS NOT NULL"), [F.col("timestamp_unix_ms"), F.col("line_order")], "_rn")
         past = F.col("timestamp_unix_ms") - first
         low = F.greatest(F.lit(0).cast("long"), F.floor((past - span) / F.lit(step)).cast("long") + 1)
         high = F.floor(past / F.lit(step)).cast("long") if step <= span else low
         members = timed.withColumn("_k", F.explode(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>")))).where(F.lit(first) + F.col("_k") * step <= last)
+        windows = members.groupBy("_k").agg(F.min("_rn").alias("_first"))
         # a window's number: its place among those that have rows
-        windows = ordinals(members.select("_k").distinct(), F.col("_k"), [F.col("_k")], "window_id")
-        members = members.join(windows, "_k").drop("_k")
-        members = members.withColumn("pos", (F.row_number().over(Window.partitionBy("window_id").orderBy("timestamp_unix_ms", "line_order")) - 1).cast("long"))
+        if (last - first) // step < self.chunk:
+            windows = kept(windows.withColumn("window_id", (F.row_number().over(Window.orderBy("_k")) - 1).cast("long")))
+        else:
+            windows = ordinals(windows, [F.col("_k")], "window_id")
+        members = members.join(windows, "_k").withColumn("pos", F.col("_rn") - F.col("_first")).drop("_k", "_rn", "_first")
         total = windows.count() if self.exact_split else counted_time_windows(first, last, span, self.step)
         counts = split_counts(total, self.train_fraction, self.test_fraction)
-        return Sequences(members, self.by_position(self.summarised(members), counts), counts)
+        return Sequences(members, self.by_position(kept(self.summarised(members)), counts).drop("group_label"), counts)
 
 
 def previous_time_gap(by: str = "window_id") -> Column:

@@ -4,19 +4,25 @@ Messages are masked, cut into tokens, and mined group by group: messages of diff
 first tokens never share a template, so (length, first token) is the group and groups are mined in parallel. Within
 a group the different masked messages are looked at in the order of their first line; repeats of a masked message
 add nothing, as they match the template that they have made. Placeholders can't be first tokens of two kinds: a
-first token with a digit counts as the wildcard.
+first token with a digit counts as the wildcard. A group of more than `PART` different masked messages is dealt by hash to parts that are
+mined each for itself; their templates, which are few, are then mined together.
+
+Defined results: a null message has no template; nor has a message that no template matches (`strict` makes that an error).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions.text import masked
+from seqloom.storage import kept
 
 WILDCARD = "<:*:>"
+#: Different masked messages that are mined in one task.
+PART = 20_000
 
 
 def template_tokens(text: Column) -> Column:
@@ -46,8 +52,8 @@ class TemplateModel:
 
     templates: DataFrame
 
-    def transform(self, rows: DataFrame) -> DataFrame:
-        """rows with template and params; null where no template matches. Different messages are matched once each."""
+    def transform(self, rows: DataFrame, strict: bool = False) -> DataFrame:
+        """rows with template and params; null where no template matches, or an error with `strict`. Different messages are matched once each."""
         known = rows.select("untemplated_message_text").distinct().withColumn("_tokens", template_tokens(F.col("untemplated_message_text")))
         known = known.withColumn("_n", F.size("_tokens")).withColumn("_lead", leading(F.col("_tokens")))
         sides = known.join(self.templates, (F.col("_n") == F.col("n")) & (F.col("_lead") == F.col("lead")))
@@ -55,11 +61,19 @@ class TemplateModel:
         literals = F.size(F.filter("tokens", lambda t: t != WILDCARD))
         params = F.transform(F.filter(F.arrays_zip("tokens", "_tokens"), lambda x: x["tokens"] == WILDCARD), lambda x: x["_tokens"])
         best = sides.where(fits).groupBy("untemplated_message_text").agg(F.max_by(F.struct("template", params.alias("params")), F.struct(literals, "template")).alias("m"))
-        return rows.join(best.select("untemplated_message_text", "m.template", "m.params"), "untemplated_message_text", "left")
+        out = rows.join(best.select("untemplated_message_text", "m.template", "m.params"), "untemplated_message_text", "left")
+        if strict:
+            missing = F.raise_error(F.concat(F.lit("no template for the message: "), F.coalesce("untemplated_message_text", F.lit("null"))))
+            out = out.withColumn("template", F.coalesce("template", missing.cast("string")))
+        return out
 
     def save(self, path: str) -> None:
         self.templates.write.mode("overwrite").parquet(path)
 
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> TemplateModel:
+        return cls(spark.read.parquet(path))
+
 
 @dataclass(frozen=True)
 class DrainParser:
@@ -68,16 +82,19 @@ class DrainParser:
     similarity: float = 0.4
 
     def fit(self, rows: DataFrame) -> TemplateModel:
-        text = rows.select(template_tokens(F.col("untemplated_message_text")).alias("tokens"), "line_order")
+        text = rows.where("untemplated_message_text IS NOT NULL").select(template_tokens(F.col("untemplated_message_text")).alias("tokens"), "line_order")
         different = text.groupBy("tokens").agg(F.min("line_order").alias("first"))
         groups = different.withColumn("n", F.size("tokens")).withColumn("lead", leading(F.col("tokens")))
+        sizes = groups.groupBy("n", "lead").agg(F.ceil(F.count("*") / F.lit(PART)).alias("parts"))
+        groups = groups.join(sizes, ["n", "lead"]).withColumn("part", F.pmod(F.xxhash64("tokens"), F.col("parts")))
         share = self.similarity
 
         def mine(pdf):
             import pandas as pd
 
             found: list[list[str]] = []
-            for tokens in pdf.sort_values("first")["tokens"]:
+            firsts: list[int] = []
+            for tokens, first in pdf.sort_values("first")[["tokens", "first"]].itertuples(index=False):
                 tokens = list(tokens)
                 best, at = -1.0, -1
                 for i, t in enumerate(found):
@@ -88,12 +105,15 @@ class DrainParser:
                     found[at] = [a if a == b else WILDCARD for a, b in zip(found[at], tokens)]
                 else:
                     found.append(tokens)
-            out = pd.DataFrame({"tokens": found})
+                    firsts.append(first)
+            out = pd.DataFrame({"tokens": found, "first": firsts})
             out["n"], out["lead"] = len(pdf["tokens"].iloc[0]), pdf["lead"].iloc[0]
             out["template"] = [" ".join(t) for t in found]
-            return out[["n", "lead", "tokens", "template"]]
+            return out[["n", "lead", "tokens", "template", "first"]]
 
-        return TemplateModel(groups.groupBy("n", "lead").applyInPandas(mine, "n int, lead string, tokens array<string>, template string").distinct())
+        schema = "n int, lead string, tokens array<string>, template string, first long"
+        parts = groups.groupBy("n", "lead", "part").applyInPandas(mine, schema)
+        return TemplateModel(kept(parts.groupBy("n", "lead").applyInPandas(mine, schema).drop("first").distinct()))
 
 
 TEMPLATE_PARSERS = {"drain": DrainParser, "identity": IdentityParser}

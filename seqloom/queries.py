@@ -12,12 +12,13 @@ from seqloom.operators.bayes import BERNOULLI, COMPLEMENT, MULTINOMIAL, NaiveBay
 from seqloom.operators.contexts import ContextModel, contexts, reason
 from seqloom.operators.frequency import TemplateFrequency
 from seqloom.operators.metrics import decision_summary, label_histograms, next_event_metrics, run_metrics
-from seqloom.operators.next_event import KeyModel, ParameterModel, gaussian_bounds, history_pairs, normal_training, normalisation, parameter_schema, parameter_values, predict_jointly
+from seqloom.operators.next_event import KeyModel, ParameterModel, history_pairs, normal_training, normalisation, parameter_schema, parameter_values, predict_jointly
 from seqloom.operators.representations import phrase_counts, sequential, template_counts
-from seqloom.operators.sequences import EntitySequences, FixedWindows, SequenceBuilder, TimeWindows, nested, previous_time_gap, split_summary
+from seqloom.operators.sequences import EntitySequences, FixedWindows, SequenceBuilder, Sequences, TimeWindows, nested, previous_time_gap, split_summary
 from seqloom.operators.templates import DrainParser, IdentityParser
 from seqloom.sources.store import timestamp_bounds
-from seqloom.views import events_as_log, table
+from seqloom.storage import kept
+from seqloom.views import events_as_log, no_labels, table
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -176,14 +177,14 @@ def fixed_windows_wide_step(spark, sf_dir):
     return sequence_rows(fixed(spark, sf_dir, 50, 70))
 
 
-def time_sql(span: int, step: int | None, select: str | None = None) -> str:
+def time_sql(span: int, step: int | None, select: str | None = None, log: str = LOG, group_label: str = "max(anomalous)") -> str:
     raw = step or span
     final = select or """SELECT window_id, label, event_count, first_line, last_line,
   CASE WHEN window_id >= counted - n_test THEN 'test' WHEN window_id < n_train THEN 'train' ELSE 'ignored' END AS split_label FROM s, c"""
-    return f"""WITH {LOG},
+    return f"""WITH {log},
 b AS (SELECT min(ts_ms) AS a, max(ts_ms) AS z, CASE WHEN max(ts_ms) - min(ts_ms) < {span} THEN 1 ELSE (max(ts_ms) - min(ts_ms) - {span}) // {raw} + 1 END AS counted FROM log),
 w AS (SELECT k, CASE WHEN k = 0 OR {raw} <= {span} THEN a + k * {raw} ELSE a + (k - 1) * {raw} + {span} END AS lo, a + k * {raw} + {span} AS hi FROM b, range(0, (SELECT (z - a) // {raw} + 1 FROM b)) r(k)),
-g AS (SELECT entity_id, max(anomalous) AS glabel FROM log GROUP BY entity_id),
+g AS (SELECT entity_id, {group_label} AS glabel FROM log GROUP BY entity_id),
 m AS (SELECT log.*, k, glabel FROM w JOIN log ON ts_ms >= lo AND ts_ms < hi JOIN g USING (entity_id)),
 mm AS (SELECT m.*, dense_rank() OVER (ORDER BY k) - 1 AS window_id FROM m),
 s AS (SELECT window_id, max(CAST(anomalous <> 0 OR glabel <> 0 AS INTEGER)) AS label, count(*) AS event_count, min(line_order) AS first_line, max(line_order) AS last_line FROM mm GROUP BY window_id),
@@ -336,7 +337,7 @@ POSTERIOR = "round(exp(s1 - greatest(s0, s1)) / (exp(s0 - greatest(s0, s1)) + ex
 
 def bayes(spark, sf_dir, form: str):
     members, sequences = message_members(spark, sf_dir)
-    features = phrase_counts(members)
+    features = kept(phrase_counts(members))
     return features, sequences, NaiveBayes(form).fit(features, sequences)
 
 
@@ -378,29 +379,39 @@ def complement_bayes_scores(spark, sf_dir):
     return model.predict(features, sequences).select("window_id", F.round("score", 8).alias("score"))
 
 
-TIMED_MEMBERS = time_sql(24 * HOUR, None, """, p AS (SELECT mm.*, row_number() OVER (PARTITION BY window_id ORDER BY ts_ms, line_order) - 1 AS pos FROM mm),
-sp AS (SELECT window_id, label, CASE WHEN window_id >= counted - n_test THEN 'test' WHEN window_id < n_train THEN 'train' ELSE 'ignored' END AS split_label FROM s, c)""")
+#: The log with few anomalous lines and no anomalous entities, so that windows of an hour are normal and anomalous.
+RARE_LOG = LOG.replace("CASE WHEN event_type = 'error' AND value > 20 THEN 1 ELSE 0 END", "CASE WHEN event_id % 29 = 0 THEN 1 ELSE 0 END")
+TIMED_MEMBERS = time_sql(HOUR, None, """, p AS (SELECT mm.*, row_number() OVER (PARTITION BY window_id ORDER BY ts_ms, line_order) - 1 AS pos FROM mm),
+sp AS (SELECT window_id, label, event_count, first_line, last_line, CASE WHEN window_id >= counted - n_test THEN 'test' WHEN window_id < n_train THEN 'train' ELSE 'ignored' END AS split_label FROM s, c),
+good AS (SELECT window_id FROM sp WHERE split_label = 'train' AND label = 0)""", RARE_LOG, "0")
+
+
+def hourly(spark, sf_dir) -> Sequences:
+    rows = events_as_log(spark, sf_dir).withColumn("anomalous", F.when(F.col("line_order") % 29 == 0, 1).otherwise(0).cast("long"))
+    return TimeWindows(rows, no_labels(rows), 0.34, 0.25, span=HOUR).build()
+
+
 PAIRS = TIMED_MEMBERS + """,
 pairs AS (SELECT window_id, pos, template AS target, lag(template, 2) OVER o || ' ' || lag(template, 1) OVER o AS history FROM p WINDOW o AS (PARTITION BY window_id ORDER BY pos) QUALIFY pos >= 2)"""
 
 
 @query(PAIRS + " SELECT window_id, pos, target, history FROM pairs")
 def next_event_pairs(spark, sf_dir):
-    members = timed(spark, sf_dir, 24 * HOUR, None).build().members
+    members = hourly(spark, sf_dir).members
     return history_pairs(members, 2).select("window_id", "pos", "target", F.array_join("history", " ").alias("history"))
 
 
 KEYS = PAIRS + """,
-tp AS (SELECT pairs.* FROM pairs JOIN sp USING (window_id) WHERE split_label = 'train'),
+tp AS (SELECT pairs.* FROM pairs JOIN good USING (window_id)),
 cn AS (SELECT history, target, count(*) AS n FROM tp GROUP BY ALL),
 rk AS (SELECT *, row_number() OVER (PARTITION BY history ORDER BY n DESC, target) AS r FROM cn),
 ev AS (SELECT pairs.*, r FROM pairs LEFT JOIN rk ON rk.history = pairs.history AND rk.target = pairs.target)"""
 
 
 def key_events(spark, sf_dir) -> DataFrame:
-    """Two templates of history, over windows of a day; all training windows count."""
-    built = timed(spark, sf_dir, 24 * HOUR, None).build()
-    return KeyModel(history=2, top=5, shortest=2).fit(built.members, built.sequences.withColumn("label", F.lit(0))).events(built.members)
+    """Two templates of history, over windows of an hour."""
+    built = hourly(spark, sf_dir)
+    return KeyModel(history=2, top=5, shortest=2).fit(built.members, built.sequences).events(built.members)
 
 
 @query(KEYS + " SELECT count(*) AS eligible, count(*) FILTER (r <= 1) AS hit_1, count(*) FILTER (r <= 2) AS hit_2, count(*) FILTER (r <= 5) AS hit_5 FROM ev")
@@ -422,13 +433,13 @@ def next_event_labels(spark, sf_dir):
 GOOD = TIMED_MEMBERS + """,
 g2 AS (SELECT p.*, ts_ms - lag(ts_ms) OVER (PARTITION BY window_id ORDER BY pos) AS dt FROM p),
 val AS (SELECT window_id, pos, template, 'param_0' AS feature, CAST(cents AS DOUBLE) AS value FROM g2 UNION ALL SELECT window_id, pos, template, 'param_1', key FROM g2 UNION ALL SELECT window_id, pos, template, 'dt_prev_ms', CAST(dt AS DOUBLE) FROM g2 WHERE dt IS NOT NULL),
-tv AS (SELECT val.* FROM val JOIN sp USING (window_id) WHERE split_label = 'train'),
+tv AS (SELECT val.* FROM val JOIN good USING (window_id)),
 sch AS (SELECT template, feature, bool_and(value IS NOT NULL) AS kept FROM tv GROUP BY ALL)"""
 
 
 def training_values(spark, sf_dir) -> DataFrame:
-    built = timed(spark, sf_dir, 24 * HOUR, None).build()
-    return parameter_values(normal_training(built.members, built.sequences.withColumn("label", F.lit(0))))
+    built = hourly(spark, sf_dir)
+    return parameter_values(normal_training(built.members, built.sequences))
 
 
 @query(GOOD + " SELECT template, feature, kept FROM sch")
@@ -442,10 +453,53 @@ def parameter_normalisation(spark, sf_dir):
     return normalisation(values, parameter_schema(values)).select("template", "feature", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
-@query(GOOD + ", r AS (SELECT template, avg(value) AS m, sqrt(var_pop(value)) AS s FROM tv WHERE feature = 'param_0' GROUP BY template) SELECT template, round(greatest(m - 2.3263478740408408 * s, 0), 6) AS lower, round(m + 2.3263478740408408 * s, 6) AS upper FROM r")
+STRAYS = GOOD + """,
+norm AS (SELECT template, feature, avg(value) AS mean, sqrt(greatest(var_pop(value), 1e-8)) AS std FROM tv JOIN sch USING (template, feature) WHERE kept GROUP BY template, feature),
+x AS (SELECT window_id, pos, template, feature, (value - mean) / std AS x FROM val JOIN norm USING (template, feature)),
+gs AS (SELECT *, avg(x) OVER o AS guess, count(x) OVER o AS seen FROM x WINDOW o AS (PARTITION BY window_id, template, feature ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING)),
+res AS (SELECT window_id, pos, template, avg((x - guess) * (x - guess)) AS residual FROM gs WHERE seen = 2 GROUP BY ALL),
+num AS (SELECT template, residual, count(*) OVER (PARTITION BY window_id, template) AS n, row_number() OVER (PARTITION BY window_id, template ORDER BY pos) AS i FROM res JOIN good USING (window_id)),
+bd AS (SELECT template, greatest(avg(residual) - 2.3263478740408408 * sqrt(var_pop(residual)), 0) AS lower, avg(residual) + 2.3263478740408408 * sqrt(var_pop(residual)) AS upper
+       FROM num WHERE n >= 2 AND i > n - least(greatest(ceil(n * CAST(0.3 AS DOUBLE)), 1), n - 1) GROUP BY template),
+stray AS (SELECT window_id, pos, template, residual, residual - upper AS margin, residual > upper AS anomalous FROM res JOIN bd USING (template))"""
+
+
+@query(STRAYS + " SELECT template, round(lower, 6) AS lower, round(upper, 6) AS upper FROM bd")
 def gaussian_thresholds(spark, sf_dir):
-    rows = training_values(spark, sf_dir).where("feature = 'param_0'").select("template", F.col("value").alias("residual"))
-    return gaussian_bounds(rows, 0.98).select("template", F.round("lower", 6).alias("lower"), F.round("upper", 6).alias("upper"))
+    """Bounds of the residuals in the tail of training."""
+    built = hourly(spark, sf_dir)
+    return ParameterModel().fit(built.members, built.sequences).bounds.select("template", F.round("lower", 6).alias("lower"), F.round("upper", 6).alias("upper"))
+
+
+@query(STRAYS + " SELECT window_id, pos, template, round(residual, 6) AS residual, round(margin, 6) AS margin, anomalous FROM stray")
+def parameter_anomalies(spark, sf_dir):
+    built = hourly(spark, sf_dir)
+    events = ParameterModel().fit(built.members, built.sequences).events(built.members)
+    return events.select("window_id", "pos", "template", F.round("residual", 6).alias("residual"), F.round("margin", 6).alias("margin"), "anomalous")
+
+
+JOINT = STRAYS + """,
+hs AS (SELECT window_id, pos, template AS target, [lag(template, 4) OVER o, lag(template, 3) OVER o, lag(template, 2) OVER o, lag(template, 1) OVER o] AS history FROM p WINDOW o AS (PARTITION BY window_id ORDER BY pos) QUALIFY pos >= 4),
+tried AS (SELECT hs.*, n, list_slice(history, 5 - n, 4) AS ending FROM hs, range(1, 5) r(n)),
+cn AS (SELECT ending, target, count(*) AS c FROM tried JOIN good USING (window_id) GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY ending ORDER BY c DESC, target) AS r, sum(c) OVER (PARTITION BY ending) AS total FROM cn),
+vocabulary AS (SELECT DISTINCT template FROM p JOIN good USING (window_id)),
+unseen AS (SELECT DISTINCT window_id, pos FROM (SELECT window_id, pos, unnest(history) AS template FROM hs) WHERE template NOT IN (SELECT template FROM vocabulary)),
+best AS (SELECT window_id, pos, max(n) AS n FROM tried WHERE ending IN (SELECT ending FROM cn) AND (window_id, pos) NOT IN (SELECT (window_id, pos) FROM unseen) GROUP BY ALL),
+ke AS (
+  SELECT t.window_id, t.pos, best.n IS NULL OR r IS NULL AS bad, CASE WHEN best.n IS NULL THEN NULL ELSE coalesce(c / total, 0) END AS prob
+  FROM hs t LEFT JOIN best USING (window_id, pos) LEFT JOIN rk ON rk.ending = list_slice(t.history, 5 - best.n, 4) AND rk.target = t.target AND r <= 3),
+je AS (SELECT ke.*, NOT bad AND coalesce(anomalous, false) AS odd, margin FROM ke LEFT JOIN stray USING (window_id, pos)),
+jw AS (SELECT window_id, max(CAST(bad OR odd AS INTEGER)) AS said, max(CASE WHEN bad THEN 1 - coalesce(prob, 0) WHEN odd THEN margin ELSE 0 END) AS signal FROM je GROUP BY window_id)"""
+
+
+@query(JOINT + " SELECT window_id, label, split_label, coalesce(said, 0) AS predicted_label, round(coalesce(signal, 0), 6) AS score FROM sp LEFT JOIN jw USING (window_id)")
+def next_event_predictions(spark, sf_dir):
+    """Keys with histories of four templates and parameters where the key passed."""
+    built = hourly(spark, sf_dir)
+    keys = KeyModel(history=4, top=3, strict=True).fit(built.members, built.sequences)
+    out = predict_jointly(keys, ParameterModel().fit(built.members, built.sequences), built.members, built.sequences)
+    return out.select("window_id", "label", "split_label", "predicted_label", F.round("score", 6).alias("score"))
 
 
 CONTEXTS = f"""WITH {ENTITIES}, d AS (SELECT *, ts_ms - lag(ts_ms) OVER (PARTITION BY window_id ORDER BY pos) AS dt FROM members),
@@ -503,25 +557,23 @@ def context_decisions(spark, sf_dir):
     return decision_summary(context_events(spark, sf_dir).where("split_label = 'test'"))
 
 
-BGL_LINES = """
-lines AS (
-  SELECT event_id AS line_order, ts, user_id, concat_ws(' ', CASE WHEN event_id % 3 = 0 THEN '-' ELSE 'APPREAD' END, CAST(epoch_us(ts) // 1000000 AS VARCHAR), strftime(ts, '%Y.%m.%d'), 'R' || CAST(user_id AS VARCHAR),
-    strftime(ts, '%Y-%m-%d-%H.%M.%S.%f'), 'R' || CAST(user_id AS VARCHAR), 'RAS KERNEL', CASE WHEN event_id % 11 = 0 THEN '' ELSE 'INFO ' || event_type || ' seen' END) AS line FROM events)"""
-
-
-@query(f"""WITH {BGL_LINES}
-SELECT line_order, epoch_us(ts) // 1000 AS timestamp_unix_ms, 'R' || CAST(user_id AS VARCHAR) AS entity_id, CASE WHEN event_id % 3 = 0 THEN 0 ELSE 1 END AS anomalous,
-  'RAS KERNEL INFO ' || event_type || ' seen' AS untemplated_message_text
-FROM (SELECT lines.*, event_id, event_type FROM lines JOIN events ON event_id = line_order) WHERE event_id % 11 <> 0""")
+#: Some lines have too few words, a fraction of seven digits, a thirteenth month, or no time that can be read.
+@query("""
+WITH lines AS (SELECT *, event_id % 17 = 0 OR event_id % 19 = 0 OR event_id % 23 = 0 AS coarse FROM events WHERE event_id % 11 <> 0)
+SELECT event_id AS line_order,
+  CASE WHEN event_id % 23 = 0 THEN NULL WHEN coarse THEN epoch_us(ts) // 1000000 * 1000 ELSE CAST(trunc(CAST(epoch_us(ts) AS DOUBLE) / CAST(1e6 AS DOUBLE) * 1000) AS BIGINT) END AS timestamp_unix_ms,
+  'R' || CAST(user_id AS VARCHAR) AS entity_id, CASE WHEN event_id % 3 = 0 THEN 0 ELSE 1 END AS anomalous, 'RAS KERNEL INFO ' || event_type || ' seen' AS untemplated_message_text
+FROM lines""")
 def bgl_lines(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     node = F.concat(F.lit("R"), F.col("user_id").cast("string"))
     tail = F.when(F.col("event_id") % 11 == 0, "").otherwise(F.concat(F.lit("INFO "), F.col("event_type"), F.lit(" seen")))
-    line = F.concat_ws(" ", F.when(F.col("event_id") % 3 == 0, "-").otherwise("APPREAD"), F.unix_seconds("ts").cast("string"), F.date_format("ts", "yyyy.MM.dd"), node, F.date_format("ts", "yyyy-MM-dd-HH.mm.ss.SSSSSS"), node, F.lit("RAS KERNEL"), tail)
+    odd = lambda k: F.col("event_id") % k == 0
+    fine = F.date_format("ts", "yyyy-MM-dd-HH.mm.ss.SSSSSS")
+    fine = F.when(odd(19) | odd(23), F.date_format("ts", "yyyy-'13'-dd-HH.mm.ss.SSSSSS")).when(odd(17), F.concat(fine, F.lit("0"))).otherwise(fine)
+    epoch = F.when(odd(23), "9" * 25).otherwise(F.unix_seconds("ts").cast("string"))
+    line = F.concat_ws(" ", F.when(F.col("event_id") % 3 == 0, "-").otherwise("APPREAD"), epoch, F.date_format("ts", "yyyy.MM.dd"), node, fine, node, F.lit("RAS KERNEL"), tail)
     rows = parser("bgl").parse(e.select(F.col("event_id").alias("line_order"), line.alias("value")))
-    # the double arithmetic of the parser may be a millisecond below the exact one
-    exact = e.select(F.col("event_id").alias("line_order"), F.floor(F.unix_micros("ts") / F.lit(1000)).cast("long").alias("exact"))
-    rows = rows.join(exact, "line_order").withColumn("timestamp_unix_ms", F.when(F.abs(F.col("exact") - F.col("timestamp_unix_ms")) <= 1, F.col("exact")).otherwise(F.col("timestamp_unix_ms")))
     return rows.select("line_order", "timestamp_unix_ms", "entity_id", F.col("anomalous").cast("int").alias("anomalous"), "untemplated_message_text")
 
 
@@ -548,24 +600,12 @@ def drain_templates(spark, sf_dir):
     return DrainParser().fit(rows).transform(rows).select("line_order", "template", F.array_join("params", " ").alias("params"))
 
 
-@query()
-def next_event_predictions(spark, sf_dir):
-    built = timed(spark, sf_dir, 24 * HOUR, None).build()
-    training = built.sequences.withColumn("label", F.lit(0))
-    keys = KeyModel(history=4, top=3, strict=True).fit(built.members, training)
-    return predict_jointly(keys, ParameterModel().fit(built.members, training), built.members, built.sequences)
-
-
-@query()
-def parameter_anomalies(spark, sf_dir):
-    built = timed(spark, sf_dir, 24 * HOUR, None).build()
-    return ParameterModel().fit(built.members, built.sequences.withColumn("label", F.lit(0))).events(built.members)
-
-
-@query()
+@query(CONTEXT_SCORES + """ SELECT s.window_id, s.label, s.split_label, CAST(max(score) > 0 AS INTEGER) AS predicted_label, NOT max(score) > 0 AND min(score) < 0 AS abstained, greatest(max(score), 0) AS score
+FROM split s JOIN ce USING (window_id) GROUP BY s.window_id, s.label, s.split_label""")
 def context_predictions(spark, sf_dir):
     built = entities(spark, sf_dir).build()
-    return ContextModel(3, None, 5).fit(built.members, built.sequences).predict(built.members, built.sequences)
+    out = ContextModel(3, None, 5).fit(built.members, built.sequences).predict(built.members, built.sequences)
+    return out.select("window_id", "label", "split_label", "predicted_label", "abstained", "score")
 
 
 @query("""

@@ -147,3 +147,26 @@ def test_context_model(spark):
     assert [r[0] for r in named] == ["not_confident_enough", "event_not_in_training_vocabulary", "closest_cluster_outside_epsilon", "known_benign_cluster", "known_malicious_cluster"]
     d = decision_summary(spark.createDataFrame([(1.0, 1), (0.0, 1), (-1.0, 1), (0.0, 0)], "score double, truth int")).first()
     assert (d["tp"], d["fn"], d["abstained"], d["tn"], d["coverage"]) == (1, 1, 1, 1, 0.75)
+
+
+def test_nearest_rank_of_many_values(spark):
+    values = [((i * 37) % 101) / 8 for i in range(400)]
+    frame = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    for q in (0.0, 0.01, 0.5, 0.95, 1.0):
+        assert nearest_rank(frame, "v", q) == sorted(values)[min(400, max(1, math.ceil(q * 400))) - 1]
+    assert nearest_rank(frame.limit(0), "v", 0.5) is None
+
+
+def test_templates_in_parts_null_messages_and_reload(spark, monkeypatch, tmp_path):
+    from seqloom.operators import templates
+
+    monkeypatch.setattr(templates, "PART", 5)
+    messages = [f"took {word} from cache" for word in "ab cd ef gh ij kl mn op qr st uv wx".split()] + ["other words stand here", None]
+    rows = spark.createDataFrame([(i, m) for i, m in enumerate(messages)], "line_order long, untemplated_message_text string")
+    model = templates.DrainParser().fit(rows)
+    assert {r["template"] for r in model.templates.collect()} == {"took <:*:> from cache", "other words stand here"}
+    model.save(str(tmp_path / "templates"))
+    found = {r["line_order"]: (r["template"], r["params"]) for r in templates.TemplateModel.load(spark, str(tmp_path / "templates")).transform(rows).collect()}
+    assert found[3] == ("took <:*:> from cache", ["gh"]) and found[13] == (None, None)
+    with pytest.raises(Exception, match="no template"):
+        model.transform(rows, strict=True).collect()

@@ -151,6 +151,36 @@ def test_ordinals_of_ties_and_many_rows(spark):
     from seqloom.operators.ordinals import ordinals
 
     rows = spark.range(1000).select((F.col("id") % 7).alias("k"), F.col("id"))
-    out = ordinals(rows, F.col("k"), [F.col("k"), F.col("id")], "n").orderBy("n").collect()
+    out = ordinals(rows, [F.col("k"), F.col("id")], "n").orderBy("n").collect()
     assert [r["n"] for r in out] == list(range(1000))
     assert [(r["k"], r["id"]) for r in out] == sorted((i % 7, i) for i in range(1000))
+
+
+def test_ordinals_without_times(spark):
+    """All ties in the first column, and many more ranges than rows: entities without a time."""
+    from seqloom.operators.ordinals import ordinals
+
+    rows = spark.range(500).select(F.lit(None).cast("long").alias("ts"), (F.lit(999) - F.col("id")).alias("line"))
+    out = ordinals(rows, [F.col("ts").asc_nulls_last(), F.col("line")], "n").orderBy("n").collect()
+    assert [(r["n"], r["line"]) for r in out] == [(i, 500 + i) for i in range(500)]
+    assert ordinals(rows.limit(0), [F.col("line")], "n").isEmpty()
+
+
+def test_positions_in_chunks(spark):
+    """One group holds a third of all rows; its rows are numbered in many ranges."""
+    from seqloom.operators.ordinals import positions_within
+
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise((F.col("id") % 50).cast("string")).alias("g"), (F.col("id") * 7 % 3001).alias("line"))
+    whole = sorted(map(tuple, positions_within(rows, "g", "line", 3001).collect()))
+    assert sorted(map(tuple, positions_within(rows, "g", "line", 3001, 100).collect())) == whole
+    assert max(r[2] for r in whole if r[0] == "hot") == 999
+
+
+def test_nth_position(spark):
+    from seqloom.operators.ordinals import nth_position
+
+    kept = [i for i in range(500) if i % 7 == 3]
+    frame = spark.createDataFrame([(i,) for i in kept], "i long")
+    for n in (0, 1, 30, len(kept) - 1):
+        assert nth_position(frame, "i", n, 500, pieces=4) == kept[n]
+    assert nth_position(frame, "i", len(kept), 500) is None and nth_position(frame.limit(0), "i", 0, 0) is None
