@@ -4,24 +4,32 @@ A text's five-word shingles are labelled with their occurrence number. Each of `
 picks the `size` smallest of them and keeps them in the order of the text; texts that agree in one such
 sketch are candidates. The chance falls with both missing and reordered shingles, as edit similarity
 does. A candidate pair counts if its words can be aligned with at most 0.2 * (words of the longer text)
-edits; the alignment follows furthest-reaching points on a band of diagonals that is widened as needed.
+edits; the alignment runs over a band of diagonals, whose cells are the bits of integers, and widens the band as needed.
 
-Equal texts (words alike but for case and white space; told apart by 64-bit hashes) are one node from the start,
-so groups of copies cost nothing later. In a bucket each node is compared with the bucket's smallest
-node (its leader) first, the smallest leader of a node before its others; pairs that are of one class by then are left
-out. What is left are buckets of three nodes or more that still hold more than one class, as around a passage that unlike texts share. There every
-pair of different classes is settled: two texts that can be aligned have a fixed number of word pairs in common,
-so each pair of texts that have none of their rarest word pairs in common is out, and all others are aligned. Classes
-are the connected components of the links.
+Equal texts (words alike but for case and white space; told apart by 128-bit digests of their bytes) are one node from
+the start, so groups of copies cost nothing later. Every pair of a bucket is settled:
+
+1. Each node is aligned with the smallest nodes of its buckets (their leaders), the smallest leader first, the others only
+   where the two aren't of one class by then.
+2. Buckets that still hold several classes compare all their other pairs in blocks of at most `BLOCK_TEXTS` texts; a bucket of
+   many texts is dealt over pairs of blocks, so none is one task. Two texts that can be aligned have 0.8 of the longer one's
+   words in common and 0.6 of its word pairs; hashed counts give an upper bound of both as matrix products, and
+   only pairs that it lets through leave the block, to be aligned.
+3. Buckets of more than `crowd` texts (a passage that unlike texts share) would need blocks by the square. Texts that can be aligned share one of their
+   rarest word pairs (the first ones, if all but a fixed number that they must have in common are left out), so such texts meet
+   in buckets by rare word pair instead, which go through step 2. No pair is lost in either way.
+
+Classes are the connected components of the links.
 
 Defined results: texts without words are one class; texts of fewer than five words have one shingle; rows
 of one id and one text are in one class; the class id is the smallest doc_id in it, null only where all are
-null, so it doesn't tell classes apart, but their labels (smallest nodes) do; texts of any length are sketched in pieces and compared whole; other columns don't matter.
+null, so it doesn't tell classes apart, but their labels (the digest of the text that stands for the class) do; texts of any length are sketched in pieces and compared whole; other columns don't matter.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +37,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.llm.common import fresh, in_batches, settled, text_or_empty
-from seqloom.llm.superkmers import EVEN_ODDS, ODD, Hashes, mixed
-from seqloom.llm.window_dedup import word_hashes
+from seqloom.llm.superkmers import ODD, Hashes, mixed
+from seqloom.llm.window_dedup import normal, word_hashes
 
 WORDS = 5
 SIMILARITY = 0.8
-SKETCHES = 32
+SKETCHES = 80
 SIZE = 2
-#: Cells of the table of mismatches up to which diagonals are looked at all at once.
-CELLS = 4_000_000
+BLOCK_TEXTS = 1024
+BLOCK_WORDS = 1_000_000
+CROWD = 16 * BLOCK_TEXTS
 
 
 def labelled(shingles: np.ndarray) -> np.ndarray:
@@ -54,21 +63,23 @@ def order_sketches(words: np.ndarray, sketches: int = SKETCHES, size: int = SIZE
     """One bucket hash per order of hashes."""
     if not len(words):
         return np.empty(0, np.int64)
-    hashes = Hashes(words)
-    shingles = hashes.all(min(width, len(words)))
-    marked = labelled(shingles)
+    shingles = Hashes(words).all(min(width, len(words)))
+    marked = (labelled(shingles) >> np.uint64(32)).astype(np.uint32)
     seeds = mixed(np.arange(1, sketches + 1, dtype=np.uint64) * ODD)
-    best_value = np.full((sketches, 0), 0, np.uint64)
+    factors = (seeds >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    rows = np.arange(sketches)
+    best_value = np.full((sketches, 0), 0, np.uint32)
     best_place = np.full((sketches, 0), 0, np.int64)
-    for at in range(0, len(marked), 1 << 15):  # a piece at a time
-        values = (marked[None, at : at + (1 << 15)] ^ seeds[:, None]) * EVEN_ODDS
-        values ^= values >> np.uint64(32)
-        rows = np.arange(sketches)
+    for at in range(0, len(marked), 1 << 12):  # a piece at a time
+        values = marked[None, at : at + (1 << 12)] * factors[:, None]
+        values ^= values >> np.uint32(15)
+        values *= np.uint32(0x2C1B3C6D)
+        values ^= values >> np.uint32(12)
         for _ in range(min(size, values.shape[1])):
             place = values.argmin(axis=1)
             best_value = np.concatenate([best_value, values[rows, place][:, None]], axis=1)
             best_place = np.concatenate([best_place, place[:, None] + at], axis=1)
-            values[rows, place] = np.uint64(0xFFFFFFFFFFFFFFFF)
+            values[rows, place] = np.uint32(0xFFFFFFFF)
         keep = np.argsort(best_value, axis=1, kind="stable")[:, :size]
         best_value, best_place = np.take_along_axis(best_value, keep, 1), np.take_along_axis(best_place, keep, 1)
     out = seeds.copy()
@@ -77,135 +88,104 @@ def order_sketches(words: np.ndarray, sketches: int = SKETCHES, size: int = SIZE
     return out.view(np.int64)
 
 
-def alignable(a: np.ndarray, b: np.ndarray, most: int) -> bool:
+def within_band(a: list, b: list, band: int) -> bool:
+    """Whether at most `band` insertions, deletions and replacements make b of a; a is not the shorter one, and longer than the band.
+
+    A column of the table of edit distances is kept as its steps up and down, one bit for each of the 2 * band + 1 rows
+    around the diagonal; all rows take part in the same few operations on integers. The rows move down with the columns.
+    """
+    places: dict = {}
+    for i, word in enumerate(a):
+        places[word] = places.get(word, 0) | (1 << i)
+    m, n, width = len(a), len(b), 2 * band + 1
+    full = (1 << width) - 1
+    up, down = full ^ ((1 << band) - 1), 0
+    # the distance is followed along the lowest diagonal to the last row, and along that row to its end
+    distance, most, mark = band, band + n - (m - band), 1 << (width - 1)
+    for j, word in enumerate(b):
+        match = places.get(word, 0)
+        match = (match >> (j - band) if j >= band else match << (band - j)) & full
+        diagonal = ((((match & up) + up) ^ up) | match | down) & full
+        right_up, right_down = down | (full ^ (diagonal | up)), diagonal & up
+        if j < m - band:
+            distance += not diagonal & mark
+        else:
+            mark >>= 1
+            distance += bool(right_up & mark) - bool(right_down & mark)
+        if distance > most:
+            return False
+        diagonal >>= 1
+        up, down = right_down | (full ^ (diagonal | right_up)), diagonal & right_up
+    return distance <= band
+
+
+def alignable(a: list, b: list, most: int) -> bool:
     """Whether at most `most` insertions, deletions and replacements make b of a."""
-    if abs(len(a) - len(b)) > most:
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) - len(b) > most:
         return False
-    n = min(len(a), len(b))
-    unlike = np.flatnonzero(a[:n] != b[:n])
-    head = int(unlike[0]) if len(unlike) else n
-    a, b = a[head:], b[head:]
-    n = min(len(a), len(b))
-    unlike = np.flatnonzero(a[::-1][:n] != b[::-1][:n])
-    tail = int(unlike[0]) if len(unlike) else n
-    a, b = a[: len(a) - tail], b[: len(b) - tail]
-    if not len(a) or not len(b):
-        return max(len(a), len(b)) <= most
+    if len(a) <= most or a == b:
+        return True
     # words that have no partner at all
-    names, counts = np.unique(np.concatenate([a, b]), return_inverse=True)
-    shared = np.minimum(np.bincount(counts[: len(a)], minlength=len(names)), np.bincount(counts[len(a) :], minlength=len(names))).sum()
-    if max(len(a), len(b)) - shared > most:
+    if len(a) - sum((Counter(a) & Counter(b)).values()) > most:
         return False
-    band = 8
+    head = 0
+    while head < len(b) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < len(b) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    band = min(most, max(8, len(a) - len(b)))
     while True:
-        band = min(band, most)
-        if band < abs(len(a) - len(b)):
-            band *= 2
-            continue
-        found = by_diagonals(a, b, band) if (2 * band + 1) * len(a) <= CELLS else by_rows(a, b, band)
-        if found or band == most:
-            return found
-        band *= 2
-
-
-def by_diagonals(a: np.ndarray, b: np.ndarray, band: int) -> bool:
-    """Furthest row reached on each diagonal of the band with 0, 1, 2, ... edits."""
-    n, m = len(a), len(b)
-    diagonals = np.arange(-band, band + 1)
-    padded = np.full(n + m + 2 * band + 2, -1, np.int64)
-    padded[band : band + m] = b
-    other = padded[np.arange(n)[None, :] + (diagonals + band)[:, None]]
-    stop = np.full((len(diagonals), n + 1), n, np.int32)
-    stop[:, :n] = np.where(other != a[None, :], np.arange(n, dtype=np.int32), np.int32(n))
-    stop = np.minimum.accumulate(stop[:, ::-1], axis=1)[:, ::-1]
-    last = np.minimum(n, m - diagonals)
-    rows = np.arange(len(diagonals))
-    never = -(1 << 40)
-    reach = np.full(len(diagonals), never, np.int64)
-    reach[band] = stop[band, 0]
-    reach = np.where(last >= 0, np.minimum(reach, last), never)
-    goal = m - n + band
-    for _ in range(band):
-        if reach[goal] >= n:
+        if len(a) <= band or within_band(a, b, band):
             return True
-        nxt = reach + 1
-        nxt[1:] = np.maximum(nxt[1:], reach[:-1])
-        nxt[:-1] = np.maximum(nxt[:-1], reach[1:] + 1)
-        nxt = np.minimum(nxt, last)
-        ok = nxt >= np.maximum(0, -diagonals)
-        reach = np.where(ok, np.minimum(stop[rows, np.clip(nxt, 0, n)], last), never)
-    return bool(reach[goal] >= n)
-
-
-def by_rows(a: np.ndarray, b: np.ndarray, band: int) -> bool:
-    """The same for long texts: the cells of the band row by row."""
-    n, m = len(a), len(b)
-    far = 1 << 30
-    shift = np.arange(2 * band + 1)
-    padded = np.full(n + m + 2 * band + 2, -1, np.int64)
-    padded[band : band + m] = b
-    row = np.where((shift >= band) & (shift - band <= m), shift - band, far)  # column = row number + shift - band
-    for i in range(1, n + 1):
-        column = i + shift - band
-        change = row + (padded[i - 1 : i + 2 * band] != a[i - 1])
-        drop = np.append(row[1:], far) + 1
-        row = np.where((column >= 0) & (column <= m), np.minimum(change, drop), far)
-        if i <= band:
-            row[band - i] = i
-        row = np.minimum.accumulate(row - shift) + shift
-        row = np.where((column >= 0) & (column <= m), row, far)
-        if row.min() > band:
+        if band == most:
             return False
-    return bool(row[m - n + band] <= band)
+        band = min(most, 4 * band)
 
 
-def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
-    longer = max(len(a), len(b))
-    return alignable(a, b, int(np.floor((1 - similarity) * longer + 1e-9)))
+def similar(a: list, b: list, similarity: float = SIMILARITY) -> bool:
+    return alignable(a, b, int(np.floor((1 - similarity) * max(len(a), len(b)) + 1e-9)))
 
 
-def node_of(words: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(words.tobytes(), digest_size=8).digest(), "little", signed=True)
+def compared_bytes(text: str) -> bytes:
+    """What of a text is compared: its words, in lower case, with a space between them."""
+    return normal(text.lower().encode())
 
 
-def words_of(text: str) -> np.ndarray:
-    return word_hashes(text.lower().encode())
-
-
-def nodes(docs: DataFrame) -> DataFrame:
-    """id and node (a hash of its words) of each row of docs (id, text)."""
-
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([node_of(words_of(x)) for x in batch.column(1).to_pylist()], pa.int64())], ["id", "node"])
-
-    return docs.transform(in_batches, run, f"id {docs.schema['id'].dataType.simpleString()}, node long")
+def digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
 
 
 def sketched(docs: DataFrame, sketches: int, size: int) -> DataFrame:
-    """id, node and its bucket hashes."""
+    """id, digest of the compared words and bucket hashes."""
 
     def run(batches):
         for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
-            words = [words_of(x) for x in batch.column(1).to_pylist()]
-            found = [order_sketches(w, sketches, size) for w in words]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([node_of(w) for w in words], pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["id", "node", "buckets"])
+            data = [compared_bytes(x) for x in batch.column(1).to_pylist()]
+            found = [order_sketches(word_hashes(x), sketches, size) for x in data]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest(x) for x in data], pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["id", "digest", "buckets"])
 
-    return docs.transform(in_batches, run, f"id {docs.schema['id'].dataType.simpleString()}, node long, buckets array<long>")
+    return docs.transform(in_batches, run, f"id {docs.schema['id'].dataType.simpleString()}, digest binary, buckets array<long>")
 
 
 def word_pool(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node and words (32-bit hashes) of the wanted nodes (id, node); the texts are shuffled once."""
+    """node, its compared bytes and number of words, of the wanted nodes (id, digest, node); the texts are shuffled once."""
 
     def run(batches):
         for batch in batches:
-            out = [(n, words_of(x)) for x, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            out = [(n, w) for n, w in out if node_of(w) == n]
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in out], pa.int64()), pa.array([(w >> np.uint64(32)).astype("<u4").tobytes() for _, w in out], pa.binary())], ["node", "words"])
+            out = []
+            for text, own, node in zip(*(c.to_pylist() for c in batch.columns)):
+                data = compared_bytes(text)
+                if digest(data) == own:
+                    out.append((node, data, data.count(b" ") + 1 if data else 0))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.int32()))], ["node", "words", "n"])
 
-    want = wanted.select(F.col("id").alias("own"), "node")
-    rows = docs.join(want, F.col("id").eqNullSafe(F.col("own"))).select("text", "node")
-    return rows.transform(in_batches, run, "node long, words binary").dropDuplicates(["node"])
+    want = wanted.select(F.col("id").alias("own"), "digest", "node")
+    rows = docs.join(want, F.col("id").eqNullSafe(F.col("own"))).select("text", "digest", "node")
+    return rows.transform(in_batches, run, "node long, words binary, n int").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, pool: DataFrame, similarity: float) -> DataFrame:
@@ -215,12 +195,16 @@ def verified(pairs: DataFrame, pool: DataFrame, similarity: float) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            same = [similar(np.frombuffer(a, "<u4").astype(np.int64), np.frombuffer(b, "<u4").astype(np.int64), similarity) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            same = [similar(a.split(), b.split(), similarity) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays(list(batch.columns[:2]), ["node", "leader"]).filter(pa.array(same, pa.bool_()))
 
     return both.transform(in_batches, run, "node long, leader long")
 
 
+def short_hashes(data: bytes) -> np.ndarray:
+    return (word_hashes(data) >> np.uint64(48)).astype("<u2")
+
+
 def grams(words: np.ndarray, width: int) -> np.ndarray:
     """Hashes of (run of `width` words, number of its occurrence)."""
     if len(words) < width:
@@ -236,44 +220,111 @@ def common_grams(words: int, similarity: float, width: int) -> int:
     return max(1, int(np.ceil(words - (width - 1) - width * (1 - similarity) * words - 1e-6)))
 
 
-def open_pairs(labels: DataFrame, member: DataFrame, pool: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (node, leader) that share a bucket (bucket, node), are of different classes (node, label) and may be alignable; no alignable one is missing.
+def hashed_counts(texts: list[np.ndarray], width: int, places: int) -> np.ndarray:
+    """Each text's runs of `width` words, counted in `places` places by hash."""
+    found = [grams(w, width) for w in texts]
+    at = np.concatenate([np.empty(0, np.int64), *found]) & (places - 1)
+    at += np.repeat(np.arange(len(texts)), [len(f) for f in found]) * places
+    return np.bincount(at, minlength=len(texts) * places).reshape(len(texts), places).astype(np.float32)
+
+
+def possible(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Flags of the pairs of texts (as hashes of words) that may be alignable; all that are have theirs set. A product of counts isn't below the smaller of the two."""
+    a, b = (np.array([len(w) for w in side], np.float32) for side in (left, right))
+    longer, shorter = np.maximum(a[:, None], b[None, :]), np.minimum(a[:, None], b[None, :])
+    ok = longer - shorter <= (1 - similarity) * longer + 1e-3
+    mean = (a.sum() + b.sum()) / (len(a) + len(b))
+    places = int(np.clip(1 << int(16 * mean).bit_length(), 1024, 1 << 14))
+    for width in (1, 2):
+        common = hashed_counts(left, width, places) @ hashed_counts(right, width, places).T
+        ok &= common >= longer - (width - 1) - width * (1 - similarity) * longer - 1e-2
+    return ok
+
+
+def pairs_in_blocks(member: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (node, leader) of nodes of different labels that share a key of member (key, node) and may be alignable. known: node, label, words (short hashes) and n."""
+    member = member.join(known.select("node", "n", "label"), "node")
+    sizes = member.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("w"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
+    parts = F.ceil(F.greatest(F.col("c") / BLOCK_TEXTS, F.col("w") / BLOCK_WORDS)).cast("int")
+    rows = member.select("key", "node").join(sizes.select("key", parts.alias("parts")), "key")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node")
+    rows = rows.join(known.select("node", "label", "words"), "node").select("key", "lo", "hi", "own", "node", "label", "words")
+
+    def block(held):
+        own, node, label = (np.array([r[i] for r in held]) for i in range(3))
+        words = [np.frombuffer(r[3], "<u2") for r in held]
+        left = np.flatnonzero(own == own[0])
+        right = np.flatnonzero(own != own[0])
+        if not len(right):
+            right = left
+        ok = possible([words[i] for i in left], [words[i] for i in right], similarity) & (label[left][:, None] != label[right][None, :])
+        if right is left:
+            ok &= np.tri(len(left), k=-1, dtype=bool)
+        i, j = np.nonzero(ok)
+        i, j = node[left[i]], node[right[j]]
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(i, j)), pa.array(np.minimum(i, j))], ["node", "leader"])
 
-    Only buckets of three nodes or more count. If two texts must have c runs of words in common, then in any order of runs
-    they share one outside the last c - 1 of each. The order is by frequency, so runs of shared passages come last.
-    """
+    def run(batches):
+        held, last = [], None
+        for batch in batches:
+            for key, lo, hi, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and last != (key, lo, hi):
+                    # two blocks, one of which has no text, hold no pair
+                    if last[1] == last[2] or len({r[0] for r in held}) == 2:
+                        yield block(held)
+                    held = []
+                last = (key, lo, hi)
+                held.append(rest)
+        if held and (last[1] == last[2] or len({r[0] for r in held}) == 2):
+            yield block(held)
+
+    dealt = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "own", "node")
+    return dealt.transform(in_batches, run, "node long, leader long").distinct()
+
+
+def rare_pairs(known: DataFrame, similarity: float) -> DataFrame:
+    """key (a run of words) and node, for each node (node, words): its rarest runs, all but as many as it must have in common with a text that it can be aligned with, less one."""
     width = 2 if similarity >= 0.75 else 1
-    own = labels.select("node", "label")
-    inside = settled(member.select("bucket", "node").join(own, "node"), free=False)
-    mixed_up = inside.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).where("n > 2 AND a <> b")
-    inside = inside.join(mixed_up.select("bucket"), "bucket")
-    nodes = settled(inside.groupBy("node").agg(F.first("label").alias("label"), F.collect_set("bucket").alias("buckets")), free=False)
 
     def run(batches):
         for batch in (b.slice(i, 200) for b in batches for i in range(0, b.num_rows, 200)):
-            words = [np.frombuffer(w, "<u4") for w in batch.column(2).to_pylist()]
+            words = [np.frombuffer(w, "<u2") for w in batch.column(1).to_pylist()]
             found = [grams(w, width) for w in words]
             times = np.array([len(g) for g in found], np.int64)
-            repeat = lambda values, kind: pa.array(np.repeat(np.array(values, np.int64), times), kind)
-            columns = [repeat(batch.column(0).to_numpy(), pa.int64()), repeat(batch.column(1).to_numpy(), pa.int64()), repeat([len(w) for w in words], pa.int64()), repeat([common_grams(len(w), similarity, width) for w in words], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate([np.empty(0, np.int64), *found]), pa.int64())], ["node", "label", "words", "need", "gram"])
-
-    rows = nodes.select("node", "label").join(pool, "node").select("node", "label", "words")
-    rows = settled(rows.transform(in_batches, run, "node long, label long, words long, need long, gram long"), free=False)
-    # runs that one class alone has lead to no pair; they count as the rarest
-    often = rows.groupBy("gram").agg(F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("gram", "n")
-    order = Window.partitionBy("node").orderBy(F.col("n").desc(), "gram")
-    rare = rows.join(often, "gram").withColumn("place", F.row_number().over(order)).where("place >= need").select("gram", "node", "label", "words")
-    rare = settled(rare, free=False)
-    # by the other classes of a run, so that the pairs within a large class are never made
-    others = rare.select("gram", F.col("label").alias("other")).distinct()
-    sought = rare.join(others, "gram").where("label < other")
-    mates = rare.select("gram", F.col("label").alias("other"), F.col("node").alias("mate"), F.col("words").alias("size"))
-    fits = F.abs(F.col("words") - F.col("size")) <= F.floor(F.lit(1 - similarity) * F.greatest("words", "size") + 1e-9)
-    pairs = sought.join(mates, ["gram", "other"]).where(fits).select("node", "mate").distinct()
-    left = pairs.join(nodes.select("node", F.col("buckets").alias("a")), "node")
-    both = left.join(nodes.select(F.col("node").alias("mate"), F.col("buckets").alias("b")), "mate").where(F.arrays_overlap("a", "b"))
-    return both.select(F.greatest("node", "mate").alias("node"), F.least("node", "mate").alias("leader"))
+            need = np.array([common_grams(len(w), similarity, width) for w in words], np.int64)
+            node = batch.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, times)), pa.array(np.repeat(need, times)), pa.array(np.concatenate([np.empty(0, np.int64), *found]))], ["node", "need", "key"])
+
+    rows = settled(known.select("node", "words").transform(in_batches, run, "node long, need long, key long"), free=False)
+    often = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    # runs that one text alone has lead to no pair; they count as the rarest
+    order = Window.partitionBy("node").orderBy(F.col("c").desc(), "key")
+    return rows.join(often, "key").withColumn("place", F.row_number().over(order)).where("place >= need").select("key", "node")
+
+
+def open_pairs(labels: DataFrame, member: DataFrame, pool: DataFrame, similarity: float, crowd: int) -> DataFrame:
+    """Pairs (node, leader) that share a bucket (bucket, node), are of different classes (node, label) and may be alignable; no alignable one is missing. Buckets of two nodes have been settled before."""
+    inside = settled(member.select("bucket", "node").join(labels.select("node", "label"), "node"), free=False)
+    several = inside.groupBy("bucket").agg(F.count("*").alias("c"), F.min("label").alias("a"), F.max("label").alias("b")).where("c > 2 AND a <> b")
+    inside = settled(inside.join(several.select("bucket", "c"), "bucket").select(F.col("bucket").alias("key"), "node", "label", "c"), free=False)
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([short_hashes(x).tobytes() for x in batch.column(2).to_pylist()], pa.binary()), batch.column(3)], ["node", "label", "words", "n"])
+
+    wanted = inside.select("node", "label").distinct().join(pool, "node").select("node", "label", "words", "n")
+    known = settled(wanted.transform(in_batches, run, "node long, label long, words binary, n int"), free=False)
+    pairs = pairs_in_blocks(inside.where(F.col("c") <= crowd).select("key", "node"), known, similarity)
+    crowded = inside.where(F.col("c") > crowd).select("key", "node")
+    if not crowded.isEmpty():
+        buckets = settled(crowded.groupBy("node").agg(F.collect_list("key").alias("buckets")), free=False)
+        some = known.join(buckets.select("node"), "node")
+        found = pairs_in_blocks(rare_pairs(some, similarity), some, similarity)
+        found = found.join(buckets.select("node", F.col("buckets").alias("a")), "node").join(buckets.select(F.col("node").alias("leader"), F.col("buckets").alias("b")), "leader")
+        pairs = pairs.unionByName(found.where(F.arrays_overlap("a", "b")).select("node", "leader")).distinct()
+    return pairs
 
 
 def rooted(links: DataFrame) -> DataFrame:
@@ -306,17 +357,18 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
-def classes(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", similarity: float = SIMILARITY, sketches: int = SKETCHES, size: int = SIZE) -> DataFrame:
-    """node, class_id (smallest id of its class), label (smallest node of its class), first (the node of that id that stands for the class) and texts (different texts in the class) of each different text."""
+def settled_classes(docs: DataFrame, *, id_column: str, text_column: str, similarity: float = SIMILARITY, sketches: int = SKETCHES, size: int = SIZE, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+    """id and digest of each row of docs; and for each digest class_id (smallest id of its class), label (the digest of the text of that id that stands for the class) and texts (different texts in the class)."""
     rows = docs.select(F.col(id_column).alias("id"), text_or_empty(text_column).alias("text"))
     seen = settled(sketched(rows, sketches, size))
-    texts = settled(seen.groupBy("node").agg(F.min("id").alias("id")))
-    own = seen.join(texts.withColumnRenamed("id", "first"), "node").where(F.col("id").eqNullSafe(F.col("first")))
-    member = own.select("node", F.explode("buckets").alias("bucket"))
+    # nodes are numbers, for the sake of joins and sums; written once, so that they stay
+    texts = settled(seen.groupBy("digest").agg(F.min("id").alias("id")).withColumn("node", F.monotonically_increasing_id()))
+    own = seen.join(texts.withColumnRenamed("id", "least"), "digest").where(F.col("id").eqNullSafe(F.col("least"))).dropDuplicates(["node"])
+    member = settled(own.select("node", F.explode("buckets").alias("bucket")))
     full = settled(member.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1").select("bucket", "leader"))
     member = settled(member.join(full, "bucket"))
     candidates = settled(member.where("node <> leader").select("node", "leader").distinct())
-    pool = settled(word_pool(rows, texts.join(member.select("node").distinct(), "node").select("id", "node")))
+    pool = settled(word_pool(rows, texts.join(member.select("node").distinct(), "node")))
     # the smallest leader first; the rest only where that hasn't made them one class already
     links = settled(verified(candidates.groupBy("node").agg(F.min("leader").alias("leader")), pool, similarity))
     roots = settled(rooted(links))
@@ -342,38 +394,38 @@ def classes(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "t
     up = settled(between(found).groupBy(F.greatest("u", "v").alias("node")).agg(F.min(F.least("u", "v")).alias("leader")), free=False)
     above = rooted(up).select(F.col("node").alias("root"), F.col("root").alias("label"))
     labels = texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", F.col("node"))).join(above, "root", "left")
-    labels = settled(labels.select("node", "id", "root", F.coalesce("label", F.col("root")).alias("label")), free=False)
-    last = open_pairs(labels, member, pool, similarity).join(tried.unionByName(pairs.select("node", "leader")), ["node", "leader"], "left_anti")
+    labels = settled(labels.select("node", "id", "digest", "root", F.coalesce("label", F.col("root")).alias("label")), free=False)
+    last = open_pairs(labels, member, pool, similarity, crowd).join(tried.unionByName(pairs.select("node", "leader")), ["node", "leader"], "left_anti")
     more = settled(verified(settled(last, free=False), pool, similarity))
     # classes that these links join
     joined = components(between(found.unionByName(more))).select(F.col("node").alias("root"), F.col("label").alias("least"))
-    labels = labels.select("node", "id", "root").join(joined, "root", "left")
-    labels = settled(labels.select("node", "id", F.coalesce("least", F.col("root")).alias("label")), free=False)
-    smallest = settled(labels.groupBy("label").agg(F.min("id").alias("class_id"), F.min(F.struct(F.col("id").isNull(), "id", "node"))["node"].alias("first"), F.count("*").alias("texts")), free=False)
-    return settled(labels.join(smallest, "label").select("node", "class_id", "label", "first", "texts"))
+    labels = labels.select("node", "id", "digest", "root").join(joined, "root", "left")
+    labels = settled(labels.select("id", "digest", F.coalesce("least", F.col("root")).alias("class")), free=False)
+    first = F.min(F.struct(F.col("id").isNull(), "id", "digest"))["digest"]
+    smallest = settled(labels.groupBy("class").agg(F.min("id").alias("class_id"), first.alias("label"), F.count("*").alias("texts")), free=False)
+    return seen.select("id", "digest"), settled(labels.join(smallest, "class").select("digest", "class_id", "label", "texts"))
 
 
 def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """id, class_id, label (its class's own, as several classes may have one class_id), texts (different texts in its class) and kept (whether it is the class's first) of each row."""
-    known = classes(docs, id_column=id_column, text_column=text_column, **options)
-    own = nodes(docs.select(F.col(id_column).alias("id"), text_or_empty(text_column).alias("text")))
-    out = own.join(known, "node")
-    kept = F.col("id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("first"))
-    return out.select(F.col("id").alias(id_column), "class_id", "label", "texts", kept.alias("kept"))
+    rows, known = settled_classes(docs, id_column=id_column, text_column=text_column, **options)
+    kept = F.col("id").eqNullSafe(F.col("class_id")) & (F.col("digest") == F.col("label"))
+    return rows.join(known, "digest").select(F.col("id").alias(id_column), "class_id", F.lower(F.hex("label")).alias("label"), "texts", kept.alias("kept"))
 
 
 def one_of_each(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """docs with one row of each class: that of the smallest id and, among different texts of that id, of the smallest node."""
-    node, group = fresh(docs, "_node"), fresh(docs, "_class")
-    known = classes(docs, id_column=id_column, text_column=text_column, **options).where("node = first").select(F.col("node").alias(node), F.col("class_id").alias(group))
+    """docs with one row of each class: that of the smallest id and, among different texts of that id, of the smallest digest."""
+    own, group = fresh(docs, "_digest"), fresh(docs, "_class")
+    _, known = settled_classes(docs, id_column=id_column, text_column=text_column, **options)
+    known = known.where("digest = label").select(F.col("digest").alias(own), F.col("class_id").alias(group))
     place, width = docs.columns.index(text_column), len(docs.columns)
 
     def run(batches):
         for batch in batches:
-            own = pa.array([node_of(words_of(x or "")) for x in batch.column(place).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], own], [*batch.schema.names[:width], node])
+            found = pa.array([digest(compared_bytes(x or "")) for x in batch.column(place).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], found], [*batch.schema.names[:width], own])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{node}` long"
-    kept = docs.transform(in_batches, run, schema).join(known, node).where(F.col(id_column).eqNullSafe(F.col(group)))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{own}` binary"
+    kept = docs.transform(in_batches, run, schema).join(known, own).where(F.col(id_column).eqNullSafe(F.col(group)))
     # rows of one id and one text are one document
-    return kept.dropDuplicates([node]).select(*docs.columns)
+    return kept.dropDuplicates([own]).select(*docs.columns)

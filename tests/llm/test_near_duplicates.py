@@ -29,10 +29,10 @@ def test_banded_alignment():
             k = rng.randrange(len(b) + 1)
             b[k : k + rng.randrange(2)] = [rng.randrange(6)] * rng.randrange(2)
         most = rng.randint(0, 12)
-        x, y = np.array(a, np.int64), np.array(b, np.int64)
-        assert order_minhash.alignable(x, y, most) == (edit_distance(a, b) <= most)
-        if a and b and most and abs(len(a) - len(b)) <= most:
-            assert order_minhash.by_rows(x, y, most) == (edit_distance(a, b) <= most)
+        assert order_minhash.alignable(a, b, most) == (edit_distance(a, b) <= most)
+        long, short = (a, b) if len(a) >= len(b) else (b, a)
+        for band in range(max(1, len(long) - len(short)), len(long)):
+            assert order_minhash.within_band(long, short, band) == (edit_distance(a, b) <= band)
 
 
 def test_sketches_see_order_and_repeats():
@@ -72,7 +72,7 @@ def corpus():
 
 
 def brute(rows):
-    words = [order_minhash.words_of(t or "").astype(np.int64) for _, t in rows]
+    words = [order_minhash.compared_bytes(t or "").split() for _, t in rows]
     parent = list(range(len(rows)))
 
     def find(x):
@@ -118,21 +118,50 @@ def test_families_that_share_a_passage(spark):
     assert {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(docs).collect()} == expected
 
 
-def test_open_pairs_miss_no_alignable_pair(spark):
+@pytest.mark.parametrize("crowd", [1 << 20, 10])
+def test_open_pairs_miss_no_alignable_pair(spark, monkeypatch, crowd):
+    """Blocks of a few texts, and buckets by rare word pairs, against all pairs."""
+    monkeypatch.setattr(order_minhash, "BLOCK_TEXTS", 30)
     rng = random.Random(5)
     texts = []
     for _ in range(40):
         base = [rng.randrange(12) for _ in range(rng.randint(1, 30))]
         texts += [[x if rng.random() > 0.12 else rng.randrange(12) for x in base] for _ in range(4)]
-    texts = [np.array(x, "<u4") for x in {tuple(x) for x in texts}]
+    texts = [[b"%d" % x for x in t] for t in {tuple(x) for x in texts}]
     n = range(len(texts))
     labels = spark.createDataFrame([(i, i) for i in n], "node long, label long")
-    member = spark.createDataFrame([(i % 2, i) for i in n], "bucket long, node long")
-    pool = spark.createDataFrame([(i, bytearray(texts[i].tobytes())) for i in n], "node long, words binary")
+    member = spark.createDataFrame([(i % 2, i) for i in n] + [(5, i) for i in range(6)], "bucket long, node long")
+    pool = spark.createDataFrame([(i, bytearray(b" ".join(texts[i])), len(texts[i])) for i in n], "node long, words binary, n int")
     for similarity in (0.8, 0.6):
-        found = {tuple(r) for r in order_minhash.open_pairs(labels, member, pool, similarity).collect()}
-        wanted = {(i, j) for i in n for j in range(i) if (i - j) % 2 == 0 and order_minhash.similar(texts[i].astype(np.int64), texts[j].astype(np.int64), similarity)}
-        assert wanted and wanted <= found and all((i - j) % 2 == 0 for i, j in found)
+        found = {tuple(r) for r in order_minhash.open_pairs(labels, member, pool, similarity, crowd).collect()}
+        wanted = {(i, j) for i in n for j in range(i) if (i - j) % 2 == 0 and order_minhash.similar(texts[i], texts[j], similarity)}
+        assert wanted and wanted <= found and all((i - j) % 2 == 0 or i < 6 for i, j in found)
+
+
+def edited(rng, words, edits):
+    out = list(words)
+    for at in rng.sample(range(len(out)), edits):
+        out[at] = f"x{rng.randrange(10**9)}"
+    return out
+
+
+def linked_share(spark, rows, pairs):
+    found = {r["doc_id"]: r["label"] for r in order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    return sum(found[a] == found[b] for a, b in pairs) / len(pairs)
+
+
+@pytest.mark.parametrize("edits", [5, 12, 20])
+@pytest.mark.parametrize("shared", [0, 78])
+def test_recall(spark, edits, shared):
+    """Pairs of 100 words of which some are replaced at random places; all texts may share a passage, so that each is a candidate of each."""
+    rng = random.Random(edits)
+    passage = [f"p{i}" for i in range(shared)]
+    rows, pairs = [], []
+    for i in range(150):
+        base = passage + [f"w{rng.randrange(10**9)}" for _ in range(100 - shared)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(edited(rng, base, edits)))]
+        pairs.append((2 * i, 2 * i + 1))
+    assert linked_share(spark, rows, pairs) >= 0.9
 
 
 def test_classes_of_one_id(spark):
