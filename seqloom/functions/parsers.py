@@ -7,6 +7,7 @@ line end, so they take what Python's re takes.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -63,6 +64,8 @@ class Parser:
 
     name: str
     expression: Callable[[Column], Column]
+    #: Tells parsers of one name apart: rows that another one has parsed aren't used again.
+    code: str = ""
 
     def parse(self, lines: DataFrame) -> DataFrame:
         """Structured rows of lines (line_order, value); lines of another form are dropped."""
@@ -91,4 +94,19 @@ def python_parser(name: str, parse_line: Callable[[str], tuple | None]) -> Parse
         found = run(line)
         return F.when(found["ok"], F.struct(*(found[c].alias(c) for c in ("timestamp_unix_ms", "entity_id", "untemplated_message_text", "anomalous"))))
 
-    return Parser(name, expression)
+    return Parser(name, expression, code_of(parse_line))
+
+
+def code_of(function: Callable) -> str:
+    """A hash of a function's instructions and constants, those of functions within it too."""
+
+    def parts(code):
+        yield code.co_code + repr((code.co_names, code.co_varnames)).encode()
+        for constant in code.co_consts:
+            if hasattr(constant, "co_code"):
+                yield from parts(constant)
+            else:
+                yield repr(constant).encode()
+
+    own = getattr(function, "__code__", None)
+    return hashlib.sha256(b"\0".join(parts(own)) if own else repr(function).encode()).hexdigest()

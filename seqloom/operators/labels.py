@@ -23,6 +23,12 @@ def inline_line_labels(rows: DataFrame) -> DataFrame:
     return rows.where(is_anomalous(F.col("anomalous"))).select("line_order", F.col("anomalous").alias("label"))
 
 
+def with_line_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows with `anomalous` from a table of labels (line_order, label) where it has their line; the table may be large: Spark chooses the join."""
+    found = labels.groupBy("line_order").agg(F.max("label").alias("_label"))
+    return rows.join(found, "line_order", "left").withColumn("anomalous", F.coalesce(F.col("_label").cast("long"), "anomalous")).select(*rows.columns)
+
+
 def inline_group_labels(rows: DataFrame) -> DataFrame:
     """entity_id and the label of its first anomalous row."""
     marked = rows.where(is_anomalous(F.col("anomalous")) & F.col("entity_id").isNotNull())

@@ -138,12 +138,16 @@ class ParameterModel:
     validation: float = 0.3
     confidence: float = 0.98
 
-    def series(self, values: DataFrame, scale: DataFrame) -> DataFrame:
-        """window_id, pos, template and residual: mean squared distance, over its features, of an event's values to the mean of the last `history` in its series."""
+    def guesses(self, values: DataFrame, scale: DataFrame) -> DataFrame:
+        """values with x (normalised), guess (the mean of the last `history` in its series), mean and std, where there are as many before."""
         rows = values.join(scale, ["template", "feature"]).withColumn("x", (F.col("value") - F.col("mean")) / F.col("std"))
         own = Window.partitionBy("window_id", "template", "feature").orderBy("pos")
         past = own.rowsBetween(-self.history, -1)
-        rows = rows.withColumn("guess", F.avg("x").over(past)).withColumn("seen", F.count("x").over(past)).where(F.col("seen") == self.history)
+        return rows.withColumn("guess", F.avg("x").over(past)).withColumn("seen", F.count("x").over(past)).where(F.col("seen") == self.history)
+
+    def series(self, values: DataFrame, scale: DataFrame) -> DataFrame:
+        """window_id, pos, template and residual: mean squared distance of an event's values to their guesses, over its features."""
+        rows = self.guesses(values, scale)
         error = (F.col("x") - F.col("guess")) * (F.col("x") - F.col("guess"))
         return rows.groupBy("window_id", "pos", "template").agg(F.avg(error).alias("residual"))
 
@@ -168,6 +172,15 @@ class FittedParameterModel:
         return series.join(self.bounds, "template").select("window_id", "pos", "template", "residual", (F.col("residual") - F.col("upper")).alias("margin"), (F.col("residual") > F.col("upper")).alias("anomalous"))
 
 
+    def explained(self, members: DataFrame) -> DataFrame:
+        """window_id, pos, template and the feature whose value is furthest from its guess, with both as they were before normalising; of equal ones the first by name."""
+        rows = self.config.guesses(parameter_values(members), self.scale).where("x IS NOT NULL")
+        expected = F.col("guess") * F.col("std") + F.col("mean")
+        off = F.abs(F.col("value") - expected)
+        best = F.min_by(F.struct("feature", F.col("value").alias("observed"), expected.alias("expected")), F.struct((-off).alias("off"), "feature"))
+        return rows.groupBy("window_id", "pos", "template").agg(best.alias("b")).select("window_id", "pos", "template", "b.*")
+
+
 def predict_jointly(keys: FittedKeyModel, parameters: FittedParameterModel, members: DataFrame, sequences: DataFrame) -> DataFrame:
     """Anomalous if any event's key is, or its parameters where its key passed; the score is the largest of 1 - p of anomalous keys and margins above the bound, else 0."""
     events = keys.events(members).select("window_id", "pos", F.col("anomalous").alias("key"), "p")

@@ -13,6 +13,7 @@ Defined results: a null message has no template; nor has a message that no templ
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,17 @@ def leading(tokens: Column) -> Column:
     return F.when(first.rlike(r"\d"), WILDCARD).otherwise(F.coalesce(first, F.lit("")))
 
 
+class FittedTemplates(Protocol):
+    def transform(self, rows: DataFrame) -> DataFrame:
+        """rows with template and params."""
+
+
+class TemplateParser(Protocol):
+    """What a dataset takes to make templates of messages."""
+
+    def fit(self, rows: DataFrame) -> FittedTemplates: ...
+
+
 @dataclass(frozen=True)
 class IdentityParser:
     """Each message is its own template, without parameters."""

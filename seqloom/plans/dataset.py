@@ -14,17 +14,25 @@ import shutil
 from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 from pathlib import Path
+from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 
 from seqloom.functions.parsers import Parser, parser
 from seqloom.operators.labels import has_inline_labels, inline_group_labels
 from seqloom.operators.sequences import EntitySequences, FixedWindows, TimeWindows
-from seqloom.operators.templates import DrainParser, IdentityParser
+from seqloom.operators.templates import DrainParser, TemplateParser
 from seqloom.sources.raw import RemoteZip, Source, numbered_lines
 from seqloom.sources.store import StructuredStore, csv_labels
 
 
+class LabelReader(Protocol):
+    """What a dataset takes to label its entities."""
+
+    def load(self, spark: SparkSession, root: Path) -> DataFrame:
+        """entity_id and label; root is the folder of the raw log."""
+
+
 @dataclass(frozen=True)
 class CsvLabels:
     """A label table beside the log; words that mean normal and anomalous, other labels are numbers."""
@@ -61,8 +69,8 @@ class DatasetSpec:
     name: str
     source: Source | None = None
     parser: Parser | None = None
-    labels: CsvLabels | None = None
-    templates: DrainParser | IdentityParser = field(default_factory=DrainParser)
+    labels: LabelReader | None = None
+    templates: TemplateParser = field(default_factory=DrainParser)
     cache: str = "cache"
 
     def from_source(self, source: Source) -> DatasetSpec:
@@ -71,10 +79,10 @@ class DatasetSpec:
     def parse_with(self, own: Parser | str) -> DatasetSpec:
         return replace(self, parser=parser(own) if isinstance(own, str) else own)
 
-    def label_with(self, labels: CsvLabels) -> DatasetSpec:
+    def label_with(self, labels: LabelReader) -> DatasetSpec:
         return replace(self, labels=labels)
 
-    def template_with(self, templates) -> DatasetSpec:
+    def template_with(self, templates: TemplateParser) -> DatasetSpec:
         return replace(self, templates=templates)
 
     def with_cache(self, path: str) -> DatasetSpec:
@@ -89,7 +97,7 @@ class DatasetSpec:
 
     def fingerprint(self, log: Path) -> str:
         stat = log.stat()
-        return stable_hash({"log": str(log.resolve()), "size": stat.st_size, "changed": stat.st_mtime_ns, "parser": self.parser.name})
+        return stable_hash({"log": str(log.resolve()), "size": stat.st_size, "changed": stat.st_mtime_ns, "parser": self.parser.name, "code": self.parser.code})
 
     def build(self, spark: SparkSession) -> Templated:
         """An error where there is no source or parser, or where neither inline labels nor a label table exist."""

@@ -3,36 +3,41 @@
 A sweep names a dataset file and a model file; each axis has a dotted path (sweep.model, dataset.sequence.x,
 model.x) and values. Runs are the product of the axes. Results go to a folder named by a hash of the whole
 resolved configuration, so a run that is there already is left alone.
+
+    python -m seqloom.plans.experiments sweep.toml --configs configs --results results [--workers 4] [--force] [--write-predictions]
 """
 
 from __future__ import annotations
 
+import argparse
 import json
+import logging
+import os
 import platform
 import re
 import tomllib
+from concurrent.futures import ThreadPoolExecutor
 from copy import deepcopy
 from dataclasses import dataclass
 from itertools import product
 from pathlib import Path
 
 import pyspark
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions.parsers import parser
-from seqloom.operators.bayes import BERNOULLI, COMPLEMENT, MULTINOMIAL, NaiveBayes
-from seqloom.operators.contexts import ContextModel
-from seqloom.operators.frequency import TemplateFrequency
+from seqloom.operators.detectors import detector
 from seqloom.operators.metrics import label_histograms, run_metrics
-from seqloom.operators.next_event import KeyModel, ParameterModel, predict_jointly
-from seqloom.operators.representations import phrase_counts
-from seqloom.operators.sequences import Sequences, SequenceBuilder, nested, split_summary, validate_fractions
+from seqloom.operators.sequences import SequenceBuilder, nested, split_summary, validate_fractions
 from seqloom.operators.templates import template_parser
 from seqloom.plans.dataset import CsvLabels, DatasetSpec, Templated, preset, stable_hash
-from seqloom.schemas import TEST
+from seqloom.schemas import IGNORED, TEST, TRAIN
+from seqloom.session import session
 from seqloom.sources.raw import LocalDir, LocalZip, RemoteZip
 
+log = logging.getLogger(__name__)
+SPLITS = (TRAIN, IGNORED, TEST)
 GROUPINGS = {"entity": set(), "fixed": {"window_size"}, "time": {"time_span_ms"}}
 
 
@@ -142,41 +147,6 @@ def builder_of(templated: Templated, s: dict) -> SequenceBuilder:
     return templated.group_by_entity(train_on_normal_entities_only=s.get("train_on_normal_entities_only", False), **fractions)
 
 
-def phrase_model(form: str):
-    def run(built: Sequences, m: dict) -> DataFrame:
-        features = phrase_counts(built.members, m.get("phrase_ngram_min", 1), m.get("phrase_ngram_max", 2))
-        model = NaiveBayes(form, m.get("smoothing", 1.0), m.get("top_k_phrases", 5), m.get("anomalous_posterior_threshold", 0.5)).fit(features, built.sequences)
-        return model.predict(features, built.sequences)
-
-    return run
-
-
-def frequency_model(built: Sequences, m: dict) -> DataFrame:
-    model = TemplateFrequency(m.get("smoothing", 1.0), m.get("score_threshold_quantile", 0.95), m.get("score_threshold"))
-    return model.fit(built.members, built.sequences).predict(built.members, built.sequences)
-
-
-def key_model(built: Sequences, m: dict) -> DataFrame:
-    keys = KeyModel(m.get("history_size", 10), m.get("top_g", 9), strict=True).fit(built.members, built.sequences)
-    parameters = ParameterModel(m.get("history_size", 10)).fit(built.members, built.sequences)
-    return predict_jointly(keys, parameters, built.members, built.sequences)
-
-
-def context_model(built: Sequences, m: dict) -> DataFrame:
-    return ContextModel(m.get("context_length", 10), int(m.get("timeout_seconds", 86_400) * 1000), m.get("min_samples", 5)).fit(built.members, built.sequences).predict(built.members, built.sequences)
-
-
-#: Detector name -> (sequences, settings) -> predictions.
-DETECTORS = {
-    "template_frequency": frequency_model,
-    "naive_bayes": phrase_model(MULTINOMIAL),
-    "bernoulli_nb": phrase_model(BERNOULLI),
-    "complement_nb": phrase_model(COMPLEMENT),
-    "next_event": key_model,
-    "context": context_model,
-}
-
-
 def write_json(path: Path, value) -> None:
     path.write_text(json.dumps(value, indent=2, sort_keys=True, default=str) + "\n")
 
@@ -186,27 +156,65 @@ def run_one(spark: SparkSession, run: Run, base: Path, results: Path, *, force:
     folder = results / f"{run.name}-{run.fingerprint[:12]}"
     if (folder / "metrics.json").exists() and not force:
         return folder
-    detector = run.model.get("detector")
-    if detector not in DETECTORS:
-        raise KeyError(f"unknown detector {detector!r}; known: {', '.join(sorted(DETECTORS))}")
+    own = detector(run.model)
     folder.mkdir(parents=True, exist_ok=True)
+    log.info("%s: building sequences", run.name)
     templated = dataset_spec(run.dataset, base, str(results / "cache")).build(spark)
     builder = builder_of(templated, run.dataset.get("sequence", {}))
     built = builder.build()
-    predictions = DETECTORS[detector](built, run.model)
-    metrics = run_metrics(predictions).first().asDict()
+    log.info("%s: fitting %s", run.name, run.model["detector"])
+    fitted = own.fit(built)
+    predictions = fitted.predict(built)
+    metrics = run_metrics(predictions).first().asDict() | fitted.metrics(built)
     labels = [r.asDict() for r in label_histograms(built.sequences).orderBy("split_label", "label").collect()]
     write_json(folder / "config.json", run.config)
     write_json(folder / "dataset_manifest.json", {"fingerprint": run.fingerprint, "split": split_summary(built, builder).first().asDict(), "labels": labels})
+    counts = {split: sum(x["n"] for x in labels if x["split_label"] == split) for split in SPLITS}
+    write_json(folder / "model_manifest.json", {"detector": run.model["detector"], "sequences": counts, "labels": labels, "model": fitted.manifest()})
     write_json(folder / "environment.json", {"python": platform.python_version(), "spark": pyspark.__version__, "machine": platform.platform()})
     if write_predictions:
         ids = nested(built).select("window_id", "entity_ids", F.size("events").alias("events"))
-        predictions.where(F.col("split_label") == TEST).join(ids, "window_id").write.mode("overwrite").json(str(folder / "predictions"))
+        rows = predictions.where(F.col("split_label") == TEST).join(ids, "window_id")
+        # in order within files and from file to file
+        rows.repartitionByRange("window_id").sortWithinPartitions("window_id").write.mode("overwrite").json(str(folder / "predictions"))
+    log.info("%s: done", run.name)
     # last, as its presence says that the run is complete
     write_json(folder / "metrics.json", metrics)
     return folder
 
 
-def run_sweep(spark: SparkSession, sweep: Path, configs: Path, results: Path, **options) -> list[Path]:
-    """All runs of a sweep one after another in one session; Spark spreads each over the cluster."""
-    return [run_one(spark, r, sweep.parent, results, **options) for r in expand(sweep, configs / "datasets", configs / "models")]
+def workers(wanted: int | str, runs: int) -> int:
+    """How many runs are under way at a time; "auto": all, up to the machine's cores."""
+    if wanted == "auto":
+        return max(1, min(runs, os.cpu_count() or 1))
+    if not isinstance(wanted, int) or wanted < 1:
+        raise ValueError(f"max_workers must be a positive number or 'auto': {wanted!r}")
+    return min(wanted, max(1, runs))
+
+
+def run_sweep(spark: SparkSession, sweep: Path, configs: Path, results: Path, *, max_workers: int | str | None = None, **options) -> list[Path]:
+    """All runs of a sweep, `max_workers` (else the sweep's own, else one) at a time in one session: Spark spreads the jobs of each over the cluster."""
+    runs = expand(sweep, configs / "datasets", configs / "models")
+    if not runs:
+        raise ValueError(f"{sweep}: no runs")
+    own = read_toml(sweep).get("max_workers", 1) if max_workers is None else max_workers
+    with ThreadPoolExecutor(workers(own, len(runs))) as pool:
+        return list(pool.map(lambda r: run_one(spark, r, sweep.parent, results, **options), runs))
+
+
+def main(arguments: list[str] | None = None) -> None:
+    options = argparse.ArgumentParser(prog="seqloom.plans.experiments", description="Runs the experiments of a sweep.")
+    options.add_argument("sweep", type=Path)
+    options.add_argument("--configs", type=Path, help="folder of datasets/ and models/ (default: that of the sweep)")
+    options.add_argument("--results", type=Path, default=Path("results"))
+    options.add_argument("--workers", type=lambda x: x if x == "auto" else int(x))
+    options.add_argument("--force", action="store_true", help="run again what is there")
+    options.add_argument("--write-predictions", action="store_true")
+    given = options.parse_args(arguments)
+    logging.basicConfig(level=logging.INFO, format="%(asctime)s %(message)s")
+    for folder in run_sweep(session("experiments"), given.sweep, given.configs or given.sweep.parent, given.results, max_workers=given.workers, force=given.force, write_predictions=given.write_predictions):
+        print(folder)
+
+
+if __name__ == "__main__":
+    main()

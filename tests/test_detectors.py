@@ -170,3 +170,22 @@ def test_templates_in_parts_null_messages_and_reload(spark, monkeypatch, tmp_pat
     assert found[3] == ("took <:*:> from cache", ["gh"]) and found[13] == (None, None)
     with pytest.raises(Exception, match="no template"):
         model.transform(rows, strict=True).collect()
+
+
+def test_furthest_feature(spark):
+    params = lambda a, b: [str(a), str(b)]
+    rows = [(0, p, "t", params(10 + p % 2, 5), 1000 * p, None) for p in range(8)] + [(1, p, "t", params(10 + p % 2, 5 if p < 5 else 900), 1000 * p, None) for p in range(6)]
+    members = spark.createDataFrame(rows, MEMBERS)
+    sequences = spark.createDataFrame([(0, 0, "train"), (1, 0, "test")], "window_id long, label int, split_label string")
+    found = {(r["window_id"], r["pos"]): r for r in ParameterModel().fit(members, sequences).explained(members).collect()}
+    odd = found[1, 5]
+    assert (odd["feature"], odd["observed"]) == ("param_1", 900.0) and odd["expected"] == pytest.approx(5)
+    assert found[1, 4]["feature"] == "param_0" and found[1, 4]["expected"] == pytest.approx(10.5)
+
+
+def test_line_labels_from_a_table(spark):
+    from seqloom.operators.labels import with_line_labels
+
+    rows = spark.createDataFrame([(0, "a", None), (1, "b", 0), (2, "c", 1)], "line_order long, entity_id string, anomalous long")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (9, 1)], "line_order long, label int")
+    assert sorted(map(tuple, with_line_labels(rows, labels).collect())) == [(0, "a", None), (1, "b", 1), (2, "c", 0)]

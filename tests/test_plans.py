@@ -1,8 +1,10 @@
 """Datasets from raw logs and experiments from TOML."""
 
 import json
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from seqloom.operators.templates import IdentityParser
 from seqloom.plans.dataset import CsvLabels, DatasetSpec, preset
@@ -53,7 +55,7 @@ def test_sweep(spark, logs):
     for name, text in {
         "datasets/tiny": 'dataset_name = "tiny"\nstructured_parser = "bgl"\ntemplate_parser = "identity"\n[source]\ntype = "local_dir"\npath = "."\n[sequence]\ngrouping = "fixed"\nwindow_size = 3\nstep = 2\ntrain_fraction = 0.34\ntest_fraction = 0.25\n',
         "models/tf": 'detector = "template_frequency"\nscore_threshold = 0.3\n',
-        "models/key": 'detector = "next_event"\nhistory_size = 1\n',
+        "models/key": 'detector = "next_event"\nhistory_size = 1\nmixed_entities = true\n',
     }.items():
         (logs / name).parent.mkdir(exist_ok=True)
         (logs / f"{name}.toml").write_text(text)
@@ -64,6 +66,10 @@ def test_sweep(spark, logs):
     folders = run_sweep(spark, sweep, logs, logs / "results", write_predictions=True)
     metrics = json.loads((folders[0] / "metrics.json").read_text())
     assert sum(metrics[k] for k in ("tp", "tn", "fp", "fn")) == 1
+    model = json.loads((folders[0] / "model_manifest.json").read_text())
+    assert model["detector"] == "template_frequency" and model["model"]["threshold"] == 0.3 and model["sequences"]["test"] == 1
+    key = json.loads((folders[2] / "metrics.json").read_text())
+    assert key["next_event"]["events"] >= key["next_event"]["eligible"] and "parameter_templates" in json.loads((folders[2] / "model_manifest.json").read_text())["model"]
     labels = json.loads((folders[0] / "dataset_manifest.json").read_text())["labels"]
     assert sorted((x["split_label"], x["n"]) for x in labels) in ([("ignored", 1), ("test", 1), ("train", 1), ("train", 1)], [("ignored", 1), ("test", 1), ("train", 2)])
     stamp = (folders[0] / "metrics.json").stat().st_mtime_ns
@@ -72,3 +78,58 @@ def test_sweep(spark, logs):
     bad.write_text('name = "b"\ndataset = "tiny"\nmodel = "tf"\n[[axes]]\npath = "dataset.sequence.grouping"\nvalues = ["spiral"]\n')
     with pytest.raises(ValueError):
         expand(bad, logs / "datasets", logs / "models")
+
+
+def test_command_line_and_own_detectors(spark, logs, capsys):
+    from seqloom.operators import detectors
+    from seqloom.plans import experiments
+
+    class Fixed:
+        def fit(self, built):
+            return self
+
+        def predict(self, built):
+            return built.sequences.withColumn("score", F.lit(1.0)).withColumn("predicted_label", F.lit(1))
+
+        def manifest(self):
+            return {"kind": "fixed"}
+
+        def metrics(self, built):
+            return {"own": 1}
+
+    detectors.register("fixed", lambda settings: Fixed())
+    try:
+        with pytest.raises(ValueError):
+            detectors.register("fixed", lambda settings: Fixed())
+        for name, text in {
+            "datasets/tiny": 'dataset_name = "tiny"\nstructured_parser = "bgl"\ntemplate_parser = "identity"\n[source]\ntype = "local_dir"\npath = "."\n[sequence]\ngrouping = "fixed"\nwindow_size = 3\n',
+            "models/own": 'detector = "fixed"\n',
+            "models/key": 'detector = "next_event"\n',
+        }.items():
+            (logs / name).parent.mkdir(exist_ok=True)
+            (logs / f"{name}.toml").write_text(text)
+        sweep = logs / "sweep.toml"
+        sweep.write_text('name = "own"\ndataset = "tiny"\nmodel = "own"\nmax_workers = "auto"\n[[axes]]\npath = "dataset.sequence.train_fraction"\nvalues = [0.1, 0.2]\n')
+        experiments.main([str(sweep), "--results", str(logs / "results")])
+        folders = [Path(x) for x in capsys.readouterr().out.split()]
+        assert len(folders) == 2 and all(json.loads((f / "metrics.json").read_text())["own"] == 1 for f in folders)
+        # sequences of several entities
+        sweep.write_text('name = "key"\ndataset = "tiny"\nmodel = "key"\n')
+        with pytest.raises(ValueError, match="one entity"):
+            experiments.run_sweep(spark, sweep, logs, logs / "results")
+    finally:
+        del detectors.DETECTORS["fixed"]
+    assert experiments.workers("auto", 1) == 1 and experiments.workers(3, 2) == 2
+    with pytest.raises(ValueError):
+        experiments.workers("many", 2)
+
+
+def test_changed_parser_of_one_name(spark, logs):
+    from seqloom.functions.parsers import python_parser
+
+    spec = DatasetSpec("own").from_source(LocalDir(logs)).template_with(IdentityParser()).with_cache(str(logs / "cache"))
+    (logs / "own.log").write_text("a\nb\n")
+    first = spec.parse_with(python_parser("mine", lambda line: (1, "e", line, 1))).build(spark).rows
+    assert {r["untemplated_message_text"] for r in first.collect()} == {"a", "b"}
+    second = spec.parse_with(python_parser("mine", lambda line: (1, "e", line + "!", 1))).build(spark).rows
+    assert {r["untemplated_message_text"] for r in second.collect()} == {"a!", "b!"}
