@@ -3,9 +3,9 @@
 A token is a run of letters and digits (any byte beyond ASCII counts as one) or a run of other visible
 characters, in the case it has. Single tokens and pairs of neighbours are hashed into 2**bits places, and a token that repeats the one before it counts at one more place;
 a document is the sparse vector of their counts divided by the square root of their number. Training
-takes a bounded sample of the labelled rows (`max_rows`, those of the smallest hashes of their ids), makes
-their vectors where they are read, and updates per-coordinate FTRL-proximal weights in the order of
-the hashes. Scoring is one pass of sparse dot products in the tasks that read the texts; the weights
+takes a bounded sample of the labelled rows (`max_rows` labels, those of the smallest hashes of their ids, and of the documents
+that have them again `max_rows`), makes their vectors where they are read, and updates per-coordinate FTRL-proximal weights in
+the order of the hashes. Scoring is one pass of sparse dot products in the tasks that read the texts; the weights
 (2**bits floats) are broadcast.
 
 Defined results: a null or empty text, or one without tokens, gets the score of the bias; rows without a
@@ -124,15 +124,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_column: str = "quality", id
     def vectors(batches):
         for batch in batches:
             places, values = [], []
-            for text in batch.column(1).to_pylist():
+            texts = batch.column(1).to_pylist()
+            for text in texts:
                 own, _ = hashed([text.encode()], bits)
                 at, n = np.unique(own, return_counts=True)
                 places.append(at.astype(np.int32))
                 values.append((n / np.sqrt(max(len(own), 1))).astype(np.float32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(places, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], ["id", "label", "places", "of"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(places, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32())), batch.column(3)], ["id", "label", "places", "of", "own"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    sparse = rows.select("id", "text", "label").transform(in_batches, vectors, f"id {kind}, label int, places array<int>, of array<float>")
+    sparse = rows.select("id", "text", "label", F.xxhash64("text").alias("own")).transform(in_batches, vectors, f"id {kind}, label int, places array<int>, of array<float>, own long")
 
     def train(batches):
         model, held = Ftrl(bits), []
@@ -146,7 +147,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_column: str = "quality", id
         used = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array([used.astype(np.int32)], pa.list_(pa.int32())), pa.array([w[used].astype(np.float32)], pa.list_(pa.float32()))], ["places", "weights"])
 
-    learnt = sparse.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id", "label").transform(in_batches, train, "places array<int>, weights array<float>").collect()
+    # one id may have many documents: the bound holds for what reaches the task that learns
+    learnt = sparse.orderBy(F.xxhash64("id"), "id", "label", "own").limit(max_rows).transform(in_batches, train, "places array<int>, weights array<float>").collect()
     weights = np.zeros((1 << bits) + 1, np.float32)
     for row in learnt:
         weights[np.array(row["places"], np.int64)] = row["weights"]
