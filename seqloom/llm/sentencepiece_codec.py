@@ -1,11 +1,10 @@
 """SentencePiece encoding and decoding with an Aho-Corasick automaton and a single-pass Viterbi.
 
 The automaton over all pieces walks the text once. At each position its output links give every piece
-that ends there, longest first, and each is tried against the best path at its start. For unigram
-models the best path is the one of the highest score. A BPE model has no such score: there a piece may
-follow the path's last piece only if the two, side by side, would not have been merged otherwise, and
-exactly one piece that ends at a position can follow; that keeps the single pass and gives the
-library's own ids, which a sum of scores does not.
+that ends there, longest first, and each relaxes the best score of the position by that of the path at its start and its own.
+For unigram models all paths count. In a BPE model the highest sum of scores isn't what the library gives (a test has the
+counter-examples): there a piece may follow a path's last piece only if the two, side by side, would not have been merged otherwise. The
+best of those paths has the library's own ids.
 
 Defined results: a null or empty text has no ids; the dummy space before a text is dropped in decoding;
 a character in no piece becomes its bytes; equal texts get equal ids; texts of any length are walked word
@@ -163,20 +162,22 @@ class SentencePieceCodec:
         return [x for piece, own in reversed(path) for x in ((piece,) if piece >= 0 else self.fallback(own))]
 
     def best_bpe(self, text: str) -> tuple[list[int], list[int]]:
-        """Of each position the last piece of its path and that piece's length; -1: nothing before, or a character in no piece."""
-        goto, step, ends, compatible, pieces = self.automaton.goto, self.automaton.step, self.automaton.ends, self.compatible, self.size
-        last, size, node = [-1], [0], 0
+        """Of each position the last piece of its best path and that piece's length; -1: nothing before, or a character in no piece.
+
+        The best path is that of the highest sum of scores among the paths of which BPE would leave all neighbours side by side.
+        """
+        goto, step, ends, compatible, pieces, score = self.automaton.goto, self.automaton.step, self.automaton.ends, self.compatible, self.size, self.score
+        best, last, size, node = [0.0], [-1], [0], 0
         for i, c in enumerate(text, 1):
             node = goto[node].get(c) or step(node, c)
-            for piece, length in ends[node]:
-                before = last[i - length]
-                if before < 0 or compatible[before * pieces + piece]:
-                    last.append(piece)
-                    size.append(length)
-                    break
-            else:
-                last.append(-1)
-                size.append(1)
+            top, own, length = NEVER, -1, 1
+            for piece, n in ends[node]:
+                before = last[i - n]
+                if (before < 0 or compatible[before * pieces + piece]) and (s := best[i - n] + score[piece]) > top:
+                    top, own, length = s, piece, n
+            best.append(top if own >= 0 else best[i - 1])
+            last.append(own)
+            size.append(length)
         return last, size
 
     def best_unigram(self, text: str) -> tuple[list[int], list[int]]:

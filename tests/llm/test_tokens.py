@@ -40,6 +40,24 @@ def test_sentencepiece_gives_the_library_ids(real_texts):
         assert own.decode(ids) == text.replace("▁", " ") or "�" in text
 
 
+def test_sums_of_scores_alone_do_not_give_bpe_ids(real_texts):
+    """Why a piece of a BPE model may not follow every other one."""
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+
+    class Sums(sentencepiece_codec.SentencePieceCodec):
+        def best_bpe(self, text):
+            return self.best_unigram(text)
+
+    own, sums, unlike = sentencepiece_codec.SentencePieceCodec(path), Sums(path), 0
+    for word in sorted({w for t in real_texts[:60] if t for w in t.split()})[:2000]:
+        assert own.encode(word).tolist() == library.encode(word)
+        unlike += sums.encode(word).tolist() != library.encode(word)
+    assert unlike
+
+
 def test_unigram_viterbi_is_the_best_of_all_ways():
     class Small(sentencepiece_codec.SentencePieceCodec):
         def __init__(self):
