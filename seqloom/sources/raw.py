@@ -144,8 +144,11 @@ class RemoteZip:
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """line_order (from 0, without gaps) and value of the lines of one file, in any number of tasks.
 
-    Partitions of one file stand in its order; their sizes, one row each, give the first number of each.
+    Partitions of one file stand in its order; their sizes, one row each, give the first number of each. A folder or pattern of
+    several files has no such order: an error (see numbered_files).
     """
+    if len(files := spark.read.text(path).inputFiles()) != 1:
+        raise ValueError(f"{path}: lines are numbered in one file, not in {len(files)}")
     lines = spark.read.text(path).select("value", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m"))
     # the lower 33 bits of the id are the row's place in its partition
     lines = lines.withColumn("_at", F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m")

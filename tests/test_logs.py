@@ -170,3 +170,10 @@ def test_java_patterns_are_the_python_ones():
 
     assert re.match(HDFS, "081109 203518 143 INFO a: b").group(5) == "a"
     assert re.match(BGL, "- 1 2005.06.03 X 2005-06-03-15.42.50.1 X A B C d").group(7) == "A B C d"
+
+
+def test_lines_of_several_files_are_not_numbered_as_one(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / name).write_text("x\ny\n")
+    with pytest.raises(ValueError, match="one file"):
+        numbered_lines(spark, str(tmp_path))
