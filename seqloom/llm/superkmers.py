@@ -9,7 +9,8 @@ super-k-mer: `length - 1` units more than it has windows.
 2. A minimiser that occurs once is done with. Occurrences of one content are counted before the shuffle,
    so a text with thousands of copies weighs no more than one row in each task.
 3. One of each content travels as a packed string, with its count and smallest id, to its minimiser's
-   bucket, where a caller's `compare` sorts the windows and counts them.
+   bucket, where a caller's `compare` sorts the windows and counts them. A super-k-mer has no window twice, so where a
+   minimiser has one content alone there is nothing to sort: each of its windows occurs as often as it does.
 4. A bucket of more than `hot` bytes (a passage in very many contexts) would fill one task. Its strings are cut
    again by a second minimiser of another order of hashes; pieces are counted and compared as strings were.
    What is too large even then is cut into its windows, each of which is a string of its own.
@@ -301,13 +302,16 @@ def repeated_spans(docs: DataFrame, kind: Kind, repeats: str, *, id_column: str
     anchors = settled(anchors.where("total > 1" if repeats == ANYWHERE else "low < high").select("a"))
     seen = settled(super_kmer_rows(keyed, kind, contents=True).join(anchors, "a"))
     kinds = settled(seen.groupBy("a", "s").agg(F.count("*").alias("times"), F.min("id").alias("first"), F.max("size").alias("size"), F.min(F.struct("id", "row", "at", "n")).alias("rep")))
-    crowds = settled(kinds.groupBy("a").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > hot)).select("a", F.lit(True).alias("hot"))
-    strings = packed_strings(kinds.join(crowds, "a", "left").withColumn("hot", F.coalesce("hot", F.lit(False))), keyed, kind)
-    if crowds.isEmpty():
+    sizes = settled(kinds.groupBy("a").agg(F.count("*").alias("different"), F.sum("size").alias("bytes")), free=False)
+    strings = packed_strings(kinds.join(sizes.where("different > 1").select("a", (F.col("bytes") > hot).alias("hot")), "a"), keyed, kind)
+    if sizes.where((F.col("different") > 1) & (F.col("bytes") > hot)).isEmpty():
         runs = compared(strings, kind, repeats)
     else:
         strings = settled(strings)
         runs = compared(strings.where("not hot"), kind, repeats).unionByName(cut_again(strings.where("hot"), kind, 1, repeats, hot))
+    if repeats == ANYWHERE:
+        alone = kinds.where("times > 1").join(sizes.where("different = 1").select("a"), "a")
+        runs = runs.unionByName(alone.select("a", "s", F.array(F.struct(F.lit(0).alias("lo"), F.col("rep.n").alias("hi"))).alias("runs")))
     known = settled(kinds.select("a", "s", "first").join(runs, ["a", "s"], "left"))
     whole = F.array(F.struct(F.col("at").alias("start"), (F.col("at") + F.col("n") + (kind.length - 1)).alias("end")))
     part = F.transform("runs", lambda r: F.struct((F.col("at") + r["lo"]).alias("start"), (F.col("at") + r["hi"] + (kind.length - 1)).alias("end")))
