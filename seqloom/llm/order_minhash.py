@@ -11,10 +11,11 @@ the start, so groups of copies cost nothing later. Every pair of a bucket is set
 
 1. Each node is aligned with the smallest nodes of its buckets (their leaders), the smallest leader first, the others only
    where the two aren't of one class by then.
-2. Buckets that still hold several classes compare all their other pairs in blocks of at most `BLOCK_TEXTS` texts; a bucket of
+2. Buckets that still hold several classes compare all their other pairs in blocks of about `BLOCK_TEXTS` texts; a bucket of
    many texts is dealt over pairs of blocks, so none is one task. Two texts that can be aligned have 0.8 of the longer one's
-   words in common and 0.6 of its word pairs; hashed counts give an upper bound of both as matrix products, and
-   only pairs that it lets through leave the block, to be aligned.
+   words in common and 0.6 of its word pairs; hashed counts give an upper bound of both as matrix products. Pairs that it lets
+   through are aligned there, in one of the buckets that the two share, unless the block has linked their classes already, so a block
+   gives fewer links than it has classes.
 3. Buckets of more than `crowd` texts (a passage that unlike texts share) would need blocks by the square. Texts that can be aligned share one of their
    rarest word pairs (the first ones, if all but a fixed number that they must have in common are left out), so such texts meet
    in buckets by rare word pair instead, which go through step 2. No pair is lost in either way.
@@ -28,7 +29,9 @@ null, so it doesn't tell classes apart, but their labels (the digest of the text
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -36,17 +39,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import fresh, in_batches, settled, text_or_empty
+from seqloom.llm.common import fresh, in_batches, partitions, settled, text_or_empty
 from seqloom.llm.superkmers import ODD, Hashes, mixed
 from seqloom.llm.window_dedup import normal, word_hashes
 
 WORDS = 5
 SIMILARITY = 0.8
-SKETCHES = 80
+SKETCHES = 96
 SIZE = 2
-BLOCK_TEXTS = 1024
+#: Shingles whose hashes are in memory at once.
+PIECE = 1 << 12
+BLOCK_TEXTS = 2048
 BLOCK_WORDS = 1_000_000
-CROWD = 16 * BLOCK_TEXTS
+CROWD = 8 * BLOCK_TEXTS
+#: Places of the tables of hashed counts of one block.
+TABLE = 1 << 23
 
 
 def labelled(shingles: np.ndarray) -> np.ndarray:
@@ -59,31 +66,43 @@ def labelled(shingles: np.ndarray) -> np.ndarray:
     return mixed(shingles + number * ODD)
 
 
+@functools.cache
+def orders(sketches: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A seed for each order of hashes, a factor that makes the order, and the row numbers."""
+    seeds = mixed(np.arange(1, sketches + 1, dtype=np.uint64) * ODD)
+    return seeds, ((seeds >> np.uint64(32)).astype(np.uint32) | np.uint32(1))[:, None], np.arange(sketches)
+
+
+def smallest(marked: np.ndarray, sketches: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values and places of the `size` smallest hashes in each order, the smallest first."""
+    _, factors, rows = orders(sketches)
+    values = marked[None, :] * factors
+    values ^= values >> np.uint32(15)
+    values *= np.uint32(0x2C1B3C6D)
+    values ^= values >> np.uint32(12)
+    size = min(size, len(marked))
+    best, places = np.empty((sketches, size), np.uint32), np.empty((sketches, size), np.int64)
+    for k in range(size):
+        places[:, k] = values.argmin(axis=1)
+        best[:, k] = values[rows, places[:, k]]
+        values[rows, places[:, k]] = np.uint32(0xFFFFFFFF)
+    return best, places
+
+
 def order_sketches(words: np.ndarray, sketches: int = SKETCHES, size: int = SIZE, width: int = WORDS) -> np.ndarray:
     """One bucket hash per order of hashes."""
     if not len(words):
         return np.empty(0, np.int64)
     shingles = Hashes(words).all(min(width, len(words)))
     marked = (labelled(shingles) >> np.uint64(32)).astype(np.uint32)
-    seeds = mixed(np.arange(1, sketches + 1, dtype=np.uint64) * ODD)
-    factors = (seeds >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-    rows = np.arange(sketches)
-    best_value = np.full((sketches, 0), 0, np.uint32)
-    best_place = np.full((sketches, 0), 0, np.int64)
-    for at in range(0, len(marked), 1 << 12):  # a piece at a time
-        values = marked[None, at : at + (1 << 12)] * factors[:, None]
-        values ^= values >> np.uint32(15)
-        values *= np.uint32(0x2C1B3C6D)
-        values ^= values >> np.uint32(12)
-        for _ in range(min(size, values.shape[1])):
-            place = values.argmin(axis=1)
-            best_value = np.concatenate([best_value, values[rows, place][:, None]], axis=1)
-            best_place = np.concatenate([best_place, place[:, None] + at], axis=1)
-            values[rows, place] = np.uint32(0xFFFFFFFF)
-        keep = np.argsort(best_value, axis=1, kind="stable")[:, :size]
-        best_value, best_place = np.take_along_axis(best_value, keep, 1), np.take_along_axis(best_place, keep, 1)
-    out = seeds.copy()
-    for column in np.sort(best_place, axis=1).T:  # in the order of the text
+    best, places = smallest(marked[:PIECE], sketches, size)
+    for at in range(PIECE, len(marked), PIECE):
+        more, further = smallest(marked[at : at + PIECE], sketches, size)
+        best, places = np.concatenate([best, more], axis=1), np.concatenate([places, further + at], axis=1)
+        keep = np.argsort(best, axis=1, kind="stable")[:, :size]
+        best, places = np.take_along_axis(best, keep, 1), np.take_along_axis(places, keep, 1)
+    out = orders(sketches)[0]
+    for column in np.sort(places, axis=1).T:  # in the order of the text
         out = mixed(out * ODD + shingles[column])
     return out.view(np.int64)
 
@@ -225,7 +244,7 @@ def hashed_counts(texts: list[np.ndarray], width: int, places: int) -> np.ndarra
     found = [grams(w, width) for w in texts]
     at = np.concatenate([np.empty(0, np.int64), *found]) & (places - 1)
     at += np.repeat(np.arange(len(texts)), [len(f) for f in found]) * places
-    return np.bincount(at, minlength=len(texts) * places).reshape(len(texts), places).astype(np.float32)
+    return np.bincount(at, minlength=len(texts) * places).astype(np.float32).reshape(len(texts), places)
 
 
 def possible(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -234,97 +253,130 @@ def possible(left: list[np.ndarray], right: list[np.ndarray], similarity: float)
     longer, shorter = np.maximum(a[:, None], b[None, :]), np.minimum(a[:, None], b[None, :])
     ok = longer - shorter <= (1 - similarity) * longer + 1e-3
     mean = (a.sum() + b.sum()) / (len(a) + len(b))
-    places = int(np.clip(1 << int(16 * mean).bit_length(), 1024, 1 << 14))
+    # more places let fewer pairs through
+    places = max(1024, min(1 << int(8 * mean).bit_length(), 1 << 13, 1 << (TABLE // max(len(left), len(right))).bit_length() - 1))
     for width in (1, 2):
         common = hashed_counts(left, width, places) @ hashed_counts(right, width, places).T
         ok &= common >= longer - (width - 1) - width * (1 - similarity) * longer - 1e-2
     return ok
 
 
-def pairs_in_blocks(member: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs (node, leader) of nodes of different labels that share a key of member (key, node) and may be alignable. known: node, label, words (short hashes) and n."""
-    member = member.join(known.select("node", "n", "label"), "node")
-    sizes = member.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("w"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
+def turn(pair: int):
+    """An order of keys for each pair of nodes: of the keys that the two share, the first has the pair."""
+    return lambda key: (key ^ pair) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+
+
+def block_links(key: int, held: list[tuple], similarity: float) -> list[tuple[int, int]]:
+    """Links between nodes of different labels that join all labels which the block's alignable pairs join. held: own (which of the two blocks), node, label, packed words, keys, buckets."""
+    left = [i for i, r in enumerate(held) if r[0] == held[0][0]]
+    right = [i for i, r in enumerate(held) if r[0] != held[0][0]] or left
+    words = [zlib.decompress(r[3]) for r in held]
+    label = np.array([r[2] for r in held])
+    hashes = [short_hashes(w) for w in words]
+    ok = possible([hashes[i] for i in left], [hashes[i] for i in right], similarity) & (label[left][:, None] != label[right][None, :])
+    if right is left:
+        ok &= np.tri(len(left), k=-1, dtype=bool)
+    keys, buckets = [frozenset(r[4]) for r in held], [r[5] and frozenset(r[5]) for r in held]
+    parts: dict[int, list[bytes]] = {}
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    links = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(ok))):
+        i, j = left[i], right[j]
+        a, b = find(held[i][2]), find(held[j][2])
+        if a == b or (buckets[i] and buckets[i].isdisjoint(buckets[j])):
+            continue
+        common = keys[i] & keys[j]
+        if len(common) > 1 and min(common, key=turn(held[i][1] ^ held[j][1])) != key:
+            continue
+        for k in (i, j):
+            if k not in parts:
+                parts[k] = words[k].split()
+        if similar(parts[i], parts[j], similarity):
+            root[a] = b
+            links.append((max(held[i][1], held[j][1]), min(held[i][1], held[j][1])))
+    return links
+
+
+def links_in_blocks(member: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """Links (node, leader) between nodes of different labels that share a key of member (key, node), enough to join all labels that such pairs join. known: node, label, n (words), packed (its words), buckets (of which two nodes must share one, if there are any)."""
+    labelled_member = member.join(known.select("node", "n", "label"), "node")
+    sizes = labelled_member.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("w"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
     parts = F.ceil(F.greatest(F.col("c") / BLOCK_TEXTS, F.col("w") / BLOCK_WORDS)).cast("int")
-    rows = member.select("key", "node").join(sizes.select("key", parts.alias("parts")), "key")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int"))
+    inside = settled(member.join(sizes.select("key", parts.alias("parts")), "key"))
+    # a node's own keys
+    keys = inside.groupBy("node").agg(F.collect_list("key").alias("keys"))
+    rows = inside.withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node")
-    rows = rows.join(known.select("node", "label", "words"), "node").select("key", "lo", "hi", "own", "node", "label", "words")
-
-    def block(held):
-        own, node, label = (np.array([r[i] for r in held]) for i in range(3))
-        words = [np.frombuffer(r[3], "<u2") for r in held]
-        left = np.flatnonzero(own == own[0])
-        right = np.flatnonzero(own != own[0])
-        if not len(right):
-            right = left
-        ok = possible([words[i] for i in left], [words[i] for i in right], similarity) & (label[left][:, None] != label[right][None, :])
-        if right is left:
-            ok &= np.tri(len(left), k=-1, dtype=bool)
-        i, j = np.nonzero(ok)
-        i, j = node[left[i]], node[right[j]]
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(i, j)), pa.array(np.minimum(i, j))], ["node", "leader"])
+    rows = rows.join(known.join(keys, "node").select("node", "label", "packed", "keys", "buckets"), "node").select("key", "lo", "hi", "own", "node", "label", "packed", "keys", "buckets")
 
     def run(batches):
         held, last = [], None
+
+        def close():
+            # two blocks, one of which has no text, hold no pair
+            if held and (last[1] == last[2] or len({r[0] for r in held}) == 2):
+                if links := block_links(last[0], held, similarity):
+                    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["node", "leader"])
+
         for batch in batches:
             for key, lo, hi, *rest in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and last != (key, lo, hi):
-                    # two blocks, one of which has no text, hold no pair
-                    if last[1] == last[2] or len({r[0] for r in held}) == 2:
-                        yield block(held)
-                    held = []
-                last = (key, lo, hi)
+                if last != (key, lo, hi):
+                    yield from close()
+                    held, last = [], (key, lo, hi)
                 held.append(rest)
-        if held and (last[1] == last[2] or len({r[0] for r in held}) == 2):
-            yield block(held)
+        yield from close()
 
-    dealt = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "own", "node")
+    # by number: the rows are few and small, their comparisons are not
+    dealt = rows.repartition(partitions(rows.sparkSession), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "own", "node")
     return dealt.transform(in_batches, run, "node long, leader long").distinct()
 
 
 def rare_pairs(known: DataFrame, similarity: float) -> DataFrame:
-    """key (a run of words) and node, for each node (node, words): its rarest runs, all but as many as it must have in common with a text that it can be aligned with, less one."""
+    """key (a run of words) and node, for each node (node, packed): its rarest runs, all but as many as it must have in common with a text that it can be aligned with, less one."""
     width = 2 if similarity >= 0.75 else 1
 
     def run(batches):
         for batch in (b.slice(i, 200) for b in batches for i in range(0, b.num_rows, 200)):
-            words = [np.frombuffer(w, "<u2") for w in batch.column(1).to_pylist()]
+            words = [short_hashes(zlib.decompress(w)) for w in batch.column(1).to_pylist()]
             found = [grams(w, width) for w in words]
             times = np.array([len(g) for g in found], np.int64)
             need = np.array([common_grams(len(w), similarity, width) for w in words], np.int64)
             node = batch.column(0).to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, times)), pa.array(np.repeat(need, times)), pa.array(np.concatenate([np.empty(0, np.int64), *found]))], ["node", "need", "key"])
 
-    rows = settled(known.select("node", "words").transform(in_batches, run, "node long, need long, key long"), free=False)
+    rows = settled(known.select("node", "packed").transform(in_batches, run, "node long, need long, key long"))
     often = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     # runs that one text alone has lead to no pair; they count as the rarest
     order = Window.partitionBy("node").orderBy(F.col("c").desc(), "key")
     return rows.join(often, "key").withColumn("place", F.row_number().over(order)).where("place >= need").select("key", "node")
 
 
-def open_pairs(labels: DataFrame, member: DataFrame, pool: DataFrame, similarity: float, crowd: int) -> DataFrame:
-    """Pairs (node, leader) that share a bucket (bucket, node), are of different classes (node, label) and may be alignable; no alignable one is missing. Buckets of two nodes have been settled before."""
-    inside = settled(member.select("bucket", "node").join(labels.select("node", "label"), "node"), free=False)
+def open_links(labels: DataFrame, member: DataFrame, pool: DataFrame, similarity: float, crowd: int) -> DataFrame:
+    """Links (node, leader) that join all classes (node, label) which alignable nodes of one bucket (bucket, node) join. Buckets of two nodes have been settled before."""
+    inside = settled(member.select("bucket", "node").join(labels.select("node", "label"), "node"))
     several = inside.groupBy("bucket").agg(F.count("*").alias("c"), F.min("label").alias("a"), F.max("label").alias("b")).where("c > 2 AND a <> b")
-    inside = settled(inside.join(several.select("bucket", "c"), "bucket").select(F.col("bucket").alias("key"), "node", "label", "c"), free=False)
+    inside = settled(inside.join(several.select("bucket", "c"), "bucket").select(F.col("bucket").alias("key"), "node", "label", "c"))
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([short_hashes(x).tobytes() for x in batch.column(2).to_pylist()], pa.binary()), batch.column(3)], ["node", "label", "words", "n"])
+            packed = pa.array([zlib.compress(x, 1) for x in batch.column(2).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed, batch.column(3)], ["node", "label", "packed", "n"])
 
     wanted = inside.select("node", "label").distinct().join(pool, "node").select("node", "label", "words", "n")
-    known = settled(wanted.transform(in_batches, run, "node long, label long, words binary, n int"), free=False)
-    pairs = pairs_in_blocks(inside.where(F.col("c") <= crowd).select("key", "node"), known, similarity)
+    known = settled(wanted.transform(in_batches, run, "node long, label long, packed binary, n int"))
+    links = links_in_blocks(inside.where(F.col("c") <= crowd).select("key", "node"), known.withColumn("buckets", F.array().cast("array<bigint>")), similarity)
     crowded = inside.where(F.col("c") > crowd).select("key", "node")
     if not crowded.isEmpty():
-        buckets = settled(crowded.groupBy("node").agg(F.collect_list("key").alias("buckets")), free=False)
-        some = known.join(buckets.select("node"), "node")
-        found = pairs_in_blocks(rare_pairs(some, similarity), some, similarity)
-        found = found.join(buckets.select("node", F.col("buckets").alias("a")), "node").join(buckets.select(F.col("node").alias("leader"), F.col("buckets").alias("b")), "leader")
-        pairs = pairs.unionByName(found.where(F.arrays_overlap("a", "b")).select("node", "leader")).distinct()
-    return pairs
+        some = settled(known.join(crowded.groupBy("node").agg(F.collect_list("key").alias("buckets")), "node"))
+        links = links.unionByName(links_in_blocks(rare_pairs(some, similarity), some, similarity))
+    return links
 
 
 def rooted(links: DataFrame) -> DataFrame:
@@ -332,7 +384,7 @@ def rooted(links: DataFrame) -> DataFrame:
     tree = links.select("node", F.col("leader").alias("root"))
     while True:
         up = tree.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        tree = settled(tree.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), free=False)
+        tree = settled(tree.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")))
         if tree.where("moved").isEmpty():
             return tree.select("node", "root")
         tree = tree.select("node", "root")
@@ -340,16 +392,16 @@ def rooted(links: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """node and label (smallest node of its component) of all nodes of edges (u, v), by large and small stars."""
-    edges = settled(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), free=False)
+    edges = settled(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: larger neighbours of a node go to the smallest of its neighbourhood
-        least = settled(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), free=False)
-        large = settled(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), free=False)
+        least = settled(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = settled(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # small star: a node and its smaller neighbours go to the smallest of them
-        least = settled(large.groupBy("u").agg(F.min("v").alias("m")), free=False)
+        least = settled(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = settled(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), free=False)
+        small = settled(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         # the same edges: as many, and none that is new
         stable = small.count() == edges.count() and small.join(edges, ["u", "v"], "left_anti").isEmpty()
         edges = small
@@ -362,11 +414,12 @@ def settled_classes(docs: DataFrame, *, id_column: str, text_column: str, simila
     rows = docs.select(F.col(id_column).alias("id"), text_or_empty(text_column).alias("text"))
     seen = settled(sketched(rows, sketches, size))
     # nodes are numbers, for the sake of joins and sums; written once, so that they stay
-    texts = settled(seen.groupBy("digest").agg(F.min("id").alias("id")).withColumn("node", F.monotonically_increasing_id()))
-    own = seen.join(texts.withColumnRenamed("id", "least"), "digest").where(F.col("id").eqNullSafe(F.col("least"))).dropDuplicates(["node"])
-    member = settled(own.select("node", F.explode("buckets").alias("bucket")))
+    # nodes are numbers, for the sake of joins and sums; written once, so that they stay. Equal texts have equal buckets
+    texts = settled(seen.groupBy("digest").agg(F.min("id").alias("id"), F.first("buckets").alias("buckets")).withColumn("node", F.monotonically_increasing_id()))
+    member = texts.select("node", F.explode("buckets").alias("bucket"))
     full = settled(member.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1").select("bucket", "leader"))
     member = settled(member.join(full, "bucket"))
+    texts = texts.drop("buckets")
     candidates = settled(member.where("node <> leader").select("node", "leader").distinct())
     pool = settled(word_pool(rows, texts.join(member.select("node").distinct(), "node")))
     # the smallest leader first; the rest only where that hasn't made them one class already
@@ -382,7 +435,7 @@ def settled_classes(docs: DataFrame, *, id_column: str, text_column: str, simila
 
     # all other leaders of those that aren't of their class
     tried = candidates.groupBy("node").agg(F.min("leader").alias("leader"))
-    pairs = settled(apart(candidates).join(tried, ["node", "leader"], "left_anti"), free=False)
+    pairs = settled(apart(candidates).join(tried, ["node", "leader"], "left_anti"))
     found = settled(verified(pairs, pool, similarity))
 
     def between(links: DataFrame) -> DataFrame:
@@ -391,18 +444,17 @@ def settled_classes(docs: DataFrame, *, id_column: str, text_column: str, simila
         return both.select(F.coalesce("own", F.col("node")).alias("u"), F.coalesce("lead", F.col("leader")).alias("v")).where("u <> v")
 
     # buckets that still hold several classes: all of their other pairs. Classes needn't be joined in full for that
-    up = settled(between(found).groupBy(F.greatest("u", "v").alias("node")).agg(F.min(F.least("u", "v")).alias("leader")), free=False)
+    up = settled(between(found).groupBy(F.greatest("u", "v").alias("node")).agg(F.min(F.least("u", "v")).alias("leader")))
     above = rooted(up).select(F.col("node").alias("root"), F.col("root").alias("label"))
     labels = texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", F.col("node"))).join(above, "root", "left")
-    labels = settled(labels.select("node", "id", "digest", "root", F.coalesce("label", F.col("root")).alias("label")), free=False)
-    last = open_pairs(labels, member, pool, similarity, crowd).join(tried.unionByName(pairs.select("node", "leader")), ["node", "leader"], "left_anti")
-    more = settled(verified(settled(last, free=False), pool, similarity))
+    labels = settled(labels.select("node", "id", "digest", "root", F.coalesce("label", F.col("root")).alias("label")))
+    more = settled(open_links(labels, member, pool, similarity, crowd))
     # classes that these links join
     joined = components(between(found.unionByName(more))).select(F.col("node").alias("root"), F.col("label").alias("least"))
     labels = labels.select("node", "id", "digest", "root").join(joined, "root", "left")
-    labels = settled(labels.select("id", "digest", F.coalesce("least", F.col("root")).alias("class")), free=False)
+    labels = settled(labels.select("id", "digest", F.coalesce("least", F.col("root")).alias("class")))
     first = F.min(F.struct(F.col("id").isNull(), "id", "digest"))["digest"]
-    smallest = settled(labels.groupBy("class").agg(F.min("id").alias("class_id"), first.alias("label"), F.count("*").alias("texts")), free=False)
+    smallest = settled(labels.groupBy("class").agg(F.min("id").alias("class_id"), first.alias("label"), F.count("*").alias("texts")))
     return seen.select("id", "digest"), settled(labels.join(smallest, "class").select("digest", "class_id", "label", "texts"))
 
 
