@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import bitplane_tokens, bpe_count, bwt_repeats, decontaminate, order_minhash, preference_chat, progressive_jpeg, quality_ftrl, sentencepiece_codec, window_dedup
+from seqloom.llm import bitplane_tokens, bpe_count, bwt_repeats, decontaminate, hard_negatives, order_minhash, preference_chat, progressive_jpeg, quality_ftrl, sentencepiece_codec, simhash_pivots, vector_codes, window_dedup
 from seqloom.llm.common import documents, shared_dir, table
 
 
@@ -62,7 +62,20 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_order_minhash, op3_progressive_jpeg, op4_bitplane_tokens, op5_quality_ftrl, op6_token_counts, op7_preference_chat, op8_suffix_array, op9_decontaminate, op10_substring_dedup)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, label=label)
+
+
+def op13_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_pivots.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_order_minhash, op3_progressive_jpeg, op4_bitplane_tokens, op5_quality_ftrl, op6_token_counts, op7_preference_chat, op8_suffix_array, op9_decontaminate, op10_substring_dedup, op11_vector_codes, op12_hard_negatives, op13_simhash_pivots)}
 
 OP9_SQL = r"""
 WITH w AS (
@@ -124,4 +137,48 @@ SELECT pair_id, part, turn, CAST(0 AS BIGINT) AS rank, role, '<|im_start|>' || r
 FROM parts
 """
 
-ORACLES = {"op7_preference_chat": OP7_SQL, "op10_substring_dedup": OP10_SQL, "op9_decontaminate": OP9_SQL}
+#: Components that no distance or product can be made of.
+UNUSABLE = "list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))"
+
+OP11_PARTS = f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings WHERE embedding IS NOT NULL AND len({UNUSABLE}) = 0),
+p AS (SELECT vec_id, label, q AS part, e[q * (len(e) // 8) + 1:(q + 1) * (len(e) // 8)] AS x FROM v, range(8) r(q)),
+b0 AS (SELECT part, rank - 1 AS entry, x FROM (SELECT part, x, row_number() OVER (PARTITION BY part ORDER BY vec_id) AS rank FROM p) WHERE rank <= 16)"""
+
+
+def op11_sql(rounds: int = 6) -> str:
+    """One step for each round."""
+    distance = "list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = [OP11_PARTS]
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS (
+  SELECT vec_id, label, part, x, (min({{'d': d, 'entry': entry}})).d AS d, (min({{'d': d, 'entry': entry}})).entry AS entry
+  FROM (SELECT vec_id, label, p.part, p.x, b.entry, CAST({distance} AS BIGINT) AS d FROM p JOIN b{k} b USING (part)) GROUP BY vec_id, label, part, x)""")
+        if k < rounds:
+            steps.append(f"""m{k + 1} AS (
+  SELECT part, entry, list(CAST(floor(s / n) AS BIGINT) ORDER BY i) AS x
+  FROM (SELECT part, entry, i, sum(x[i]) AS s, count(*) AS n FROM a{k}, range(1, len(x) + 1) r(i) GROUP BY part, entry, i) GROUP BY part, entry),
+b{k + 1} AS (SELECT part, entry, coalesce(m.x, b.x) AS x FROM b{k} b LEFT JOIN m{k + 1} m USING (part, entry))""")
+    return ",\n".join(steps) + f"""
+SELECT vec_id, label, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM b{rounds}) AS codebooks_sha256
+FROM (SELECT vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id, label)
+"""
+
+
+OP12_SQL = f"""
+WITH r AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL AND len({UNUSABLE}) = 0),
+s AS (
+  SELECT a.id AS anchor, r.id, a.label = r.label AS same, CAST(list_sum(list_transform(list_zip(a.x, r.x), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM r a JOIN r ON a.id <> r.id WHERE a.id % 50 = 0),
+p AS (SELECT anchor, id, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= 5),
+n AS (
+  SELECT p.anchor AS anchor_id, p.id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor, p.id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank,
+         s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON p.anchor = s.anchor WHERE NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT * FROM n WHERE rank <= 3
+"""
+
+ORACLES = {"op11_vector_codes": op11_sql(), "op12_hard_negatives": OP12_SQL, "op7_preference_chat": OP7_SQL, "op10_substring_dedup": OP10_SQL, "op9_decontaminate": OP9_SQL}
