@@ -46,6 +46,13 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.forall(vector, finite)
 
 
+def allowed(norms: np.ndarray, size: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place (the latter not included) of the sorted norms that differ from size by no more than the root of best."""
+    reach = np.sqrt(best.astype(np.float64))
+    reach += 1e-9 * (reach + size) + 1e-6
+    return np.searchsorted(norms, size - reach, "left"), np.searchsorted(norms, size + reach, "right")
+
+
 def annulus(entries: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index of each part's nearest entry and its squared distance. entries: (k, width), parts: (n, width), both int64."""
     by_norm = np.argsort(np.sqrt((entries * entries).sum(axis=1).astype(np.float64)), kind="stable")
@@ -62,9 +69,7 @@ def annulus(entries: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndar
     left = np.maximum(right - 1, 0)
     first = np.where(size - norms[left] <= norms[right] - size, left, right)
     best, index = distances(rows, first), by_norm[first]
-    reach = np.sqrt(best.astype(np.float64))
-    reach += 1e-9 * (reach + size) + 1e-6
-    lo, hi = np.searchsorted(norms, size - reach, "left"), np.searchsorted(norms, size + reach, "right")
+    lo, hi = allowed(norms, size, best)
     for step in range(int((hi - lo).max(initial=0))):
         at = rows[lo + step < hi]
         k = lo[at] + step
