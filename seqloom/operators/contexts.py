@@ -56,6 +56,14 @@ def bag(context: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(context)), "\x1f")
 
 
+def by_sequence(events: DataFrame, sequences: DataFrame) -> DataFrame:
+    """Anomalous with any malicious event; else abstained with any abstention; else normal. The score is the largest positive one."""
+    found = events.groupBy("window_id").agg(F.max("score").alias("top"), F.min("score").alias("low"))
+    out = sequences.join(found, "window_id", "left")
+    bad = F.coalesce(F.col("top") > 0, F.lit(False))
+    return out.withColumns({"predicted_label": bad.cast("int"), "abstained": ~bad & F.coalesce(F.col("low") < 0, F.lit(False)), "score": F.greatest(F.coalesce("top", F.lit(0.0)), F.lit(0.0))}).drop("top", "low")
+
+
 @dataclass(frozen=True)
 class ContextModel:
     size: int = 10
@@ -82,8 +90,4 @@ class FittedContextModel:
         return found.select("window_id", "pos", "template", "truth", "split_label", score.alias("score"))
 
     def predict(self, members: DataFrame, sequences: DataFrame) -> DataFrame:
-        """Anomalous with any malicious event; else abstained with any abstention; else normal. The score is the largest positive one."""
-        found = self.events(members, sequences).groupBy("window_id").agg(F.max("score").alias("top"), F.min("score").alias("low"))
-        out = sequences.join(found, "window_id", "left")
-        bad = F.coalesce(F.col("top") > 0, F.lit(False))
-        return out.withColumns({"predicted_label": bad.cast("int"), "abstained": ~bad & F.coalesce(F.col("low") < 0, F.lit(False)), "score": F.greatest(F.coalesce("top", F.lit(0.0)), F.lit(0.0))}).drop("top", "low")
+        return by_sequence(self.events(members, sequences), sequences)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.operators.bayes import BERNOULLI, COMPLEMENT, MULTINOMIAL, NaiveBayes
+from seqloom.operators.clusters import ClusteredContexts
 from seqloom.operators.contexts import ContextModel
 from seqloom.operators.frequency import TemplateFrequency
 from seqloom.operators.metrics import decision_summary, next_event_metrics
@@ -148,7 +149,7 @@ class FittedJoint:
 
 @dataclass(frozen=True)
 class ContextDetector:
-    config: ContextModel
+    config: ContextModel | ClusteredContexts
 
     def fit(self, built: Sequences) -> FittedContexts:
         return FittedContexts(self.config.fit(built.members, built.sequences))
@@ -181,6 +182,7 @@ DETECTORS: dict[str, Callable[[dict], Detector]] = {
     "complement_nb": phrase_detector(COMPLEMENT),
     "next_event": lambda m: JointDetector(KeyModel(m.get("history_size", 10), m.get("top_g", 9), strict=True), ParameterModel(m.get("parameter_history_size", m.get("history_size", 10)), m.get("validation_fraction", 0.3), m.get("confidence", 0.98)), m.get("mixed_entities", False)),
     "context": lambda m: ContextDetector(ContextModel(m.get("context_length", 10), int(m.get("timeout_seconds", 86_400) * 1000), m.get("min_samples", 5))),
+    "context_clusters": lambda m: ContextDetector(ClusteredContexts(m.get("context_length", 10), int(m.get("timeout_seconds", 86_400) * 1000), m.get("min_samples", 5), m.get("eps", 0.1))),
 }
 
 

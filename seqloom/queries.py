@@ -9,10 +9,12 @@ from seqloom.functions.parsers import parser
 from seqloom.functions.text import masked
 from seqloom.operators import labels as L
 from seqloom.operators.bayes import BERNOULLI, COMPLEMENT, MULTINOMIAL, NaiveBayes
+from seqloom.operators.clusters import ClusteredContexts
 from seqloom.operators.contexts import ContextModel, contexts, reason
 from seqloom.operators.frequency import TemplateFrequency
 from seqloom.operators.metrics import decision_summary, label_histograms, next_event_metrics, run_metrics
 from seqloom.operators.next_event import KeyModel, ParameterModel, history_pairs, normal_training, normalisation, parameter_schema, parameter_values, predict_jointly
+from seqloom.operators.online_bayes import OnlineNaiveBayes
 from seqloom.operators.representations import phrase_counts, sequential, template_counts
 from seqloom.operators.sequences import EntitySequences, FixedWindows, SequenceBuilder, Sequences, TimeWindows, nested, previous_time_gap, split_summary
 from seqloom.operators.templates import DrainParser, IdentityParser
@@ -379,6 +381,58 @@ def complement_bayes_scores(spark, sf_dir):
     return model.predict(features, sequences).select("window_id", F.round("score", 8).alias("score"))
 
 
+#: What a learner knows before each training sequence: counts of phrases, classes and the vocabulary.
+PROGRESS = NB.format(one="cnt") + """,
+po AS (SELECT pc.window_id, y, feature, {x} AS x FROM pc JOIN tl USING (window_id)),
+kn AS (SELECT po.*, coalesce(sum(CASE WHEN y = 0 THEN x ELSE 0 END) OVER o, 0) AS c0, coalesce(sum(CASE WHEN y = 1 THEN x ELSE 0 END) OVER o, 0) AS c1
+       FROM po WINDOW o AS (PARTITION BY feature ORDER BY window_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ad AS (SELECT window_id, any_value(y) AS y, sum(CASE WHEN kn.y = 0 THEN x ELSE 0 END) AS p0, sum(CASE WHEN kn.y = 1 THEN x ELSE 0 END) AS p1, count(*) FILTER (c0 = 0 AND c1 = 0) AS fresh FROM kn GROUP BY window_id),
+st AS (SELECT window_id, y, coalesce(sum(1 - y) OVER o, 0) AS n0, coalesce(sum(y) OVER o, 0) AS n1, coalesce(sum(p0) OVER o, 0) AS t0, coalesce(sum(p1) OVER o, 0) AS t1, coalesce(sum(fresh) OVER o, 0) AS v
+       FROM ad WINDOW o AS (ORDER BY window_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+"""
+PROGRESS_END = """
+sc AS (SELECT window_id, y, CASE WHEN n0 > 0 AND n1 > 0 THEN exp(s1 - greatest(s0, s1)) / (exp(s0 - greatest(s0, s1)) + exp(s1 - greatest(s0, s1))) WHEN n1 > 0 THEN 1 WHEN n0 > 0 THEN 0 ELSE 0.5 END AS score FROM s)
+SELECT window_id, y AS label, round(CAST(score AS DOUBLE), 8) AS score FROM sc"""
+
+
+def progressive(spark, sf_dir, form: str) -> DataFrame:
+    members, sequences = message_members(spark, sf_dir)
+    rows = OnlineNaiveBayes(form, chunk=500).progressive(phrase_counts(members), sequences)
+    return rows.select("window_id", "label", F.round("score", 8).alias("score"))
+
+
+def online_sql(first: str, second: str, prior: str) -> str:
+    """Sums of a form's logarithms for the two classes, and what is added for a class."""
+    return f"""WITH {PROGRESS.format(x='x_')}
+s AS (SELECT st.window_id, st.y, n0, n1, sum({first}) + {prior.format(0)} AS s0, sum({second}) + {prior.format(1)} AS s1 FROM st JOIN kn USING (window_id) GROUP BY st.window_id, st.y, n0, n1), {PROGRESS_END}"""
+
+
+L0, L1 = ("kn.x * ln((c{0} + 1.0::DOUBLE) / (t{0} + 1.0::DOUBLE * greatest(v, 1)))".format(c) for c in (0, 1))
+PRIOR = "CASE WHEN n{0} > 0 THEN ln(n{0}) ELSE 0 END"
+
+
+@query(online_sql(L0, L1, PRIOR).replace("x_ AS x", "cnt AS x"))
+def online_multinomial_scores(spark, sf_dir):
+    return progressive(spark, sf_dir, MULTINOMIAL)
+
+
+@query(online_sql(f"-({L1})", f"-({L0})", "0 * n{0}").replace("x_ AS x", "cnt AS x"))
+def online_complement_scores(spark, sf_dir):
+    return progressive(spark, sf_dir, COMPLEMENT)
+
+
+@query(f"""WITH {PROGRESS.format(x='1')}
+voc AS (SELECT feature, min(window_id) AS since FROM po GROUP BY feature),
+hist AS (
+  SELECT st.window_id, voc.feature, count(po.window_id) FILTER (po.y = 0) AS c0, count(po.window_id) FILTER (po.y = 1) AS c1
+  FROM st JOIN voc ON since < st.window_id LEFT JOIN po ON po.feature = voc.feature AND po.window_id < st.window_id GROUP BY ALL),
+g AS (SELECT window_id, sum(ln(n0 - c0 + 1.0::DOUBLE)) - any_value(v) * ln(any_value(n0) + 2.0::DOUBLE) AS g0, sum(ln(n1 - c1 + 1.0::DOUBLE)) - any_value(v) * ln(any_value(n1) + 2.0::DOUBLE) AS g1 FROM hist JOIN st USING (window_id) GROUP BY window_id),
+own AS (SELECT window_id, sum(ln(c0 + 1.0::DOUBLE) - ln(n0 - c0 + 1.0::DOUBLE)) AS h0, sum(ln(c1 + 1.0::DOUBLE) - ln(n1 - c1 + 1.0::DOUBLE)) AS h1 FROM kn JOIN st USING (window_id) WHERE c0 > 0 OR c1 > 0 GROUP BY window_id),
+s AS (SELECT window_id, y, n0, n1, coalesce(g0, 0) + coalesce(h0, 0) + {PRIOR.format(0)} AS s0, coalesce(g1, 0) + coalesce(h1, 0) + {PRIOR.format(1)} AS s1 FROM st LEFT JOIN g USING (window_id) LEFT JOIN own USING (window_id)), {PROGRESS_END}""")
+def online_bernoulli_scores(spark, sf_dir):
+    return progressive(spark, sf_dir, BERNOULLI)
+
+
 #: The log with few anomalous lines and no anomalous entities, so that windows of an hour are normal and anomalous.
 RARE_LOG = LOG.replace("CASE WHEN event_type = 'error' AND value > 20 THEN 1 ELSE 0 END", "CASE WHEN event_id % 29 = 0 THEN 1 ELSE 0 END")
 TIMED_MEMBERS = time_sql(HOUR, None, """, p AS (SELECT mm.*, row_number() OVER (PARTITION BY window_id ORDER BY ts_ms, line_order) - 1 AS pos FROM mm),
@@ -557,6 +611,56 @@ def context_decisions(spark, sf_dir):
     return decision_summary(context_events(spark, sf_dir).where("split_label = 'test'"))
 
 
+#: Twenty templates: the event's type and what is left of its value.
+FINE = ENTITIES.replace("event_type AS template", "event_type || '/' || CAST(CAST(floor(value * 100) AS BIGINT) % 4 AS VARCHAR) AS template")
+CLUSTERS = f"""WITH RECURSIVE {FINE},
+cx AS (SELECT window_id, pos, template, CAST(anomalous <> 0 AS INTEGER) AS truth, [coalesce(lag(template, 3) OVER o, '<no event>'), coalesce(lag(template, 2) OVER o, '<no event>'), coalesce(lag(template, 1) OVER o, '<no event>')] AS ctx
+       FROM members WINDOW o AS (PARTITION BY window_id ORDER BY pos)),
+cb AS (SELECT window_id, pos, template, truth, array_to_string(list_sort(ctx), chr(31)) AS bag, ctx, split_label FROM cx JOIN split USING (window_id)),
+pt AS (SELECT template, bag, count(*) AS n, max(truth) AS worst, any_value(ctx) AS ctx FROM cb WHERE split_label = 'train' GROUP BY template, bag),
+nb AS (
+  SELECT a.template, a.bag, b.bag AS other, b.n, CAST(list_sum(list_transform(list_distinct(a.ctx), lambda x: least(len(list_filter(a.ctx, lambda y: y = x)), len(list_filter(b.ctx, lambda y: y = x))))) AS BIGINT) AS common
+  FROM pt a JOIN pt b USING (template)),
+near AS (SELECT * FROM nb WHERE common >= 2),
+core AS (SELECT template, bag FROM near GROUP BY template, bag HAVING sum(n) >= 8),
+link AS (SELECT near.template, near.bag, near.other FROM near JOIN core USING (template, bag) JOIN core o ON o.template = near.template AND o.bag = near.other),
+reached AS (SELECT template, bag, bag AS other FROM core UNION SELECT r.template, r.bag, link.other FROM reached r JOIN link ON link.template = r.template AND link.bag = r.other),
+own AS (SELECT template, bag, min(other) AS cluster FROM reached GROUP BY template, bag),
+edge AS (
+  SELECT near.template, near.bag, arg_min(other, (-common, other)) AS other FROM near JOIN core c ON c.template = near.template AND c.bag = near.other
+  WHERE (near.template, near.bag) NOT IN (SELECT (template, bag) FROM core) GROUP BY near.template, near.bag),
+cl AS (SELECT template, bag, cluster, true AS core FROM own UNION ALL SELECT edge.template, edge.bag, own.cluster, false FROM edge JOIN own ON own.template = edge.template AND own.bag = edge.other),
+pc AS (SELECT pt.*, cl.cluster, coalesce(cl.core, false) AS core FROM pt LEFT JOIN cl USING (template, bag)),
+cs AS (SELECT template, cluster, CAST(max(worst) AS DOUBLE) AS cluster_score, CAST(sum(n) AS BIGINT) AS cluster_events FROM pc WHERE cluster IS NOT NULL GROUP BY template, cluster)"""
+
+
+def fine_entities(spark, sf_dir) -> Sequences:
+    rows = events_as_log(spark, sf_dir).withColumn("template", F.concat("template", F.lit("/"), (F.get("params", F.lit(0)).cast("long") % 4).cast("string")))
+    return EntitySequences(rows, L.inline_group_labels(rows), 0.3, 0.5).build()
+
+
+def clustered_contexts(spark, sf_dir):
+    built = fine_entities(spark, sf_dir)
+    return built, ClusteredContexts(3, None, 8, 0.34).fit(built.members, built.sequences)
+
+
+@query(CLUSTERS + " SELECT template, bag, n, worst, core, cluster, cluster_score, cluster_events FROM pc LEFT JOIN cs USING (template, cluster)")
+def context_clusters(spark, sf_dir):
+    return clustered_contexts(spark, sf_dir)[1].points.select("template", "bag", "n", "worst", "core", "cluster", "cluster_score", "cluster_events")
+
+
+@query(CLUSTERS + """,
+ab AS (SELECT DISTINCT template, bag, list_sort(ctx) AS ctx FROM cb),
+am AS (
+  SELECT a.template, a.bag, p.bag AS other, p.cluster, CAST(list_sum(list_transform(list_distinct(a.ctx), lambda x: least(len(list_filter(a.ctx, lambda y: y = x)), len(list_filter(p.ctx, lambda y: y = x))))) AS BIGINT) AS common
+  FROM ab a JOIN pc p USING (template)),
+nearest AS (SELECT template, bag, arg_min(coalesce(cluster_score, -1), (-common, other)) AS score FROM am LEFT JOIN cs USING (template, cluster) WHERE common >= 2 GROUP BY template, bag)
+SELECT window_id, pos, CASE WHEN template NOT IN (SELECT template FROM pt) THEN -2.0::DOUBLE ELSE coalesce(score, -3) END AS score FROM cb LEFT JOIN nearest USING (template, bag)""")
+def context_cluster_scores(spark, sf_dir):
+    built, model = clustered_contexts(spark, sf_dir)
+    return model.events(built.members, built.sequences).select("window_id", "pos", "score")
+
+
 #: Some lines have too few words, a fraction of seven digits, a thirteenth month, or no time that can be read.
 @query("""
 WITH lines AS (SELECT *, event_id % 17 = 0 OR event_id % 19 = 0 OR event_id % 23 = 0 AS coarse FROM events WHERE event_id % 11 <> 0)

@@ -1,16 +1,21 @@
 """Detectors and metrics on small fixtures."""
 
 import math
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from seqloom.operators.bayes import NaiveBayes
+from seqloom.operators.clusters import ClusteredContexts, common_places
 from seqloom.operators.contexts import NO_EVENT, ContextModel, contexts, reason
 from seqloom.operators.frequency import TemplateFrequency, nearest_rank
 from seqloom.operators.metrics import decision_summary, next_event_metrics, run_metrics
 from seqloom.operators.next_event import KeyModel, ParameterModel, history_pairs, masked_mse, parameter_schema, parameter_values, predict_jointly, tail_size
+from seqloom.operators.online_bayes import OnlineNaiveBayes
 from seqloom.operators.representations import labelled_examples, phrase_counts, sequential, template_counts
+from seqloom.operators.running import sums_before
 
 MEMBERS = "window_id long, pos int, template string, params array<string>, timestamp_unix_ms long, anomalous long"
 
@@ -189,3 +194,139 @@ def test_line_labels_from_a_table(spark):
     rows = spark.createDataFrame([(0, "a", None), (1, "b", 0), (2, "c", 1)], "line_order long, entity_id string, anomalous long")
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (9, 1)], "line_order long, label int")
     assert sorted(map(tuple, with_line_labels(rows, labels).collect())) == [(0, "a", None), (1, "b", 1), (2, "c", 0)]
+
+
+class OneByOne:
+    """A learner that goes through sequences in order."""
+
+    def __init__(self, form, smoothing):
+        self.form, self.a = form, smoothing
+        self.n, self.totals, self.counts = [0, 0], [0, 0], {}
+
+    def score(self, x):
+        if not all(self.n):
+            return 1.0 if self.n[1] else 0.0 if self.n[0] else 0.5
+        sums = []
+        for c in (0, 1):
+            if self.form == "bernoulli":
+                s = math.log(self.n[c])
+                for f, counts in self.counts.items():
+                    p = (counts[c] + self.a) / (self.n[c] + 2 * self.a)
+                    s += math.log(p if f in x else 1 - p)
+            else:
+                own = 1 - c if self.form == "complement" else c
+                size = max(len(self.counts), 1)
+                s = sum(k * math.log((self.counts.get(f, [0, 0])[own] + self.a) / (self.totals[own] + self.a * size)) for f, k in x.items())
+                s = -s if self.form == "complement" else s + math.log(self.n[c])
+            sums.append(s)
+        return 1 / (1 + math.exp(min(700, sums[0] - sums[1])))
+
+    def learn(self, x, y):
+        self.n[y] += 1
+        for f, k in x.items():
+            k = 1 if self.form == "bernoulli" else k
+            self.counts.setdefault(f, [0, 0])[y] += k
+            self.totals[y] += k
+
+
+@pytest.mark.parametrize("form", ["multinomial", "complement", "bernoulli"])
+def test_online_bayes_equals_a_learner_that_goes_one_by_one(spark, form):
+    rng = random.Random(5)
+    labels = [rng.choice([0, 0, 1]) for _ in range(60)]
+    labels[:4] = [0, 0, 1, 0]
+    bags = [dict.fromkeys(rng.sample("abcdefghijklmnop", rng.randint(1, 6)), 1) for _ in labels]
+    bags = [{f: rng.randint(1, 4) for f in x} | {"everywhere": 1} for x in bags]
+    bags[7] = {}
+    features = spark.createDataFrame([(i, f, k) for i, x in enumerate(bags) for f, k in x.items()], "window_id long, feature string, cnt long")
+    split = ["train"] * 50 + ["test"] * 10
+    sequences = spark.createDataFrame([(i, y, s) for i, (y, s) in enumerate(zip(labels, split))], "window_id long, label int, split_label string")
+    learner, expected = OneByOne(form, 0.5), []
+    for x, y in list(zip(bags, labels))[:50]:
+        expected.append(learner.score(x))
+        learner.learn(x, y)
+    for chunk in (7, 1000):
+        found = OnlineNaiveBayes(form, 0.5, chunk=chunk).progressive(features, sequences).orderBy("window_id").collect()
+        assert [r["window_id"] for r in found] == list(range(50)) and [r["label"] for r in found] == labels[:50]
+        assert [r["score"] for r in found] == pytest.approx(expected, abs=1e-9)
+    # what is left at the end is what fitting all of training gives
+    fitted = NaiveBayes(form, 0.5).fit(features, sequences).predict(features, sequences).where("window_id >= 50 OR window_id = 7").collect()
+    assert {r["window_id"]: r["score"] for r in fitted} == pytest.approx({i: learner.score(bags[i]) for i in [7, *range(50, 60)]}, abs=1e-8)
+
+
+def test_sums_before_follow_ranges(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice("aab"), p, rng.randint(0, 9)) for p in range(200)]
+    df = spark.createDataFrame(rows, "k string, p long, x long").repartition(5)
+    for chunk in (1, 13, 10_000):
+        for keys in (["k"], []):
+            found = {r["p"]: r["s"] for r in sums_before(df, keys, "p", {"s": "x"}, chunk).collect()}
+            assert found == {p: sum(x for k2, q, x in rows if q < p and (not keys or k2 == k)) for k, p, _ in rows}
+    tied = df.withColumn("p", F.floor(F.col("p") / 4))
+    found = sorted((r["k"], r["p"], r["x"], r["s"]) for r in sums_before(tied, ["k"], "p", {"s": "x"}, 9, ties=True).collect())
+    assert found == sorted((k, p // 4, x, sum(z for k2, q, z in rows if k2 == k and q // 4 < p // 4)) for k, p, x in rows)
+
+
+def plain_clusters(points, least, min_samples):
+    """points: bag (sorted tuple) -> (n, worst). bag -> (core, cluster's first core)."""
+    common = lambda a, b: sum((Counter(a) & Counter(b)).values())
+    near = {a: [b for b in points if common(a, b) >= least] for a in points}
+    cores = {a for a in points if sum(points[b][0] for b in near[a]) >= min_samples}
+    cluster = {}
+    for a in sorted(cores):
+        if a in cluster:
+            continue
+        held = [a]
+        while held:
+            b = held.pop()
+            if b not in cluster:
+                cluster[b] = a
+                held += [c for c in near[b] if c in cores]
+    for a in points:
+        if a not in cores and (close := [b for b in near[a] if b in cores]):
+            cluster[a] = cluster[min(close, key=lambda b: (-common(a, b), b))]
+    return {a: (a in cores, cluster.get(a)) for a in points}
+
+
+@pytest.mark.parametrize("size, eps, min_samples", [(4, 0.25, 4), (5, 0.4, 6), (3, 0.0, 2), (4, 0.75, 30)])
+def test_density_clusters_equal_a_plain_version(spark, size, eps, min_samples):
+    rng = random.Random(size)
+    sequences = [([rng.choice("aaabbcdefghij") for _ in range(rng.randint(1, 25))], rng.choice([0, 0, 1]), rng.choice(["train", "train", "test"])) for _ in range(60)]
+    sequences.append((["never seen", "a"], 0, "test"))
+    members, rows = built(spark, sequences)
+    model = ClusteredContexts(size, None, min_samples, eps).fit(members, rows)
+    least = common_places(size, eps)
+    bags, asked = {}, []
+    for i, (ts, label, split) in enumerate(sequences):
+        for p, t in enumerate(ts):
+            bag = tuple(sorted(([NO_EVENT] * size + ts[:p])[-size:]))
+            asked.append((i, p, t, bag))
+            if split == "train":
+                n, worst = bags.setdefault(t, {}).get(bag, (0, 0))
+                bags[t][bag] = n + 1, max(worst, label)
+    plain = {t: plain_clusters(points, least, min_samples) for t, points in bags.items()}
+    found = {(r["template"], tuple(r["bag"].split("\x1f"))): (r["core"], r["cluster"] and tuple(r["cluster"].split("\x1f"))) for r in model.points.collect()}
+    assert found == {(t, bag): x for t, points in plain.items() for bag, x in points.items()}
+    worst = {}
+    for t, points in plain.items():
+        for bag, (_, cluster) in points.items():
+            if cluster:
+                worst[t, cluster] = max(worst.get((t, cluster), 0), bags[t][bag][1])
+    common = lambda a, b: sum((Counter(a) & Counter(b)).values())
+    expected = {}
+    for i, p, t, bag in asked:
+        if t not in bags:
+            expected[i, p] = -2.0
+            continue
+        close = [b for b in bags[t] if common(bag, b) >= least]
+        best = min(close, key=lambda b: (-common(bag, b), b)) if close else None
+        expected[i, p] = -3.0 if best is None else worst[t, plain[t][best][1]] if plain[t][best][1] else -1.0
+    assert {(r["window_id"], r["pos"]): r["score"] for r in model.events(members, rows).collect()} == expected
+    assert model.predict(members, rows).count() == len(sequences)
+
+
+def test_clusters_of_nothing(spark):
+    members, rows = built(spark, [(["a", "b"], 0, "test")])
+    model = ClusteredContexts(2).fit(members, rows)
+    assert model.points.count() == 0 and {r["score"] for r in model.events(members, rows).collect()} == {-2.0}
+    with pytest.raises(ValueError, match="eps"):
+        common_places(3, 1.0)
