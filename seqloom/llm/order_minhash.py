@@ -12,13 +12,17 @@ the start, so groups of copies cost nothing later. Every pair of a bucket is set
 1. Each node is aligned with the smallest nodes of its buckets (their leaders), the smallest leader first, the others only
    where the two aren't of one class by then.
 2. Buckets that still hold several classes compare all their other pairs in blocks of about `BLOCK_TEXTS` texts; a bucket of
-   many texts is dealt over pairs of blocks, so none is one task. Two texts that can be aligned have 0.8 of the longer one's
+   many texts is dealt over pairs of blocks, so none is one task. Sketches go first: the parities of a text's words and word pairs in
+   some hundred places, of which two texts that can be aligned differ in no more than 2 or 4 places for each edit. Only texts that have a possible
+   partner of another class in a block travel there, packed. Two texts that can be aligned have 0.8 of the longer one's
    words in common and 0.6 of its word pairs; hashed counts give an upper bound of both as matrix products. Pairs that it lets
    through are aligned there, in one of the buckets that the two share, unless the block has linked their classes already, so a block
    gives fewer links than it has classes.
 3. Buckets of more than `crowd` texts (a passage that unlike texts share) would need blocks by the square. Texts that can be aligned share one of their
    rarest word pairs (the first ones, if all but a fixed number that they must have in common are left out), so such texts meet
    in buckets by rare word pair instead, which go through step 2. No pair is lost in either way.
+4. Edits of a text of few words leave it few shingles of five, or none. Texts of up to `SHORT` words and their possible partners therefore
+   meet by rare word pair as well, whether or not they share a bucket: all of their pairs are found.
 
 Classes are the connected components of the links.
 
@@ -54,6 +58,11 @@ BLOCK_WORDS = 1_000_000
 CROWD = 8 * BLOCK_TEXTS
 #: Places of the tables of hashed counts of one block.
 TABLE = 1 << 23
+#: Places of the smallest parity sketches, and numbers of 64 places that are compared at once.
+LEAST_BITS = 512
+PARITY_WORK = 1 << 21
+#: Texts of up to so many words are found by their rarest word pairs too, as they have too few shingles of five.
+SHORT = 40
 
 
 def labelled(shingles: np.ndarray) -> np.ndarray:
@@ -179,15 +188,16 @@ def digest(data: bytes) -> bytes:
 
 
 def sketched(docs: DataFrame, sketches: int, size: int) -> DataFrame:
-    """id, digest of the compared words and bucket hashes."""
+    """id, digest of the compared words, bucket hashes and number of words."""
 
     def run(batches):
         for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             data = [compared_bytes(x) for x in batch.column(1).to_pylist()]
             found = [order_sketches(word_hashes(x), sketches, size) for x in data]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest(x) for x in data], pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["id", "digest", "buckets"])
+            times = pa.array([x.count(b" ") + 1 if x else 0 for x in data], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest(x) for x in data], pa.binary()), pa.array(found, pa.list_(pa.int64())), times], ["id", "digest", "buckets", "n"])
 
-    return docs.transform(in_batches, run, f"id {docs.schema['id'].dataType.simpleString()}, digest binary, buckets array<long>")
+    return docs.transform(in_batches, run, f"id {docs.schema['id'].dataType.simpleString()}, digest binary, buckets array<long>, n int")
 
 
 def word_pool(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -261,6 +271,75 @@ def possible(left: list[np.ndarray], right: list[np.ndarray], similarity: float)
     return ok
 
 
+def parity_bits(words: int) -> int:
+    """Places of a text's parity sketch: about as many as it can differ in, or more."""
+    bits = LEAST_BITS
+    while bits < words:
+        bits *= 4
+    return bits
+
+
+def parity_sketch(words: np.ndarray) -> bytes:
+    """For the text's words and for its word pairs: whether each place has an odd number of them. Two texts' sketches differ in no more places than the texts in words (or pairs)."""
+    bits = parity_bits(len(words))
+    odd = [np.bincount(grams(words, width) & (bits - 1), minlength=bits).astype(np.uint8) & 1 for width in (1, 2)]
+    return np.packbits(np.concatenate(odd), bitorder="little").tobytes()
+
+
+def folded(sketches: np.ndarray, bits: int) -> np.ndarray:
+    """Sketches (a row of 64-bit numbers each) made anew with fewer places."""
+    kinds = sketches.reshape(len(sketches), 2, -1)
+    return np.bitwise_xor.reduce(kinds.reshape(len(sketches), 2, -1, bits // 64), axis=2)
+
+
+def involved(left: list[tuple], right: list[tuple] | None, similarity: float) -> tuple[set[int], set[int]]:
+    """Places in left and right (None: left itself) of the texts that may be alignable with one of another label. Rows: label, number of words, parity sketch."""
+    found: tuple[set[int], set[int]] = set(), set()
+    sides = [left, left if right is None else right]
+    by_size: list[dict[int, np.ndarray]] = []
+    for side in sides:
+        places: dict[int, list[int]] = {}
+        for i, row in enumerate(side):
+            places.setdefault(parity_bits(row[1]), []).append(i)
+        by_size.append({bits: np.array(at) for bits, at in places.items()})
+    label, n = ([np.array([row[k] for row in side]) for side in sides] for k in (0, 1))
+    for a_bits, a in by_size[0].items():
+        for b_bits, b in by_size[1].items():
+            # texts of sizes that are farther apart differ too much in length
+            if max(a_bits, b_bits) > 4 * min(a_bits, b_bits):
+                continue
+            bits = min(a_bits, b_bits)
+            own, other = (folded(np.frombuffer(b"".join(side[i][2] for i in at), "<u8").reshape(len(at), -1), bits) for side, at in zip(sides, (a, b)))
+            step = max(1, PARITY_WORK // (len(b) * bits // 64))
+            for k in range(0, len(a), step):
+                mine = a[k : k + step]
+                longer = np.maximum(n[0][mine][:, None], n[1][b][None, :])
+                most = np.floor((1 - similarity) * longer + 1e-9)
+                ok = (label[0][mine][:, None] != label[1][b][None, :]) & (np.abs(n[0][mine][:, None] - n[1][b][None, :]) <= most)
+                for kind in (0, 1):
+                    i, j = np.nonzero(ok)
+                    differ = np.bitwise_count(own[k + i, kind] ^ other[j, kind]).sum(axis=1, dtype=np.int64)
+                    # a replaced word changes two of the words and four of the pairs
+                    ok[i, j] = differ <= (2 + 2 * kind) * most[i, j]
+                found[0].update(mine[ok.any(axis=1)].tolist())
+                found[1].update(b[ok.any(axis=0)].tolist())
+    return found
+
+
+def in_runs(batches, keys: int):
+    """key (the first columns) and the other columns of each run of rows that agree in it."""
+    held, last = [], None
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[:keys] != last:
+                if held:
+                    yield last, held
+                held, last = [], row[:keys]
+            held.append(row[keys:])
+    if held:
+        yield last, held
+
+
 def turn(pair: int):
     """An order of keys for each pair of nodes: of the keys that the two share, the first has the pair."""
     return lambda key: (key ^ pair) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
@@ -304,37 +383,43 @@ def block_links(key: int, held: list[tuple], similarity: float) -> list[tuple[in
 
 
 def links_in_blocks(member: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
-    """Links (node, leader) between nodes of different labels that share a key of member (key, node), enough to join all labels that such pairs join. known: node, label, n (words), packed (its words), buckets (of which two nodes must share one, if there are any)."""
+    """Links (node, leader) between nodes of different labels that share a key of member (key, node), enough to join all labels that such pairs join. known: node, label, n (words), packed (its words), parity (its sketch), buckets (of which two nodes must share one, if there are any)."""
     labelled_member = member.join(known.select("node", "n", "label"), "node")
     sizes = labelled_member.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("w"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
     parts = F.ceil(F.greatest(F.col("c") / BLOCK_TEXTS, F.col("w") / BLOCK_WORDS)).cast("int")
     inside = settled(member.join(sizes.select("key", parts.alias("parts")), "key"))
-    # a node's own keys
-    keys = inside.groupBy("node").agg(F.collect_list("key").alias("keys"))
     rows = inside.withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node")
-    rows = rows.join(known.join(keys, "node").select("node", "label", "packed", "keys", "buckets"), "node").select("key", "lo", "hi", "own", "node", "label", "packed", "keys", "buckets")
 
-    def run(batches):
-        held, last = [], None
-
-        def close():
+    def sift(batches):
+        for key, held in in_runs(batches, 3):
+            first = [r for r in held if r[0] == held[0][0]]
+            second = [r for r in held if r[0] != held[0][0]]
             # two blocks, one of which has no text, hold no pair
-            if held and (last[1] == last[2] or len({r[0] for r in held}) == 2):
-                if links := block_links(last[0], held, similarity):
-                    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["node", "leader"])
+            if key[1] != key[2] and not second:
+                continue
+            some, more = involved([r[2:] for r in first], [r[2:] for r in second] or None, similarity)
+            left = [first[i] for i in (some | more if not second else some)] + [second[i] for i in (more if second else ())]
+            columns = [pa.array([x] * len(left), t) for x, t in zip(key, (pa.int64(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([r[0] for r in left], pa.int32()), pa.array([r[1] for r in left], pa.int64())], ["key", "lo", "hi", "own", "node"])
+
+    # first sketches alone: few of a bucket's texts may be alignable with one of another class, and only theirs travel
+    n = partitions(rows.sparkSession)
+    sketched = rows.join(known.select("node", "label", "n", "parity"), "node").select("key", "lo", "hi", "own", "node", "label", "n", "parity")
+    sketched = sketched.repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "own", "node")
+    rows = settled(sketched.transform(in_batches, sift, "key long, lo int, hi int, own int, node long"))
+    # a node's own keys
+    keys = inside.join(rows.select("node").distinct(), "node").groupBy("node").agg(F.collect_list("key").alias("keys"))
+    rows = rows.join(known.join(keys, "node").select("node", "label", "packed", "keys", "buckets"), "node").select("key", "lo", "hi", "own", "node", "label", "packed", "keys", "buckets")
 
-        for batch in batches:
-            for key, lo, hi, *rest in zip(*(c.to_pylist() for c in batch.columns)):
-                if last != (key, lo, hi):
-                    yield from close()
-                    held, last = [], (key, lo, hi)
-                held.append(rest)
-        yield from close()
+    def run(batches):
+        for key, held in in_runs(batches, 3):
+            if links := block_links(key[0], held, similarity):
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["node", "leader"])
 
     # by number: the rows are few and small, their comparisons are not
-    dealt = rows.repartition(partitions(rows.sparkSession), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "own", "node")
+    dealt = rows.repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "own", "node")
     return dealt.transform(in_batches, run, "node long, leader long").distinct()
 
 
@@ -358,20 +443,31 @@ def rare_pairs(known: DataFrame, similarity: float) -> DataFrame:
     return rows.join(often, "key").withColumn("place", F.row_number().over(order)).where("place >= need").select("key", "node")
 
 
+def compared(nodes: DataFrame, labels: DataFrame, pool: DataFrame) -> DataFrame:
+    """node, label, packed (its words), n (their number) and parity (its sketch) of the nodes."""
+
+    def run(batches):
+        for batch in batches:
+            words = batch.column(2).to_pylist()
+            packed, parity = pa.array([zlib.compress(x, 1) for x in words], pa.binary()), pa.array([parity_sketch(short_hashes(x)) for x in words], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed, batch.column(3), parity], ["node", "label", "packed", "n", "parity"])
+
+    wanted = labels.select("node", "label").join(nodes, "node").join(pool, "node").select("node", "label", "words", "n")
+    return settled(wanted.transform(in_batches, run, "node long, label long, packed binary, n int, parity binary"))
+
+
+def anywhere(known: DataFrame) -> DataFrame:
+    """known with no buckets that two nodes would have to share."""
+    return known.withColumn("buckets", F.array().cast("array<bigint>"))
+
+
 def open_links(labels: DataFrame, member: DataFrame, pool: DataFrame, similarity: float, crowd: int) -> DataFrame:
     """Links (node, leader) that join all classes (node, label) which alignable nodes of one bucket (bucket, node) join. Buckets of two nodes have been settled before."""
     inside = settled(member.select("bucket", "node").join(labels.select("node", "label"), "node"))
     several = inside.groupBy("bucket").agg(F.count("*").alias("c"), F.min("label").alias("a"), F.max("label").alias("b")).where("c > 2 AND a <> b")
     inside = settled(inside.join(several.select("bucket", "c"), "bucket").select(F.col("bucket").alias("key"), "node", "label", "c"))
-
-    def run(batches):
-        for batch in batches:
-            packed = pa.array([zlib.compress(x, 1) for x in batch.column(2).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed, batch.column(3)], ["node", "label", "packed", "n"])
-
-    wanted = inside.select("node", "label").distinct().join(pool, "node").select("node", "label", "words", "n")
-    known = settled(wanted.transform(in_batches, run, "node long, label long, packed binary, n int"))
-    links = links_in_blocks(inside.where(F.col("c") <= crowd).select("key", "node"), known.withColumn("buckets", F.array().cast("array<bigint>")), similarity)
+    known = compared(inside.select("node").distinct(), labels, pool)
+    links = links_in_blocks(inside.where(F.col("c") <= crowd).select("key", "node"), anywhere(known), similarity)
     crowded = inside.where(F.col("c") > crowd).select("key", "node")
     if not crowded.isEmpty():
         some = settled(known.join(crowded.groupBy("node").agg(F.collect_list("key").alias("buckets")), "node"))
@@ -379,6 +475,17 @@ def open_links(labels: DataFrame, member: DataFrame, pool: DataFrame, similarity
     return links
 
 
+def longest_partner(similarity: float) -> int:
+    """Words of the longest text that is alignable with one of SHORT words."""
+    return int(np.floor(SHORT / similarity + 1e-9))
+
+
+def short_links(labels: DataFrame, pool: DataFrame, similarity: float) -> DataFrame:
+    """Links (node, leader) that join all classes which alignable texts of up to longest_partner words join, whatever their buckets. One word is alignable with itself alone."""
+    known = compared(pool.where(F.col("n").between(2, longest_partner(similarity))).select("node"), labels, pool)
+    return links_in_blocks(rare_pairs(known, similarity), anywhere(known), similarity)
+
+
 def rooted(links: DataFrame) -> DataFrame:
     """node and root of links (node, leader) in which each node has one leader, smaller than itself: leaders of leaders until none is left."""
     tree = links.select("node", F.col("leader").alias("root"))
@@ -413,15 +520,16 @@ def settled_classes(docs: DataFrame, *, id_column: str, text_column: str, simila
     """id and digest of each row of docs; and for each digest class_id (smallest id of its class), label (the digest of the text of that id that stands for the class) and texts (different texts in the class)."""
     rows = docs.select(F.col(id_column).alias("id"), text_or_empty(text_column).alias("text"))
     seen = settled(sketched(rows, sketches, size))
-    # nodes are numbers, for the sake of joins and sums; written once, so that they stay
     # nodes are numbers, for the sake of joins and sums; written once, so that they stay. Equal texts have equal buckets
-    texts = settled(seen.groupBy("digest").agg(F.min("id").alias("id"), F.first("buckets").alias("buckets")).withColumn("node", F.monotonically_increasing_id()))
+    texts = settled(seen.groupBy("digest").agg(F.min("id").alias("id"), F.first("buckets").alias("buckets"), F.first("n").alias("n")).withColumn("node", F.monotonically_increasing_id()))
     member = texts.select("node", F.explode("buckets").alias("bucket"))
     full = settled(member.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1").select("bucket", "leader"))
     member = settled(member.join(full, "bucket"))
-    texts = texts.drop("buckets")
+    # short texts meet by rare word pairs too, below
+    short = texts.where(F.col("n").between(2, longest_partner(similarity))).select("node")
+    texts = texts.drop("buckets", "n")
     candidates = settled(member.where("node <> leader").select("node", "leader").distinct())
-    pool = settled(word_pool(rows, texts.join(member.select("node").distinct(), "node")))
+    pool = settled(word_pool(rows, texts.join(member.select("node").unionByName(short).distinct(), "node")))
     # the smallest leader first; the rest only where that hasn't made them one class already
     links = settled(verified(candidates.groupBy("node").agg(F.min("leader").alias("leader")), pool, similarity))
     roots = settled(rooted(links))
@@ -448,7 +556,7 @@ def settled_classes(docs: DataFrame, *, id_column: str, text_column: str, simila
     above = rooted(up).select(F.col("node").alias("root"), F.col("root").alias("label"))
     labels = texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", F.col("node"))).join(above, "root", "left")
     labels = settled(labels.select("node", "id", "digest", "root", F.coalesce("label", F.col("root")).alias("label")))
-    more = settled(open_links(labels, member, pool, similarity, crowd))
+    more = settled(open_links(labels, member, pool, similarity, crowd).unionByName(short_links(labels, pool, similarity)))
     # classes that these links join
     joined = components(between(found.unionByName(more))).select(F.col("node").alias("root"), F.col("label").alias("least"))
     labels = labels.select("node", "id", "digest", "root").join(joined, "root", "left")

@@ -172,6 +172,52 @@ def test_recall(spark, edits, shared):
     assert linked_share(spark, rows, pairs) >= 0.9
 
 
+def mixed_edits(rng, words, edits):
+    """Replacements, insertions and deletions."""
+    out = list(words)
+    for _ in range(edits):
+        at = rng.randrange(len(out))
+        out[at : at + rng.randrange(2)] = [f"x{rng.randrange(10**9)}"] * rng.randrange(2)
+    return out
+
+
+def test_recall_of_short_texts(spark):
+    """Pairs of 5 to 48 words at a similarity of 0.9, 0.85 and 0.8: those of up to 40 words are all found."""
+    rng = random.Random(7)
+    rows, pairs = [], {}
+    for n in (5, 7, 10, 15, 20, 25, 30, 40, 48):
+        for share in (0.1, 0.15, 0.2):
+            for k in range(40):
+                base = [f"w{rng.randrange(10**9)}" if k % 2 else f"v{rng.randrange(2000)}" for _ in range(n)]
+                other = (edited if k % 3 else mixed_edits)(rng, base, int(n * share + 1e-9))
+                if order_minhash.similar(base, other):
+                    pairs.setdefault((n, share), []).append((len(rows), len(rows) + 1))
+                    rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+    found = {r["doc_id"]: r["label"] for r in order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    share = {k: sum(found[a] == found[b] for a, b in v) / len(v) for k, v in pairs.items()}
+    assert min(v for (n, _), v in share.items() if n <= 40) == 1 and min(share.values()) >= 0.9, share
+    # and nothing else is
+    assert len(set(found.values())) >= len(rows) // 2 - sum(len(v) for v in pairs.values() if not v)
+
+
+def test_parity_sketches_let_all_alignable_pairs_through():
+    rng = random.Random(9)
+    texts = []
+    for n in (5, 12, 60, 300, 420, 512, 700, 2100, 2600):
+        base = [f"w{rng.randrange(400)}" for _ in range(n)]
+        texts += [base, mixed_edits(rng, base, n // 5), mixed_edits(rng, base, n // 9), [f"w{rng.randrange(400)}" for _ in range(n)]]
+    rng.shuffle(texts)
+    rows = [(i, len(t), order_minhash.parity_sketch(order_minhash.short_hashes(" ".join(t).encode()))) for i, t in enumerate(texts)]
+    near = {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if i != j and order_minhash.similar(a, b)}
+    assert len(near) >= 20
+    some, more = order_minhash.involved(rows, None, 0.8)
+    assert {i for i, _ in near} <= some | more and len(some | more) < len(texts) - 5
+    for i, j in near:
+        assert order_minhash.involved([rows[i]], [rows[j]], 0.8) == ({0}, {0})
+    # one label: nothing to find
+    assert order_minhash.involved([(0, *r[1:]) for r in rows], None, 0.8) == (set(), set())
+
+
 def test_classes_of_one_id(spark):
     words = lambda k: " ".join(f"t{k}w{i}" for i in range(12))
     # unlike texts without ids, copies of one of them, and one id with two unlike texts and two similar ones
