@@ -14,10 +14,8 @@ the start, so groups of copies cost nothing later. Every pair of a bucket is set
 2. Buckets that still hold several classes compare all their other pairs in blocks of about `BLOCK_TEXTS` texts; a bucket of
    many texts is dealt over pairs of blocks, so none is one task. Sketches go first: the parities of a text's words and word pairs in
    some hundred places, of which two texts that can be aligned differ in no more than 2 or 4 places for each edit. Only texts that have a possible
-   partner of another class in a block travel there, packed. Two texts that can be aligned have 0.8 of the longer one's
-   words in common and 0.6 of its word pairs; hashed counts give an upper bound of both as matrix products. Pairs that it lets
-   through are aligned there, in one of the buckets that the two share, unless the block has linked their classes already, so a block
-   gives fewer links than it has classes.
+   partner of another class in a block travel there, packed. Pairs that the sketches let through are aligned there, in one of
+   the buckets that the two share, unless the block has linked their classes already, so a block gives fewer links than it has classes.
 3. Buckets of more than `crowd` texts (a passage that unlike texts share) would need blocks by the square. Texts that can be aligned share one of their
    rarest word pairs (the first ones, if all but a fixed number that they must have in common are left out), so such texts meet
    in buckets by rare word pair instead, which go through step 2. No pair is lost in either way.
@@ -56,8 +54,6 @@ PIECE = 1 << 12
 BLOCK_TEXTS = 2048
 BLOCK_WORDS = 1_000_000
 CROWD = 8 * BLOCK_TEXTS
-#: Places of the tables of hashed counts of one block.
-TABLE = 1 << 23
 #: Places of the smallest parity sketches, and numbers of 64 places that are compared at once.
 LEAST_BITS = 512
 PARITY_WORK = 1 << 21
@@ -249,28 +245,6 @@ def common_grams(words: int, similarity: float, width: int) -> int:
     return max(1, int(np.ceil(words - (width - 1) - width * (1 - similarity) * words - 1e-6)))
 
 
-def hashed_counts(texts: list[np.ndarray], width: int, places: int) -> np.ndarray:
-    """Each text's runs of `width` words, counted in `places` places by hash."""
-    found = [grams(w, width) for w in texts]
-    at = np.concatenate([np.empty(0, np.int64), *found]) & (places - 1)
-    at += np.repeat(np.arange(len(texts)), [len(f) for f in found]) * places
-    return np.bincount(at, minlength=len(texts) * places).astype(np.float32).reshape(len(texts), places)
-
-
-def possible(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -> np.ndarray:
-    """Flags of the pairs of texts (as hashes of words) that may be alignable; all that are have theirs set. A product of counts isn't below the smaller of the two."""
-    a, b = (np.array([len(w) for w in side], np.float32) for side in (left, right))
-    longer, shorter = np.maximum(a[:, None], b[None, :]), np.minimum(a[:, None], b[None, :])
-    ok = longer - shorter <= (1 - similarity) * longer + 1e-3
-    mean = (a.sum() + b.sum()) / (len(a) + len(b))
-    # more places let fewer pairs through
-    places = max(1024, min(1 << int(8 * mean).bit_length(), 1 << 13, 1 << (TABLE // max(len(left), len(right))).bit_length() - 1))
-    for width in (1, 2):
-        common = hashed_counts(left, width, places) @ hashed_counts(right, width, places).T
-        ok &= common >= longer - (width - 1) - width * (1 - similarity) * longer - 1e-2
-    return ok
-
-
 def parity_bits(words: int) -> int:
     """Places of a text's parity sketch: about as many as it can differ in, or more."""
     bits = LEAST_BITS
@@ -292,17 +266,16 @@ def folded(sketches: np.ndarray, bits: int) -> np.ndarray:
     return np.bitwise_xor.reduce(kinds.reshape(len(sketches), 2, -1, bits // 64), axis=2)
 
 
-def involved(left: list[tuple], right: list[tuple] | None, similarity: float) -> tuple[set[int], set[int]]:
-    """Places in left and right (None: left itself) of the texts that may be alignable with one of another label. Rows: label, number of words, parity sketch."""
-    found: tuple[set[int], set[int]] = set(), set()
-    sides = [left, left if right is None else right]
-    by_size: list[dict[int, np.ndarray]] = []
+def maybe_alignable(left: list[tuple], right: list[tuple], similarity: float) -> np.ndarray:
+    """Flags of the pairs of texts of different labels that may be alignable; all that are have theirs set. Rows: label, number of words, parity sketch."""
+    sides, by_size = (left, right), []
     for side in sides:
         places: dict[int, list[int]] = {}
         for i, row in enumerate(side):
             places.setdefault(parity_bits(row[1]), []).append(i)
         by_size.append({bits: np.array(at) for bits, at in places.items()})
     label, n = ([np.array([row[k] for row in side]) for side in sides] for k in (0, 1))
+    out = np.zeros((len(left), len(right)), bool)
     for a_bits, a in by_size[0].items():
         for b_bits, b in by_size[1].items():
             # texts of sizes that are farther apart differ too much in length
@@ -321,9 +294,14 @@ def involved(left: list[tuple], right: list[tuple] | None, similarity: float) ->
                     differ = np.bitwise_count(own[k + i, kind] ^ other[j, kind]).sum(axis=1, dtype=np.int64)
                     # a replaced word changes two of the words and four of the pairs
                     ok[i, j] = differ <= (2 + 2 * kind) * most[i, j]
-                found[0].update(mine[ok.any(axis=1)].tolist())
-                found[1].update(b[ok.any(axis=0)].tolist())
-    return found
+                out[np.ix_(mine, b)] = ok
+    return out
+
+
+def involved(left: list[tuple], right: list[tuple] | None, similarity: float) -> tuple[set[int], set[int]]:
+    """Places in left and right (None: left itself) of the texts that may be alignable with one of another label."""
+    ok = maybe_alignable(left, left if right is None else right, similarity)
+    return set(np.flatnonzero(ok.any(axis=1)).tolist()), set(np.flatnonzero(ok.any(axis=0)).tolist())
 
 
 def in_runs(batches, keys: int):
@@ -346,39 +324,37 @@ def turn(pair: int):
 
 
 def block_links(key: int, held: list[tuple], similarity: float) -> list[tuple[int, int]]:
-    """Links between nodes of different labels that join all labels which the block's alignable pairs join. held: own (which of the two blocks), node, label, packed words, keys, buckets."""
+    """Links between nodes of different labels that join all labels which the block's alignable pairs join. held: own (which of the two blocks), node, label, n, parity, packed words, keys, buckets."""
     left = [i for i, r in enumerate(held) if r[0] == held[0][0]]
     right = [i for i, r in enumerate(held) if r[0] != held[0][0]] or left
-    words = [zlib.decompress(r[3]) for r in held]
-    label = np.array([r[2] for r in held])
-    hashes = [short_hashes(w) for w in words]
-    ok = possible([hashes[i] for i in left], [hashes[i] for i in right], similarity) & (label[left][:, None] != label[right][None, :])
+    ok = maybe_alignable([held[i][2:5] for i in left], [held[i][2:5] for i in right], similarity)
     if right is left:
         ok &= np.tri(len(left), k=-1, dtype=bool)
-    keys, buckets = [frozenset(r[4]) for r in held], [r[5] and frozenset(r[5]) for r in held]
+    keys, buckets = [frozenset(r[6]) for r in held], [r[7] and frozenset(r[7]) for r in held]
     parts: dict[int, list[bytes]] = {}
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (up := root.get(x, x)) != x:
-            root[x] = x = root.get(up, up)
-        return x
-
-    links = []
-    for i, j in zip(*(x.tolist() for x in np.nonzero(ok))):
-        i, j = left[i], right[j]
-        a, b = find(held[i][2]), find(held[j][2])
-        if a == b or (buckets[i] and buckets[i].isdisjoint(buckets[j])):
-            continue
-        common = keys[i] & keys[j]
-        if len(common) > 1 and min(common, key=turn(held[i][1] ^ held[j][1])) != key:
-            continue
-        for k in (i, j):
-            if k not in parts:
-                parts[k] = words[k].split()
-        if similar(parts[i], parts[j], similarity):
-            root[a] = b
-            links.append((max(held[i][1], held[j][1]), min(held[i][1], held[j][1])))
+    # labels that links have joined so far have one number
+    label = np.array([r[2] for r in held])
+    across, links = label[right], []
+    for row in range(len(left)):
+        i = left[row]
+        open_ = ok[row] & (across != label[i])
+        while open_.any():
+            at = int(open_.argmax())
+            open_[at] = False
+            j = right[at]
+            if buckets[i] and buckets[i].isdisjoint(buckets[j]):
+                continue
+            common = keys[i] & keys[j]
+            if len(common) > 1 and min(common, key=turn(held[i][1] ^ held[j][1])) != key:
+                continue
+            for k in (i, j):
+                if k not in parts:
+                    parts[k] = zlib.decompress(held[k][5]).split()
+            if similar(parts[i], parts[j], similarity):
+                links.append((max(held[i][1], held[j][1]), min(held[i][1], held[j][1])))
+                label[label == label[j]] = label[i]
+                across = label[right]
+                open_ &= across != label[i]
     return links
 
 
@@ -411,7 +387,7 @@ def links_in_blocks(member: DataFrame, known: DataFrame, similarity: float) -> D
     rows = settled(sketched.transform(in_batches, sift, "key long, lo int, hi int, own int, node long"))
     # a node's own keys
     keys = inside.join(rows.select("node").distinct(), "node").groupBy("node").agg(F.collect_list("key").alias("keys"))
-    rows = rows.join(known.join(keys, "node").select("node", "label", "packed", "keys", "buckets"), "node").select("key", "lo", "hi", "own", "node", "label", "packed", "keys", "buckets")
+    rows = rows.join(known.join(keys, "node").select("node", "label", "n", "parity", "packed", "keys", "buckets"), "node").select("key", "lo", "hi", "own", "node", "label", "n", "parity", "packed", "keys", "buckets")
 
     def run(batches):
         for key, held in in_runs(batches, 3):
