@@ -1,11 +1,18 @@
-"""Message templates: taken as they are, or mined by a fixed-depth tree (Drain).
+"""Message templates: taken as they are, or mined by a fixed-depth tree.
 
-Messages are masked, cut into tokens, and mined group by group: messages of different lengths or with different
-first tokens never share a template, so (length, first token) is the group and groups are mined in parallel. Within
-a group the different masked messages are looked at in the order of their first line; repeats of a masked message
-add nothing, as they match the template that they have made. Placeholders can't be first tokens of two kinds: a
-first token with a digit counts as the wildcard. A group of more than `PART` different masked messages is dealt by hash to parts that are
-mined each for itself; their templates, which are few, are then mined together.
+Messages are masked and cut into tokens. Messages of different lengths or with different first tokens never share a template
+(a first token with a digit counts as the wildcard), so (length, first token) is a leaf of the tree. In a leaf:
+
+1. Different masked messages are taken in the order of their first lines. A message that shares less than `similarity` of its
+   tokens with every seed before it is a seed itself.
+2. Each message belongs to the seed that it shares most tokens with, the first of equal ones.
+3. A template has the tokens that all messages of a seed have in common, and the wildcard elsewhere. Equal ones are one.
+
+A message's part in this depends on those before it alone, never on how rows are dealt or how many there are, and no leaf is one
+task: seeds are found in rounds, each of which takes the first `SEEDS` messages of every leaf that have no seed yet, finds the seeds
+among these few, and compares all others with them by a join. Templates are aggregations.
+
+Inference looks a message up by literal tokens: for each pattern of wildcards that its leaf has (few), an equi-join on the rest.
 
 Defined results: a null message has no template; nor has a message that no template matches (`strict` makes that an error).
 """
@@ -15,15 +22,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions.text import masked
 from seqloom.storage import kept
 
 WILDCARD = "<:*:>"
-#: Different masked messages that are mined in one task.
-PART = 20_000
+#: Messages of a leaf that are looked at in one place for new seeds.
+SEEDS = 256
 
 
 def template_tokens(text: Column) -> Column:
@@ -58,6 +65,11 @@ class IdentityParser:
         return rows.withColumn("template", F.col("untemplated_message_text")).withColumn("params", F.array().cast("array<string>"))
 
 
+def literals(tokens: Column, wild: Column) -> Column:
+    """Tokens with the wildcard at the places that wild (an array of booleans) has."""
+    return F.zip_with(tokens, wild, lambda t, w: F.when(w, WILDCARD).otherwise(t))
+
+
 @dataclass(frozen=True)
 class TemplateModel:
     """templates: n, lead, tokens (array) and template."""
@@ -65,14 +77,18 @@ class TemplateModel:
     templates: DataFrame
 
     def transform(self, rows: DataFrame, strict: bool = False) -> DataFrame:
-        """rows with template and params; null where no template matches, or an error with `strict`. Different messages are matched once each."""
+        """rows with template and params; null where no template matches, or an error with `strict`. Different messages are matched once each; of several templates that match, the one of most literal tokens has it, the last by name of equal ones."""
         known = rows.select("untemplated_message_text").distinct().withColumn("_tokens", template_tokens(F.col("untemplated_message_text")))
-        known = known.withColumn("_n", F.size("_tokens")).withColumn("_lead", leading(F.col("_tokens")))
-        sides = known.join(self.templates, (F.col("_n") == F.col("n")) & (F.col("_lead") == F.col("lead")))
-        fits = F.forall(F.zip_with("tokens", "_tokens", lambda a, b: (a == WILDCARD) | (a == b)), lambda x: x)
-        literals = F.size(F.filter("tokens", lambda t: t != WILDCARD))
-        params = F.transform(F.filter(F.arrays_zip("tokens", "_tokens"), lambda x: x["tokens"] == WILDCARD), lambda x: x["_tokens"])
-        best = sides.where(fits).groupBy("untemplated_message_text").agg(F.max_by(F.struct("template", params.alias("params")), F.struct(literals, "template")).alias("m"))
+        known = known.withColumn("n", F.size("_tokens")).withColumn("lead", leading(F.col("_tokens")))
+        wild = F.transform("tokens", lambda t: t == WILDCARD)
+        kinds = self.templates.withColumn("wild", wild)
+        patterns = kinds.select("n", "lead", "wild").distinct()
+        # a leaf's patterns are far fewer than its templates
+        asked = known.join(patterns, ["n", "lead"]).withColumn("key", literals(F.col("_tokens"), F.col("wild")))
+        met = asked.join(kinds.select("n", "lead", F.col("tokens").alias("key"), "template"), ["n", "lead", "key"])
+        literal = F.size(F.filter("wild", lambda w: ~w))
+        params = F.transform(F.filter(F.arrays_zip("_tokens", "wild"), lambda x: x["wild"]), lambda x: x["_tokens"])
+        best = met.groupBy("untemplated_message_text").agg(F.max_by(F.struct("template", params.alias("params")), F.struct(literal, "template")).alias("m"))
         out = rows.join(best.select("untemplated_message_text", "m.template", "m.params"), "untemplated_message_text", "left")
         if strict:
             missing = F.raise_error(F.concat(F.lit("no template for the message: "), F.coalesce("untemplated_message_text", F.lit("null"))))
@@ -87,45 +103,54 @@ class TemplateModel:
         return cls(spark.read.parquet(path))
 
 
+def shared(seed: Column, tokens: Column) -> Column:
+    """How many places of two messages of one length have the same token."""
+    return F.size(F.filter(F.zip_with(seed, tokens, lambda a, b: a == b), lambda x: x))
+
+
 @dataclass(frozen=True)
 class DrainParser:
-    """similarity: share of equal tokens from which a message joins a template."""
+    """similarity: share of equal tokens from which a message belongs to a seed."""
 
     similarity: float = 0.4
 
+    def enough(self, seed: Column, tokens: Column) -> Column:
+        return shared(seed, tokens) >= F.lit(float(self.similarity)) * F.size(tokens)
+
+    def seeds(self, messages: DataFrame) -> DataFrame:
+        """n, lead, first and tokens of the seeds of messages (n, lead, first, tokens)."""
+        found, rest = [], messages
+        while not rest.isEmpty():
+            order = Window.partitionBy("n", "lead").orderBy("first", "tokens")
+            front = rest.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= SEEDS)
+            # at most SEEDS messages of a leaf
+            front = front.groupBy("n", "lead").agg(F.array_sort(F.collect_list(F.struct("first", "tokens"))).alias("front"))
+            none = F.slice("front", 1, 0)
+            new = F.aggregate("front", none, lambda seeds, m: F.when(F.exists(seeds, lambda s: self.enough(s["tokens"], m["tokens"])), seeds).otherwise(F.concat(seeds, F.array(m))))
+            new = kept(front.select("n", "lead", new.alias("seeds")))
+            found.append(new.select("n", "lead", F.inline("seeds")))
+            rest = kept(rest.join(new, ["n", "lead"]).where(~F.exists("seeds", lambda s: self.enough(s["tokens"], F.col("tokens")))).drop("seeds"))
+        out = found[0] if found else messages
+        for more in found[1:]:
+            out = out.unionByName(more)
+        return out
+
     def fit(self, rows: DataFrame) -> TemplateModel:
         text = rows.where("untemplated_message_text IS NOT NULL").select(template_tokens(F.col("untemplated_message_text")).alias("tokens"), "line_order")
         different = text.groupBy("tokens").agg(F.min("line_order").alias("first"))
-        groups = different.withColumn("n", F.size("tokens")).withColumn("lead", leading(F.col("tokens")))
-        sizes = groups.groupBy("n", "lead").agg(F.ceil(F.count("*") / F.lit(PART)).alias("parts"))
-        groups = groups.join(sizes, ["n", "lead"]).withColumn("part", F.pmod(F.xxhash64("tokens"), F.col("parts")))
-        share = self.similarity
-
-        def mine(pdf):
-            import pandas as pd
-
-            found: list[list[str]] = []
-            firsts: list[int] = []
-            for tokens, first in pdf.sort_values("first")[["tokens", "first"]].itertuples(index=False):
-                tokens = list(tokens)
-                best, at = -1.0, -1
-                for i, t in enumerate(found):
-                    same = sum(a == b for a, b in zip(t, tokens) if a != WILDCARD) / max(len(tokens), 1)
-                    if same > best:
-                        best, at = same, i
-                if at >= 0 and best >= share:
-                    found[at] = [a if a == b else WILDCARD for a, b in zip(found[at], tokens)]
-                else:
-                    found.append(tokens)
-                    firsts.append(first)
-            out = pd.DataFrame({"tokens": found, "first": firsts})
-            out["n"], out["lead"] = len(pdf["tokens"].iloc[0]), pdf["lead"].iloc[0]
-            out["template"] = [" ".join(t) for t in found]
-            return out[["n", "lead", "tokens", "template", "first"]]
-
-        schema = "n int, lead string, tokens array<string>, template string, first long"
-        parts = groups.groupBy("n", "lead", "part").applyInPandas(mine, schema)
-        return TemplateModel(kept(parts.groupBy("n", "lead").applyInPandas(mine, schema).drop("first").distinct()))
+        messages = kept(different.withColumn("n", F.size("tokens")).withColumn("lead", leading(F.col("tokens"))))
+        seeds = self.seeds(messages).select("n", "lead", F.col("first").alias("seed"), F.col("tokens").alias("own"))
+        by_leaf = kept(seeds.groupBy("n", "lead").agg(F.array_sort(F.collect_list(F.struct("seed", "own"))).alias("seeds")))
+        # the most shared tokens, then the first seed
+        likeness = F.transform("seeds", lambda s: F.struct((-shared(s["own"], F.col("tokens"))).alias("less"), s["seed"].alias("seed"), s["own"].alias("own")))
+        owned = messages.join(by_leaf, ["n", "lead"]).select("n", "lead", "tokens", F.array_min(likeness).alias("s"))
+        places = owned.select("n", "lead", "s.seed", "s.own", F.posexplode("tokens").alias("place", "token"))
+        same = places.groupBy("n", "lead", "seed", "own", "place").agg(F.when(F.min("token") == F.max("token"), F.min("token")).otherwise(WILDCARD).alias("token"))
+        made = same.groupBy("n", "lead", "seed", "own").agg(F.array_sort(F.collect_list(F.struct("place", "token"))).alias("t"))
+        made = made.select("n", "lead", F.transform("t", lambda x: x["token"]).alias("tokens"))
+        # a message without tokens has no places
+        bare = messages.where("n = 0").select("n", "lead", "tokens")
+        return TemplateModel(kept(made.unionByName(bare).distinct().withColumn("template", F.array_join("tokens", " "))))
 
 
 TEMPLATE_PARSERS = {"drain": DrainParser, "identity": IdentityParser}

@@ -698,7 +698,33 @@ def masked_messages(spark, sf_dir):
     return events_as_log(spark, sf_dir).select("line_order", masked(F.col("untemplated_message_text")).alias("masked"))
 
 
-@query()
+#: How many places of two lists have the same token.
+SHARED = "len(list_filter(list_zip({a}, {b}), lambda z: z[1] = z[2]))"
+DRAIN = f"""WITH RECURSIVE {LOG},
+mk AS (SELECT line_order, regexp_replace(text, '(^| )[0-9]+( |$)', '\\1<:NUM:>\\2', 'g').regexp_replace(' [0-9]+\\}}', ' <:NUM:>}}', 'g') AS masked FROM log),
+tk AS (SELECT line_order, list_filter(string_split_regex(replace(masked, '_', ' '), '\\s+'), lambda x: x <> '') AS tokens FROM mk),
+ms AS (SELECT tokens, min(line_order) AS first, len(tokens) AS n, CASE WHEN regexp_matches(tokens[1], '[0-9]') THEN '<:*:>' ELSE coalesce(tokens[1], '') END AS lead FROM tk GROUP BY tokens),
+nr AS (
+  SELECT m.n, m.lead, m.first, list(b.first) FILTER (b.first IS NOT NULL) AS near
+  FROM ms m LEFT JOIN ms b ON b.n = m.n AND b.lead = m.lead AND b.first < m.first AND {SHARED.format(a='m.tokens', b='b.tokens')} >= 0.4 * m.n GROUP BY m.n, m.lead, m.first),
+sd AS (
+  SELECT n, lead, [min(first)] AS seeds FROM nr GROUP BY n, lead
+  UNION ALL
+  SELECT sd.n, sd.lead, list_append(any_value(sd.seeds), min(nr.first)) FROM sd JOIN nr ON nr.n = sd.n AND nr.lead = sd.lead AND nr.first > list_max(sd.seeds) AND NOT list_has_any(coalesce(nr.near, []), sd.seeds) GROUP BY sd.n, sd.lead),
+ss AS (SELECT n, lead, unnest(arg_max(seeds, len(seeds))) AS first FROM sd GROUP BY n, lead),
+ow AS (
+  SELECT m.n, m.lead, m.tokens, arg_min(ss.first, (-{SHARED.format(a='m.tokens', b='s.tokens')}, ss.first)) AS seed
+  FROM ms m JOIN ss ON ss.n = m.n AND ss.lead = m.lead JOIN ms s ON s.n = ss.n AND s.lead = ss.lead AND s.first = ss.first GROUP BY m.n, m.lead, m.tokens),
+pl AS (SELECT n, lead, seed, i, CASE WHEN min(tokens[i]) = max(tokens[i]) THEN min(tokens[i]) ELSE '<:*:>' END AS token FROM ow, range(1, n + 1) r(i) GROUP BY n, lead, seed, i),
+tp AS (SELECT DISTINCT n, lead, tokens FROM (SELECT n, lead, seed, list(token ORDER BY i) AS tokens FROM pl GROUP BY n, lead, seed)),
+ft AS (
+  SELECT m.tokens, tp.tokens AS own, array_to_string(tp.tokens, ' ') AS template, len(list_filter(tp.tokens, lambda x: x <> '<:*:>')) AS literals
+  FROM ms m JOIN tp ON tp.n = m.n AND tp.lead = m.lead AND len(list_filter(list_zip(m.tokens, tp.tokens), lambda z: z[1] = z[2] OR z[2] = '<:*:>')) = m.n),
+bs AS (SELECT tokens, arg_max(own, (literals, template)) AS own, arg_max(template, (literals, template)) AS template FROM ft GROUP BY tokens)
+SELECT line_order, template, array_to_string(list_transform(list_filter(list_zip(tk.tokens, own), lambda z: z[2] = '<:*:>'), lambda z: z[1]), ' ') AS params FROM tk LEFT JOIN bs ON bs.tokens = tk.tokens"""
+
+
+@query(DRAIN)
 def drain_templates(spark, sf_dir):
     rows = events_as_log(spark, sf_dir).drop("template", "params")
     return DrainParser().fit(rows).transform(rows).select("line_order", "template", F.array_join("params", " ").alias("params"))

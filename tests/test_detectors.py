@@ -162,10 +162,10 @@ def test_nearest_rank_of_many_values(spark):
     assert nearest_rank(frame.limit(0), "v", 0.5) is None
 
 
-def test_templates_in_parts_null_messages_and_reload(spark, monkeypatch, tmp_path):
+def test_templates_in_rounds_null_messages_and_reload(spark, monkeypatch, tmp_path):
     from seqloom.operators import templates
 
-    monkeypatch.setattr(templates, "PART", 5)
+    monkeypatch.setattr(templates, "SEEDS", 5)
     messages = [f"took {word} from cache" for word in "ab cd ef gh ij kl mn op qr st uv wx".split()] + ["other words stand here", None]
     rows = spark.createDataFrame([(i, m) for i, m in enumerate(messages)], "line_order long, untemplated_message_text string")
     model = templates.DrainParser().fit(rows)
@@ -330,3 +330,50 @@ def test_clusters_of_nothing(spark):
     assert model.points.count() == 0 and {r["score"] for r in model.events(members, rows).collect()} == {-2.0}
     with pytest.raises(ValueError, match="eps"):
         common_places(3, 1.0)
+
+
+def plain_templates(messages, similarity):
+    """Templates of token lists in order, leaf by leaf."""
+    wild, leaves, out = "<:*:>", {}, set()
+    for tokens in messages:
+        lead = wild if any(c.isdigit() for c in tokens[0]) else tokens[0]
+        own = leaves.setdefault((len(tokens), lead), [])
+        if tokens not in own:
+            own.append(tokens)
+    same = lambda a, b: sum(x == y for x, y in zip(a, b))
+    for own in leaves.values():
+        seeds = []
+        for tokens in own:
+            if all(same(s, tokens) < similarity * len(tokens) for s in seeds):
+                seeds.append(tokens)
+        members = {}
+        for tokens in own:
+            best = max(range(len(seeds)), key=lambda i: (same(seeds[i], tokens), -i))
+            members.setdefault(best, []).append(tokens)
+        for rows in members.values():
+            out.add(" ".join(column[0] if len(set(column)) == 1 else wild for column in zip(*rows)))
+    return out
+
+
+@pytest.mark.parametrize("seeds", [5, 256])
+def test_templates_depend_on_neither_size_nor_partitions(spark, monkeypatch, seeds):
+    from seqloom.operators import templates
+
+    monkeypatch.setattr(templates, "SEEDS", seeds)
+    rng = random.Random(3)
+    words = [f"{c}word" for c in "abcdefgh"]
+    messages = [["go", *(rng.choice(words) for _ in range(rng.choice([3, 5])))] for _ in range(60)] + [["x1", "y"], ["x2", "y"], ["z"]]
+    rng.shuffle(messages)
+    rows = spark.createDataFrame([(i, " ".join(m)) for i, m in enumerate(messages)] + [(999, ""), (1000, "  ")], "line_order long, untemplated_message_text string")
+    for similarity in (0.4, 0.6):
+        expected = plain_templates(messages, similarity) | {""}
+        assert len(expected) > 5
+        for parts in (1, 3, 50) if similarity == 0.4 and seeds == 256 else (7,):
+            model = templates.DrainParser(similarity).fit(rows.repartition(parts))
+            assert {r["template"] for r in model.templates.collect()} == expected
+    # each message has a template that fits, the most literal one
+    for r in model.transform(rows).collect():
+        tokens, template = r["untemplated_message_text"].split(), r["template"].split()
+        assert len(tokens) == len(template) and [t for t, x in zip(tokens, template) if x == "<:*:>"] == r["params"]
+        fits = [t for t in expected if len(t.split()) == len(tokens) and all(x in (w, "<:*:>") for w, x in zip(tokens, t.split()))]
+        assert r["template"] == max(fits, key=lambda t: (sum(x != "<:*:>" for x in t.split()), t))
