@@ -11,11 +11,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.operators.labels import is_anomalous
-from seqloom.operators.sequences import previous_time_gap
+from seqloom.operators.ordinals import CHUNK
+from seqloom.operators.running import items_before, sums_before
+from seqloom.operators.sequences import with_time_gaps
 from seqloom.schemas import TRAIN
 from seqloom.storage import kept
 
@@ -24,19 +26,24 @@ NOT_CONFIDENT, UNKNOWN_EVENT, FAR_CONTEXT = -1.0, -2.0, -3.0
 REASONS = {NOT_CONFIDENT: "not_confident_enough", UNKNOWN_EVENT: "event_not_in_training_vocabulary", FAR_CONTEXT: "closest_cluster_outside_epsilon"}
 
 
-def contexts(members: DataFrame, sequences: DataFrame, size: int = 10, timeout_ms: int | None = None) -> DataFrame:
+def contexts(members: DataFrame, sequences: DataFrame, size: int = 10, timeout_ms: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """window_id, pos, template, context (array, oldest first), truth and fallback (whether truth is the sequence's label)."""
-    order = Window.partitionBy("window_id").orderBy("pos")
-    rows = members.withColumn("_dt", previous_time_gap())
-    rows = rows.withColumn("_sum", F.sum(F.coalesce("_dt", F.lit(0))).over(order)).withColumn("_gaps", F.count_if(F.col("_dt").isNull()).over(order))
-    parts = []
-    for k in range(size, 0, -1):
-        own = F.lag("template", k).over(order)
-        if timeout_ms is not None:
-            stale = (F.col("_sum") - F.lag("_sum", k).over(order) > timeout_ms) & (F.col("_gaps") == F.lag("_gaps", k).over(order))
-            own = F.when(~stale, own)
-        parts.append(F.coalesce(own, F.lit(NO_EVENT)))
-    rows = rows.withColumn("context", F.array(*parts))
+    rows, item = members, F.struct("template")
+    if timeout_ms is not None:
+        rows = with_time_gaps(members, "_dt", chunk).withColumns({"_ms": F.coalesce("_dt", F.lit(0)), "_open": F.col("_dt").isNull().cast("long")})
+        rows = sums_before(rows, ["window_id"], "pos", {"_sum": "_ms", "_gaps": "_open"}, chunk)
+        rows = rows.withColumns({"_sum": F.col("_sum") + F.col("_ms"), "_gaps": F.col("_gaps") + F.col("_open")})
+        item = F.struct("template", "_sum", "_gaps")
+    rows = items_before(rows, ["window_id"], "pos", item, size, "_past", chunk)
+
+    def name(x: Column) -> Column:
+        known = F.coalesce(x["template"], F.lit(NO_EVENT))
+        if timeout_ms is None:
+            return known
+        stale = (F.col("_sum") - x["_sum"] > timeout_ms) & (F.col("_gaps") == x["_gaps"])
+        return F.when(stale, NO_EVENT).otherwise(known)
+
+    rows = rows.withColumn("context", F.concat(F.array_repeat(F.lit(NO_EVENT), (size - F.size("_past")).cast("int")), F.transform("_past", name)))
     labelled = rows.join(sequences.select("window_id", "label", "split_label"), "window_id")
     # a sequence without any event label has its own label for all its events; so has an event without one
     truth = F.coalesce(is_anomalous(F.when(F.col("anomalous").isNotNull(), F.col("anomalous"))).cast("int"), F.col("label"))

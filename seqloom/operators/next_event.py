@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 
 from seqloom.functions.text import numeric
 from seqloom.operators.labels import is_anomalous
-from seqloom.operators.sequences import previous_time_gap
+from seqloom.operators.ordinals import CHUNK
+from seqloom.operators.running import items_before
+from seqloom.operators.sequences import with_time_gaps
 from seqloom.schemas import TRAIN
 from seqloom.storage import kept
 
@@ -34,11 +36,11 @@ def normal_training(members: DataFrame, sequences: DataFrame) -> DataFrame:
     return members.join(good, "window_id")
 
 
-def history_pairs(members: DataFrame, history: int) -> DataFrame:
+def history_pairs(members: DataFrame, history: int, chunk: int = CHUNK) -> DataFrame:
     """window_id, pos, history (array) and target of every event with that many before it."""
-    earlier = Window.partitionBy("window_id").orderBy("pos")
-    rows = members.select("window_id", "pos", F.col("template").alias("target"), F.array(*(F.lag("template", k).over(earlier) for k in range(history, 0, -1))).alias("history"))
-    return rows.where(F.col("pos") >= history)
+    rows = members.select("window_id", "pos", F.col("template").alias("target"))
+    rows = items_before(rows, ["window_id"], "pos", F.struct("target"), history, "history", chunk).where(F.col("pos") >= history)
+    return rows.withColumn("history", F.transform("history", lambda x: x["target"]))
 
 
 @dataclass(frozen=True)
@@ -96,7 +98,7 @@ class FittedKeyModel:
 
 def parameter_values(members: DataFrame) -> DataFrame:
     """window_id, pos, template, feature (dt_prev_ms, param_0, ...) and value (null where it isn't a number)."""
-    rows = members.withColumn("_dt", previous_time_gap().cast("double"))
+    rows = with_time_gaps(members, "_dt").withColumn("_dt", F.col("_dt").cast("double"))
     params = rows.select("window_id", "pos", "template", F.posexplode("params").alias("i", "text")).select("window_id", "pos", "template", F.concat(F.lit("param_"), F.col("i")).alias("feature"), numeric(F.col("text")).alias("value"))
     gaps = rows.where("_dt IS NOT NULL").select("window_id", "pos", "template", F.lit("dt_prev_ms").alias("feature"), F.col("_dt").alias("value"))
     return params.unionByName(gaps)
@@ -137,13 +139,15 @@ class ParameterModel:
     history: int = 2
     validation: float = 0.3
     confidence: float = 0.98
+    chunk: int = CHUNK
 
     def guesses(self, values: DataFrame, scale: DataFrame) -> DataFrame:
         """values with x (normalised), guess (the mean of the last `history` in its series), mean and std, where there are as many before."""
         rows = values.join(scale, ["template", "feature"]).withColumn("x", (F.col("value") - F.col("mean")) / F.col("std"))
-        own = Window.partitionBy("window_id", "template", "feature").orderBy("pos")
-        past = own.rowsBetween(-self.history, -1)
-        return rows.withColumn("guess", F.avg("x").over(past)).withColumn("seen", F.count("x").over(past)).where(F.col("seen") == self.history)
+        rows = items_before(rows, ["window_id", "template", "feature"], "pos", F.struct("x"), self.history, "past", self.chunk)
+        known = F.filter(F.transform("past", lambda p: p["x"]), lambda x: x.isNotNull())
+        guess = F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.size(known)
+        return rows.where(F.size(known) == self.history).withColumn("guess", guess).drop("past")
 
     def series(self, values: DataFrame, scale: DataFrame) -> DataFrame:
         """window_id, pos, template and residual: mean squared distance of an event's values to their guesses, over its features."""

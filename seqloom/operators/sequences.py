@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from seqloom.operators.labels import is_anomalous
 from seqloom.operators.ordinals import CHUNK, nth_position, ordinals, positions_within
+from seqloom.operators.running import last_before
 from seqloom.schemas import IGNORED, TEST, TRAIN
 from seqloom.storage import kept
 
@@ -116,11 +117,10 @@ class EntitySequences(SequenceBuilder):
 
     def build(self) -> Sequences:
         order = self.chronology().select("entity_id", "window_id")
-        events = kept(self.labelled().join(order, "entity_id"))
-        entities = kept(self.summarised(events))
-        size = entities.agg(F.count("*").alias("n"), (F.max("last_line") - F.min("first_line") + 1).alias("lines")).first()
-        counts = split_counts(size["n"], self.train_fraction, self.test_fraction)
-        members = positions_within(events, "window_id", "line_order", size["lines"] or 0, self.chunk)
+        lines = self.rows.agg((F.max("line_order") - F.min("line_order") + 1).alias("n")).first()["n"] or 0
+        members = kept(positions_within(self.labelled().join(order, "entity_id"), "window_id", "line_order", lines, self.chunk))
+        entities = kept(self.summarised(members))
+        counts = split_counts(entities.count(), self.train_fraction, self.test_fraction)
         if not self.train_on_normal_entities_only:
             return Sequences(members, self.by_position(entities, counts).drop("group_label"), counts)
         pool = F.col("window_id") < counts.total - counts.test
@@ -153,7 +153,7 @@ class FixedWindows(SequenceBuilder):
         high = F.least(F.floor(F.col("_rn") / F.lit(e)).cast("long"), F.lit(last).cast("long"))
         # sequence() counts down where its end is smaller
         windows = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
-        members = numbered.withColumn("window_id", F.explode(windows)).withColumn("pos", (F.col("_rn") - F.col("window_id") * e)).drop("_rn")
+        members = kept(numbered.withColumn("window_id", F.explode(windows)).withColumn("pos", (F.col("_rn") - F.col("window_id") * e)).drop("_rn"))
         total = last + 1 if self.exact_split else counted_fixed_windows(n, w, self.step)
         counts = split_counts(total, self.train_fraction, self.test_fraction)
         return Sequences(members, self.by_position(kept(self.summarised(members)), counts).drop("group_label"), counts)
@@ -190,23 +190,23 @@ class TimeWindows(SequenceBuilder):
             windows = kept(windows.withColumn("window_id", (F.row_number().over(Window.orderBy("_k")) - 1).cast("long")))
         else:
             windows = ordinals(windows, [F.col("_k")], "window_id")
-        members = members.join(windows, "_k").withColumn("pos", F.col("_rn") - F.col("_first")).drop("_k", "_rn", "_first")
+        members = kept(members.join(windows, "_k").withColumn("pos", F.col("_rn") - F.col("_first")).drop("_k", "_rn", "_first"))
         total = windows.count() if self.exact_split else counted_time_windows(first, last, span, self.step)
         counts = split_counts(total, self.train_fraction, self.test_fraction)
         return Sequences(members, self.by_position(kept(self.summarised(members)), counts).drop("group_label"), counts)
 
 
-def previous_time_gap(by: str = "window_id") -> Column:
-    """Milliseconds since the last event of the sequence that has a time; null where there is none."""
-    earlier = Window.partitionBy(by).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    return F.col("timestamp_unix_ms") - F.last("timestamp_unix_ms", ignorenulls=True).over(earlier)
+def with_time_gaps(members: DataFrame, name: str = "dt_prev_ms", chunk: int = CHUNK) -> DataFrame:
+    """members with the milliseconds since the last event of the sequence that has a time; null where there is none. A long sequence is looked at in ranges of `chunk` positions."""
+    rows = last_before(members, ["window_id"], "pos", "timestamp_unix_ms", "_before", chunk)
+    return rows.withColumn(name, F.col("timestamp_unix_ms") - F.col("_before")).drop("_before")
 
 
 def nested(built: Sequences) -> DataFrame:
     """Sequences with their events, entity ids (in the order of first sight) and event labels as arrays."""
     members = built.members
     params = F.col("params") if "params" in members.columns else F.array().cast("array<string>")
-    rows = members.withColumn("dt_prev_ms", previous_time_gap()).withColumn("_params", params)
+    rows = with_time_gaps(members).withColumn("_params", params)
     item = F.struct("pos", F.struct(F.col("template"), F.col("_params").alias("params"), F.col("dt_prev_ms")).alias("event"), "entity_id", "anomalous")
     grouped = rows.groupBy("window_id").agg(F.array_sort(F.collect_list(item)).alias("i"), F.count("anomalous").alias("marked"))
     ids = F.array_distinct(F.filter(F.transform("i", lambda x: x["entity_id"]), lambda e: e.isNotNull()))

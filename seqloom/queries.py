@@ -16,7 +16,7 @@ from seqloom.operators.metrics import decision_summary, label_histograms, next_e
 from seqloom.operators.next_event import KeyModel, ParameterModel, history_pairs, normal_training, normalisation, parameter_schema, parameter_values, predict_jointly
 from seqloom.operators.online_bayes import OnlineNaiveBayes
 from seqloom.operators.representations import phrase_counts, sequential, template_counts
-from seqloom.operators.sequences import EntitySequences, FixedWindows, SequenceBuilder, Sequences, TimeWindows, nested, previous_time_gap, split_summary
+from seqloom.operators.sequences import EntitySequences, FixedWindows, SequenceBuilder, Sequences, TimeWindows, nested, split_summary, with_time_gaps
 from seqloom.operators.templates import DrainParser, IdentityParser
 from seqloom.sources.store import timestamp_bounds
 from seqloom.storage import kept
@@ -141,7 +141,7 @@ SELECT line_order, window_id, t - last_value(t IGNORE NULLS) OVER (PARTITION BY
 def time_gaps(spark, sf_dir):
     members = entities(spark, sf_dir).build().members
     members = members.withColumn("timestamp_unix_ms", F.when(F.col("line_order") % 5 != 0, F.col("timestamp_unix_ms")))
-    return members.select("line_order", "window_id", previous_time_gap().alias("dt_prev_ms"))
+    return with_time_gaps(members).select("line_order", "window_id", "dt_prev_ms")
 
 
 def fixed_sql(size: int, step: int | None) -> str:

@@ -12,10 +12,11 @@ from seqloom.operators.clusters import ClusteredContexts, common_places
 from seqloom.operators.contexts import NO_EVENT, ContextModel, contexts, reason
 from seqloom.operators.frequency import TemplateFrequency, nearest_rank
 from seqloom.operators.metrics import decision_summary, next_event_metrics, run_metrics
-from seqloom.operators.next_event import KeyModel, ParameterModel, history_pairs, masked_mse, parameter_schema, parameter_values, predict_jointly, tail_size
+from seqloom.operators.next_event import KeyModel, ParameterModel, history_pairs, masked_mse, normalisation, parameter_schema, parameter_values, predict_jointly, tail_size
 from seqloom.operators.online_bayes import OnlineNaiveBayes
 from seqloom.operators.representations import labelled_examples, phrase_counts, sequential, template_counts
-from seqloom.operators.running import sums_before
+from seqloom.operators.running import items_before, sums_before
+from seqloom.operators.sequences import with_time_gaps
 
 MEMBERS = "window_id long, pos int, template string, params array<string>, timestamp_unix_ms long, anomalous long"
 
@@ -377,3 +378,33 @@ def test_templates_depend_on_neither_size_nor_partitions(spark, monkeypatch, see
         assert len(tokens) == len(template) and [t for t, x in zip(tokens, template) if x == "<:*:>"] == r["params"]
         fits = [t for t in expected if len(t.split()) == len(tokens) and all(x in (w, "<:*:>") for w, x in zip(tokens, t.split()))]
         assert r["template"] == max(fits, key=lambda t: (sum(x != "<:*:>" for x in t.split()), t))
+
+
+@pytest.mark.parametrize("timeout", [None, 2500])
+def test_one_long_sequence_in_many_ranges(spark, timeout):
+    """One entity has all rows: gaps, histories, contexts and residuals are the same in ranges of any size, and no task has them all."""
+    rng = random.Random(6)
+    rows = [(0, p, rng.choice("abc"), [str(rng.randint(0, 9)), rng.choice(["1", "x"])], rng.choice([None, 1000 * p, 1000 * p + rng.randint(0, 900)]), None) for p in range(60)]
+    members = spark.createDataFrame(rows, MEMBERS).repartition(6)
+    sequences = spark.createDataFrame([(0, 0, "train", 60)], "window_id long, label int, split_label string, event_count long")
+    order = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    last, gaps = None, {}
+    for _, p, _, _, ts, _ in rows:
+        gaps[p] = ts - last if None not in (ts, last) else None
+        last = ts if ts is not None else last
+    model = lambda chunk: ParameterModel(3, chunk=chunk)
+    values = parameter_values(members)
+    scale = normalisation(values, parameter_schema(values))
+    whole = [order(f(1000)) for f in (lambda c: contexts(members, sequences, 4, timeout, c).drop("params"), lambda c: history_pairs(members, 4, c))]
+    assert [h for *_, h in sorted((p, h) for _, p, _, h in [(r["window_id"], r["pos"], 0, r["history"]) for r in history_pairs(members, 4).collect()])] == [[rows[q][2] for q in range(p - 4, p)] for p in range(4, 60)]
+    residuals = {(r["window_id"], r["pos"], r["template"]): r["residual"] for r in model(1000).series(values, scale).collect()}
+    assert len(residuals) > 20
+    for chunk in (2, 7, 30):
+        found = {r["pos"]: r["gap"] for r in with_time_gaps(members, "gap", chunk).collect()}
+        assert found == gaps
+        assert order(contexts(members, sequences, 4, timeout, chunk).drop("params")) == whole[0]
+        assert order(history_pairs(members, 4, chunk)) == whole[1]
+        again = {(r["window_id"], r["pos"], r["template"]): r["residual"] for r in model(chunk).series(values, scale).collect()}
+        assert again == pytest.approx(residuals)
+    dealt = items_before(members, ["window_id"], "pos", F.struct("template"), 4, "past", 7).groupBy(F.floor(F.col("pos") / 7)).count()
+    assert dealt.count() == 9
