@@ -9,13 +9,13 @@ edits; the alignment runs over a band of diagonals, whose cells are the bits of
 Equal texts (words alike but for case and white space; told apart by 128-bit digests of their bytes) are one node from
 the start, so groups of copies cost nothing later. Every pair of a bucket is settled:
 
-1. Each node is aligned with the smallest nodes of its buckets (their leaders), the smallest leader first, the others only
-   where the two aren't of one class by then.
+1. Each node is aligned with the smallest nodes of its buckets (their leaders), the smallest leader first, the others, and some
+   neighbours in a random order of its buckets, only where the two aren't of one class by then.
 2. Buckets that still hold several classes compare all their other pairs in blocks of about `BLOCK_TEXTS` texts; a bucket of
    many texts is dealt over pairs of blocks, so none is one task. Sketches go first: the parities of a text's words and word pairs in
    some hundred places, of which two texts that can be aligned differ in no more than 2 or 4 places for each edit. Only texts that have a possible
-   partner of another class in a block travel there, packed. Pairs that the sketches let through are aligned there, in one of
-   the buckets that the two share, unless the block has linked their classes already, so a block gives fewer links than it has classes.
+   partner of another class in a block travel there, packed. Pairs that the sketches let through are aligned there,
+   unless the block has linked their classes already, so a block gives fewer links than it has classes.
 3. Buckets of more than `crowd` texts (a passage that unlike texts share) would need blocks by the square. Texts that can be aligned share one of their
    rarest word pairs (the first ones, if all but a fixed number that they must have in common are left out), so such texts meet
    in buckets by rare word pair instead, which go through step 2. No pair is lost in either way.
@@ -54,6 +54,8 @@ PIECE = 1 << 12
 BLOCK_TEXTS = 2048
 BLOCK_WORDS = 1_000_000
 CROWD = 8 * BLOCK_TEXTS
+#: Neighbours that a text is compared with before all pairs of its buckets are.
+BESIDE = 8
 #: Places of the smallest parity sketches, and numbers of 64 places that are compared at once.
 LEAST_BITS = 512
 PARITY_WORK = 1 << 21
@@ -318,19 +320,14 @@ def in_runs(batches, keys: int):
         yield last, held
 
 
-def turn(pair: int):
-    """An order of keys for each pair of nodes: of the keys that the two share, the first has the pair."""
-    return lambda key: (key ^ pair) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
-
-
-def block_links(key: int, held: list[tuple], similarity: float) -> list[tuple[int, int]]:
-    """Links between nodes of different labels that join all labels which the block's alignable pairs join. held: own (which of the two blocks), node, label, n, parity, packed words, keys, buckets."""
+def block_links(held: list[tuple], similarity: float) -> list[tuple[int, int]]:
+    """Links between nodes of different labels that join all labels which the block's alignable pairs join. held: own (which of the two blocks), node, label, n, parity, packed words, buckets."""
     left = [i for i, r in enumerate(held) if r[0] == held[0][0]]
     right = [i for i, r in enumerate(held) if r[0] != held[0][0]] or left
     ok = maybe_alignable([held[i][2:5] for i in left], [held[i][2:5] for i in right], similarity)
     if right is left:
         ok &= np.tri(len(left), k=-1, dtype=bool)
-    keys, buckets = [frozenset(r[6]) for r in held], [r[7] and frozenset(r[7]) for r in held]
+    buckets = [r[6] and frozenset(r[6]) for r in held]
     parts: dict[int, list[bytes]] = {}
     # labels that links have joined so far have one number
     label = np.array([r[2] for r in held])
@@ -344,9 +341,6 @@ def block_links(key: int, held: list[tuple], similarity: float) -> list[tuple[in
             j = right[at]
             if buckets[i] and buckets[i].isdisjoint(buckets[j]):
                 continue
-            common = keys[i] & keys[j]
-            if len(common) > 1 and min(common, key=turn(held[i][1] ^ held[j][1])) != key:
-                continue
             for k in (i, j):
                 if k not in parts:
                     parts[k] = zlib.decompress(held[k][5]).split()
@@ -385,13 +379,11 @@ def links_in_blocks(member: DataFrame, known: DataFrame, similarity: float) -> D
     sketched = rows.join(known.select("node", "label", "n", "parity"), "node").select("key", "lo", "hi", "own", "node", "label", "n", "parity")
     sketched = sketched.repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "own", "node")
     rows = settled(sketched.transform(in_batches, sift, "key long, lo int, hi int, own int, node long"))
-    # a node's own keys
-    keys = inside.join(rows.select("node").distinct(), "node").groupBy("node").agg(F.collect_list("key").alias("keys"))
-    rows = rows.join(known.join(keys, "node").select("node", "label", "n", "parity", "packed", "keys", "buckets"), "node").select("key", "lo", "hi", "own", "node", "label", "n", "parity", "packed", "keys", "buckets")
+    rows = rows.join(known, "node").select("key", "lo", "hi", "own", "node", "label", "n", "parity", "packed", "buckets")
 
     def run(batches):
-        for key, held in in_runs(batches, 3):
-            if links := block_links(key[0], held, similarity):
+        for _, held in in_runs(batches, 3):
+            if links := block_links(held, similarity):
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["node", "leader"])
 
     # by number: the rows are few and small, their comparisons are not
@@ -499,7 +491,7 @@ def settled_classes(docs: DataFrame, *, id_column: str, text_column: str, simila
     # nodes are numbers, for the sake of joins and sums; written once, so that they stay. Equal texts have equal buckets
     texts = settled(seen.groupBy("digest").agg(F.min("id").alias("id"), F.first("buckets").alias("buckets"), F.first("n").alias("n")).withColumn("node", F.monotonically_increasing_id()))
     member = texts.select("node", F.explode("buckets").alias("bucket"))
-    full = settled(member.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1").select("bucket", "leader"))
+    full = settled(member.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1"))
     member = settled(member.join(full, "bucket"))
     # short texts meet by rare word pairs too, below
     short = texts.where(F.col("n").between(2, longest_partner(similarity))).select("node")
@@ -517,9 +509,14 @@ def settled_classes(docs: DataFrame, *, id_column: str, text_column: str, simila
         both = pairs.join(mine, "node", "left").join(lead, "leader", "left")
         return both.where(F.coalesce("own", F.col("node")) != F.coalesce("lead", F.col("leader"))).drop("own", "lead")
 
-    # all other leaders of those that aren't of their class
+    # all other leaders of those that aren't of their class, and some neighbours in a random order of each bucket: what these join needn't be
+    # found again in every block
     tried = candidates.groupBy("node").agg(F.min("leader").alias("leader"))
-    pairs = settled(apart(candidates).join(tried, ["node", "leader"], "left_anti"))
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK_TEXTS)).alias("part")
+    beside = member.select("bucket", "node", part).withColumn("next", F.lead("node").over(Window.partitionBy("bucket", "part").orderBy(F.xxhash64("node", "bucket")))).where("next IS NOT NULL")
+    beside = beside.select(F.greatest("node", "next").alias("node"), F.least("node", "next").alias("leader")).distinct()
+    beside = beside.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("node", "leader")))).where(F.col("place") <= BESIDE).drop("place")
+    pairs = settled(apart(candidates.unionByName(beside).distinct()).join(tried, ["node", "leader"], "left_anti"))
     found = settled(verified(pairs, pool, similarity))
 
     def between(links: DataFrame) -> DataFrame:

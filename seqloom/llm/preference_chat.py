@@ -1,17 +1,19 @@
 """Preference formatting: a prompt that chosen and rejected conversations share, and two masked completions.
 
-Turns of the two sides are matched by place. The first place at which they differ, or at which one side has
-ended, ends the longest common prefix. Turns before it are the prompt, rendered once; turns from it on are
+Turns of each side are numbered by their order and matched by that place. The first place at which the sides differ, or at which one
+has ended, ends the longest common prefix. Turns before it are the prompt, rendered once; turns from it on are
 the chosen and the rejected completion. In a completion the model is to learn what assistant turns say: their
 text and end mark have mask 1, headers and other turns mask 0; a prompt has mask 0 throughout.
 
-The result is one row per rendered turn, in long form: a conversation that is a third of a table is then many
-rows in many tasks instead of one string in one. `records` puts the turns of a pair together, for tables
+The result is in long form, a row per place with the completions of both sides side by side (`paired`), or a row per rendered
+turn (`format_pairs`): a conversation that is a third of a table is then many rows in many tasks instead of one string in one. Places are
+sums over earlier turn numbers, made in ranges of them. `records` puts the turns of a pair together, for tables
 whose conversations are known to be short.
 
 Defined results: rows without a pair are left out; a null role reads as the empty one, a null text too; turns are
 ordered by number, nulls first, turns of one number by role and text, each repeated row counting as a turn of
-its own; a side without turns gives no completion; equal sides give a prompt alone; other columns don't matter.
+its own; turn numbers needn't be the same on both sides; a side without turns gives no completion; equal sides give a prompt alone;
+other columns don't matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,6 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.operators.ordinals import CHUNK
+from seqloom.operators.running import sums_before
+
+#: Where turns without a number stand.
+FIRST = -(1 << 62)
 #: The chat template, fixed: header, text, end mark.
 HEADER = ("<|im_start|>", "\n")
 END = "<|im_end|>\n"
@@ -30,39 +37,66 @@ def header(role: Column) -> Column:
     return F.concat(F.lit(HEADER[0]), role, F.lit(HEADER[1]))
 
 
-def format_pairs(turns: DataFrame) -> DataFrame:
-    """turns (pair_id, side, turn, role, text) as rows pair_id, part, turn, rank, role, header, body, mask.
-
-    header is rendered with mask 0, body (text and end mark) with `mask`; parts in the order of turn, rank.
-    """
+def numbered(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """pair_id, side, turn, role, text and place (the turn's number on its side, from 0)."""
     text, role = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("role"), F.lit(""))
-    rows = turns.where(F.col("pair_id").isNotNull() & F.col("side").isin(CHOSEN, REJECTED)).select("pair_id", "side", "turn", role.alias("role"), text.alias("text"))
+    rows = turns.where(F.col("pair_id").isNotNull() & F.col("side").isin(CHOSEN, REJECTED)).select("pair_id", "side", F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"))
     # repeated rows of one turn number, counted before anything is moved
     times = rows.groupBy("pair_id", "side", "turn", "role", "text").agg(F.count("*").alias("times"))
-    one = Window.partitionBy("pair_id", "side", "turn").orderBy("role", "text")
-    before = F.coalesce(F.sum("times").over(one.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = times.withColumn("rank", before).withColumn("rank", F.explode(F.sequence("rank", F.col("rank") + F.col("times") - 1))).drop("times")
-    # both sides of a place in one row
+    one = Window.partitionBy("pair_id", "side", "turn").orderBy("role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = times.withColumn("rank", F.coalesce(F.sum("times").over(one), F.lit(0)))
+    # how many turns have smaller numbers
+    sizes = times.groupBy("pair_id", "side", "turn").agg(F.sum("times").alias("times")).withColumn("at", F.coalesce("turn", F.lit(FIRST)))
+    before = sums_before(sizes, ["pair_id", "side"], "at", {"before": "times"}, chunk).select("pair_id", "side", "at", "before")
+    out = ranked.withColumn("at", F.coalesce("turn", F.lit(FIRST))).join(before, ["pair_id", "side", "at"])
+    start = F.col("before") + F.col("rank")
+    return out.select("pair_id", "side", "turn", "role", "text", F.explode(F.sequence(start, start + F.col("times") - 1)).alias("place"))
+
+
+def places(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """pair_id, place, shared (whether the place is in the prompt) and, for each side, turn, role and text (null where it has ended)."""
     own = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
-    places = ranked.groupBy("pair_id", "turn", "rank").agg(*(own(s, c).alias(f"{s}_{c}") for s in (CHOSEN, REJECTED) for c in ("role", "text")))
+    both = numbered(turns, chunk).groupBy("pair_id", "place").agg(*(own(s, c).alias(f"{s}_{c}") for s in (CHOSEN, REJECTED) for c in ("turn", "role", "text")))
     alike = F.coalesce((F.col("chosen_role") == F.col("rejected_role")) & (F.col("chosen_text") == F.col("rejected_text")), F.lit(False))
-    places = places.withColumn("alike", alike)
-    # turn and rank in an order that has null turns first
-    place = F.struct(F.col("turn").isNotNull().alias("known"), "turn", "rank")
-    split = places.groupBy("pair_id").agg(F.min(F.when(~F.col("alike"), place)).alias("split"))
-    joined = places.join(split, "pair_id")
-    shared = F.col("split").isNull() | (place < F.col("split"))
-    sides = F.when(shared, F.array(F.struct(F.lit(PROMPT).alias("part"), F.col("chosen_role").alias("role"), F.col("chosen_text").alias("text")))).otherwise(
-        F.array(*(F.struct(F.lit(s).alias("part"), F.col(f"{s}_role").alias("role"), F.col(f"{s}_text").alias("text")) for s in (CHOSEN, REJECTED)))
-    )
-    out = joined.select("pair_id", "turn", "rank", F.explode(sides).alias("t")).where(F.col("t.role").isNotNull())
-    mask = ((F.col("t.part") != PROMPT) & (F.col("t.role") == ASSISTANT)).cast("int")
-    return out.select("pair_id", F.col("t.part").alias("part"), "turn", F.col("rank").cast("long").alias("rank"), F.col("t.role").alias("role"), header(F.col("t.role")).alias("header"), F.concat(F.col("t.text"), F.lit(END)).alias("body"), mask.alias("mask"))
+    split = both.groupBy("pair_id").agg(F.min(F.when(~alike, F.col("place"))).alias("split"))
+    return both.join(split, "pair_id").withColumn("shared", F.col("split").isNull() | (F.col("place") < F.col("split"))).drop("split")
+
+
+def mask_of(role: Column) -> Column:
+    return (role == ASSISTANT).cast("int")
+
+
+def body(text: Column) -> Column:
+    return F.concat(text, F.lit(END))
+
+
+def paired(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """turns (pair_id, side, turn, role, text) as a row per place: pair_id, place, prompt (the rendered turn where both sides share it), and chosen and rejected (the completions' turns where they don't), each as header and body with the body's mask."""
+    rows = places(turns, chunk)
+    side = lambda s: F.when(~F.col("shared") & F.col(f"{s}_role").isNotNull(), True)
+    completions = [
+        c for s in (CHOSEN, REJECTED)
+        for c in (F.when(side(s), header(F.col(f"{s}_role"))).alias(f"{s}_header"), F.when(side(s), body(F.col(f"{s}_text"))).alias(f"{s}_body"), F.when(side(s), mask_of(F.col(f"{s}_role"))).alias(f"{s}_mask"))
+    ]
+    prompt = F.when(F.col("shared"), F.concat(header(F.col("chosen_role")), body(F.col("chosen_text"))))
+    return rows.select("pair_id", "place", prompt.alias(PROMPT), *completions)
+
+
+def format_pairs(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """turns (pair_id, side, turn, role, text) as rows pair_id, part, place, turn, role, header, body, mask.
+
+    header is rendered with mask 0, body (text and end mark) with `mask`; parts in the order of place.
+    """
+    item = lambda part, s: F.struct(F.lit(part).alias("part"), F.col(f"{s}_turn").alias("turn"), F.col(f"{s}_role").alias("role"), F.col(f"{s}_text").alias("text"))
+    sides = F.when(F.col("shared"), F.array(item(PROMPT, CHOSEN))).otherwise(F.array(item(CHOSEN, CHOSEN), item(REJECTED, REJECTED)))
+    out = places(turns, chunk).select("pair_id", "place", F.explode(sides).alias("t")).where(F.col("t.role").isNotNull())
+    mask = F.when(F.col("t.part") == PROMPT, 0).otherwise(mask_of(F.col("t.role")))
+    return out.select("pair_id", F.col("t.part").alias("part"), "place", F.col("t.turn").alias("turn"), F.col("t.role").alias("role"), header(F.col("t.role")).alias("header"), body(F.col("t.text")).alias("body"), mask.alias("mask"))
 
 
 def records(formatted: DataFrame) -> DataFrame:
     """One row per pair: prompt, chosen and rejected as strings, and for the two the (start, end) of characters with mask 1. For conversations that fit in memory."""
-    item = F.struct(F.col("turn").isNotNull().alias("known"), "turn", "rank", "header", "body", "mask")
+    item = F.struct("place", "header", "body", "mask")
 
     def part(name: str) -> Column:
         return F.array_sort(F.collect_list(F.when(F.col("part") == name, item)))

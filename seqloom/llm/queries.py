@@ -47,7 +47,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preference_chat.format_pairs(preference_chat.swapped_endings(table(spark, sf_dir, "conversations")))
+    return preference_chat.paired(preference_chat.swapped_endings(table(spark, sf_dir, "conversations")))
 
 
 def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,20 +121,19 @@ sides AS (
   SELECT c.conv_id, 'rejected', c.turn, c.role, c.text FROM conversations c JOIN last ON last.conv_id = c.conv_id AND last.turn > c.turn
   UNION ALL
   SELECT l.conv_id, 'rejected', l.turn, n.role, n.text FROM last l JOIN last n ON n.conv_id = l.conv_id + 1),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, role, text) - 1 AS place FROM sides),
 places AS (
-  SELECT pair_id, turn, max(role) FILTER (side = 'chosen') AS cr, max(text) FILTER (side = 'chosen') AS ct,
+  SELECT pair_id, place, max(role) FILTER (side = 'chosen') AS cr, max(text) FILTER (side = 'chosen') AS ct,
          max(role) FILTER (side = 'rejected') AS rr, max(text) FILTER (side = 'rejected') AS rt
-  FROM sides GROUP BY pair_id, turn),
-split AS (SELECT pair_id, min(turn) FILTER (NOT coalesce(cr = rr AND ct = rt, false)) AS at FROM places GROUP BY pair_id),
-parts AS (
-  SELECT p.pair_id, p.turn, 'prompt' AS part, cr AS role, ct AS text FROM places p JOIN split s USING (pair_id) WHERE s.at IS NULL OR p.turn < s.at
-  UNION ALL
-  SELECT p.pair_id, p.turn, 'chosen', cr, ct FROM places p JOIN split s USING (pair_id) WHERE p.turn >= s.at AND cr IS NOT NULL
-  UNION ALL
-  SELECT p.pair_id, p.turn, 'rejected', rr, rt FROM places p JOIN split s USING (pair_id) WHERE p.turn >= s.at AND rr IS NOT NULL)
-SELECT pair_id, part, turn, CAST(0 AS BIGINT) AS rank, role, '<|im_start|>' || role || chr(10) AS header, text || '<|im_end|>' || chr(10) AS body,
-       CAST(part <> 'prompt' AND role = 'assistant' AS INTEGER) AS mask
-FROM parts
+  FROM numbered GROUP BY pair_id, place),
+split AS (SELECT pair_id, min(place) FILTER (NOT coalesce(cr = rr AND ct = rt, false)) AS ends FROM places GROUP BY pair_id),
+cut AS (SELECT places.*, (ends IS NULL OR place < ends) AS shared FROM places JOIN split USING (pair_id))
+SELECT pair_id, place, CASE WHEN shared THEN '<|im_start|>' || cr || chr(10) || ct || '<|im_end|>' || chr(10) END AS prompt,
+       CASE WHEN NOT shared THEN '<|im_start|>' || cr || chr(10) END AS chosen_header, CASE WHEN NOT shared THEN ct || '<|im_end|>' || chr(10) END AS chosen_body,
+       CASE WHEN NOT shared THEN CAST(cr = 'assistant' AS INTEGER) END AS chosen_mask,
+       CASE WHEN NOT shared THEN '<|im_start|>' || rr || chr(10) END AS rejected_header, CASE WHEN NOT shared THEN rt || '<|im_end|>' || chr(10) END AS rejected_body,
+       CASE WHEN NOT shared THEN CAST(rr = 'assistant' AS INTEGER) END AS rejected_mask
+FROM cut
 """
 
 #: Components that no distance or product can be made of.

@@ -318,8 +318,8 @@ def repeated_spans(docs: DataFrame, kind: Kind, repeats: str, *, id_column: str
     # a super-k-mer that an earlier document has goes as a whole; runs are those of the first document's
     spans = F.when(F.lit(repeats == SMALLER) & (F.col("first") < F.col("id")), whole).otherwise(part)
     found = seen.join(known, ["a", "s"]).select("id", "row", spans.alias("spans")).where(F.size("spans") > 0)
-    # a text's own spans
-    return found.groupBy("id", "row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    # a text's own spans; rows of one id and one text have the same ones, which count once
+    return found.groupBy("id", "row").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, str]:

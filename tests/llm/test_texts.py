@@ -219,10 +219,10 @@ def test_preference_pairs(spark):
     ]
     frame = spark.createDataFrame(turns, "pair_id long, side string, turn long, role string, text string").withColumn("part", F.lit(1))
     out = preference_chat.format_pairs(frame)
-    rows = {(r["pair_id"], r["part"], r["turn"], r["rank"]): (r["body"], r["mask"]) for r in out.collect()}
+    rows = {(r["pair_id"], r["part"], r["turn"], r["place"]): (r["body"], r["mask"]) for r in out.collect()}
     end = preference_chat.END
     assert rows == {
-        (1, "prompt", 0, 0): ("hi" + end, 0), (1, "chosen", 1, 0): ("good" + end, 1), (1, "rejected", 1, 0): ("bad" + end, 1), (1, "chosen", 2, 0): ("ok" + end, 0),
+        (1, "prompt", 0, 0): ("hi" + end, 0), (1, "chosen", 1, 1): ("good" + end, 1), (1, "rejected", 1, 1): ("bad" + end, 1), (1, "chosen", 2, 2): ("ok" + end, 0),
         (2, "prompt", None, 0): (end, 0), (3, "prompt", 0, 0): ("same" + end, 0), (3, "chosen", 0, 1): ("same" + end, 0), (5, "rejected", 1, 0): ("only" + end, 1),
     }
     whole = {r["pair_id"]: r for r in preference_chat.records(out).collect()}
@@ -233,6 +233,37 @@ def test_preference_pairs(spark):
     assert preference_chat.format_pairs(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [3, 1_000_000])
+def test_pairs_by_place_equal_a_plain_version(spark, chunk):
+    """Turn numbers that differ between the sides, are negative or missing; repeated turns; a very long conversation."""
+    rng = random.Random(12)
+    turns = []
+    for pair in range(25):
+        shared = [(rng.choice(["user", "assistant"]), f"t{k}") for k in range(rng.randint(0, 5))]
+        for side in ("chosen", "rejected"):
+            at = rng.randint(-3, 3)
+            for role, text in shared + [(rng.choice(["user", "assistant"]), rng.choice("ab")) for _ in range(rng.randint(0, 3))]:
+                turns.append((pair, side, at, role, text))
+                at += rng.randint(1, 5)
+    turns += [(50, s, 2 * k + (s == "chosen"), "user", f"turn {k}") for s in ("chosen", "rejected") for k in range(300)] + [(50, "chosen", 10_000, "assistant", "end")]
+    turns += [(51, s, t, "user", "x") for s in ("chosen", "rejected") for t in (None, 0, 0, 1)] + [(51, "rejected", 1, "user", "x")]
+    expected = {}
+    for pair in {t[0] for t in turns}:
+        sides = [[(r, x) for _, _, _, r, x in sorted((t for t in turns if t[:2] == (pair, s)), key=lambda t: (t[2] is not None, t[2] or 0, t[3], t[4]))] for s in ("chosen", "rejected")]
+        same = 0
+        while same < min(map(len, sides)) and sides[0][same] == sides[1][same]:
+            same += 1
+        text = lambda t: (f"<|im_start|>{t[0]}\n", f"{t[1]}<|im_end|>\n")
+        for place in range(max(map(len, sides))):
+            if place < same:
+                expected[pair, place] = ("".join(text(sides[0][place])), *[None] * 6)
+            else:
+                expected[pair, place] = (None, *(x for side in sides for x in ((*text(side[place]), int(side[place][0] == "assistant")) if place < len(side) else [None] * 3)))
+    frame = spark.createDataFrame(turns, "pair_id long, side string, turn long, role string, text string").repartition(7)
+    assert {(r[0], r[1]): tuple(r[2:]) for r in preference_chat.paired(frame, chunk).collect()} == expected
+    assert sum(1 for k, v in expected.items() if k[0] == 50 and v[0]) == 300
+
+
 def test_swapped_endings(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "c"), (2, 1, "assistant", "d"), (None, 0, "user", "x")]
     pairs = preference_chat.swapped_endings(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
