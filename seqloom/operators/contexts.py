@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.operators.labels import is_anomalous
@@ -71,6 +71,24 @@ def by_sequence(events: DataFrame, sequences: DataFrame) -> DataFrame:
     return out.withColumns({"predicted_label": bad.cast("int"), "abstained": ~bad & F.coalesce(F.col("low") < 0, F.lit(False)), "score": F.greatest(F.coalesce("top", F.lit(0.0)), F.lit(0.0))}).drop("top", "low")
 
 
+def top_templates(contexts: DataFrame, k: int) -> DataFrame:
+    """context, rank (from 1), template and n: the k templates that follow each context most often, ties by name.
+
+    Each task keeps the first k of its counts of a context, and what the tasks have kept is merged.
+    """
+    counts = contexts.groupBy("context", "template").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("context").orderBy(F.col("n").desc(), "template")
+    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("context", "rank", "template", "n")
+
+
+def next_candidates(asked: DataFrame, top: DataFrame) -> DataFrame:
+    """asked (template, context, ...) with actual, candidates (best first; none for an unknown context) and history, as next-event metrics take them."""
+    # at most k rows of a context
+    best = top.groupBy("context").agg(F.array_sort(F.collect_list(F.struct("rank", "template"))).alias("c")).select("context", F.transform("c", lambda x: x["template"]).alias("candidates"))
+    found = asked.join(best, "context", "left")
+    return found.withColumns({"actual": F.col("template"), "history": F.col("context"), "candidates": F.coalesce("candidates", F.array().cast("array<string>"))})
+
+
 @dataclass(frozen=True)
 class ContextModel:
     size: int = 10

@@ -18,7 +18,7 @@ from seqloom.operators.bayes import BERNOULLI, COMPLEMENT, MULTINOMIAL, NaiveBay
 from seqloom.operators.clusters import ClusteredContexts
 from seqloom.operators.contexts import ContextModel
 from seqloom.operators.frequency import TemplateFrequency
-from seqloom.operators.metrics import decision_summary, next_event_metrics
+from seqloom.operators.metrics import FULL_DATASET, decision_summary, next_event_metrics
 from seqloom.operators.next_event import KeyModel, ParameterModel, predict_jointly
 from seqloom.operators.representations import phrase_counts
 from seqloom.operators.sequences import Sequences
@@ -107,6 +107,7 @@ class JointDetector:
     keys: KeyModel
     parameters: ParameterModel
     mixed: bool = False
+    policy: str = FULL_DATASET
 
     def fit(self, built: Sequences) -> FittedJoint:
         if not self.mixed:
@@ -140,10 +141,11 @@ class FittedJoint:
         }
 
     def metrics(self, built: Sequences) -> dict:
-        """Next-event metrics over test sequences."""
+        """Next-event metrics over test sequences, by the detector's vocabulary policy."""
         test = built.members.join(built.sequences.where(F.col("split_label") == TEST).select("window_id"), "window_id", "left_semi")
         events = kept(self.keys.events(test).select(F.col("target").alias("actual"), "candidates", "history"))
-        found = next_event_metrics(events, known=self.keys.vocabulary)
+        early = test.where(F.col("pos") < self.detector.keys.history).count()
+        found = next_event_metrics(events, known=self.keys.vocabulary, policy=self.detector.policy, insufficient=early)
         return {"next_event": found["topk"].first().asDict() | found["summary"].first().asDict()}
 
 
@@ -180,7 +182,7 @@ DETECTORS: dict[str, Callable[[dict], Detector]] = {
     "naive_bayes": phrase_detector(MULTINOMIAL),
     "bernoulli_nb": phrase_detector(BERNOULLI),
     "complement_nb": phrase_detector(COMPLEMENT),
-    "next_event": lambda m: JointDetector(KeyModel(m.get("history_size", 10), m.get("top_g", 9), strict=True), ParameterModel(m.get("parameter_history_size", m.get("history_size", 10)), m.get("validation_fraction", 0.3), m.get("confidence", 0.98)), m.get("mixed_entities", False)),
+    "next_event": lambda m: JointDetector(KeyModel(m.get("history_size", 10), m.get("top_g", 9), strict=True), ParameterModel(m.get("parameter_history_size", m.get("history_size", 10)), m.get("validation_fraction", 0.3), m.get("confidence", 0.98)), m.get("mixed_entities", False), m.get("vocabulary_policy", FULL_DATASET)),
     "context": lambda m: ContextDetector(ContextModel(m.get("context_length", 10), int(m.get("timeout_seconds", 86_400) * 1000), m.get("min_samples", 5))),
     "context_clusters": lambda m: ContextDetector(ClusteredContexts(m.get("context_length", 10), int(m.get("timeout_seconds", 86_400) * 1000), m.get("min_samples", 5), m.get("eps", 0.1))),
 }

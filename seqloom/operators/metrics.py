@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from seqloom.operators.labels import is_anomalous
 from seqloom.schemas import TEST
+from seqloom.storage import kept
+
+
+#: Which events next-event diagnostics count: all, or those that training's templates suffice for.
+FULL_DATASET, TRAIN_ONLY = "full_dataset", "train_only"
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -45,17 +50,24 @@ def label_histograms(sequences: DataFrame) -> DataFrame:
     return sequences.groupBy("split_label", "label").agg(F.count("*").alias("n"))
 
 
-def next_event_metrics(predictions: DataFrame, ks: tuple[int, ...] = (1, 2, 5), known: DataFrame | None = None) -> dict[str, DataFrame]:
-    """predictions: actual, candidates (best first), and history (the templates it was made from) where `known` is given.
+def next_event_metrics(predictions: DataFrame, ks: tuple[int, ...] = (1, 2, 5), known: DataFrame | None = None, policy: str = FULL_DATASET, padding: str | None = None, insufficient: int = 0) -> dict[str, DataFrame]:
+    """predictions: actual, candidates (best first), and history (the templates it was made from) where the policy asks for it.
 
-    known: the templates of training (column template). With it, events whose target, then those whose history,
-    has an unknown template are excluded. Gives frames `topk` (k, hits, eligible), `labels` (one row per actual
-    label) and `summary` (one row).
+    With `full_dataset` each event counts; one without candidates, as of a history that training doesn't know, is a miss. With `train_only`
+    events whose target, then those whose history, has a template that isn't among `known` (the templates of training) are
+    excluded; a place that `padding` fills is such a history. insufficient: events that had too few before them to be asked for; they
+    are seen and never eligible. Gives frames `topk` (eligible and hits), `labels` (one row per actual label) and `summary` (one row).
     """
+    if policy not in (FULL_DATASET, TRAIN_ONLY):
+        raise ValueError(f"unknown vocabulary policy {policy!r}")
     rows = predictions
-    if known is not None:
+    if policy == TRAIN_ONLY:
+        if known is None:
+            raise ValueError("train_only needs the known templates")
         names = known.select("template").distinct()
-        rows = rows.withColumn("_id", F.monotonically_increasing_id())
+        names = names if padding is None else names.where(F.col("template") != padding)
+        # written once: numbers of a plan that runs again could be others
+        rows = kept(rows.withColumn("_id", F.monotonically_increasing_id()))
         rows = rows.join(names.select(F.col("template").alias("actual"), F.lit(True).alias("_seen")), "actual", "left")
         unknown = rows.select("_id", F.explode("history").alias("template")).join(names, "template", "left_anti").select("_id").distinct().withColumn("_gap", F.lit(True))
         rows = rows.join(unknown, "_id", "left").withColumn("reason", F.when(F.col("_seen").isNull(), "unknown_target").when(F.col("_gap"), "unknown_history")).drop("_seen", "_gap", "_id")
@@ -70,7 +82,8 @@ def next_event_metrics(predictions: DataFrame, ks: tuple[int, ...] = (1, 2, 5),
     labels = labels.withColumn("precision", p).withColumn("recall", r).withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
     n = F.sum("support")
     summary = labels.agg(*(F.coalesce(F.avg(c), F.lit(0.0)).alias(f"macro_{c}") for c in ("precision", "recall", "f1")), *(ratio(F.sum(F.col(c) * F.col("support")), n).alias(f"weighted_{c}") for c in ("precision", "recall", "f1")))
-    counts = rows.agg(F.count("*").alias("events"), F.count_if(F.col("reason").isNull()).alias("eligible"), *(F.count_if(F.col("reason") == x).alias(x) for x in ("unknown_target", "unknown_history")))
+    counts = rows.agg((F.count("*") + insufficient).alias("events"), F.lit(insufficient).cast("long").alias("insufficient_history"), F.count_if(F.col("reason").isNull()).alias("eligible"), *(F.count_if(F.col("reason") == x).alias(x) for x in ("unknown_target", "unknown_history")))
+    counts = counts.withColumn("coverage", ratio(F.col("eligible"), F.col("events")))
     return {"topk": topk, "labels": labels, "summary": summary.crossJoin(counts)}
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from seqloom.functions.text import numeric
 from seqloom.operators.labels import is_anomalous
 from seqloom.operators.ordinals import CHUNK
-from seqloom.operators.running import items_before
+from seqloom.operators.running import items_before, sums_before
 from seqloom.operators.sequences import with_time_gaps
 from seqloom.schemas import TRAIN
 from seqloom.storage import kept
@@ -155,14 +155,26 @@ class ParameterModel:
         error = (F.col("x") - F.col("guess")) * (F.col("x") - F.col("guess"))
         return rows.groupBy("window_id", "pos", "template").agg(F.avg(error).alias("residual"))
 
+    def parts(self, members: DataFrame) -> DataFrame:
+        """window_id, pos, template and validation (whether the event is in the tail) of the events of each series: those of one template in one sequence.
+
+        Of the pairs of a series (events with `history` before them) the last are held out; what is before the first of these is the prefix.
+        Series of fewer than two pairs take no part.
+        """
+        keys = ["window_id", "template"]
+        events = members.select(*keys, "pos", F.lit(1).alias("_one"))
+        events = sums_before(events, keys, "pos", {"i": "_one"}, self.chunk).join(events.groupBy(*keys).agg(F.count("*").alias("n")), keys)
+        pairs = F.col("n") - self.history
+        tail = F.least(F.greatest(F.ceil(pairs * F.lit(float(self.validation))), F.lit(1)), pairs - 1)
+        return events.where(pairs >= 2).select(*keys, "pos", (F.col("i") >= F.col("n") - tail).alias("validation"))
+
     def fit(self, members: DataFrame, sequences: DataFrame) -> FittedParameterModel:
-        values = parameter_values(normal_training(members, sequences))
-        scale = kept(normalisation(values, parameter_schema(values)))
-        series = self.series(values, scale)
-        per = Window.partitionBy("window_id", "template")
-        numbered = series.withColumn("n", F.count("*").over(per)).withColumn("i", F.row_number().over(per.orderBy("pos"))).where("n >= 2")
-        tail = F.least(F.greatest(F.ceil(F.col("n") * F.lit(float(self.validation))), F.lit(1)), F.col("n") - 1)
-        return FittedParameterModel(self, scale, kept(gaussian_bounds(numbered.where(F.col("i") > F.col("n") - tail), self.confidence)))
+        """Scales come from the prefixes, bounds from the residuals of the tails."""
+        train = normal_training(members, sequences)
+        values, parts, at = kept(parameter_values(train)), kept(self.parts(train)), ["window_id", "pos", "template"]
+        scale = kept(normalisation(values.join(parts.where("NOT validation"), at), parameter_schema(values)))
+        tails = self.series(values, scale).join(parts.where("validation"), at, "left_semi")
+        return FittedParameterModel(self, scale, kept(gaussian_bounds(tails, self.confidence)))
 
 
 @dataclass(frozen=True)

@@ -10,9 +10,9 @@ from seqloom.functions.text import masked
 from seqloom.operators import labels as L
 from seqloom.operators.bayes import BERNOULLI, COMPLEMENT, MULTINOMIAL, NaiveBayes
 from seqloom.operators.clusters import ClusteredContexts
-from seqloom.operators.contexts import ContextModel, contexts, reason
+from seqloom.operators.contexts import NO_EVENT, ContextModel, contexts, next_candidates, reason, top_templates
 from seqloom.operators.frequency import TemplateFrequency
-from seqloom.operators.metrics import decision_summary, label_histograms, next_event_metrics, run_metrics
+from seqloom.operators.metrics import FULL_DATASET, TRAIN_ONLY, decision_summary, label_histograms, next_event_metrics, run_metrics
 from seqloom.operators.next_event import KeyModel, ParameterModel, history_pairs, normal_training, normalisation, parameter_schema, parameter_values, predict_jointly
 from seqloom.operators.online_bayes import OnlineNaiveBayes
 from seqloom.operators.representations import phrase_counts, sequential, template_counts
@@ -508,16 +508,25 @@ def parameter_normalisation(spark, sf_dir):
 
 
 STRAYS = GOOD + """,
-norm AS (SELECT template, feature, avg(value) AS mean, sqrt(greatest(var_pop(value), 1e-8)) AS std FROM tv JOIN sch USING (template, feature) WHERE kept GROUP BY template, feature),
+se AS (SELECT window_id, pos, template, row_number() OVER (PARTITION BY window_id, template ORDER BY pos) AS i, count(*) OVER (PARTITION BY window_id, template) AS n FROM p JOIN good USING (window_id)),
+pf AS (SELECT window_id, pos, template, i > n - least(greatest(ceil((n - 2) * CAST(0.3 AS DOUBLE)), 1), n - 3) AS held FROM se WHERE n - 2 >= 2),
+norm AS (SELECT template, feature, avg(value) AS mean, sqrt(greatest(var_pop(value), 1e-8)) AS std FROM tv JOIN pf USING (window_id, pos, template) JOIN sch USING (template, feature) WHERE kept AND NOT held GROUP BY template, feature),
 x AS (SELECT window_id, pos, template, feature, (value - mean) / std AS x FROM val JOIN norm USING (template, feature)),
 gs AS (SELECT *, avg(x) OVER o AS guess, count(x) OVER o AS seen FROM x WINDOW o AS (PARTITION BY window_id, template, feature ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING)),
 res AS (SELECT window_id, pos, template, avg((x - guess) * (x - guess)) AS residual FROM gs WHERE seen = 2 GROUP BY ALL),
-num AS (SELECT template, residual, count(*) OVER (PARTITION BY window_id, template) AS n, row_number() OVER (PARTITION BY window_id, template ORDER BY pos) AS i FROM res JOIN good USING (window_id)),
 bd AS (SELECT template, greatest(avg(residual) - 2.3263478740408408 * sqrt(var_pop(residual)), 0) AS lower, avg(residual) + 2.3263478740408408 * sqrt(var_pop(residual)) AS upper
-       FROM num WHERE n >= 2 AND i > n - least(greatest(ceil(n * CAST(0.3 AS DOUBLE)), 1), n - 1) GROUP BY template),
+       FROM res JOIN pf USING (window_id, pos, template) WHERE held GROUP BY template),
 stray AS (SELECT window_id, pos, template, residual, residual - upper AS margin, residual > upper AS anomalous FROM res JOIN bd USING (template))"""
 
 
+@query(STRAYS + " SELECT template, feature, round(mean, 6) AS mean, round(std, 6) AS std FROM norm")
+def parameter_prefix_scale(spark, sf_dir):
+    """Scales that a parameter model learns, from the prefixes of training."""
+    built = hourly(spark, sf_dir)
+    scale = ParameterModel().fit(built.members, built.sequences).scale
+    return scale.select("template", "feature", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
 @query(STRAYS + " SELECT template, round(lower, 6) AS lower, round(upper, 6) AS upper FROM bd")
 def gaussian_thresholds(spark, sf_dir):
     """Bounds of the residuals in the tail of training."""
@@ -584,6 +593,60 @@ def event_contexts_with_timeout(spark, sf_dir):
     return context_rows(spark, sf_dir, 4 * HOUR)
 
 
+#: Twenty templates: the event's type and what is left of its value.
+FINE = ENTITIES.replace("event_type AS template", "event_type || '/' || CAST(CAST(floor(value * 100) AS BIGINT) % 4 AS VARCHAR) AS template")
+
+
+def fine_entities(spark, sf_dir) -> Sequences:
+    rows = events_as_log(spark, sf_dir).withColumn("template", F.concat("template", F.lit("/"), (F.get("params", F.lit(0)).cast("long") % 4).cast("string")))
+    return EntitySequences(rows, L.inline_group_labels(rows), 0.3, 0.5).build()
+
+
+#: Contexts of two of twenty templates, what follows them in training, and all events with their candidates.
+NEXT = f"""WITH {FINE},
+ca AS (SELECT window_id, pos, template, [coalesce(lag(template, 2) OVER o, '<no event>'), coalesce(lag(template, 1) OVER o, '<no event>')] AS ctx FROM members WINDOW o AS (PARTITION BY window_id ORDER BY pos)),
+cc AS (SELECT ca.*, split_label FROM ca JOIN split USING (window_id)),
+tt AS (SELECT ctx, template, count(*) AS n FROM cc WHERE split_label = 'train' GROUP BY ctx, template),
+tk AS (SELECT *, CAST(row_number() OVER (PARTITION BY ctx ORDER BY n DESC, template) AS INTEGER) AS rank FROM tt QUALIFY rank <= 5),
+vo AS (SELECT DISTINCT template FROM cc WHERE split_label = 'train'),
+dg AS (
+  SELECT cc.*, tk.rank, CASE WHEN cc.template NOT IN (SELECT template FROM vo) THEN 'target' WHEN len(list_filter(cc.ctx, lambda x: x = '<no event>')) > 0 OR cc.ctx[1] NOT IN (SELECT template FROM vo) OR cc.ctx[2] NOT IN (SELECT template FROM vo) THEN 'history' END AS gap
+  FROM cc LEFT JOIN tk ON tk.ctx = cc.ctx AND tk.template = cc.template WHERE split_label = 'test')"""
+
+
+@query(NEXT + " SELECT array_to_string(ctx, '|') AS context, rank, template, n FROM tk")
+def context_top_templates(spark, sf_dir):
+    built = fine_entities(spark, sf_dir)
+    train = contexts(built.members, built.sequences, 2).where("split_label = 'train'")
+    return top_templates(train, 5).select(F.array_join("context", "|").alias("context"), "rank", "template", "n")
+
+
+def context_diagnostics(spark, sf_dir, policy: str) -> DataFrame:
+    """Next-event diagnostics of contexts over test sequences."""
+    built = fine_entities(spark, sf_dir)
+    rows = kept(contexts(built.members, built.sequences, 2))
+    train, test = rows.where("split_label = 'train'"), rows.where("split_label = 'test'")
+    found = next_event_metrics(next_candidates(test, top_templates(train, 5)), known=train.select("template"), policy=policy, padding=NO_EVENT)
+    counts = found["summary"].select("events", "unknown_target", "unknown_history", F.round("coverage", 8).alias("coverage"))
+    return found["topk"].crossJoin(counts)
+
+
+def diagnostics_sql(train_only: bool) -> str:
+    fine, why = ("gap IS NULL", "count(*) FILTER (gap = '{}')") if train_only else ("true", "CAST(0 AS BIGINT)")
+    return NEXT + f""" SELECT count(*) FILTER ({fine}) AS eligible, count(*) FILTER ({fine} AND rank <= 1) AS hit_1, count(*) FILTER ({fine} AND rank <= 2) AS hit_2, count(*) FILTER ({fine} AND rank <= 5) AS hit_5,
+  count(*) AS events, {why.format('target')} AS unknown_target, {why.format('history')} AS unknown_history, round(count(*) FILTER ({fine}) / count(*), 8) AS coverage FROM dg"""
+
+
+@query(diagnostics_sql(False))
+def context_next_event_full_dataset(spark, sf_dir):
+    return context_diagnostics(spark, sf_dir, FULL_DATASET)
+
+
+@query(diagnostics_sql(True))
+def context_next_event_train_only(spark, sf_dir):
+    return context_diagnostics(spark, sf_dir, TRAIN_ONLY)
+
+
 CONTEXT_SCORES = CONTEXTS + f""",
 cx AS (SELECT window_id, pos, template, anomalous, [{lagged(3, None)}, {lagged(2, None)}, {lagged(1, None)}] AS ctx FROM e WINDOW o AS (PARTITION BY window_id ORDER BY pos)),
 cb AS (SELECT window_id, pos, template, CAST(anomalous <> 0 AS INTEGER) AS truth, array_to_string(list_sort(list_distinct(ctx)), '|') AS bag, split_label FROM cx JOIN split USING (window_id)),
@@ -611,8 +674,6 @@ def context_decisions(spark, sf_dir):
     return decision_summary(context_events(spark, sf_dir).where("split_label = 'test'"))
 
 
-#: Twenty templates: the event's type and what is left of its value.
-FINE = ENTITIES.replace("event_type AS template", "event_type || '/' || CAST(CAST(floor(value * 100) AS BIGINT) % 4 AS VARCHAR) AS template")
 CLUSTERS = f"""WITH RECURSIVE {FINE},
 cx AS (SELECT window_id, pos, template, CAST(anomalous <> 0 AS INTEGER) AS truth, [coalesce(lag(template, 3) OVER o, '<no event>'), coalesce(lag(template, 2) OVER o, '<no event>'), coalesce(lag(template, 1) OVER o, '<no event>')] AS ctx
        FROM members WINDOW o AS (PARTITION BY window_id ORDER BY pos)),
@@ -634,11 +695,6 @@ pc AS (SELECT pt.*, cl.cluster, coalesce(cl.core, false) AS core FROM pt LEFT JO
 cs AS (SELECT template, cluster, CAST(max(worst) AS DOUBLE) AS cluster_score, CAST(sum(n) AS BIGINT) AS cluster_events FROM pc WHERE cluster IS NOT NULL GROUP BY template, cluster)"""
 
 
-def fine_entities(spark, sf_dir) -> Sequences:
-    rows = events_as_log(spark, sf_dir).withColumn("template", F.concat("template", F.lit("/"), (F.get("params", F.lit(0)).cast("long") % 4).cast("string")))
-    return EntitySequences(rows, L.inline_group_labels(rows), 0.3, 0.5).build()
-
-
 def clustered_contexts(spark, sf_dir):
     built = fine_entities(spark, sf_dir)
     return built, ClusteredContexts(3, None, 8, 0.34).fit(built.members, built.sequences)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seqloom.operators.bayes import NaiveBayes
 from seqloom.operators.clusters import ClusteredContexts, common_places
-from seqloom.operators.contexts import NO_EVENT, ContextModel, contexts, reason
+from seqloom.operators.contexts import NO_EVENT, ContextModel, contexts, next_candidates, reason, top_templates
 from seqloom.operators.frequency import TemplateFrequency, nearest_rank
 from seqloom.operators.metrics import decision_summary, next_event_metrics, run_metrics
 from seqloom.operators.next_event import KeyModel, ParameterModel, history_pairs, masked_mse, normalisation, parameter_schema, parameter_values, predict_jointly, tail_size
@@ -46,9 +46,31 @@ def test_next_event_metrics(spark):
     assert [round(s[f"weighted_{x}"], 6) for x in ("precision", "recall", "f1")] == [round(5 / 6, 6), round(2 / 3, 6), round(2 / 3, 6)]
     known = spark.createDataFrame([("A",)], "template string")
     two = spark.createDataFrame([("Z", ["A"], ["A"]), ("A", [], ["Q"])], "actual string, candidates array<string>, history array<string>")
-    s = next_event_metrics(two, known=known)["summary"].first()
+    s = next_event_metrics(two, known=known, policy="train_only", insufficient=3)["summary"].first()
+    assert (s["events"], s["eligible"], s["insufficient_history"], s["coverage"]) == (5, 0, 3, 0)
+    s = next_event_metrics(two, known=known, policy="train_only")["summary"].first()
     assert (s["events"], s["eligible"], s["unknown_target"], s["unknown_history"]) == (2, 0, 1, 1)
-    assert next_event_metrics(two)["topk"].first()["eligible"] == 2
+    # all events count by default: one whose history is unknown is a miss
+    whole = next_event_metrics(two, known=known)
+    assert whole["topk"].first()["eligible"] == 2 and whole["topk"].first()["hit_5"] == 0
+    assert (whole["summary"].first()["events"], whole["summary"].first()["unknown_history"], whole["summary"].first()["coverage"]) == (2, 0, 1)
+    # a place without an event is an unknown history, whatever training has seen
+    padded = spark.createDataFrame([("A", ["A"], [NO_EVENT, "A"]), ("A", ["A"], ["A", "A"])], "actual string, candidates array<string>, history array<string>")
+    seen = spark.createDataFrame([("A",), (NO_EVENT,)], "template string")
+    s = next_event_metrics(padded, known=seen, policy="train_only", padding=NO_EVENT)["summary"].first()
+    assert (s["eligible"], s["unknown_history"]) == (1, 1)
+    with pytest.raises(ValueError, match="policy"):
+        next_event_metrics(two, policy="some")
+    with pytest.raises(ValueError, match="known"):
+        next_event_metrics(two, policy="train_only")
+
+
+def test_top_templates_of_contexts(spark):
+    rows = [("x", "A"), ("x", "B"), ("x", "B"), ("x", "C"), ("y", "C")]
+    top = top_templates(spark.createDataFrame([([c], t) for c, t in rows], "context array<string>, template string").repartition(3), 2)
+    assert sorted((r["context"][0], r["rank"], r["template"], r["n"]) for r in top.collect()) == [("x", 1, "B", 2), ("x", 2, "A", 1), ("y", 1, "C", 1)]
+    asked = spark.createDataFrame([(["x"], "A"), (["z"], "C")], "context array<string>, template string")
+    assert {r["actual"]: r["candidates"] for r in next_candidates(asked, top).collect()} == {"A": ["B", "A"], "C": []}
 
 
 def test_template_frequency(spark):
