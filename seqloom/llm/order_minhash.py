@@ -14,8 +14,8 @@ the start, so groups of copies cost nothing later. Every pair of a bucket is set
 2. Buckets that still hold several classes compare all their other pairs in blocks of about `BLOCK_TEXTS` texts; a bucket of
    many texts is dealt over pairs of blocks, so none is one task. Sketches go first: the parities of a text's words and word pairs in
    some hundred places, of which two texts that can be aligned differ in no more than 2 or 4 places for each edit. Only texts that have a possible
-   partner of another class in a block travel there, packed. Pairs that the sketches let through are aligned there,
-   unless the block has linked their classes already, so a block gives fewer links than it has classes.
+   partner of another class in a block travel there, packed. Pairs that the sketches let through are aligned there, in one of
+   the buckets that the two share, unless the block has linked their classes already, so a block gives fewer links than it has classes.
 3. Buckets of more than `crowd` texts (a passage that unlike texts share) would need blocks by the square. Texts that can be aligned share one of their
    rarest word pairs (the first ones, if all but a fixed number that they must have in common are left out), so such texts meet
    in buckets by rare word pair instead, which go through step 2. No pair is lost in either way.
@@ -57,7 +57,7 @@ CROWD = 8 * BLOCK_TEXTS
 #: Neighbours that a text is compared with before all pairs of its buckets are.
 BESIDE = 8
 #: Places of the smallest parity sketches, and numbers of 64 places that are compared at once.
-LEAST_BITS = 512
+LEAST_BITS = 1024
 PARITY_WORK = 1 << 21
 #: Texts of up to so many words are found by their rarest word pairs too, as they have too few shingles of five.
 SHORT = 40
@@ -248,9 +248,9 @@ def common_grams(words: int, similarity: float, width: int) -> int:
 
 
 def parity_bits(words: int) -> int:
-    """Places of a text's parity sketch: about as many as it can differ in, or more."""
+    """Places of a text's parity sketch: several for each word, so that few differences fall together."""
     bits = LEAST_BITS
-    while bits < words:
+    while bits < 4 * words:
         bits *= 4
     return bits
 
@@ -320,8 +320,16 @@ def in_runs(batches, keys: int):
         yield last, held
 
 
-def block_links(held: list[tuple], similarity: float) -> list[tuple[int, int]]:
-    """Links between nodes of different labels that join all labels which the block's alignable pairs join. held: own (which of the two blocks), node, label, n, parity, packed words, buckets."""
+def owned(key: int, own: np.ndarray, others: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """Which of the pairs of a node with others are for the bucket `key`: of the sketches in which a pair agrees, the first one from a place that depends on the pair has it."""
+    agree, n = others == own, len(own)
+    start = (pair.astype(np.uint64) * ODD >> np.uint64(40)).astype(np.int64) % n
+    turned = np.take_along_axis(agree, (start[:, None] + np.arange(n)) % n, 1)
+    return own[(start + turned.argmax(axis=1)) % n] == key
+
+
+def block_links(key: int, held: list[tuple], similarity: float) -> list[tuple[int, int]]:
+    """Links between nodes of different labels that join all labels which the block's alignable pairs join. held: own (which of the two blocks), node, label, n, parity, packed words, buckets, slots (the node's bucket by each sketch, or none)."""
     left = [i for i, r in enumerate(held) if r[0] == held[0][0]]
     right = [i for i, r in enumerate(held) if r[0] != held[0][0]] or left
     ok = maybe_alignable([held[i][2:5] for i in left], [held[i][2:5] for i in right], similarity)
@@ -332,9 +340,14 @@ def block_links(held: list[tuple], similarity: float) -> list[tuple[int, int]]:
     # labels that links have joined so far have one number
     label = np.array([r[2] for r in held])
     across, links = label[right], []
+    slots = np.array([r[7] for r in held], np.int64)
+    node = np.array([r[1] for r in held])
     for row in range(len(left)):
         i = left[row]
         open_ = ok[row] & (across != label[i])
+        if slots.shape[1] and open_.any():
+            at = np.flatnonzero(open_)
+            open_[at] = owned(key, slots[i], slots[np.array(right)[at]], node[i] ^ node[np.array(right)[at]])
         while open_.any():
             at = int(open_.argmax())
             open_[at] = False
@@ -379,11 +392,11 @@ def links_in_blocks(member: DataFrame, known: DataFrame, similarity: float) -> D
     sketched = rows.join(known.select("node", "label", "n", "parity"), "node").select("key", "lo", "hi", "own", "node", "label", "n", "parity")
     sketched = sketched.repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "own", "node")
     rows = settled(sketched.transform(in_batches, sift, "key long, lo int, hi int, own int, node long"))
-    rows = rows.join(known, "node").select("key", "lo", "hi", "own", "node", "label", "n", "parity", "packed", "buckets")
+    rows = rows.join(known, "node").select("key", "lo", "hi", "own", "node", "label", "n", "parity", "packed", "buckets", "slots")
 
     def run(batches):
-        for _, held in in_runs(batches, 3):
-            if links := block_links(held, similarity):
+        for key, held in in_runs(batches, 3):
+            if links := block_links(key[0], held, similarity):
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["node", "leader"])
 
     # by number: the rows are few and small, their comparisons are not
@@ -425,20 +438,21 @@ def compared(nodes: DataFrame, labels: DataFrame, pool: DataFrame) -> DataFrame:
 
 
 def anywhere(known: DataFrame) -> DataFrame:
-    """known with no buckets that two nodes would have to share."""
-    return known.withColumn("buckets", F.array().cast("array<bigint>"))
+    """known with no buckets that two nodes would have to share, and no slots."""
+    return known.withColumns({c: F.array().cast("array<bigint>") for c in ("buckets", "slots")})
 
 
-def open_links(labels: DataFrame, member: DataFrame, pool: DataFrame, similarity: float, crowd: int) -> DataFrame:
-    """Links (node, leader) that join all classes (node, label) which alignable nodes of one bucket (bucket, node) join. Buckets of two nodes have been settled before."""
+def open_links(labels: DataFrame, member: DataFrame, pool: DataFrame, similarity: float, crowd: int, slots: DataFrame | None = None) -> DataFrame:
+    """Links (node, leader) that join all classes (node, label) which alignable nodes of one bucket (bucket, node) join. Buckets of two nodes have been settled before. With slots (node, slots) a pair is aligned in one bucket alone."""
     inside = settled(member.select("bucket", "node").join(labels.select("node", "label"), "node"))
     several = inside.groupBy("bucket").agg(F.count("*").alias("c"), F.min("label").alias("a"), F.max("label").alias("b")).where("c > 2 AND a <> b")
     inside = settled(inside.join(several.select("bucket", "c"), "bucket").select(F.col("bucket").alias("key"), "node", "label", "c"))
     known = compared(inside.select("node").distinct(), labels, pool)
-    links = links_in_blocks(inside.where(F.col("c") <= crowd).select("key", "node"), anywhere(known), similarity)
+    placed = anywhere(known) if slots is None else anywhere(known).drop("slots").join(slots, "node")
+    links = links_in_blocks(inside.where(F.col("c") <= crowd).select("key", "node"), placed, similarity)
     crowded = inside.where(F.col("c") > crowd).select("key", "node")
     if not crowded.isEmpty():
-        some = settled(known.join(crowded.groupBy("node").agg(F.collect_list("key").alias("buckets")), "node"))
+        some = settled(anywhere(known).drop("buckets").join(crowded.groupBy("node").agg(F.collect_list("key").alias("buckets")), "node"))
         links = links.unionByName(links_in_blocks(rare_pairs(some, similarity), some, similarity))
     return links
 
@@ -495,6 +509,7 @@ def settled_classes(docs: DataFrame, *, id_column: str, text_column: str, simila
     member = settled(member.join(full, "bucket"))
     # short texts meet by rare word pairs too, below
     short = texts.where(F.col("n").between(2, longest_partner(similarity))).select("node")
+    slots = texts.select("node", F.col("buckets").alias("slots"))
     texts = texts.drop("buckets", "n")
     candidates = settled(member.where("node <> leader").select("node", "leader").distinct())
     pool = settled(word_pool(rows, texts.join(member.select("node").unionByName(short).distinct(), "node")))
@@ -529,7 +544,7 @@ def settled_classes(docs: DataFrame, *, id_column: str, text_column: str, simila
     above = rooted(up).select(F.col("node").alias("root"), F.col("root").alias("label"))
     labels = texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", F.col("node"))).join(above, "root", "left")
     labels = settled(labels.select("node", "id", "digest", "root", F.coalesce("label", F.col("root")).alias("label")))
-    more = settled(open_links(labels, member, pool, similarity, crowd).unionByName(short_links(labels, pool, similarity)))
+    more = settled(open_links(labels, member, pool, similarity, crowd, slots).unionByName(short_links(labels, pool, similarity)))
     # classes that these links join
     joined = components(between(found.unionByName(more))).select(F.col("node").alias("root"), F.col("label").alias("least"))
     labels = labels.select("node", "id", "digest", "root").join(joined, "root", "left")
