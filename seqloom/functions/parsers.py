@@ -98,7 +98,7 @@ def python_parser(name: str, parse_line: Callable[[str], tuple | None]) -> Parse
 
 
 def code_of(function: Callable) -> str:
-    """A hash of a function's instructions and constants, those of functions within it too."""
+    """A hash of what a function does: its instructions and constants, its defaults, and the values that it closes over, those of functions within it or among these values too."""
 
     def parts(code):
         yield code.co_code + repr((code.co_names, code.co_varnames)).encode()
@@ -108,5 +108,23 @@ def code_of(function: Callable) -> str:
             else:
                 yield repr(constant).encode()
 
-    own = getattr(function, "__code__", None)
-    return hashlib.sha256(b"\0".join(parts(own)) if own else repr(function).encode()).hexdigest()
+    def bound(f: Callable, seen: tuple = ()):
+        if f in seen:  # a function that refers to itself
+            return
+        yield from parts(f.__code__)
+        for cell in f.__closure__ or ():
+            try:
+                yield from value(cell.cell_contents, (*seen, f))
+            except ValueError:  # not set yet
+                yield b"empty"
+        for default in (*(f.__defaults__ or ()), *sorted((f.__kwdefaults__ or {}).items())):
+            yield from value(default, (*seen, f))
+
+    def value(x, seen: tuple):
+        if hasattr(x, "__code__"):
+            yield from bound(x, seen)
+        else:
+            yield repr(sorted(x, key=repr) if isinstance(x, (set, frozenset)) else x).encode()
+
+    own = list(bound(function)) if hasattr(function, "__code__") else [repr(function).encode()]
+    return hashlib.sha256(b"\0".join(own)).hexdigest()

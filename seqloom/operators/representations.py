@@ -1,7 +1,16 @@
-"""What detectors see of a sequence: its templates in order, their counts, or counts of phrases."""
+"""What detectors see of a sequence: its templates in order, their counts, counts of phrases, or features of one's own.
+
+A representation of one's own gets a sequence as Arrow batches in the order of its events, and carries a state from one to the next, so a
+sequence is never held whole, however long it is.
+"""
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Iterable
+from typing import Any, Protocol
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,3 +39,81 @@ def phrase_counts(members: DataFrame, low: int = 1, high: int = 2) -> DataFrame:
 def labelled_examples(represented: DataFrame, sequences: DataFrame) -> DataFrame:
     """Each represented row with its sequence's label and split."""
     return represented.join(sequences.select("window_id", "label", "split_label"), "window_id")
+
+
+class Representation(Protocol):
+    """Features of sequences. columns: what it reads of members beside window_id and pos."""
+
+    columns: tuple[str, ...]
+
+    def start(self) -> Any:
+        """The state before a sequence's first event."""
+
+    def step(self, state: Any, events: pa.RecordBatch) -> Any:
+        """The state after some further events (pos and the columns), in order."""
+
+    def finish(self, state: Any) -> Iterable[tuple[str, int]]:
+        """Features and their counts, once the sequence has ended."""
+
+
+class Transitions:
+    """How often a template comes right after another one: a feature of both names."""
+
+    columns = ("template",)
+
+    def start(self) -> tuple[str | None, Counter]:
+        return None, Counter()
+
+    def step(self, state, events):
+        last, counts = state
+        for template in events.column("template").to_pylist():
+            if last is not None and template is not None:
+                counts[f"{last} > {template}"] += 1
+            last = template
+        return last, counts
+
+    def finish(self, state):
+        return state[1].items()
+
+
+#: Name -> representation; further ones are added by `register`.
+REPRESENTATIONS: dict[str, Callable[[], Representation]] = {"transitions": Transitions}
+
+
+def register(name: str, factory: Callable[[], Representation]) -> None:
+    """Adds a representation of one's own under a new name."""
+    if name in REPRESENTATIONS:
+        raise ValueError(f"there is a representation {name!r} already")
+    REPRESENTATIONS[name] = factory
+
+
+def represented(members: DataFrame, representation: Representation | str) -> DataFrame:
+    """window_id, feature and cnt, as template_counts gives them, by a representation or its registered name. Sequences are dealt to tasks and streamed through it."""
+    if isinstance(representation, str):
+        if representation not in REPRESENTATIONS:
+            raise KeyError(f"unknown representation {representation!r}; known: {', '.join(sorted(REPRESENTATIONS))}")
+        representation = REPRESENTATIONS[representation]()
+    own = representation
+
+    def run(batches):
+        last, state = None, None
+
+        def ended():
+            rows = list(own.finish(state))
+            return pa.RecordBatch.from_arrays([pa.array([last] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["window_id", "feature", "cnt"])
+
+        for batch in batches:
+            windows, at = batch.column("window_id").to_pylist(), 0
+            while at < batch.num_rows:
+                upto = next((k for k in range(at, batch.num_rows) if windows[k] != windows[at]), batch.num_rows)
+                if windows[at] != last:
+                    if last is not None:
+                        yield ended()
+                    last, state = windows[at], own.start()
+                state = own.step(state, batch.slice(at, upto - at).select(["pos", *own.columns]))
+                at = upto
+        if last is not None:
+            yield ended()
+
+    rows = members.select("window_id", "pos", *own.columns).repartition("window_id").sortWithinPartitions("window_id", "pos")
+    return rows.mapInArrow(run, "window_id long, feature string, cnt long")

@@ -1,7 +1,7 @@
 """From a raw log to templated, labelled rows.
 
 `DatasetSpec` says what to build; each step returns a changed copy. `build` parses the log once into the
-Parquet store and keeps it: a fingerprint of the source file and of the spec stands beside the rows, and rows
+Parquet store and keeps it: a fingerprint of the log's content and of the parser's code stands beside the rows, and rows
 are parsed again only if that differs or the output isn't complete.
 """
 
@@ -17,6 +17,7 @@ from pathlib import Path
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from seqloom.functions.parsers import Parser, parser
 from seqloom.operators.labels import has_inline_labels, inline_group_labels
@@ -26,6 +27,10 @@ from seqloom.sources.raw import RemoteZip, Source, numbered_lines
 from seqloom.sources.store import StructuredStore, csv_labels
 
 
+#: Lines of a block of the digest's tree, and blocks of a group.
+BLOCK = 100_000
+
+
 class LabelReader(Protocol):
     """What a dataset takes to label its entities."""
 
@@ -95,9 +100,9 @@ class DatasetSpec:
     def clear_cache(self) -> None:
         shutil.rmtree(self.root, ignore_errors=True)
 
-    def fingerprint(self, log: Path) -> str:
-        stat = log.stat()
-        return stable_hash({"log": str(log.resolve()), "size": stat.st_size, "changed": stat.st_mtime_ns, "parser": self.parser.name, "code": self.parser.code})
+    def fingerprint(self, spark: SparkSession, log: Path) -> str:
+        """What the rows are made of: the log's content and the parser's code. A file's name and times don't matter."""
+        return stable_hash({"log": content_digest(spark, str(log)), "parser": self.parser.name, "code": self.parser.code})
 
     def build(self, spark: SparkSession) -> Templated:
         """An error where there is no source or parser, or where neither inline labels nor a label table exist."""
@@ -107,7 +112,7 @@ class DatasetSpec:
         with locked(self.root / ".lock"):
             raw = self.source.materialise(self.root / "raw")
             log = self.source.raw_logs_path(self.name, raw)
-            store, mark, wanted = StructuredStore(str(self.root / "rows")), self.root / "rows.sha256", self.fingerprint(log)
+            store, mark, wanted = StructuredStore(str(self.root / "rows")), self.root / "rows.sha256", self.fingerprint(spark, log)
             if not (mark.exists() and mark.read_text() == wanted and (self.root / "rows" / "_SUCCESS").exists()):
                 mark.unlink(missing_ok=True)
                 store.write(self.parser.parse(numbered_lines(spark, str(log))))
@@ -131,6 +136,15 @@ def locked(path: Path):
         yield
 
 
+def content_digest(spark: SparkSession, path: str, block: int = BLOCK) -> str:
+    """A digest of a text file's lines and their order, as a tree: tasks read ranges of bytes and hash the lines of each block with their numbers, the blocks' hashes are hashed by their groups, and the driver hashes what is left, a row for each group of groups."""
+    lines = numbered_lines(spark, path)
+    tree = lines.groupBy(F.floor(F.col("line_order") / block).alias("at")).agg(F.count("*").alias("n"), *(F.bit_xor(F.xxhash64(F.lit(k), "line_order", "value")).alias(f"h{k}") for k in (1, 2)))
+    tree = tree.groupBy(F.floor(F.col("at") / block).alias("at")).agg(F.sum("n").alias("n"), *(F.bit_xor(F.xxhash64("at", "n", f"h{k}")).alias(f"h{k}") for k in (1, 2)))
+    top = [tuple(r) for r in tree.orderBy("at").collect()]  # one row for block * block lines
+    return stable_hash(top)
+
+
 def stable_hash(value) -> str:
     return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()
 

@@ -15,7 +15,7 @@ from seqloom.operators.frequency import TemplateFrequency
 from seqloom.operators.metrics import FULL_DATASET, TRAIN_ONLY, decision_summary, label_histograms, next_event_metrics, run_metrics
 from seqloom.operators.next_event import KeyModel, ParameterModel, history_pairs, normal_training, normalisation, parameter_schema, parameter_values, predict_jointly
 from seqloom.operators.online_bayes import OnlineNaiveBayes
-from seqloom.operators.representations import phrase_counts, sequential, template_counts
+from seqloom.operators.representations import phrase_counts, represented, sequential, template_counts
 from seqloom.operators.sequences import EntitySequences, FixedWindows, SequenceBuilder, Sequences, TimeWindows, nested, split_summary, with_time_gaps
 from seqloom.operators.templates import DrainParser, IdentityParser
 from seqloom.sources.store import timestamp_bounds
@@ -257,6 +257,13 @@ def template_count_features(spark, sf_dir):
     return template_counts(entities(spark, sf_dir).build().members)
 
 
+@query(f"""WITH {ENTITIES}, tr AS (SELECT window_id, lag(template) OVER (PARTITION BY window_id ORDER BY pos) || ' > ' || template AS feature FROM members)
+SELECT window_id, feature, count(*) AS cnt FROM tr WHERE feature IS NOT NULL GROUP BY ALL""")
+def transition_features(spark, sf_dir):
+    """Features of a registered representation that carries its state over a sequence's batches."""
+    return represented(entities(spark, sf_dir).build().members, "transitions")
+
+
 PHRASES = """
 tok AS (SELECT window_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS norm, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM members),
 ph AS (

@@ -13,8 +13,25 @@ from seqloom.schemas import STORED, STRUCTURED
 
 @dataclass(frozen=True)
 class StoreConfig:
+    """buckets: entity buckets; rows_per_file and rows_per_group: rows of a file and of a row group within it at most; partitions: tasks that write, null for the session's number.
+    Rows come to a task's writer in the order of buckets, so it has one file open at a time."""
+
     buckets: int = 32
     rows_per_file: int = 5_000_000
+    rows_per_group: int = 256_000
+    partitions: int | None = None
+
+    def __post_init__(self):
+        for name in ("buckets", "rows_per_file", "rows_per_group"):
+            if getattr(self, name) <= 0:
+                raise ValueError(f"{name} must be positive")
+        if self.partitions is not None and self.partitions <= 0:
+            raise ValueError("partitions must be positive")
+
+    def options(self) -> dict[str, str]:
+        """Options of the Parquet writer. It looks at a group's size every so many rows, so groups end at that number exactly."""
+        rows = str(self.rows_per_group)
+        return {"maxRecordsPerFile": str(self.rows_per_file), "parquet.block.row.count.limit": rows, "parquet.page.row.count.limit": str(min(self.rows_per_group, 20_000))}
 
 
 def bucket(entity: Column, buckets: int) -> Column:
@@ -36,8 +53,10 @@ class StructuredStore:
             raise ValueError("no line could be parsed")
         marked = rows.withColumn("entity_bucket", bucket(F.col("entity_id"), self.config.buckets))
         spread = F.floor(F.col("line_order") / F.lit(self.config.rows_per_file))
-        dealt = marked.repartition(F.col("entity_bucket"), spread)
-        dealt.sortWithinPartitions("entity_bucket", "line_order").write.mode("overwrite").option("maxRecordsPerFile", self.config.rows_per_file).partitionBy("entity_bucket").parquet(self.path)
+        keys = (F.col("entity_bucket"), spread)
+        dealt = marked.repartition(*keys) if self.config.partitions is None else marked.repartition(self.config.partitions, *keys)
+        # in this order a task has one bucket's file open at a time
+        dealt.sortWithinPartitions("entity_bucket", "line_order").write.mode("overwrite").options(**self.config.options()).partitionBy("entity_bucket").parquet(self.path)
         return has_inline_labels(self.read(rows.sparkSession))
 
     def read(self, spark: SparkSession, columns: list[str] | None = None, where: Column | None = None) -> DataFrame:

@@ -177,3 +177,96 @@ def test_lines_of_several_files_are_not_numbered_as_one(spark, tmp_path):
         (tmp_path / name).write_text("x\ny\n")
     with pytest.raises(ValueError, match="one file"):
         numbered_lines(spark, str(tmp_path))
+
+
+def test_writer_settings_show_in_footers(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    frame = spark.range(1000).selectExpr("id * 10 AS timestamp_unix_ms", "concat('e', id % 3) AS entity_id", "'text' AS untemplated_message_text", "0L AS anomalous", "id AS line_order")
+    store = StructuredStore(str(tmp_path / "s"), StoreConfig(buckets=2, rows_per_file=300, rows_per_group=70, partitions=3))
+    store.write(frame)
+    files = list((tmp_path / "s").rglob("*.parquet"))
+    found = [pq.read_metadata(f) for f in files]
+    assert sum(m.num_rows for m in found) == 1000 and max(m.num_rows for m in found) <= 300
+    groups = [m.row_group(k).num_rows for m in found for k in range(m.num_row_groups)]
+    assert max(groups) <= 70 and len(groups) > len(files)
+    assert len({f.name.split("-")[1] for f in files}) <= 3
+    assert store.count_rows(spark) == 1000
+    for bad in ({"buckets": 0}, {"rows_per_group": 0}, {"partitions": 0}):
+        with pytest.raises(ValueError, match="positive"):
+            StoreConfig(**bad)
+
+
+def test_code_of_closures_and_defaults():
+    from seqloom.functions.parsers import code_of
+
+    def made(mark, limit=1):
+        def parse(line, size=limit, *, kind="x"):
+            return line.startswith(mark) and size
+
+        return parse
+
+    def nested(inner):
+        return lambda line: inner(line)
+
+    same = code_of(made("a"))
+    assert same == code_of(made("a")) and same != code_of(made("b")) and same != code_of(made("a", 2))
+    assert code_of(nested(made("a"))) == code_of(nested(made("a"))) != code_of(nested(made("b")))
+
+    def again(n):
+        return again(n - 1) if n else 0
+
+    assert code_of(again) == code_of(again)
+
+
+def test_content_digest(spark, tmp_path):
+    from seqloom.plans.dataset import content_digest
+
+    one, two = tmp_path / "one.log", tmp_path / "two.log"
+    one.write_text("".join(f"line {i}\n" for i in range(300)))
+    two.write_bytes(one.read_bytes())
+    first = content_digest(spark, str(one))
+    assert first == content_digest(spark, str(two)) == content_digest(spark, str(one)) != content_digest(spark, str(one), 7)
+    import os
+
+    times = os.stat(one)
+    one.write_text(one.read_text().replace("line 7\n", "line 9\n"))  # as long, and as old
+    os.utime(one, ns=(times.st_atime_ns, times.st_mtime_ns))
+    assert os.stat(one).st_size == times.st_size and content_digest(spark, str(one)) != first
+    lines = two.read_text().splitlines(keepends=True)
+    two.write_text("".join(reversed(lines)))
+    assert content_digest(spark, str(two)) != first
+
+
+def test_representation_of_ones_own_streams_a_long_sequence(spark):
+    from seqloom.operators import representations
+
+    class Gaps:
+        """Counts batches and the largest one, to see how a sequence comes."""
+
+        columns = ("template",)
+
+        def start(self):
+            return (0, 0, 0)
+
+        def step(self, state, events):
+            return state[0] + events.num_rows, state[1] + 1, max(state[2], events.num_rows)
+
+        def finish(self, state):
+            return zip(("events", "batches", "largest"), state)
+
+    rows = spark.range(5000).selectExpr("CASE WHEN id < 4000 THEN 7L ELSE id % 5 END AS window_id", "id AS pos", "concat('t', id % 3) AS template").repartition(6)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        representations.register("gaps", Gaps)
+        found = {(r["window_id"], r["feature"]): r["cnt"] for r in representations.represented(rows, "gaps").collect()}
+        assert found[7, "events"] == 4000 and found[7, "batches"] >= 40 and found[7, "largest"] <= 100 and found[0, "events"] == 200
+        moves = {(r["window_id"], r["feature"]): r["cnt"] for r in representations.represented(rows, "transitions").collect()}
+        assert moves[7, "t0 > t1"] == 1333 and sum(v for (w, _), v in moves.items() if w == 7) == 3999
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        representations.REPRESENTATIONS.pop("gaps", None)
+    with pytest.raises(ValueError, match="already"):
+        representations.register("transitions", Gaps)
+    with pytest.raises(KeyError, match="unknown"):
+        representations.represented(rows, "none")
