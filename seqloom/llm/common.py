@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.storage import shared_dir
+
 #: White space as tokenizer patterns have it, for a character class; Python's own also has U+001C to U+001F.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -33,15 +34,6 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        conf = tempfile.mkdtemp(prefix="seqloom-")
-        spark.conf.set("spark.checkpoint.dir", conf)
-    return conf
-
-
 def settled(df: DataFrame, free: bool = True) -> DataFrame:
     """df computed once and written to the shared folder, so that a lost executor loses none of it.
 

@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.llm.common import settled
 from seqloom.operators.ordinals import CHUNK
 from seqloom.operators.running import sums_before
 
@@ -42,7 +43,7 @@ def numbered(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
     text, role = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("role"), F.lit(""))
     rows = turns.where(F.col("pair_id").isNotNull() & F.col("side").isin(CHOSEN, REJECTED)).select("pair_id", "side", F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"))
     # repeated rows of one turn number, counted before anything is moved
-    times = rows.groupBy("pair_id", "side", "turn", "role", "text").agg(F.count("*").alias("times"))
+    times = settled(rows.groupBy("pair_id", "side", "turn", "role", "text").agg(F.count("*").alias("times")))
     one = Window.partitionBy("pair_id", "side", "turn").orderBy("role", "text").rowsBetween(Window.unboundedPreceding, -1)
     ranked = times.withColumn("rank", F.coalesce(F.sum("times").over(one), F.lit(0)))
     # how many turns have smaller numbers
@@ -56,7 +57,7 @@ def numbered(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
 def places(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """pair_id, place, shared (whether the place is in the prompt) and, for each side, turn, role and text (null where it has ended)."""
     own = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
-    both = numbered(turns, chunk).groupBy("pair_id", "place").agg(*(own(s, c).alias(f"{s}_{c}") for s in (CHOSEN, REJECTED) for c in ("turn", "role", "text")))
+    both = settled(numbered(turns, chunk).groupBy("pair_id", "place").agg(*(own(s, c).alias(f"{s}_{c}") for s in (CHOSEN, REJECTED) for c in ("turn", "role", "text"))))
     alike = F.coalesce((F.col("chosen_role") == F.col("rejected_role")) & (F.col("chosen_text") == F.col("rejected_text")), F.lit(False))
     split = both.groupBy("pair_id").agg(F.min(F.when(~alike, F.col("place"))).alias("split"))
     return both.join(split, "pair_id").withColumn("shared", F.col("split").isNull() | (F.col("place") < F.col("split"))).drop("split")

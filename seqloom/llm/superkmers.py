@@ -260,7 +260,7 @@ def cut_again(strings: DataFrame, kind: Kind, seed: int, repeats: str, hot: int)
                 data = batch.column(4)[i].as_py()
                 if seed:
                     key, off, n = super_kmers(kind.units(data), kind.length, kind.k, seed)
-                    key = mixed(key.view(np.uint64) + np.uint64(batch.column(0)[i].as_py() & 0xFFFFFFFFFFFFFFFF) * ODD).view(np.int64)
+                    key = mixed(key.view(np.uint64) + np.array([batch.column(0)[i].as_py()], np.int64).view(np.uint64) * ODD).view(np.int64)
                 else:
                     off = np.arange(kind.windows(data))
                     n = np.ones_like(off)

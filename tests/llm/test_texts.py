@@ -438,6 +438,25 @@ def brute_cut(text, gone):
     return text[: len(text) - len("".join(parts))] + "".join(x for x, g in zip(parts, gone) if not g)
 
 
+def test_spans_of_repeated_rows_count_once(spark):
+    """Very many rows of one id and one text: no row carries more spans than one text has."""
+    from seqloom.llm.superkmers import ANYWHERE, SMALLER, repeated_spans
+
+    rng = random.Random(4)
+    text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(120))
+    docs = spark.range(5000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(3, text), (9, "alone")], "doc_id long, text string")).repartition(8)
+    for kind, repeats in ((bwt_repeats.BYTES, ANYWHERE), (window_dedup.WORDS, SMALLER)):
+        once = repeated_spans(docs.distinct(), kind, repeats).where("id = 7").first()
+        spans = repeated_spans(docs, kind, repeats)
+        found = spans.where("id = 7").collect()
+        assert len(found) == 1 and sorted(found[0]["spans"]) == sorted(once["spans"])
+    out = window_dedup.remove_repeats(docs).groupBy("doc_id", "n_removed").count().collect()
+    assert {tuple(r) for r in out} == {(7, 120, 5000), (3, 0, 1), (9, 0, 1)}
+    out = bwt_repeats.remove_repeats(docs).groupBy("doc_id", "n_removed").count().collect()
+    assert {tuple(r) for r in out} == {(7, len(text), 5000), (3, len(text), 1), (9, 0, 1)}
+
+
 def test_texts_without_repeats_keep_their_white_space(spark):
     rows = [(d, t, "x") for d, t in corpus() if d != 308]
     rows += [(400, " \n" + rows[0][1].replace(" ", "\t\n")), (401, rows[1][1] + "\r\n")]
