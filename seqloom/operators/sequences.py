@@ -202,6 +202,13 @@ def with_time_gaps(members: DataFrame, name: str = "dt_prev_ms", chunk: int = CH
     return rows.withColumn(name, F.col("timestamp_unix_ms") - F.col("_before")).drop("_before")
 
 
+def entity_ids(members: DataFrame) -> DataFrame:
+    """window_id and entity_ids, the sequence's different entities in the order of first sight. Events are counted down to one row for each entity before any are put together."""
+    first = members.where("entity_id IS NOT NULL").groupBy("window_id", "entity_id").agg(F.min("pos").alias("pos"))
+    ids = first.groupBy("window_id").agg(F.array_sort(F.collect_list(F.struct("pos", "entity_id"))).alias("i"))
+    return ids.select("window_id", F.transform("i", lambda x: x["entity_id"]).alias("entity_ids"))
+
+
 def nested(built: Sequences) -> DataFrame:
     """Sequences with their events, entity ids (in the order of first sight) and event labels as arrays."""
     members = built.members

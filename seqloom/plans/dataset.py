@@ -10,6 +10,7 @@ from __future__ import annotations
 import fcntl
 import hashlib
 import json
+import logging
 import shutil
 from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
@@ -24,9 +25,10 @@ from seqloom.operators.labels import has_inline_labels, inline_group_labels
 from seqloom.operators.sequences import EntitySequences, FixedWindows, TimeWindows
 from seqloom.operators.templates import DrainParser, TemplateParser
 from seqloom.sources.raw import RemoteZip, Source, numbered_lines
-from seqloom.sources.store import StructuredStore, csv_labels
+from seqloom.sources.store import StructuredStore, csv_labels, first_row_example
 
 
+logger = logging.getLogger(__name__)
 #: Lines of a block of the digest's tree, and blocks of a group.
 BLOCK = 100_000
 
@@ -118,6 +120,8 @@ class DatasetSpec:
                 store.write(self.parser.parse(numbered_lines(spark, str(log))))
                 mark.write_text(wanted)
         rows = store.read(spark)
+        example = first_row_example(rows).first()
+        logger.info("dataset %s begins with line %s: %r", self.name, example["line_order"], example["untemplated_message_text"])
         # inline labels, where there are any, come before a label table
         if has_inline_labels(rows):
             labels = inline_group_labels(rows)

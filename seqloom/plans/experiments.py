@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from seqloom.functions.parsers import parser
 from seqloom.operators.detectors import detector
 from seqloom.operators.metrics import label_histograms, run_metrics
-from seqloom.operators.sequences import SequenceBuilder, nested, split_summary, validate_fractions
+from seqloom.operators.sequences import SequenceBuilder, entity_ids, split_summary, validate_fractions
 from seqloom.operators.templates import template_parser
 from seqloom.plans.dataset import CsvLabels, DatasetSpec, Templated, preset, stable_hash
 from seqloom.schemas import IGNORED, TEST, TRAIN
@@ -173,8 +173,8 @@ def run_one(spark: SparkSession, run: Run, base: Path, results: Path, *, force:
     write_json(folder / "model_manifest.json", {"detector": run.model["detector"], "sequences": counts, "labels": labels, "model": fitted.manifest()})
     write_json(folder / "environment.json", {"python": platform.python_version(), "spark": pyspark.__version__, "machine": platform.platform()})
     if write_predictions:
-        ids = nested(built).select("window_id", "entity_ids", F.size("events").alias("events"))
-        rows = predictions.where(F.col("split_label") == TEST).join(ids, "window_id")
+        rows = predictions.where(F.col("split_label") == TEST).join(entity_ids(built.members), "window_id", "left")
+        rows = rows.withColumn("entity_ids", F.coalesce("entity_ids", F.array().cast("array<string>"))).withColumn("events", F.col("event_count"))
         # in order within files and from file to file
         rows.repartitionByRange("window_id").sortWithinPartitions("window_id").write.mode("overwrite").json(str(folder / "predictions"))
     log.info("%s: done", run.name)

@@ -16,9 +16,9 @@ from seqloom.operators.metrics import FULL_DATASET, TRAIN_ONLY, decision_summary
 from seqloom.operators.next_event import KeyModel, ParameterModel, history_pairs, normal_training, normalisation, parameter_schema, parameter_values, predict_jointly
 from seqloom.operators.online_bayes import OnlineNaiveBayes
 from seqloom.operators.representations import phrase_counts, represented, sequential, template_counts
-from seqloom.operators.sequences import EntitySequences, FixedWindows, SequenceBuilder, Sequences, TimeWindows, nested, split_summary, with_time_gaps
+from seqloom.operators.sequences import EntitySequences, FixedWindows, SequenceBuilder, Sequences, TimeWindows, entity_ids, nested, split_summary, with_time_gaps
 from seqloom.operators.templates import DrainParser, IdentityParser
-from seqloom.sources.store import timestamp_bounds
+from seqloom.sources.store import first_row_example, timestamp_bounds
 from seqloom.storage import kept
 from seqloom.views import events_as_log, no_labels, table
 
@@ -90,6 +90,11 @@ def row_count(spark, sf_dir):
     return events_as_log(spark, sf_dir).agg(F.count("*").alias("n_rows"))
 
 
+@query(f"WITH {LOG} SELECT line_order, text AS untemplated_message_text FROM log ORDER BY line_order LIMIT 1")
+def first_line_example(spark, sf_dir):
+    return first_row_example(events_as_log(spark, sf_dir))
+
+
 @query(f"WITH {LOG} SELECT min(ts_ms) AS min_ts, max(ts_ms) AS max_ts FROM log")
 def log_time_bounds(spark, sf_dir):
     return timestamp_bounds(events_as_log(spark, sf_dir))
@@ -236,7 +241,7 @@ def entity_split_summary(spark, sf_dir):
 @query(time_sql(24 * HOUR, 12 * HOUR, """, o AS (SELECT window_id, entity_id, row_number() OVER (PARTITION BY window_id ORDER BY min(ts_ms), min(line_order)) AS i FROM mm GROUP BY window_id, entity_id)
 SELECT window_id, string_agg(entity_id, ',' ORDER BY i) AS entity_ids, count(*) AS n_entities FROM o GROUP BY window_id"""))
 def sequence_entity_ids(spark, sf_dir):
-    rows = nested(timed(spark, sf_dir, 24 * HOUR, 12 * HOUR).build())
+    rows = entity_ids(timed(spark, sf_dir, 24 * HOUR, 12 * HOUR).build().members)
     return rows.select("window_id", F.array_join("entity_ids", ",").alias("entity_ids"), F.size("entity_ids").cast("long").alias("n_entities"))
 
 

@@ -75,6 +75,11 @@ class StructuredStore:
         return row["min_ts"], row["max_ts"]
 
 
+def first_row_example(rows: DataFrame) -> DataFrame:
+    """line_order and text of the first line."""
+    return rows.select("line_order", "untemplated_message_text").orderBy("line_order").limit(1)
+
+
 def timestamp_bounds(rows: DataFrame) -> DataFrame:
     return rows.agg(F.min("timestamp_unix_ms").alias("min_ts"), F.max("timestamp_unix_ms").alias("max_ts"))
 

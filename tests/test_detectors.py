@@ -310,7 +310,7 @@ def plain_clusters(points, least, min_samples):
     return {a: (a in cores, cluster.get(a)) for a in points}
 
 
-@pytest.mark.parametrize("size, eps, min_samples", [(4, 0.25, 4), (5, 0.4, 6), (3, 0.0, 2), (4, 0.75, 30)])
+@pytest.mark.parametrize("size, eps, min_samples", [(4, 0.25, 4), (5, 0.4, 6)])
 def test_density_clusters_equal_a_plain_version(spark, size, eps, min_samples):
     rng = random.Random(size)
     sequences = [([rng.choice("aaabbcdefghij") for _ in range(rng.randint(1, 25))], rng.choice([0, 0, 1]), rng.choice(["train", "train", "test"])) for _ in range(60)]
@@ -421,7 +421,7 @@ def test_one_long_sequence_in_many_ranges(spark, timeout):
     assert [h for *_, h in sorted((p, h) for _, p, _, h in [(r["window_id"], r["pos"], 0, r["history"]) for r in history_pairs(members, 4).collect()])] == [[rows[q][2] for q in range(p - 4, p)] for p in range(4, 60)]
     residuals = {(r["window_id"], r["pos"], r["template"]): r["residual"] for r in model(1000).series(values, scale).collect()}
     assert len(residuals) > 20
-    for chunk in (2, 7, 30):
+    for chunk in (2, 30):
         found = {r["pos"]: r["gap"] for r in with_time_gaps(members, "gap", chunk).collect()}
         assert found == gaps
         assert order(contexts(members, sequences, 4, timeout, chunk).drop("params")) == whole[0]
