@@ -35,15 +35,18 @@ def normalised(text: Column) -> Column:
 
 def phrases(text: Column, low: int = 1, high: int = 2) -> Column:
     """The whole text, normalised, and its n-grams of tokens; a phrase that comes up twice stands twice."""
-    own = tokens(text)
+    return phrases_of(normalised(text), tokens(text), low, high)
+
+
+def phrases_of(whole: Column, own: Column, low: int = 1, high: int = 2) -> Column:
+    """phrases of a normalised text and its tokens. Where these are columns of the rows, a text is searched for tokens once and not for each of its phrases."""
 
     def grams_of(n: int) -> Column:
         places = F.sequence(F.lit(1), F.size(own) - (n - 1))
         return F.when(F.size(own) >= n, F.transform(places, lambda i: F.array_join(F.slice(own, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
     grams = [grams_of(n) for n in range(low, high + 1)]
-    whole = F.when(F.length(normalised(text)) > 0, F.array(normalised(text))).otherwise(F.array().cast("array<string>"))
-    return F.concat(whole, *grams)
+    return F.concat(F.when(F.length(whole) > 0, F.array(whole)).otherwise(F.array().cast("array<string>")), *grams)
 
 
 def numeric(text: Column) -> Column:

@@ -14,7 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.functions.text import phrases
+from seqloom.functions.text import normalised, phrases_of, tokens
+from seqloom.operators.running import RANGE
+
+#: Events whose phrases are counted in one task, and positions of a sequence that are.
+ROWS = 50_000
 
 
 def sequential(members: DataFrame) -> DataFrame:
@@ -28,12 +32,21 @@ def template_counts(members: DataFrame) -> DataFrame:
     return members.groupBy("window_id", F.col("template").alias("feature")).agg(F.count("*").alias("cnt"))
 
 
-def phrase_counts(members: DataFrame, low: int = 1, high: int = 2) -> DataFrame:
-    """window_id, feature and cnt: phrases of the templates. A template is cut into phrases once, however often it occurs."""
-    counts = template_counts(members)
-    known = counts.select("feature").distinct().select("feature", F.explode(phrases(F.col("feature"), low, high)).alias("phrase"))
-    known = known.groupBy("feature", "phrase").agg(F.count("*").alias("times"))
-    return counts.join(known, "feature").groupBy("window_id", F.col("phrase").alias("feature")).agg(F.sum(F.col("cnt") * F.col("times")).alias("cnt"))
+def phrase_counts(members: DataFrame, low: int = 1, high: int = 2, rows: int = ROWS) -> DataFrame:
+    """window_id, feature and cnt: phrases of the templates. A template is cut into phrases once for each range of a sequence's positions.
+
+    Ranges of `rows` positions are dealt to tasks of about `rows` events each, so a task holds no more phrases where the log is larger.
+    """
+    size = members.agg(F.count("*").alias("n"), F.max("pos").alias("last")).first()
+    tasks = max(-(-size["n"] // rows), members.sparkSession.sparkContext.defaultParallelism)
+    keys = ["window_id", RANGE]
+    ranged = members.select("window_id", F.floor(F.col("pos") / F.lit(rows)).alias(RANGE), "template").repartition(tasks, *keys)
+    counts = ranged.groupBy(*keys, "template").agg(F.count("*").alias("cnt")).withColumns({"_tokens": tokens(F.col("template")), "_whole": normalised(F.col("template"))})
+    cut = counts.select(*keys, "cnt", F.explode(phrases_of(F.col("_whole"), F.col("_tokens"), low, high)).alias("feature"))
+    found = cut.groupBy(*keys, "feature").agg(F.sum("cnt").alias("cnt"))
+    if (size["last"] or 0) < rows:
+        return found.drop(RANGE)
+    return found.groupBy("window_id", "feature").agg(F.sum("cnt").alias("cnt"))
 
 
 def labelled_examples(represented: DataFrame, sequences: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from seqloom.operators.bayes import NaiveBayes
 from seqloom.operators.clusters import ClusteredContexts, common_places
@@ -110,6 +111,20 @@ def test_representations(spark):
     assert labelled_examples(sequential(members), sequences).first()["label"] == 0
 
 
+def test_phrases_are_counted_in_ranges(spark):
+    long = ["good day"] * 25 + ["bad day"] * 20 + ["good day"] * 5
+    members, _ = built(spark, [(long, 0, "train"), (["bad day"], 1, "train"), ([""], 1, "test"), *[(["a b", "b"], 0, "test")] * 200])
+    expected = {(0, "good day"): 60, (0, "bad day"): 40, (0, "good"): 30, (0, "bad"): 20, (0, "day"): 50, (1, "bad day"): 2, (1, "bad"): 1, (1, "day"): 1}
+    expected |= {(w, f): k for w in range(3, 203) for f, k in {"a b": 2, "a": 1, "b": 3}.items()}
+    for rows in (7, 50, 1000):
+        found = phrase_counts(members, rows=rows)
+        assert {(r["window_id"], r["feature"]): r["cnt"] for r in found.collect()} == expected
+    assert found.schema["cnt"].dataType == LongType() and found.columns == ["window_id", "feature", "cnt"]
+    # a task gets so many events, however many there are
+    assert phrase_counts(members, rows=60).rdd.getNumPartitions() == 8
+    assert phrase_counts(members.limit(0)).count() == 0
+
+
 def test_key_model(spark):
     members, sequences = built(spark, [(list("ABCABC"), 0, "train"), (list("ABCABX"), 1, "test"), (list("QBC"), 0, "test")])
     assert history_pairs(members, 2).where("window_id = 0").count() == 4
