@@ -16,6 +16,8 @@ from seqloom.schemas import TRAIN
 from seqloom.storage import kept
 
 MULTINOMIAL, BERNOULLI, COMPLEMENT = "multinomial", "bernoulli", "complement"
+#: Phrases that are ranked in one task.
+ROWS = 500_000
 
 
 @dataclass(frozen=True)
@@ -88,15 +90,19 @@ class NaiveBayesModel:
         out = joined.withColumn("score", posterior)
         return out.select(*sequences.columns, "score", (F.col("score") >= self.config.threshold).cast("int").alias("predicted_label"))
 
-    def key_phrases(self, features: DataFrame, predictions: DataFrame) -> DataFrame:
-        """window_id, rank and feature: the phrases that speak most for the prediction; those that speak against it only where none speaks for it."""
-        rows = self.weighted(features).join(predictions.select("window_id", "predicted_label"), "window_id")
-        lean = F.col("cnt") * (F.col("l.l1") - F.col("l.l0")) * F.when(F.col("predicted_label") == 1, 1).otherwise(-1)
-        rows = rows.withColumn("lean", F.round(lean, 10)).withColumn("tokens", F.length("feature") - F.length(F.replace("feature", F.lit(" "), F.lit(""))) + 1)
-        per = Window.partitionBy("window_id")
-        rows = rows.withColumn("any", F.max(F.col("lean") > 0).over(per)).where(~F.col("any") | (F.col("lean") > 0))
+    def key_phrases(self, features: DataFrame, predictions: DataFrame, rows: int = ROWS) -> DataFrame:
+        """window_id, rank and feature: the phrases that speak most for the prediction; those that speak against it only where none speaks for it. Sequences are dealt to tasks of about `rows` phrases."""
+        tasks = max(-(-features.count() // rows), features.sparkSession.sparkContext.defaultParallelism)
+        weights = self.weighted(features).select("window_id", "feature", (F.col("cnt") * (F.col("l.l1") - F.col("l.l0"))).alias("weight"))
+        signs = predictions.select("window_id", F.when(F.col("predicted_label") == 1, 1).otherwise(-1).alias("sign"))
+        found = weights.repartition(tasks, "window_id").join(signs.repartition(tasks, "window_id"), "window_id")
+        found = found.select("window_id", "feature", F.round(F.col("weight") * F.col("sign"), 10).alias("lean"))
+        found = found.withColumn("tokens", F.length("feature") - F.length(F.replace("feature", F.lit(" "), F.lit(""))) + 1)
         order = [F.round(F.col("lean") * F.col("tokens"), 8).desc(), F.col("lean").desc(), F.col("tokens").desc(), F.col("feature").desc()]
-        return rows.withColumn("rank", F.row_number().over(per.orderBy(*order))).where(F.col("rank") <= self.config.top_k).select("window_id", "rank", "feature")
+        # those that speak for it come first, so the first top_k tell whether there are any
+        per = Window.partitionBy("window_id")
+        top = found.withColumn("rank", F.row_number().over(per.orderBy((F.col("lean") > 0).desc(), *order))).where(F.col("rank") <= self.config.top_k)
+        return top.withColumn("any", F.max(F.col("lean") > 0).over(per)).where(~F.col("any") | (F.col("lean") > 0)).select("window_id", "rank", "feature")
 
     def global_phrases(self, label: int) -> DataFrame:
         """The top phrases of a class."""

@@ -125,6 +125,29 @@ def test_phrases_are_counted_in_ranges(spark):
     assert phrase_counts(members.limit(0)).count() == 0
 
 
+def test_key_phrases_are_ranked_in_tasks_of_a_bounded_size(spark):
+    rng = random.Random(4)
+    bags = [([" ".join(rng.choices("abcdef", k=3)) for _ in range(rng.randint(1, 4))], k % 2, "train" if k < 20 else "test") for k in range(60)]
+    members, sequences = built(spark, bags)
+    features = phrase_counts(members)
+    model = NaiveBayes(top_k=3).fit(features, sequences)
+    predictions = model.predict(features, sequences)
+    sign = {r["window_id"]: 1 if r["predicted_label"] == 1 else -1 for r in predictions.collect()}
+    own = {}
+    for r in model.weighted(features).collect():
+        lean, n = round(r["cnt"] * (r["l"]["l1"] - r["l"]["l0"]) * sign[r["window_id"]], 10), len(r["feature"].split(" "))
+        own.setdefault(r["window_id"], []).append((round(lean * n, 8), lean, n, r["feature"]))
+    expected = set()
+    for w, rows in own.items():
+        rows = [r for r in rows if r[1] > 0] or rows
+        expected |= {(w, k, r[3]) for k, r in enumerate(sorted(rows, reverse=True)[:3], 1)}
+    for rows in (40, 10_000):
+        found = model.key_phrases(features, predictions, rows)
+        assert {(r["window_id"], r["rank"], r["feature"]) for r in found.collect()} == expected
+    size = features.count()
+    assert model.key_phrases(features, predictions, 40).rdd.getNumPartitions() == -(-size // 40) > 4
+
+
 def test_key_model(spark):
     members, sequences = built(spark, [(list("ABCABC"), 0, "train"), (list("ABCABX"), 1, "test"), (list("QBC"), 0, "test")])
     assert history_pairs(members, 2).where("window_id = 0").count() == 4
