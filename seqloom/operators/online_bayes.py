@@ -15,9 +15,9 @@ Ties of the order aren't defined, as window_id is unique. A model of all trainin
 from __future__ import annotations
 
 import math
-from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,24 +111,49 @@ class OnlineNaiveBayes:
         return found.groupBy("window_id").agg(*(F.max(F.when(F.col("class") == c, F.col("g"))).alias(f"g{c}") for c in (0, 1)))
 
 
+class Histogram:
+    """How many phrases have each count. Counts lie in arrays, so that a sum over all of them is one array expression."""
+
+    def __init__(self):
+        self.place, self.free = {}, []
+        self.counts, self.times, self.used = np.zeros(64), np.zeros(64), 0
+
+    def add(self, count: int, by: int) -> None:
+        if (k := self.place.get(count)) is None:
+            if self.free:
+                k = self.free.pop()
+            else:
+                if self.used == len(self.counts):
+                    self.counts, self.times = (np.concatenate([x, np.zeros(len(x))]) for x in (self.counts, self.times))
+                k, self.used = self.used, self.used + 1
+            self.place[count], self.counts[k] = k, count
+        self.times[k] += by
+        if not self.times[k]:
+            # the count of a free place stays below those of the class, so its logarithm is a number
+            del self.place[count]
+            self.free.append(k)
+
+    def absence(self, n: int, smoothing: float) -> float:
+        """The sum of ln(n - count + smoothing) over all phrases, exactly rounded."""
+        return math.fsum((self.times[: self.used] * np.log(n - self.counts[: self.used] + smoothing)).tolist())
+
+
 def following(smoothing: float):
     """Goes through ranges of histogram changes and gives the sums that their sequences ask for."""
 
     def run(batches):
         import pyarrow as pa
 
-        last, histogram = None, Counter()
+        last, histogram = None, Histogram()
         for batch in batches:
             out = []
             for at, own, window, j, by, n in zip(*(batch.column(c).to_pylist() for c in ("range", "class", "window_id", "j", "by", "n"))):
                 if (at, own) != last:
-                    last, histogram = (at, own), Counter()
+                    last, histogram = (at, own), Histogram()
                 if n is None:
-                    histogram[j] += by
-                    if not histogram[j]:
-                        del histogram[j]
+                    histogram.add(j, by)
                 else:
-                    out.append((window, own, math.fsum(times * math.log(n - count + smoothing) for count, times in histogram.items())))
+                    out.append((window, own, histogram.absence(n, smoothing)))
             columns = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, ["window_id", "class", "g"])
 

@@ -14,7 +14,7 @@ from seqloom.operators.contexts import NO_EVENT, ContextModel, contexts, next_ca
 from seqloom.operators.frequency import TemplateFrequency, nearest_rank
 from seqloom.operators.metrics import decision_summary, next_event_metrics, run_metrics
 from seqloom.operators.next_event import KeyModel, ParameterModel, history_pairs, masked_mse, normalisation, parameter_schema, parameter_values, predict_jointly, tail_size
-from seqloom.operators.online_bayes import OnlineNaiveBayes
+from seqloom.operators.online_bayes import Histogram, OnlineNaiveBayes
 from seqloom.operators.representations import labelled_examples, phrase_counts, sequential, template_counts
 from seqloom.operators.running import items_before, sums_before
 from seqloom.operators.sequences import with_time_gaps
@@ -148,6 +148,20 @@ def test_key_phrases_are_ranked_in_tasks_of_a_bounded_size(spark):
     assert model.key_phrases(features, predictions, 40).rdd.getNumPartitions() == -(-size // 40) > 4
 
 
+def test_histograms_of_counts(spark):
+    rng, plain, histogram = random.Random(6), Counter(), Histogram()
+    for _ in range(3000):
+        j, by = rng.randint(0, 150), rng.choice([1, 1, 2])
+        for count, times in ((j, by), (j, -plain[j]) if plain[j] and rng.random() < 0.4 else (j + 1, 1)):
+            if times:
+                plain[count] += times
+                histogram.add(count, times)
+        plain = +plain
+    assert histogram.used < 160 and {c: histogram.times[k] for c, k in histogram.place.items()} == plain
+    expected = math.fsum(times * math.log(500 - count + 0.5) for count, times in plain.items())
+    assert histogram.absence(500, 0.5) == pytest.approx(expected, rel=1e-14)
+
+
 def test_key_model(spark):
     members, sequences = built(spark, [(list("ABCABC"), 0, "train"), (list("ABCABX"), 1, "test"), (list("QBC"), 0, "test")])
     assert history_pairs(members, 2).where("window_id = 0").count() == 4
