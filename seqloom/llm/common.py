@@ -72,3 +72,20 @@ class Memo(dict):
             self.clear()
         value = self[key] = self.make(key)
         return value
+
+
+class Recent(dict):
+    """A Memo of at most `limit` values that forgets those that weren't asked for lately: half of them are new, the others are of the half before and move over when they are asked for."""
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.half, self.before = make, max(1, limit // 2), {}
+
+    def __missing__(self, key):
+        if (value := self.before.pop(key, None)) is None:
+            value = self.make(key)
+        if len(self) >= self.half:
+            self.before = dict(self)
+            self.clear()
+        self[key] = value
+        return value

@@ -14,6 +14,7 @@ by word; other columns don't matter.
 from __future__ import annotations
 
 import functools
+import gc
 import re
 from collections import deque
 
@@ -22,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import Memo, in_batches, text_or_empty
+from seqloom.llm.common import Memo, Recent, in_batches, text_or_empty
 
 SPACE = "▁"
 BPE = 2
 NEVER = float("-inf")
 #: What a character in no piece costs in a model of scores.
 UNKNOWN = -1e6
+#: Steps of the automaton along failure links that are remembered.
+REMEMBERED_STEPS = 200_000
 
 
 class Automaton:
@@ -66,6 +69,8 @@ class Automaton:
                 found.append((self.piece[at], size[at]))
                 at = self.output[at]
             self.ends.append(tuple(found))
+        #: Steps along failure links that may still be remembered.
+        self.room = REMEMBERED_STEPS
 
     def step(self, node: int, c: str) -> int:
         while (child := self.goto[node].get(c)) is None:
@@ -75,10 +80,19 @@ class Automaton:
         return child
 
 
+    def move(self, node: int, c: str) -> int:
+        """step, remembered in goto as long as there is room."""
+        child = self.step(node, c)
+        if child and self.room:
+            self.room -= 1
+            self.goto[node][c] = child
+        return child
+
+
 class SentencePieceCodec:
     """ids of texts and texts of ids for one .model file; `remembered` bounds the words whose ids are kept."""
 
-    def __init__(self, path: str, remembered: int = 500_000):
+    def __init__(self, path: str, remembered: int = 800_000):
         from sentencepiece import SentencePieceProcessor
         from sentencepiece.sentencepiece_model_pb2 import ModelProto
 
@@ -95,6 +109,8 @@ class SentencePieceCodec:
         self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == kinds.BYTE}
         self.pieces = plain
         self.automaton = Automaton({p: i for p, i in plain.items() if p.strip(SPACE) or len(p) == 1})
+        #: Of each node of the automaton: (piece, length, score) of all that end there, longest first.
+        self.ends = [tuple((piece, n, self.score[piece]) for piece, n in own) for own in self.automaton.ends]
         self.decoded = [p.piece.replace(SPACE, " ").encode() for p in model.pieces]
         for b, i in self.byte.items():
             self.decoded[i] = bytes([b])
@@ -107,16 +123,17 @@ class SentencePieceCodec:
             raise ValueError("a piece holds a space within or a line end: texts of this model can't be walked word by word")
         #: Neighbours within some piece; between any other two characters no piece can lie, so a word may be cut there.
         self.joined = {p[i : i + 2] for p in plain for i in range(len(p) - 1)}
-        self.parts = Memo(self.viterbi, remembered // 4)
+        #: Words share their parts, as with and without a comma.
+        self.parts = Recent(lambda part: tuple(self.viterbi(part)), remembered * 3 // 8)
         # words are kept with plain spaces: strings of Latin letters alone take half the memory
         self.words = re.compile(" *[^ \n]+|\n| +")
         self.size = len(self.text)
         #: Whether pieces a and b can stand side by side, under a * size + b.
-        self.compatible = Memo(lambda pair: self._compatible(divmod(pair, self.size)), 400_000)
+        self.compatible = Recent(lambda pair: self._compatible(divmod(pair, self.size)), 400_000)
         self.split = Memo(self._split, 100_000)
         self.turn = Memo(self._turn, 100_000)
         self.runs = Memo(self._run, 10_000)
-        self.ids = Memo(lambda w: np.array(self.word_ids(w.replace(" ", SPACE)), "<i4").tobytes(), remembered)
+        self.ids = Recent(lambda w: np.array(self.word_ids(w.replace(" ", SPACE)), "<i4").tobytes(), remembered)
 
     def _split(self, piece: int) -> tuple[int, int] | None:
         """The two parts whose merge makes a piece; None for a single character."""
@@ -166,18 +183,17 @@ class SentencePieceCodec:
 
         The best path is that of the highest sum of scores among the paths of which BPE would leave all neighbours side by side.
         """
-        goto, step, ends, compatible, pieces, score = self.automaton.goto, self.automaton.step, self.automaton.ends, self.compatible, self.size, self.score
-        best, last, size, node = [0.0], [-1], [0], 0
+        goto, move, ends, compatible, pieces = self.automaton.goto, self.automaton.move, self.ends, self.compatible, self.size
+        best, last, size, node = [0.0] * (len(text) + 1), [-1] * (len(text) + 1), [1] * (len(text) + 1), 0
         for i, c in enumerate(text, 1):
-            node = goto[node].get(c) or step(node, c)
-            top, own, length = NEVER, -1, 1
-            for piece, n in ends[node]:
-                before = last[i - n]
-                if (before < 0 or compatible[before * pieces + piece]) and (s := best[i - n] + score[piece]) > top:
-                    top, own, length = s, piece, n
-            best.append(top if own >= 0 else best[i - 1])
-            last.append(own)
-            size.append(length)
+            node = goto[node].get(c) or move(node, c)
+            top = NEVER
+            for piece, n, score in ends[node]:
+                at = i - n
+                # only a better path is asked whether its pieces can be neighbours
+                if (s := best[at] + score) > top and ((before := last[at]) < 0 or compatible[before * pieces + piece]):
+                    top, last[i], size[i] = s, piece, n
+            best[i] = top if last[i] >= 0 else best[i - 1]
         return last, size
 
     def best_unigram(self, text: str) -> tuple[list[int], list[int]]:
@@ -226,7 +242,7 @@ class SentencePieceCodec:
             return self.runs[spaces]
         extra = spaces - 1 if self.bpe and spaces > 1 else 0
         parts = self.cut(word[extra:])
-        own = self.viterbi(parts[0]) if len(parts) == 1 else [x for part in parts for x in self.parts[part]]
+        own = [x for part in parts for x in self.parts[part]]
         if not extra:
             return own
         alone = own[0] == self.pieces[SPACE]
@@ -245,7 +261,9 @@ class SentencePieceCodec:
 
 @functools.cache
 def codec(path: str) -> SentencePieceCodec:
-    return SentencePieceCodec(path)
+    made = SentencePieceCodec(path)
+    gc.freeze()  # the automaton stays: collections needn't go through it
+    return made
 
 
 def encode_documents(docs: DataFrame, model: str, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

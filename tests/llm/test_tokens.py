@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
+from seqloom.llm.common import Recent
 from seqloom.llm import bitplane_tokens, bpe_count, sentencepiece_codec
 
 SPECIAL = "<|endoftext|>"
@@ -147,3 +148,13 @@ def test_token_files(spark, edge_docs, tmp_path, monkeypatch):
     assert index[0]["start"] == 0 and sum(r["n_ids"] for r in index) == start and sum(r["n_docs"] for r in index) == 7
     bitplane_tokens.write_token_files(edge_docs.limit(0), path, out)
     assert bitplane_tokens.read_documents(spark, out).count() == 0
+
+
+def test_recent_values_stay():
+    made = []
+    memo = Recent(lambda k: made.append(k) or 2 * k, 10)
+    for k in range(1000):
+        assert memo[k] == 2 * k and memo[-1] == -2
+        assert len(memo) + len(memo.before) <= 10
+    # what is asked for all the time is made once, what isn't is forgotten
+    assert made.count(-1) == 1 and memo[0] == 0 and made.count(0) == 2
