@@ -44,17 +44,24 @@ def suffix_order(text: np.ndarray, length: int = LENGTH) -> np.ndarray:
     for i in range(depth):
         key = (key << np.uint64(bits)) | padded[i : i + n]
     order = np.argsort(key)
+    together = 63 // (n + 1).bit_length()  # ranks that one key holds
     while depth < length:
         sorted_key = key[order]
         rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], sorted_key[1:] != sorted_key[:-1]]))
-        if rank[order[-1]] == n - 1:
+        rank[order] = np.cumsum(np.concatenate([[1], sorted_key[1:] != sorted_key[:-1]]))
+        if rank[order[-1]] == n:
             break
-        step = min(depth, length - depth)
-        key = rank * (n + 1)
-        key[: n - step] += rank[step:] + 1
+        key, done = rank.copy(), depth
+        for _ in range(together - 1):
+            # the next rank's bytes end where the key's bytes do then; in the last one they may overlap
+            step = min(depth, length - done)
+            at, done = done - depth + step, done + step
+            key *= n + 1
+            key[: max(n - at, 0)] += rank[at:]
+            if done == length:
+                break
+        depth = done
         order = np.argsort(key)
-        depth += step
     return order
 
 
@@ -63,25 +70,40 @@ def boundaries(bwt: np.ndarray, length: int) -> np.ndarray:
 
     A boundary of value l, extended backwards, makes one of value l + 1 between the two neighbouring rows of each
     byte that stand on both sides of it; each row gets its value once, in the round of that value.
+    Two rows whose left neighbours are led to from rows that are neighbours themselves have one boundary that can part
+    them, and follow it one round later; in repeated text that is nearly all of them. Only the others are searched for in each round.
     """
     n = len(bwt)
     source = np.argsort(bwt, kind="stable").astype(np.int32)  # the row that each row comes from by one byte to the left
     byte = bwt[source]
     found = np.ones(n, bool)
     found[1:] = byte[1:] != byte[:-1]
-    fresh = found.copy()
+    fresh = np.flatnonzero(found).astype(np.int32)
     row = np.flatnonzero(~found).astype(np.int32)
     above, below = source[row - 1], source[row]
+    near = below - above == 1
+    after = np.zeros(n, np.int32)  # the row that follows a boundary; 0: none
+    after[below[near]] = row[near]
+    row, above, below = row[~near], above[~near], below[~near]
     for _ in range(1, length):
-        upto = np.cumsum(fresh, dtype=np.int32)
-        cut = upto[below] > upto[above]
-        made = row[cut]
-        if not len(made):
+        if not len(fresh):
             break
+        made = after[fresh]
+        made = made[made > 0]
+        if len(row):
+            if 4 * max(len(fresh), len(row)) < n:
+                places = np.sort(fresh)
+                cut = np.searchsorted(places, below, "right") > np.searchsorted(places, above, "right")
+            else:
+                flags = np.zeros(n, bool)
+                flags[fresh] = True
+                upto = np.cumsum(flags, dtype=np.int32)
+                cut = upto[below] > upto[above]
+            if cut.any():
+                made = np.concatenate([made, row[cut]])
+                row, above, below = row[~cut], above[~cut], below[~cut]
         found[made] = True
-        fresh = np.zeros(n, bool)
-        fresh[made] = True
-        row, above, below = row[~cut], above[~cut], below[~cut]
+        fresh = made
     return found
 
 

@@ -331,6 +331,34 @@ def test_compare_against_all_windows():
         assert [list(g) for g in got] == [[count[s[i : i + length]] > 1 for i in range(len(s) - length + 1)] for s in strings]
 
 
+def test_boundaries_are_extended_without_passing_over_all_rows_in_each_round(monkeypatch):
+    rng = np.random.default_rng(3)
+    passage = rng.integers(1, 27, 400)
+    text = np.append(np.concatenate([np.append(passage, rng.integers(1, 27, 20)) for _ in range(30)]), 0).astype(np.uint16)
+    calls = {"argsort": 0, "cumsum": 0}
+
+    def counted(name):
+        plain = getattr(np, name)
+
+        def run(x, *args, **settings):
+            calls[name] += len(x) == len(text)
+            return plain(x, *args, **settings)
+
+        return run
+
+    for name in calls:
+        monkeypatch.setattr(np, name, counted(name))
+    order = bwt_repeats.suffix_order(text)
+    found = bwt_repeats.boundaries(text[order - 1], bwt_repeats.LENGTH)
+    assert calls["argsort"] <= 5 and calls["cumsum"] <= 40
+    # rows with no boundary between them start with the same 200 bytes, and no others do
+    own = {}
+    for row, group in zip(order.tolist(), np.cumsum(found).tolist()):
+        if row <= len(text) - bwt_repeats.LENGTH:
+            own.setdefault(text[row : row + bwt_repeats.LENGTH].tobytes(), set()).add(group)
+    assert all(len(x) == 1 for x in own.values()) and len(set.union(*own.values())) == len(own)
+
+
 def corpus():
     """Copies, passages in many contexts, repeats within one text, edges, nulls."""
     rng = random.Random(6)
