@@ -15,6 +15,9 @@ from seqloom.llm import decontaminate, order_minhash, quality_ftrl, sentencepiec
 from seqloom.llm.common import shared_dir, table
 from seqloom.llm.queries import tokenizer
 
+#: Words that a worker of the last stage remembers: the stages before leave more workers than cores, and all of them take part.
+WORDS = 300_000
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -46,7 +49,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_ids and round_trip of each document that is left."""
-    return sentencepiece_codec.encode_documents(docs, tokenizer("piece_bpe_32k.model"))
+    return sentencepiece_codec.encode_documents(docs, tokenizer("piece_bpe_32k.model"), remembered=WORDS)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,10 +51,31 @@ def settled(df: DataFrame, free: bool = True) -> DataFrame:
     return out
 
 
+#: What operators remember in this Python worker from task to task: the operator's module and a function that forgets it.
+_REMEMBERED: dict[str, Callable[[], None]] = {}
+
+
+def remember(module: str, forget: Callable[[], None]) -> None:
+    """From now on tasks of other modules call `forget` before they begin."""
+    _REMEMBERED[module] = forget
+
+
+def forget_others(module: str) -> None:
+    """Frees what other operators remember here. Spark hands a worker from stage to stage, and a stage of several Python steps leaves more workers than cores, so all of them would hold it for good."""
+    for other in [m for m in _REMEMBERED if m != module]:
+        _REMEMBERED.pop(other)()
+
+
 def in_batches(df: DataFrame, run, schema, rows: int = 1000) -> DataFrame:
     """df.mapInArrow(run, schema) on batches of `rows` rows at most. Texts are long: the default of 10,000 rows a batch is held several times over, in the JVM and in Python."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    return df.mapInArrow(run, schema)
+    module = run.__module__
+
+    def task(batches):
+        forget_others(module)
+        yield from run(batches)
+
+    return df.mapInArrow(task, schema)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -23,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import Memo, Recent, in_batches, text_or_empty
+from seqloom.llm.common import Memo, Recent, in_batches, remember, text_or_empty
 
 SPACE = "▁"
 BPE = 2
 NEVER = float("-inf")
 #: What a character in no piece costs in a model of scores.
 UNKNOWN = -1e6
+#: Words whose ids a worker keeps.
+REMEMBERED = 800_000
 #: Steps of the automaton along failure links that are remembered.
 REMEMBERED_STEPS = 200_000
 
@@ -92,7 +94,7 @@ class Automaton:
 class SentencePieceCodec:
     """ids of texts and texts of ids for one .model file; `remembered` bounds the words whose ids are kept."""
 
-    def __init__(self, path: str, remembered: int = 800_000):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         from sentencepiece import SentencePieceProcessor
         from sentencepiece.sentencepiece_model_pb2 import ModelProto
 
@@ -260,17 +262,25 @@ class SentencePieceCodec:
 
 
 @functools.cache
-def codec(path: str) -> SentencePieceCodec:
-    made = SentencePieceCodec(path)
+def codec(path: str, remembered: int = REMEMBERED) -> SentencePieceCodec:
+    made = SentencePieceCodec(path, remembered)
     gc.freeze()  # the automaton stays: collections needn't go through it
+    remember(__name__, forget_codecs)
     return made
 
 
-def encode_documents(docs: DataFrame, model: str, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """id, ids, n_ids and whether decoding gives the text back (▁ in a text reads as a space)."""
+def forget_codecs() -> None:
+    """Frees all codecs of this process with the words that they remember."""
+    codec.cache_clear()
+    gc.unfreeze()
+    gc.collect()
+
+
+def encode_documents(docs: DataFrame, model: str, *, id_column: str = "doc_id", text_column: str = "text", remembered: int = REMEMBERED) -> DataFrame:
+    """id, ids, n_ids and whether decoding gives the text back (▁ in a text reads as a space). remembered: words whose ids a worker keeps; there may be more workers than cores."""
 
     def run(batches):
-        sp = codec(model)
+        sp = codec(model, remembered)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             ids = [sp.encode(x) for x in texts]

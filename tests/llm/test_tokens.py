@@ -1,13 +1,15 @@
 """Codec, token files and token counts against the tokenizers' own libraries."""
 
 import random
+import weakref
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
-from seqloom.llm.common import Recent
+from seqloom.llm.common import Recent, forget_others, in_batches
 from seqloom.llm import bitplane_tokens, bpe_count, sentencepiece_codec
 
 SPECIAL = "<|endoftext|>"
@@ -158,3 +160,23 @@ def test_recent_values_stay():
         assert len(memo) + len(memo.before) <= 10
     # what is asked for all the time is made once, what isn't is forgotten
     assert made.count(-1) == 1 and memo[0] == 0 and made.count(0) == 2
+
+
+def test_tasks_of_other_operators_free_remembered_words(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = spark.createDataFrame([(1, "some words")], "doc_id long, text string").coalesce(1)
+
+    def held(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sentencepiece_codec.codec.cache_info().currsize] * batch.num_rows, pa.int64())], ["n"])
+
+    for _ in range(3):
+        assert sentencepiece_codec.encode_documents(docs, path).first()["n_ids"] > 0
+        assert in_batches(docs, held, "n long").first()["n"] == 0
+    # all of it goes, in spite of its cycles and of gc.freeze
+    one = weakref.ref(sentencepiece_codec.codec(path))
+    assert one().encode("some words").size
+    forget_others(sentencepiece_codec.__name__)
+    assert one() is not None
+    forget_others("another")
+    assert one() is None
